@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from coursemill.llm import substring_dedup, suffix_dedup
+from coursemill.llm import packing, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op6_packing": packing.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op10_token_output": token_output.query,
 }
 ORACLE: dict[str, str] = {}
