@@ -37,7 +37,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def block_count(spark: SparkSession, size: int, per_block: int = 8 << 20) -> int:
+def block_count(spark: SparkSession, size: int, per_block: int = 2 << 20) -> int:
     """Blocks so that each holds about ``per_block`` bytes, and at least one for each shuffle partition."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_block), 1)
 
@@ -66,16 +66,21 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of numbers as one compressed value; see unpack."""
-    sink = pa.BufferOutputStream()
-    batch = pa.record_batch([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], names=[f"{i}:{a.dtype.str}" for i, a in enumerate(arrays)])
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.kind) * 16 + a.dtype.itemsize, len(a)))], np.int64)
+    raw = b"".join((head.tobytes(), *(a.tobytes() for a in arrays)))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(value).read_next_batch()
-    return [np.frombuffer(c[0].as_buffer(), np.dtype(n.split(":")[1])) for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+    raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd")
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 2 * n, 8)
+    out, at = [], 8 + 16 * n
+    for kind, size in head.reshape(n, 2):
+        dtype = np.dtype(f"{chr(kind // 16)}{kind % 16}")
+        out.append(np.frombuffer(raw, dtype, size, at))
+        at += int(size) * dtype.itemsize
+    return out
 
 
 def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ halves of ``s = k / 2`` tokens. Testing every window would move more than the in
   anchor occurs once cannot hold a repeated window.
 * What is left are gaps at the ends of copied passages. Their windows are moved one by one in a second round,
   except where the first round settles them: both neighbours occur at one earlier place at the right distance, or
-  the anchor occurs only together with both neighbours (the sets of places are compared by a shifted sum).
+  all gaps with that anchor stand between these two neighbours (the sets of places are compared by a shifted sum).
 
 Blocks combine equal windows before each shuffle, so a passage in a third of all documents costs one entry a block.
 Nothing is capped or sampled away; all steps are exact up to collisions of 80-bit codes.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from coursemill.llm.common import block_count, mix64, pack, text_bytes, unpack, utf8
 
-PIECE = 1 << 19
+PIECE = 1 << 17
 NO_ID = np.iinfo(np.int64).max
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,10 +61,12 @@ def gram_codes(tokens: np.ndarray, length: int) -> np.ndarray:
     h, n, step = tokens, 1, 0
     while n < length:
         shift = min(n, length - n)
-        h = h[:-shift] * _STEP[step] + h[shift:]
-        h ^= h >> np.uint64(31)
-        n, step = n + shift, step + 1
-    return h
+        longer = h[:-shift] * _STEP[step]
+        longer += h[shift:]
+        if n == 8 or n + shift == length:
+            longer ^= longer >> np.uint64(31)
+        h, n, step = longer, n + shift, step + 1
+    return h * _STEP[step]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -124,10 +126,16 @@ class Piece:
     """Some documents' tokens in one array; windows never cross documents."""
 
     tokens: np.ndarray
-    doc: np.ndarray  # of each start
-    pos: np.ndarray
+    start: np.ndarray  # of each document's part in tokens
+    doc: np.ndarray
+    base: np.ndarray  # position of the part in its document
     valid: np.ndarray
 
+    def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document and position of places in tokens."""
+        i = np.searchsorted(self.start, at, "right") - 1
+        return self.doc[i], at - self.start[i] + self.base[i]
+
 
 def pieces(docs: list[np.ndarray], k: int) -> Iterator[Piece]:
     """Documents joined up to PIECE tokens; longer ones in parts that overlap by k - 1."""
@@ -136,9 +144,11 @@ def pieces(docs: list[np.ndarray], k: int) -> Iterator[Piece]:
 
     def joined() -> Piece:
         n = np.array([len(t) for _, _, t in group])
-        first = np.repeat(np.cumsum(n) - n, n)
-        inside = np.arange(n.sum()) - first
-        return Piece(np.concatenate([t for _, _, t in group]), np.repeat([d for d, _, _ in group], n), inside + np.repeat([p for _, p, _ in group], n), inside + k <= np.repeat(n, n))
+        end = np.cumsum(n)
+        valid = np.ones(end[-1], bool)
+        for e in end:
+            valid[e - k + 1 : e] = False
+        return Piece(np.concatenate([t for _, _, t in group]), end - n, np.array([d for d, _, _ in group]), np.array([p for _, p, _ in group]), valid)
 
     for d, tokens in enumerate(docs):
         for at in range(0, max(len(tokens) - k + 1, 0), PIECE):
@@ -164,7 +174,6 @@ class Scan:
     gap_from: np.ndarray
     gap_to: np.ndarray
     gap_code: np.ndarray
-    gap_at: np.ndarray
     left: np.ndarray  # index of the sampled window beside a gap, or -1
     right: np.ndarray
 
@@ -181,23 +190,26 @@ def scan(docs: list[np.ndarray], k: int) -> Scan:
     found = 0
     for p in pieces(docs, k):
         h = gram_codes(p.tokens, s)
-        order = h * np.uint64(0x9E3779B97F4A7C15)
-        low = sliding_min(order, k - s + 1)
+        low = sliding_min(h, k - s + 1)
         n = len(low)
         valid = p.valid[:n]
-        sampled = valid & ((order[:n] == low) | (order[k - s :][:n] == low))
+        sampled = valid & ((h[:n] == low) | (h[k - s :] == low))
         at = np.flatnonzero(sampled)
         code, more = window_code(h, at, s)
         edge = np.diff(np.concatenate(([False], valid & ~sampled, [False])).astype(np.int8))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-        anchor = lo + np.argmin(order[np.minimum(lo[:, None] + np.arange(k - s + 1), len(order) - 1)], axis=1) if len(lo) else lo
-        number = np.cumsum(sampled) - 1 + found
-        beside = lambda i, lo=lo, sampled=sampled, number=number, n=n, p=p: np.where((i >= 0) & (i < n) & sampled[np.clip(i, 0, n - 1)] & (p.doc[np.clip(i, 0, n - 1)] == p.doc[lo]), number[np.clip(i, 0, n - 1)], -1)
-        rows.append([p.doc[at], p.pos[at], code, more, p.doc[lo], p.pos[lo], p.pos[hi], low[lo], p.pos[anchor] if len(lo) else lo, beside(lo - 1), beside(hi + 1)])
+        doc, pos = p.where(at)
+        gap_doc, gap_from = p.where(lo)
+        # the sampled window before a gap starts one token earlier, in the same part; the one after, one token later
+        left = np.searchsorted(at, lo) - 1
+        right = left + 1
+        has_left = (lo > 0) & sampled[np.maximum(lo - 1, 0)] if len(lo) else np.zeros(0, bool)
+        has_right = (hi + 1 < n) & sampled[np.minimum(hi + 1, n - 1)] if len(lo) else has_left
+        rows.append([doc, pos, code, more, gap_doc, gap_from, gap_from + hi - lo, low[lo], np.where(has_left, left + found, -1), np.where(has_right, right + found, -1)])
         found += len(at)
     if not rows:
         empty = np.zeros(0, np.int64)
-        return Scan(empty, empty, empty.astype(np.uint64), empty.astype(np.uint16), empty, empty, empty, empty.astype(np.uint64), empty, empty, empty)
+        return Scan(empty, empty, empty.astype(np.uint64), empty.astype(np.uint16), empty, empty, empty, empty.astype(np.uint64), empty, empty)
     return Scan(*(np.concatenate(c) for c in zip(*rows, strict=True)))
 
 
@@ -324,7 +336,7 @@ def read_block(table: pa.Table, kind: Kind) -> tuple[pa.Table, Block]:
     docs = [kind.tokens(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     found = scan(docs, kind.k)
     none = np.zeros(len(found.gap_code), np.uint16)
-    return table, Block(ids, docs, found, own_groups(found.code, found.more, ids[found.doc], found.pos), own_groups(found.gap_code, none, ids[found.gap_doc], found.gap_at))
+    return table, Block(ids, docs, found, own_groups(found.code, found.more, ids[found.doc], found.pos), own_groups(found.gap_code, none, ids[found.gap_doc], found.gap_from))
 
 
 def first_round(table: pa.Table, kind: Kind, buckets: int) -> pa.Table:
@@ -349,8 +361,7 @@ def open_gaps(b: Block, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     both = has & hit[l] & hit[r]
     sl, sr, sa = s.slot[l], s.slot[r], a.slot
     one_place = both & (s.doc[sl] == s.doc[sr]) & (s.pos[sr] - s.pos[sl] == f.pos[r] - f.pos[l])
-    at = np.where(has, f.gap_at, 0)
-    together = has & (s.total[sl] * power(np.where(has, at - f.pos[l], 0)) == a.total[sa]) & (s.total[sr] * power(np.where(has, at - f.pos[r], 0)) == a.total[sa])
+    together = has & (s.total[sl] * power(np.ones(1)) == a.total[sa]) & (a.total[sa] * power(f.gap_to - f.gap_from + 1) == s.total[sr])
     return hit, both, (a.count[sa] > 1) & ~one_place & ~together
 
 
