@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from coursemill.llm import packing, substring_dedup, suffix_dedup, token_output
+from coursemill.llm import bpe, fingerprints, jaccard_join, packing, quality, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_quality": quality.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op6_packing": packing.query,
+    "op7_bpe": bpe.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_fingerprints": fingerprints.query,
     "op10_token_output": token_output.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_jaccard_join": jaccard_join.ORACLE,
+    "op9_fingerprints": fingerprints.ORACLE,
+}

@@ -94,7 +94,11 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_tokens(data: np.ndarray) -> np.ndarray:
     """A 64-bit code for each word, of all its bytes."""
-    starts, ends = word_bounds(data)
+    return run_codes(data, *word_bounds(data))
+
+
+def run_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each run of bytes; runs are in order and do not overlap."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     out, cut = [], 0
