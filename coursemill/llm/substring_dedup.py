@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from coursemill.llm.common import utf8
-from coursemill.llm.windows import Block, Kind, repeated_windows, word_bounds, word_tokens
+from coursemill.llm.windows import Kind, Texts, repeated_windows, word_tokens
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
@@ -22,13 +20,14 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 def _finish(content: bool):
     schema = SCHEMA if content else pa.schema(list(SCHEMA)[:4])
 
-    def finish(table: pa.Table, flags: list[np.ndarray], block: Block) -> pa.Table:
-        data, offsets = utf8(table["text"])
+    def finish(t: Texts, spans: list[list[tuple[int, int]]]) -> pa.Table:
         rows = []
-        for i, gone in enumerate(flags):
-            words = data[offsets[i] : offsets[i + 1]].tobytes().split()
-            kept = b" ".join(words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            row = {"doc_id": table["doc_id"][i].as_py(), "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        for doc, null, text, own in zip(t.ids.tolist(), t.null, t.texts, spans, strict=True):
+            words = text.tobytes().split()
+            ends = [0, *(y for _, y in own)]
+            left = [w for a, b in zip(ends, [*(x for x, _ in own), len(words)], strict=True) for w in words[a:b]]
+            kept = b" ".join(left)
+            row = {"doc_id": None if null else doc, "n_words": len(words), "n_removed": len(words) - len(left), "kept_sha256": hashlib.sha256(kept).hexdigest()}
             rows.append(row | {"kept_text": kept.decode()} if content else row)
         return pa.Table.from_pylist(rows, schema)
 

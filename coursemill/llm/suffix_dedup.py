@@ -10,34 +10,25 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from coursemill.llm.common import utf8
-from coursemill.llm.windows import Block, Kind, byte_tokens, repeated_windows
+from coursemill.llm.windows import Kind, Texts, byte_tokens, repeated_windows
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
 def _finish(content: bool):
     schema = SCHEMA if content else pa.schema(list(SCHEMA)[:5])
 
-    def finish(table: pa.Table, flags: list[np.ndarray], block: Block) -> pa.Table:
-        data, offsets = utf8(table["text"])
+    def finish(t: Texts, spans: list[list[tuple[int, int]]]) -> pa.Table:
         rows = []
-        for i, gone in enumerate(flags):
-            text = data[offsets[i] : offsets[i + 1]]
-            start, end = _spans(gone) if gone.any() else ((), ())
-            kept = text[~gone].tobytes() if len(start) else text.tobytes()
-            row = {"doc_id": table["doc_id"][i].as_py(), "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(start), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+        for doc, null, text, own in zip(t.ids.tolist(), t.null, t.texts, spans, strict=True):
+            ends = [0, *(y for _, y in own)]
+            kept = b"".join(text[a:b].tobytes() for a, b in zip(ends, [*(x for x, _ in own), len(text)], strict=True))
+            row = {"doc_id": None if null else doc, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(own), "kept_sha256": hashlib.sha256(kept).hexdigest()}
             if content:
-                row |= {"kept": kept, "removed": [{"start": int(a), "end": int(b)} for a, b in zip(start, end, strict=True)]}
+                row |= {"kept": kept, "removed": [{"start": a, "end": b} for a, b in own]}
             rows.append(row)
         return pa.Table.from_pylist(rows, schema)
 

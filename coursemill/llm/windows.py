@@ -209,7 +209,7 @@ def scan(docs: list[np.ndarray], k: int) -> Scan:
         right = left + 1
         has_left = (lo > 0) & sampled[np.maximum(lo - 1, 0)] if len(lo) else np.zeros(0, bool)
         has_right = (hi + 1 < n) & sampled[np.minimum(hi + 1, n - 1)] if len(lo) else has_left
-        rows.append([doc, pos, code, more, gap_doc, gap_from, gap_from + hi - lo, low[lo], np.where(has_left, left + found, -1), np.where(has_right, right + found, -1)])
+        rows.append([doc, pos, code, more, gap_doc, gap_from, gap_from + hi - lo, low[lo] & np.uint64(0xFFFFFFFFFFFF0000), np.where(has_left, left + found, -1), np.where(has_right, right + found, -1)])
         found += len(at)
     if not rows:
         empty = np.zeros(0, np.int64)
@@ -260,7 +260,7 @@ def own_groups(code: np.ndarray, more: np.ndarray, doc: np.ndarray, pos: np.ndar
 
 ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 ANSWERS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-SAMPLED, ANCHOR, WINDOW = 0, 1, 2
+SAMPLED, ANCHOR, WINDOW, STATE = 0, 1, 2, 3
 
 
 def send(groups: Groups, kind: int, block: int, buckets: int) -> dict[str, list]:
@@ -286,6 +286,10 @@ def answer(table: pa.Table) -> pa.Table:
     kinds = table["kind"].to_numpy()
     for kind in np.unique(kinds):
         sub = table.filter(pa.array(kinds == kind))
+        if kind == STATE:  # a block's note to itself passes through
+            for name, values in zip(ANSWERS.names, (sub["block"], sub["kind"], sub["data"]), strict=True):
+                out[name] += values.to_pylist()
+            continue
         parts, blocks = [], []
         for block, data in zip(sub["block"].to_pylist(), sub["data"].to_pylist(), strict=True):
             code, more, doc, pos, many, count, total = unpack(data)
@@ -300,7 +304,7 @@ def answer(table: pa.Table) -> pa.Table:
         shared = shared[np.argsort(block[shared], kind="stable")]
         for part in np.split(shared, np.flatnonzero(np.diff(block[shared])) + 1) if len(shared) else []:
             j = np.sort(g.slot[part])
-            data = pack(g.code[j], g.more[j], g.doc[j], g.pos[j].astype(np.uint32), g.count[j].astype(np.uint32), g.total[j])
+            data = pack(g.code[j], g.more[j], g.doc[j], g.pos[j].astype(np.uint32), g.count[j].astype(np.uint32), g.total[j].astype(np.uint32))
             for name, value in zip(ANSWERS.names, (int(block[part[0]]), int(kind), data), strict=True):
                 out[name].append(value)
     return pa.table(out, schema=ANSWERS)
@@ -318,6 +322,7 @@ def merged(groups: Groups, answers: pa.Table, kind: int) -> Groups:
         at = np.flatnonzero(is_answer)
         own, ans = rank[at - 1], order[rank[at] - len(groups.code)]
         groups.doc[own], groups.pos[own], groups.count[own], groups.total[own] = doc[ans], pos[ans].astype(np.int64), count[ans], total[ans]
+    groups.total &= np.uint64(0xFFFFFFFF)  # sums are compared by their low half
     return groups
 
 
@@ -330,22 +335,52 @@ class Block:
     anchors: Groups
 
 
-def read_block(table: pa.Table, kind: Kind) -> tuple[pa.Table, Block]:
-    """Documents in order of their ids (null last), scanned."""
-    ids = table["doc_id"].combine_chunks().cast(pa.int64())
-    ids = np.where(ids.is_null().to_numpy(zero_copy_only=False), NO_ID, ids.fill_null(0).to_numpy())
-    order = np.argsort(ids, kind="stable")
-    table, ids = table.take(pa.array(order)), ids[order]
-    data, offsets = utf8(table["text"])
-    docs = [kind.tokens(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, doc_id, text) as one compressed row for each block and batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        block, batch = block[order], batch.take(pa.array(order))
+        ids, (data, offsets) = batch.column("doc_id"), utf8(batch.column("text"))
+        null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(NO_ID).to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        rows = [pack(ids[a:b], null[a:b].astype(np.uint8), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.record_batch([pa.array(block[cuts[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["block", "data"])
+
+
+@dataclass
+class Texts:
+    """A block's documents in order of their ids (null last)."""
+
+    ids: np.ndarray
+    null: np.ndarray
+    texts: list[np.ndarray]
+
+
+def read_texts(table: pa.Table) -> Texts:
+    ids, null, texts = [], [], []
+    for data in table["data"].to_pylist():
+        own, missing, lengths, raw = unpack(data)
+        ids.append(own)
+        null.append(missing)
+        texts += np.split(raw, np.cumsum(lengths)[:-1])
+    all_ids = np.concatenate(ids)
+    order = np.argsort(all_ids, kind="stable")
+    return Texts(all_ids[order], np.concatenate(null)[order].astype(bool), [texts[i] for i in order])
+
+
+def read_block(table: pa.Table, kind: Kind) -> Block:
+    t = read_texts(table)
+    docs = [kind.tokens(text) for text in t.texts]
     found = scan(docs, kind.k)
     none = np.zeros(len(found.gap_code), np.uint16)
-    return table, Block(ids, docs, found, own_groups(found.code, found.more, ids[found.doc], found.pos), own_groups(found.gap_code, none, ids[found.gap_doc], found.gap_from))
+    return Block(t.ids, docs, found, own_groups(found.code, found.more, t.ids[found.doc], found.pos), own_groups(found.gap_code, none, t.ids[found.gap_doc], found.gap_from))
 
 
 def first_round(table: pa.Table, kind: Kind, buckets: int) -> pa.Table:
-    block = int(table["block"][0].as_py())
-    _, b = read_block(table, kind)
+    block, b = int(table["block"][0].as_py()), read_block(table, kind)
     rows = [send(b.sampled, SAMPLED, block, buckets), send(b.anchors, ANCHOR, block, buckets)]
     return pa.table({n: [v for r in rows for v in r[n]] for n in ROWS.names}, schema=ROWS)
 
@@ -365,79 +400,91 @@ def open_gaps(b: Block, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     both = has & hit[l] & hit[r]
     sl, sr, sa = s.slot[l], s.slot[r], a.slot
     one_place = both & (s.doc[sl] == s.doc[sr]) & (s.pos[sr] - s.pos[sl] == f.pos[r] - f.pos[l])
-    together = has & (s.total[sl] * power(np.ones(1)) == a.total[sa]) & (a.total[sa] * power(f.gap_to - f.gap_from + 1) == s.total[sr])
+    low = np.uint64(0xFFFFFFFF)
+    together = has & ((s.total[sl] * power(np.ones(1))) & low == a.total[sa]) & ((a.total[sa] * power(f.gap_to - f.gap_from + 1)) & low == s.total[sr])
     return hit, both, (a.count[sa] > 1) & ~one_place & ~together
 
 
-def gap_windows(b: Block, open_: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gap_windows(docs: list[np.ndarray], gap_doc: np.ndarray, gap_from: np.ndarray, gap_to: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, position and code of every window of the given gaps."""
-    f, s = b.scan, kind.k // 2
-    docs, at, codes, more = [], [], [], []
-    which = np.flatnonzero(open_)
-    for start in range(0, len(which), 4096):
-        i = which[start : start + 4096]
-        n = f.gap_to[i] - f.gap_from[i] + 1
-        parts = [b.docs[d][x : y + kind.k] for d, x, y in zip(f.gap_doc[i], f.gap_from[i], f.gap_to[i], strict=True)]
-        size = n + kind.k - 1
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16))]
+    for start in range(0, len(gap_doc), 4096):
+        i = slice(start, start + 4096)
+        n = gap_to[i] - gap_from[i] + 1
+        parts = [docs[d][x : y + k] for d, x, y in zip(gap_doc[i], gap_from[i], gap_to[i], strict=True)]
+        size = n + k - 1
         base = np.repeat(np.cumsum(size) - size, n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        c, m = window_code(gram_codes(np.concatenate(parts), s), base + inside, s)
-        docs.append(np.repeat(f.gap_doc[i], n))
-        at.append(np.repeat(f.gap_from[i], n) + inside)
-        codes.append(c)
-        more.append(m)
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint16)
-    return np.concatenate(docs), np.concatenate(at), np.concatenate(codes), np.concatenate(more)
+        code, more = window_code(gram_codes(np.concatenate(parts), k // 2), base + inside, k // 2)
+        out.append((np.repeat(gap_doc[i], n), np.repeat(gap_from[i], n) + inside, code, more))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def union_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of documents, merged where they touch."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    wide = np.int64(end.max()) + 1
+    reach = np.maximum.accumulate(end + doc * wide)
+    first = np.flatnonzero(np.concatenate(([True], (start + doc * wide)[1:] > reach[:-1])))
+    return doc[first], start[first], (reach - doc * wide)[np.concatenate((first[1:] - 1, [len(doc) - 1]))]
 
 
 def second_round(table: pa.Table, answers: pa.Table, kind: Kind, buckets: int) -> pa.Table:
+    """Send the windows of open gaps, and a note to the block itself: what is covered so far and which gaps are open."""
     if not table.num_rows:
         return ROWS.empty_table()
-    _, b = read_block(table, kind)
-    merged(b.sampled, answers, SAMPLED), merged(b.anchors, answers, ANCHOR)
-    doc, pos, code, more = gap_windows(b, open_gaps(b, kind)[2], kind)
-    out = send(own_groups(code, more, b.ids[doc], pos), WINDOW, int(table["block"][0].as_py()), buckets)
-    return pa.table(out, schema=ROWS)
-
-
-def covered(table: pa.Table, answers: pa.Table, kind: Kind) -> tuple[pa.Table, list[np.ndarray], Block]:
-    """The block's documents with a flag for each token that a repeated window covers."""
-    table, b = read_block(table, kind)
+    block, b = int(table["block"][0].as_py()), read_block(table, kind)
     merged(b.sampled, answers, SAMPLED), merged(b.anchors, answers, ANCHOR)
     hit, both, open_ = open_gaps(b, kind)
-    doc, pos, code, more = gap_windows(b, open_, kind)
-    g = merged(own_groups(code, more, b.ids[doc], pos), answers, WINDOW)
-    late = earlier(g.doc[g.slot], g.pos[g.slot], b.ids[doc], pos, kind.within)
-    lengths = np.array([len(t) for t in b.docs], np.int64)
-    base = np.concatenate(([0], np.cumsum(lengths + 1)))
-    step = np.zeros(base[-1] + 1, np.int32)
     f = b.scan
-    for start, end in ((base[f.doc[hit]] + f.pos[hit], None), (base[doc[late]] + pos[late], None), (base[f.gap_doc[both]] + f.gap_from[both], base[f.gap_doc[both]] + f.gap_to[both] + kind.k)):
-        np.add.at(step, start, 1)
-        np.add.at(step, start + kind.k if end is None else end, -1)
-    flags = np.cumsum(step) > 0
-    return table, [flags[x : x + n] for x, n in zip(base[:-1], lengths, strict=True)], b
-
+    gaps = f.gap_doc[open_], f.gap_from[open_], f.gap_to[open_]
+    doc, pos, code, more = gap_windows(b.docs, *gaps, kind.k)
+    out = send(own_groups(code, more, b.ids[doc], pos), WINDOW, block, buckets)
+    spans = union_spans(np.concatenate((f.doc[hit], f.gap_doc[both])), np.concatenate((f.pos[hit], f.gap_from[both])), np.concatenate((f.pos[hit] + kind.k, f.gap_to[both] + kind.k)))
+    note = pack(*(x.astype(np.uint32) for x in (*gaps, *spans)))
+    for name, value in zip(ROWS.names, (block % buckets, block, STATE, note), strict=True):
+        out[name].append(value)
+    return pa.table(out, schema=ROWS)
 
-def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, list[np.ndarray], Block], pa.Table], schema: pa.Schema) -> DataFrame:
-    """Run both rounds over docs (doc_id, text and any more columns) and apply ``finish`` to each block.
 
-    The documents are shuffled once by block; Spark reuses that exchange for the three readings of it.
+def covered(table: pa.Table, answers: pa.Table, kind: Kind) -> tuple[Texts, list[np.ndarray]]:
+    """The block's documents with a flag for each token that a repeated window covers."""
+    t = read_texts(table)
+    note = [d for d, k in zip(answers["data"].to_pylist(), answers["kind"].to_pylist(), strict=True) if k == STATE]
+    gap_doc, gap_from, gap_to, doc, start, end = (x.astype(np.int64) for x in unpack(note[0]))
+    wanted = set(gap_doc.tolist())
+    tokens = [kind.tokens(text) if i in wanted else text for i, text in enumerate(t.texts)]
+    at_doc, pos, code, more = gap_windows(tokens, gap_doc, gap_from, gap_to, kind.k)
+    g = merged(own_groups(code, more, t.ids[at_doc], pos), answers, WINDOW)
+    late = earlier(g.doc[g.slot], g.pos[g.slot], t.ids[at_doc], pos, kind.within)
+    doc, start, end = union_spans(np.concatenate((doc, at_doc[late])), np.concatenate((start, pos[late])), np.concatenate((end, pos[late] + kind.k)))
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for d, x, y in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
+        spans.setdefault(d, []).append((x, y))
+    return t, [spans.get(i, []) for i in range(len(t.texts))]
+
+
+def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Texts, list], pa.Table], schema: pa.Schema, block_bytes: int = 2 << 20) -> DataFrame:
+    """Run both rounds over docs (doc_id, text) and apply ``finish`` to each block's texts and covered token spans.
+
+    The documents are shuffled once by block, compressed; Spark reuses that exchange for the three readings.
+    ``block_bytes`` of text make a block; a larger cluster takes larger blocks (and fewer rows between them).
     """
-    spark = docs.sparkSession
-    n = block_count(spark, text_bytes(docs))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")).repartition(n, "block")
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    n = block_count(docs.sparkSession, text_bytes(docs), block_bytes)
+    blocks = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block"))
+    blocks = blocks.mapInArrow(pack_blocks, "block int, data binary").repartition(n, "block")
     ddl_rows, ddl_answers = "bucket int, block int, kind int, data binary", "block int, kind int, data binary"
     one = blocks.groupBy("block").applyInArrow(lambda t: first_round(t, kind, n), ddl_rows)
-    first = one.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ddl_answers)
-    two = blocks.groupBy("block").cogroup(first.repartition(n, "block").groupBy("block")).applyInArrow(lambda t, a: second_round(t, a, kind, n), ddl_rows)
-    second = two.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ddl_answers)
-    answers = first.unionAll(second).repartition(n, "block")
+    first = one.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ddl_answers).repartition(n, "block")
+    two = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda t, a: second_round(t, a, kind, n), ddl_rows)
+    second = two.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ddl_answers).repartition(n, "block")
 
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
         return finish(*covered(t, a, kind)) if t.num_rows else schema.empty_table()
 
-    from pyspark.sql.pandas.types import from_arrow_schema
-
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, from_arrow_schema(schema))
+    return blocks.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(last, from_arrow_schema(schema))
