@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from coursemill.llm import bpe, fingerprints, jaccard_join, packing, quality, substring_dedup, suffix_dedup, token_output
+from coursemill.llm import bpe, embedding_dedup, fingerprints, jaccard_join, packing, quality, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_quality": quality.query,
     "op3_jaccard_join": jaccard_join.query,
+    "op5_embedding_dedup": embedding_dedup.query,
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
     "op8_suffix_dedup": suffix_dedup.query,
@@ -16,5 +17,6 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.ORACLE,
+    "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op9_fingerprints": fingerprints.ORACLE,
 }
