@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from coursemill.llm import bpe, embedding_dedup, fingerprints, jaccard_join, packing, quality, substring_dedup, suffix_dedup, token_output
+from coursemill.llm import bpe, embedding_dedup, fingerprints, html_extraction, jaccard_join, packing, quality, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_quality": quality.query,
     "op3_jaccard_join": jaccard_join.query,
+    "op4_html_extraction": html_extraction.query,
     "op5_embedding_dedup": embedding_dedup.query,
     "op6_packing": packing.query,
     "op7_bpe": bpe.query,
