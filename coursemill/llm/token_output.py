@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache(LibraryWords, tokenizer)
         for batch in batches:
-            for part in in_steps(batch, size=1 << 20):
+            for part in in_steps(batch):
                 ids, offsets = encode_texts(part.column("text"), words)
                 n = np.diff(offsets) + 1
                 out = np.insert(ids, offsets[1:], end_id).astype(np.int32)
@@ -66,9 +66,9 @@ def located(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFra
     return spark.read.schema("doc_id long, n_tokens long, ids array<int>").parquet(path).select(*columns, *where)
 
 
-def with_starts(rows: DataFrame) -> DataFrame:
+def with_starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """Add start, the ids of all documents before a row: files' sums in order (a row a file), then sums within a file."""
-    files = rows.groupBy("file").agg(F.min("doc_id").alias("low"), F.sum("n_tokens").alias("n"))
+    files = counts.groupBy("file").agg(F.min("doc_id").alias("low"), F.sum("n_tokens").alias("n"))
     before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy(F.col("low").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.join(before, "file").withColumn("start", F.col("before") + inside).drop("file", "row", "before")
@@ -76,7 +76,8 @@ def with_starts(rows: DataFrame) -> DataFrame:
 
 def token_starts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, n_tokens, start of every document, from the counts alone (the column of ids is not read)."""
-    return with_starts(located(spark, path, ("doc_id", "n_tokens")))
+    counts = located(spark, path, ("doc_id", "n_tokens"))
+    return with_starts(counts, counts)
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
@@ -97,4 +98,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     rows = checksums(located(spark, path, ("doc_id", "n_tokens", "ids")))
-    return with_starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(rows, located(spark, path, ("doc_id", "n_tokens"))).select("doc_id", "start", "n_tokens", "ids_crc32")

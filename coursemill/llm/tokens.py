@@ -7,13 +7,14 @@ put together by array lookups.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 CACHE_WORDS = 1_000_000
 _MARK = "\x01"  # one token of its own between words that are encoded together
 
@@ -24,8 +25,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")  # ASCII letters, then ASCII punctuation without an apostrophe
+
+_PART = re.compile(r"[a-z]+|[!-&(-/:-@\[-`{-~]+")
+
+
 class LibraryWords:
-    """Ids of words by the tokenizers library."""
+    """Ids of words by the tokenizers library.
+
+    The library lower-cases, parts letters from punctuation and maps printable ASCII to itself, so a plain word's ids
+    are those its model gives for the letters in lower case and then for the punctuation; each part is encoded
+    once. All other words take the library's whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -33,17 +44,36 @@ class LibraryWords:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.known: dict[str, np.ndarray] = {}
+
+    def learn(self, parts: list[str]) -> None:
+        for part in parts:
+            if _PART.fullmatch(part):
+                self.known[part] = np.array([t.id for t in self.model.tokenize(part)], np.uint32)
+        parts = [p for p in parts if p not in self.known]
+        for at in range(0, len(parts), 256):
+            group = parts[at : at + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            self.known.update(zip(group, (ids[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
     def __call__(self, words: Sequence[str]) -> list[np.ndarray]:
-        plain = [w for w in words if _MARK not in w]
-        found: dict[str, np.ndarray] = {}
-        for at in range(0, len(plain), 256):
-            group = plain[at : at + 256]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(group), add_special_tokens=False).ids, np.uint32)
-            found.update(zip(group, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True))
-        first = {plain[at] for at in range(0, len(plain), 256)}
-        return [(found[w] if w in first else found[w][1:]) if w in found else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known.clear()
+        out: list[np.ndarray | tuple[str, str]] = []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m:
+                out.append((m[1].lower(), m[2]))
+            elif _MARK in w:
+                out.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
+            else:
+                out.append((w, ""))
+        self.learn(list({p for own in out if isinstance(own, tuple) for p in own if p} - self.known.keys()))
+        known = self.known
+        return [own if not isinstance(own, tuple) else np.concatenate((known[own[0]], known[own[1]])) if own[1] else known[own[0]] for own in out]
 
 
 class WordCache:
