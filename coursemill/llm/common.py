@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -65,24 +67,32 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers as one compressed value; see unpack."""
+    """Arrays of numbers as one compressed value; see unpack. Bytes of like significance stand together."""
     head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.kind) * 16 + a.dtype.itemsize, len(a)))], np.int64)
-    raw = b"".join((head.tobytes(), *(a.tobytes() for a in arrays)))
+    planes = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays)
+    raw = b"".join((head.tobytes(), *planes))
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack(value: bytes) -> list[np.ndarray]:
     raw = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd")
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 2 * n, 8)
     out, at = [], 8 + 16 * n
-    for kind, size in head.reshape(n, 2):
-        dtype = np.dtype(f"{chr(kind // 16)}{kind % 16}")
-        out.append(np.frombuffer(raw, dtype, size, at))
-        at += int(size) * dtype.itemsize
+    for kind, size in np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2).tolist():
+        width = kind % 16
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"{chr(kind // 16)}{width}"))
+        at += size * width
     return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """Smallest id reachable over links (a, b): columns id, component. Ids without a link are absent.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import block_count, mix64, pack, text_bytes, unpack, utf8
+from coursemill.llm.common import block_count, mix64, pack, release, text_bytes, unpack, utf8
 
 PIECE = 1 << 17
 NO_ID = np.iinfo(np.int64).max
@@ -281,7 +281,7 @@ def send(groups: Groups, kind: int, block: int, buckets: int) -> dict[str, list]
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """In a bucket: for keys of two blocks or more, send each block the earliest place and the sums over all blocks."""
+    """In a bucket: for keys of two blocks or more, send each block the earliest place and the sum over all blocks."""
     out: dict[str, list] = {n: [] for n in ANSWERS.names}
     kinds = table["kind"].to_numpy()
     for kind in np.unique(kinds):
@@ -300,11 +300,18 @@ def answer(table: pa.Table) -> pa.Table:
             blocks.append(np.full(len(code), block, np.int64))
         g = digit_groups(*(np.concatenate(c) for c in zip(*parts, strict=True)))
         block = np.concatenate(blocks)
-        shared = np.flatnonzero(np.bincount(g.slot)[g.slot] > 1)
+        wanted = np.bincount(g.slot)[g.slot] > 1
+        if kind == WINDOW:  # only who has a later place than the earliest needs to know
+            doc, pos = (np.concatenate(c) for c in list(zip(*parts, strict=True))[2:4])
+            wanted &= (g.doc[g.slot] != doc) | (g.pos[g.slot] != pos)
+        shared = np.flatnonzero(wanted)
         shared = shared[np.argsort(block[shared], kind="stable")]
         for part in np.split(shared, np.flatnonzero(np.diff(block[shared])) + 1) if len(shared) else []:
             j = np.sort(g.slot[part])
-            data = pack(g.code[j], g.more[j], g.doc[j], g.pos[j].astype(np.uint32), g.count[j].astype(np.uint32), g.total[j].astype(np.uint32))
+            # an anchor's place and a window's sum are not used; that a key is shared says that it occurs again
+            doc, pos = (0 * g.doc[j], 0 * g.pos[j]) if kind == ANCHOR else (g.doc[j], g.pos[j])
+            total = 0 * g.total[j] if kind == WINDOW else g.total[j]
+            data = pack(g.code[j], g.more[j], doc, pos.astype(np.uint32), total.astype(np.uint32))
             for name, value in zip(ANSWERS.names, (int(block[part[0]]), int(kind), data), strict=True):
                 out[name].append(value)
     return pa.table(out, schema=ANSWERS)
@@ -314,14 +321,14 @@ def merged(groups: Groups, answers: pa.Table, kind: int) -> Groups:
     """The block's keys with what the answers say; a key without an answer occurs in this block only."""
     rows = [unpack(d) for d, k in zip(answers["data"].to_pylist(), answers["kind"].to_pylist(), strict=True) if k == kind]
     if rows:
-        code, more, doc, pos, count, total = (np.concatenate(c) for c in zip(*rows, strict=True))
+        code, more, doc, pos, total = (np.concatenate(c) for c in zip(*rows, strict=True))
         order = np.lexsort((more, code))
         both = np.concatenate((groups.code, code[order])), np.concatenate((groups.more, more[order]))
         rank = np.lexsort((np.arange(len(both[0])), both[1], both[0]))  # a key, then its answer
         is_answer = rank >= len(groups.code)
         at = np.flatnonzero(is_answer)
         own, ans = rank[at - 1], order[rank[at] - len(groups.code)]
-        groups.doc[own], groups.pos[own], groups.count[own], groups.total[own] = doc[ans], pos[ans].astype(np.int64), count[ans], total[ans]
+        groups.doc[own], groups.pos[own], groups.count[own], groups.total[own] = doc[ans], pos[ans].astype(np.int64), 2, total[ans]
     groups.total &= np.uint64(0xFFFFFFFF)  # sums are compared by their low half
     return groups
 
@@ -479,12 +486,17 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Texts, list]
     blocks = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block"))
     blocks = blocks.mapInArrow(pack_blocks, "block int, data binary").repartition(n, "block")
     ddl_rows, ddl_answers = "bucket int, block int, kind int, data binary", "block int, kind int, data binary"
-    one = blocks.groupBy("block").applyInArrow(lambda t: first_round(t, kind, n), ddl_rows)
-    first = one.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ddl_answers).repartition(n, "block")
-    two = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda t, a: second_round(t, a, kind, n), ddl_rows)
-    second = two.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ddl_answers).repartition(n, "block")
+
+    def freed(out: pa.Table) -> pa.Table:
+        release()
+        return out
+
+    one = blocks.groupBy("block").applyInArrow(lambda t: freed(first_round(t, kind, n)), ddl_rows)
+    first = one.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: freed(answer(t)), ddl_answers).repartition(n, "block")
+    two = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda t, a: freed(second_round(t, a, kind, n)), ddl_rows)
+    second = two.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: freed(answer(t)), ddl_answers).repartition(n, "block")
 
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
-        return finish(*covered(t, a, kind)) if t.num_rows else schema.empty_table()
+        return freed(finish(*covered(t, a, kind))) if t.num_rows else schema.empty_table()
 
     return blocks.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(last, from_arrow_schema(schema))
