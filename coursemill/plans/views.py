@@ -42,7 +42,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     ),
     "stages": (
         ("lineitem", "orders"),
-        "SELECT l_orderkey AS run_id, o_custkey AS lecture_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'running' ELSE 'failed' END AS status, concat('stage', l_linenumber) AS stage, l_partkey AS part, l_quantity AS seconds, l_returnflag = 'R' AS cached, CAST(l_extendedprice AS BIGINT) AS input_tokens, CAST(l_discount * 100000 AS BIGINT) AS output_tokens, concat('m', l_suppkey % 4) AS model FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
+        "SELECT l_orderkey AS run_id, o_custkey AS lecture_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'succeeded' WHEN 'P' THEN 'running' ELSE 'failed' END AS status, concat('stage', l_linenumber) AS stage, l_partkey AS part, l_quantity AS seconds, l_returnflag = 'R' AS cached, CAST(floor(l_extendedprice) AS BIGINT) AS input_tokens, CAST(round(l_discount * 100) AS BIGINT) * 1000 AS output_tokens, concat('m', l_suppkey % 4) AS model FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
         None,
     ),
     "prices": (
