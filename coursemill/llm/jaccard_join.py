@@ -143,7 +143,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     chained = stored(chained.withColumnRenamed("id", "doc_id"))
     sizes = chained.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
     placed = chained.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    candidates = docs.join(placed, "doc_id")
+    candidates = docs.join(placed.hint("merge"), "doc_id")  # one plan at every size: texts of all documents are dealt by id
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     cells = candidates.select("doc_id", "text", "component", "chunk", other.alias("other"))
     cells = cells.select("doc_id", "text", "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
