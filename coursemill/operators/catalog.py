@@ -70,9 +70,9 @@ def purge(table: DataFrame, ids: DataFrame, key: str = "lecture_id") -> DataFram
 
 def validate_golden(golden: DataFrame) -> DataFrame:
     """(question_id, problem) of questions: question_id, answer, spans [{start_s, end_s}], duration_s."""
-    w = Window.partitionBy("question_id")
+    golden = golden.withColumn("_n", F.count("*").over(Window.partitionBy("question_id")))
     bad = F.exists("spans", lambda s: ~((s["start_s"] >= 0) & (s["start_s"] < s["end_s"]) & (s["end_s"] <= F.col("duration_s"))))
-    problems = F.array_compact(F.array(F.when(F.count("*").over(w) > 1, "duplicate"), F.when(F.col("answer").isNull() != (F.size("spans") == 0), "answer without spans or spans without answer"), F.when(bad, "span out of order")))
+    problems = F.array_compact(F.array(F.when(F.col("_n") > 1, "duplicate"), F.when(F.col("answer").isNull() != (F.size("spans") == 0), "answer without spans or spans without answer"), F.when(bad, "span out of order")))
     return golden.select("question_id", F.explode(problems).alias("problem"))
 
 

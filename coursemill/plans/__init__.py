@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("course", "answers", "scores")
+AREAS = ("course", "answers", "scores", "media")
 
 
 def registered() -> tuple[dict, dict]:

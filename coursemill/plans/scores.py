@@ -219,9 +219,9 @@ def token_cost(spark, d):
     return priced.select("run_id", "stage", "part", F.round(C.token_cost(F.col("input_tokens"), F.col("output_tokens")), 9).alias("cost"))
 
 
-@query("h11_run_cost", f"SELECT run_id, CASE WHEN max((c IS NULL AND NOT cached)::INT) = 0 THEN round(sum(CASE WHEN NOT cached THEN c ELSE 0 END), 6) END AS cost, round(sum(c), 6) AS all_in FROM (SELECT *, (input_tokens * input + output_tokens * output) / 1e6 AS c FROM {PRICED}) GROUP BY run_id", "stages prices")
+@query("h11_run_cost", f"SELECT run_id, CASE WHEN max((c IS NULL AND NOT cached)::INT) = 0 THEN round(sum(CASE WHEN NOT cached THEN c ELSE 0 END), 8) END AS cost, round(sum(c), 8) AS all_in FROM (SELECT *, (input_tokens * input + output_tokens * output) / 1e6 AS c FROM {PRICED}) GROUP BY run_id", "stages prices")
 def run_cost(spark, d):
-    return C.run_cost(view(spark, d, "stages"), view(spark, d, "prices")).select("run_id", F.round("cost", 6).alias("cost"), F.round("all_in", 6).alias("all_in"))
+    return C.run_cost(view(spark, d, "stages"), view(spark, d, "prices")).select("run_id", F.round("cost", 8).alias("cost"), F.round("all_in", 8).alias("all_in"))
 
 
 @query("h13_answer_cost", f"SELECT run_id, stage, part, round(c, 9) AS shown, coalesce(round(c, 9), 0) AS charged FROM (SELECT *, (input_tokens * input + output_tokens * output) / 1e6 AS c FROM {PRICED})", "stages prices")
