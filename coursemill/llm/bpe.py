@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,7 +38,7 @@ class TrieWords:
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def symbols(self, token: str) -> list[str]:
         body = token.removesuffix(self.end)
@@ -59,7 +60,7 @@ class TrieWords:
         key = (left, right)
         fit = self.fits.get(key)
         if fit is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             fit = self.fits[key] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
         return fit
@@ -89,12 +90,12 @@ class TrieWords:
                 if depth == 0:
                     break
                 token = states[depth]
-            self.known[word] = ids[::-1]
+            self.known[word] = array("I", ids[::-1]).tobytes()
             before = word
 
-    def __call__(self, words: Sequence[str]) -> list[np.ndarray]:
+    def __call__(self, words: Sequence[str]) -> list[bytes]:
         normal, pre = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
-        if len(self.known) > 500_000:
+        if len(self.known) > 300_000:
             self.known.clear()
         parts: list[list[str | int]] = []
         for word in words:
@@ -106,7 +107,7 @@ class TrieWords:
                     own += [token for token, _ in pre(normal(part))]
             parts.append(own)
         self.walk(sorted({p for own in parts for p in own if isinstance(p, str)} - self.known.keys()))
-        return [np.array([i for p in own for i in ((p,) if isinstance(p, int) else self.known[p])], np.uint32) for own in parts]
+        return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else self.known[p] for p in own) for own in parts]
 
 
 class TokenText:

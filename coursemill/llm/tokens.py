@@ -8,14 +8,17 @@ put together by array lookups.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from coursemill.llm.common import release
+
 BATCH_BYTES = 8 << 20
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 _MARK = "\x01"  # one token of its own between words that are encoded together
 
 
@@ -46,40 +49,40 @@ class LibraryWords:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
 
     def learn(self, parts: list[str]) -> None:
         for part in parts:
             if _PART.fullmatch(part):
-                self.known[part] = np.array([t.id for t in self.model.tokenize(part)], np.uint32)
+                self.known[part] = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
         parts = [p for p in parts if p not in self.known]
         for at in range(0, len(parts), 256):
             group = parts[at : at + 256]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = [-1, *np.flatnonzero(ids == self.mark).tolist(), len(ids)]
-            self.known.update(zip(group, (ids[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+            self.known.update(zip(group, (ids[a + 1 : b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
 
-    def __call__(self, words: Sequence[str]) -> list[np.ndarray]:
+    def __call__(self, words: Sequence[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS // 2:
             self.known.clear()
-        out: list[np.ndarray | tuple[str, str]] = []
+        out: list[bytes | tuple[str, str]] = []
         for w in words:
             m = _PLAIN.fullmatch(w)
             if m:
                 out.append((m[1].lower(), m[2]))
             elif _MARK in w:
-                out.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
+                out.append(array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes())
             else:
                 out.append((w, ""))
         self.learn(list({p for own in out if isinstance(own, tuple) for p in own if p} - self.known.keys()))
         known = self.known
-        return [own if not isinstance(own, tuple) else np.concatenate((known[own[0]], known[own[1]])) if own[1] else known[own[0]] for own in out]
+        return [own if not isinstance(own, tuple) else known[own[0]] + known[own[1]] if own[1] else known[own[0]] for own in out]
 
 
 class WordCache:
-    """Remembers words' ids as one flat array; forgets all when it holds CACHE_WORDS."""
+    """Remembers words' ids as one flat array; forgets all when it holds CACHE_WORDS. encode gives 32-bit ids as bytes."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], list[np.ndarray]]):
+    def __init__(self, encode: Callable[[Sequence[str]], list[bytes]]):
         self.encode = encode
         self.clear()
 
@@ -95,14 +98,14 @@ class WordCache:
         if new:
             ids = self.encode(new)
             n = len(self.slot)
-            lengths = np.array([len(i) for i in ids], np.int64)
+            lengths = np.array([len(i) >> 2 for i in ids], np.int64)
             while len(self.start) < n + len(new):
                 self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
             while len(self.flat) < self.used + lengths.sum():
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
             self.start[n : n + len(new)] = self.used + np.cumsum(lengths) - lengths
             self.length[n : n + len(new)] = lengths
-            self.flat[self.used : self.used + lengths.sum()] = np.concatenate(ids)
+            self.flat[self.used : self.used + lengths.sum()] = np.frombuffer(b"".join(ids), np.uint32)
             self.used += int(lengths.sum())
             self.slot.update(zip(new, range(n, n + len(new)), strict=True))
         return np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
@@ -133,6 +136,7 @@ def in_steps(batch: pa.RecordBatch, column: str = "text", size: int = BATCH_BYTE
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield batch.slice(a, b - a)
+    release()
 
 
 def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
