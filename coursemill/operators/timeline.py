@@ -179,3 +179,51 @@ def notes_markdown(chapters: DataFrame, concepts: DataFrame) -> DataFrame:
     part = lambda n: F.array_join(F.transform(F.filter(ordered, lambda x: x["part"] == n), lambda x: x["line"]), "\n")
     body = lambda n: F.coalesce(F.nullif(part(n), F.lit("")), F.lit("None."))
     return rows.groupBy("lecture_id").agg(F.concat(F.lit("## Chapters\n\n"), body(0), F.lit("\n\n## Concepts\n\n"), body(1)).alias("markdown"))
+
+
+def chapter_at(points: DataFrame, chapters: DataFrame, t: str) -> DataFrame:
+    """points with the title of the chapter under way: the last in list order that has started."""
+    from coursemill.operators.intervals import asof_backward
+
+    return asof_backward(points, chapters, ["lecture_id"], t, "chapter_s", ["title"], "ord")
+
+
+def external_notes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Another producer's items (lecture_id, ord, kind, text, start, end) with times in seconds, and what cannot be read.
+
+    A chapter needs both ends, any other item its start.
+    """
+    from coursemill.functions.text import parse_timestamp
+
+    rows = raw.withColumns({"start_s": parse_timestamp(F.col("start")), "end_s": parse_timestamp(F.col("end"))})
+    good = F.col("start_s").isNotNull() & ((F.col("kind") != "chapter") | F.col("end_s").isNotNull())
+    return rows.where(good), rows.where(~good)
+
+
+def assemble_notes(planned: DataFrame, items: DataFrame, segments: DataFrame, words: DataFrame, durations: DataFrame) -> dict[str, DataFrame]:
+    """Study notes from a plan and cited items (lecture_id, ord, kind, term, definition, latex, question, segment_id).
+
+    Chapters get their times, concepts the place where they are spoken and one definition, formulas and questions are
+    listed once; ``dropped`` has the items that cite no segment of their lecture.
+    """
+    known, dropped = resolve_citations(items, segments)
+    known = known.join(segments.select("lecture_id", "segment_id", F.col("index").alias("segment")), ["lecture_id", "segment_id"])
+    concepts = known.where("kind = 'concept'")
+    placed = concepts.join(locate_terms(concepts.select("lecture_id", "segment", "ord", "term", "start_s"), words).select("lecture_id", "ord", "at_s"), ["lecture_id", "ord"])
+    return {
+        "chapters": chapter_times(chapter_ranges(planned, segments), segments, durations),
+        "concepts": merge_concepts(placed).select("lecture_id", "ord", "term", "definition", "at_s"),
+        "formulas": unique_note_formulas(known.where("kind = 'formula'")).select("lecture_id", "ord", "latex", "start_s"),
+        "quiz": unique_questions(known.where("kind = 'quiz'")).select("lecture_id", "ord", "question", "start_s"),
+        "dropped": dropped.select("lecture_id", "ord", "kind", "segment_id"),
+    }
+
+
+def evidence(sources: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Passages as a judge sees them: the sentences of each source, in order and escaped."""
+    from coursemill.functions.text import html_escape
+    from coursemill.operators.intervals import attach_sentences
+
+    rows = attach_sentences(sources, sentences)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_s", "text"))), lambda x: x["text"]), " ")
+    return rows.groupBy("lecture_id", "segment_id").agg(html_escape(text).alias("passage"))

@@ -254,3 +254,59 @@ def text_model(spark, d):
 @query("b25_title_from_url", r"SELECT page_id, 'Video from ' || regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www\.', '') AS title, CASE WHEN contains(last, '.') AND length(last) <= 255 THEN last ELSE 'video' END AS file FROM (SELECT *, string_split(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '/')[-1] AS last FROM pages)")
 def url_title(spark, d):
     return view(spark, d, "pages").select("page_id", T.title_from_url(F.col("url")).alias("title"), T.filename_from_url(F.col("url")).alias("file"))
+
+
+@query("d3_chapter_at", "SELECT s.lecture_id, s.idx, c.title FROM speech s ASOF LEFT JOIN (SELECT lecture_id, start_ds, 'chapter ' || span_index AS title FROM spans WHERE span_index % 2 = 0) c ON c.lecture_id = s.lecture_id AND c.start_ds <= s.start_ds", "speech spans")
+def chapter_at(spark, d):
+    c = view(spark, d, "spans").where("span_index % 2 = 0").select("lecture_id", F.col("start_ds").alias("chapter_s"), F.col("span_index").alias("ord"), F.concat(F.lit("chapter "), F.col("span_index").cast("string")).alias("title"))
+    return L.chapter_at(view(spark, d, "speech").select("lecture_id", "idx", "start_ds"), c, "start_ds").select("lecture_id", "idx", "title")
+
+
+@query("f4_slide_rows", "SELECT i.lecture_id, i.slide_id, coalesce(r.title, '') AS title, CASE WHEN r.title IS NULL THEN 'vlm' ELSE 'ocr' END AS reader, i.n FROM (SELECT lecture_id, slide_id, count(*) AS n FROM spans GROUP BY 1, 2) i LEFT JOIN (SELECT deck_id, slide_id, substr(text, 1, 9) AS title FROM lines WHERE slide_id % 2 = 0) r ON r.deck_id = i.lecture_id AND r.slide_id = i.slide_id", "spans lines")
+def slide_rows(spark, d):
+    spans = view(spark, d, "spans").withColumnsRenamed({"start_ds": "start_s", "end_ds": "end_s"})
+    readings = view(spark, d, "lines").where("slide_id % 2 = 0").select(F.col("deck_id").alias("lecture_id"), "slide_id", F.substring("text", 1, 9).alias("title"), "text", F.lit("ocr").alias("reader"))
+    out = L.slide_rows(spans.select("lecture_id", "slide_id").distinct(), readings, spans)
+    return out.select("lecture_id", "slide_id", "title", "reader", F.size("spans").cast("long").alias("n"))
+
+
+@query("f10_unique_note_formulas")
+def note_formulas(spark, d):
+    made = F.concat(F.when(F.col("ord") % 24 == 0, F.lit(r"\\frac ")).otherwise(F.lit(r"\frac ")), (F.col("segment") % 3).cast("string"))
+    return L.unique_note_formulas(view(spark, d, "concepts").select("lecture_id", "ord", made.alias("latex"))).select("lecture_id", "ord", "latex")
+
+
+SQL["f10_unique_note_formulas"] = with_views("concepts", r"SELECT lecture_id, min(ord) AS ord, '\frac ' || segment % 3 AS latex FROM concepts GROUP BY lecture_id, segment % 3")
+
+
+@query("f11_assemble_notes", "SELECT lecture_id, ord, segment_id FROM concepts c WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.lecture_id = c.lecture_id AND s.segment_id = c.segment_id)", "concepts segments")
+def assemble(spark, d):
+    c = view(spark, d, "concepts")
+    items = c.select("lecture_id", "ord", F.element_at(F.array(*map(F.lit, ("concept", "formula", "quiz"))), (F.col("ord") % 3 + 1).cast("int")).alias("kind"), "term", "definition", F.col("definition").alias("latex"), F.col("definition").alias("question"), "segment_id")
+    s = view(spark, d, "segments")
+    words = view(spark, d, "words").withColumn("start_s", F.col("start_ds") / 10)
+    notes = L.assemble_notes(planned(spark, d), items, s, words, s.groupBy("lecture_id").agg(F.max("end_s").alias("duration_s")))
+    return notes["dropped"].select("lecture_id", "ord", "segment_id")
+
+
+@query("f11_notes_concepts")
+def assemble_concepts(spark, d):
+    c = view(spark, d, "concepts").withColumnRenamed("start_s", "old_s")
+    items = c.select("lecture_id", "ord", F.lit("concept").alias("kind"), "term", "definition", F.lit("").alias("latex"), F.lit("").alias("question"), "segment_id")
+    s = view(spark, d, "segments")
+    words = view(spark, d, "words").withColumn("start_s", F.col("start_ds") / 10)
+    return L.assemble_notes(planned(spark, d), items, s, words, s.groupBy("lecture_id").agg(F.max("end_s").alias("duration_s")))["concepts"]
+
+
+@query("f12_external_notes", "SELECT lecture_id, ord, start_s, end_s FROM (SELECT lecture_id, ord, CASE WHEN ord % 36 = 0 THEN 'chapter' ELSE 'concept' END AS kind, CASE WHEN segment % 5 > 0 THEN segment % 60 * 60.0 + 7 END AS start_s, CASE WHEN segment % 2 = 0 THEN 90.0 END AS end_s FROM concepts) WHERE start_s IS NOT NULL AND (kind <> 'chapter' OR end_s IS NOT NULL)", "concepts")
+def external(spark, d):
+    at = F.when(F.col("segment") % 5 > 0, F.format_string("%02d:07", F.col("segment") % 60)).otherwise("soon")
+    raw = view(spark, d, "concepts").select("lecture_id", "ord", F.when(F.col("ord") % 36 == 0, "chapter").otherwise("concept").alias("kind"), at.alias("start"), F.when(F.col("segment") % 2 == 0, "01:30").otherwise("?").alias("end"))
+    return L.external_notes(raw)[0].select("lecture_id", "ord", "start_s", "end_s")
+
+
+@query("d13_evidence", "SELECT s.lecture_id, s.segment_id, replace(replace(replace(string_agg(w.word, ' ' ORDER BY w.start_ds), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS passage FROM segments s JOIN words w ON w.lecture_id = s.lecture_id AND w.start_ds / 10.0 >= s.start_s - 0.5 AND w.start_ds / 10.0 < s.end_s WHERE s.index % 7 = 0 GROUP BY 1, 2", "segments words")
+def evidence(spark, d):
+    hits = view(spark, d, "segments").where("index % 7 = 0").select("lecture_id", "segment_id", "start_s", "end_s")
+    words = view(spark, d, "words").select("lecture_id", (F.col("start_ds") / 10).alias("start_s"), F.col("word").alias("text"))
+    return L.evidence(hits, words)

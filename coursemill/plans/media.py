@@ -305,7 +305,7 @@ def placed(spark, d):
     return formulas(spark, d).withColumn("p", both).select("doc_id", "p.parts", "p.missing")
 
 
-@query("b10_unique_formulas", "SELECT run_id, list_distinct_ordered AS stages FROM (SELECT run_id, list(m ORDER BY o) AS list_distinct_ordered FROM (SELECT run_id, model AS m, min(part * 10 + substr(stage, 6)::INT) AS o FROM stages GROUP BY 1, 2) GROUP BY 1)", "stages")
+@query("b10_unique_formulas", "SELECT run_id, list_distinct_ordered AS stages FROM (SELECT run_id, list(m ORDER BY o, m) AS list_distinct_ordered FROM (SELECT run_id, model AS m, min(part * 10 + substr(stage, 6)::INT) AS o FROM stages GROUP BY 1, 2) GROUP BY 1)", "stages")
 def unique(spark, d):
     from coursemill.functions.text import unique_formulas
 
@@ -347,28 +347,28 @@ def slug(spark, d):
     return b.select("item_id", F.pandas_udf(words.slug, "string")("text").alias("slug"))
 
 
-DAILY = "SELECT CAST(created_at AS DATE) AS day, user_id, count(*) FILTER (kind = 'question') AS questions, count(*) FILTER (kind = 'upload') AS uploads FROM ledger WHERE user_id IS NOT NULL AND kind IN ('question', 'upload') GROUP BY ALL"
+DAILY = "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, user_id, count(*) FILTER (kind = 'question') AS questions, count(*) FILTER (kind = 'upload') AS uploads FROM ledger WHERE user_id IS NOT NULL AND kind IN ('question', 'upload') GROUP BY ALL"
 
 
 @query("j1_daily_usage", DAILY, "ledger")
 def daily(spark, d):
-    return J.daily_usage(view(spark, d, "ledger"))
+    return J.daily_usage(view(spark, d, "ledger")).withColumn("day", F.col("day").cast("string"))
 
 
 def ledger_stream(spark, d):
     schema = view(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")
-    return spark.sql(VIEWS["ledger"][1], events=stream)
+    return spark.sql(VIEWS["ledger"][1], events=stream).withColumn("created_at", F.col("created_at").cast("timestamp"))
 
 
 @query("j1_daily_usage_stream", DAILY, "ledger")
 def daily_stream(spark, d):
-    return J.run_to_end(J.daily_usage(ledger_stream(spark, d), "60 days"))
+    return J.run_to_end(J.daily_usage(ledger_stream(spark, d), "60 days")).withColumn("day", F.col("day").cast("string"))
 
 
-@query("j1_daily_spend", "SELECT CAST(created_at AS DATE) AS day, round(sum(cost_usd), 6) AS spend FROM ledger GROUP BY 1", "ledger")
+@query("j1_daily_spend", "SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, round(sum(cost_usd), 6) AS spend FROM ledger GROUP BY 1", "ledger")
 def spend(spark, d):
-    return J.daily_spend(view(spark, d, "ledger")).withColumn("spend", F.round("spend", 6))
+    return J.daily_spend(view(spark, d, "ledger")).withColumns({"spend": F.round("spend", 6), "day": F.col("day").cast("string")})
 
 
 RATE = "SELECT id, (SELECT count(*) FROM ledger b WHERE b.kind = 'question' AND b.user_id = a.user_id AND b.created_at <= a.created_at AND b.created_at >= a.created_at - INTERVAL 1 MINUTE) AS rate FROM ledger a WHERE kind = 'question' AND user_id IS NOT NULL"
@@ -379,9 +379,9 @@ def rate(spark, d):
     return J.minute_rate(view(spark, d, "ledger")).select("id", "rate")
 
 
-@query("j2_minute_windows_stream", "SELECT time_bucket(INTERVAL 10 SECOND, created_at) - k * INTERVAL 10 SECOND AS start, user_id, count(*) AS n FROM ledger, range(0, 6) z(k) WHERE kind = 'question' AND user_id IS NOT NULL GROUP BY ALL", "ledger")
+@query("j2_minute_windows_stream", "SELECT strftime(time_bucket(INTERVAL 10 SECOND, created_at) - k * INTERVAL 10 SECOND, '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM ledger, range(0, 6) z(k) WHERE kind = 'question' AND user_id IS NOT NULL GROUP BY ALL", "ledger")
 def windows_stream(spark, d):
-    return J.run_to_end(J.minute_windows(ledger_stream(spark, d), "60 days"))
+    return J.run_to_end(J.minute_windows(ledger_stream(spark, d), "60 days")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("j3_quota_decisions", """, q AS (SELECT id, user_id, kind, user_id % 50 = 0 AS admin, created_at FROM ledger WHERE user_id IS NOT NULL AND kind <> 'llm' AND id % 3 = 0), l AS (SELECT * FROM ledger WHERE id % 3 <> 0),
