@@ -53,7 +53,7 @@ def power(n: np.ndarray) -> np.ndarray:
 
 def place(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """A number for an occurrence; adding g to pos multiplies it by power(g)."""
-    return mix64(doc.astype(np.uint64)) * power(pos)
+    return mix64(doc.astype(np.uint64) ^ np.uint64(0xD1B54A32D192ED03)) * power(pos)  # no small id maps to 0
 
 
 def gram_codes(tokens: np.ndarray, length: int) -> np.ndarray:
@@ -209,7 +209,7 @@ def scan(docs: list[np.ndarray], k: int) -> Scan:
         right = left + 1
         has_left = (lo > 0) & sampled[np.maximum(lo - 1, 0)] if len(lo) else np.zeros(0, bool)
         has_right = (hi + 1 < n) & sampled[np.minimum(hi + 1, n - 1)] if len(lo) else has_left
-        rows.append([doc, pos, code, more, gap_doc, gap_from, gap_from + hi - lo, low[lo] & np.uint64(0xFFFFFFFFFFFF0000), np.where(has_left, left + found, -1), np.where(has_right, right + found, -1)])
+        rows.append([doc, pos, code, more, gap_doc, gap_from, gap_from + hi - lo, mix64(low[lo]) & np.uint64(0xFFFFFFFFFFFF0000), np.where(has_left, left + found, -1), np.where(has_right, right + found, -1)])
         found += len(at)
     if not rows:
         empty = np.zeros(0, np.int64)
