@@ -17,7 +17,9 @@ QUERIES = {
     "op10_token_output": token_output.query,
 }
 ORACLE: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op3_jaccard_join": jaccard_join.ORACLE,
     "op5_embedding_dedup": embedding_dedup.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_fingerprints": fingerprints.ORACLE,
 }

@@ -52,3 +52,16 @@ def suffix_dedup(docs: DataFrame, length: int = 100, content: bool = True) -> Da
 
 def query(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 100, content=False)
+
+
+ORACLE = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM h WHERE length(h) >= 200)),
+m AS (SELECT g, min((doc_id, i)) AS first FROM g GROUP BY g),
+c AS (SELECT doc_id, i FROM g JOIN m USING (g) WHERE first < (doc_id, i)),
+n AS (SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true)::INT AS new FROM c),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM n) GROUP BY doc_id, r),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, count(*) AS spans, sum(b - a) AS gone, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * (SELECT max(b) FROM s WHERE s.doc_id = p.doc_id) + 1)) AS kept FROM p JOIN h USING (doc_id) GROUP BY p.doc_id)
+SELECT h.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)
+"""
