@@ -433,3 +433,19 @@ def latest(spark, d):
 @query("j7_running_conflicts", f"SELECT lecture_id, count(*) AS n FROM ({RUNS.format(orders='orders')}) WHERE status = 'running' GROUP BY 1 HAVING count(*) > 1")
 def conflicts(spark, d):
     return J.running_conflicts(spark.sql(RUNS, orders=view(spark, d, "orders")))
+
+
+def frame_stream(spark, d):
+    stream = spark.readStream.schema(view(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    return spark.sql(VIEWS["frames"][1], events=stream)
+
+
+@query("i3_detect_slides_stream")
+def detect_stream(spark, d):
+    f = frame_stream(spark, d).select("lecture_id", "t_s", "is_slide", *[(F.col(h) % 4 * 1_000_003).alias(h) for h in ("h0", "h1")])
+    return J.run_to_end(J.detect_slides_stream(f), "append")
+
+
+@query("i12_sample_per_key_stream")
+def sample_stream(spark, d):
+    return J.run_to_end(J.sample_per_key_stream(frame_stream(spark, d).withColumn("page", F.col("h0") % 7), ["lecture_id", "page"], 6, 700.0), "append")

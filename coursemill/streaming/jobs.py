@@ -168,3 +168,51 @@ def upsert_feedback_stream(ratings: DataFrame, path: str) -> DataFrame:
     query.awaitTermination()
     last = max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
     return spark.read.parquet(f"{path}/v{last}")
+
+
+def detect_slides_stream(frames: DataFrame) -> DataFrame:
+    """(lecture_id, span_index, slide_id, start_s): spans of detect_slides as they are accepted, from a stream of frames.
+
+    A lecture's state is its slide machine; frames of a batch are taken in time order, and batches must come in order.
+    A span ends where the next one of its lecture starts.
+    """
+    import pickle
+
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    from coursemill.operators.slides import SlideMachine
+
+    names = sorted(c for c in frames.columns if c[0] == "h" and c[1:].isdigit())
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        machine = pickle.loads(state.get[0]) if state.exists else SlideMachine(len(names))  # written by this job alone
+        known = len(machine.spans)
+        rows = pd.concat(list(batches)).sort_values("t_s", kind="stable")
+        for t, s, h in zip(rows.t_s, rows.is_slide, rows[names].to_numpy("int64"), strict=True):
+            machine.push(float(t), bool(s), h)
+        state.update((pickle.dumps(machine),))
+        out = [(key[0], i, x[0], x[1]) for i, x in enumerate(machine.spans) if i >= known]
+        yield pd.DataFrame(out, columns=["lecture_id", "span_index", "slide_id", "start_s"])
+
+    kind = dict(frames.dtypes)["lecture_id"]
+    rows = frames.select("lecture_id", "t_s", "is_slide", *names)
+    return rows.groupBy("lecture_id").applyInPandasWithState(step, f"lecture_id {kind}, span_index int, slide_id int, start_s double", "machine binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def sample_per_key_stream(frames: DataFrame, keys: list[str], limit: int = 6, gap_s: float = 10.0) -> DataFrame:
+    """sample_per_key of a stream: a key's state is how many frames are kept and when the last one was."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept, last = state.get if state.exists else (0, float("-inf"))
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["t_s", "frame"]).itertuples():
+            if kept < limit and r.t_s - last >= gap_s:
+                kept, last = kept + 1, float(r.t_s)
+                out.append((*key, r.t_s, r.frame))
+        state.update((kept, last))
+        yield pd.DataFrame(out, columns=[*keys, "t_s", "frame"])
+
+    types = dict(frames.dtypes)
+    rows = frames.select(*keys, "t_s", "frame")
+    return rows.groupBy(*keys).applyInPandasWithState(step, ", ".join(f"{k} {types[k]}" for k in keys) + ", t_s double, frame long", "kept int, last double", "append", GroupStateTimeout.NoTimeout)

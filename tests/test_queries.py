@@ -53,3 +53,9 @@ def test_query(spark, duck, name):
     want = duck.execute(SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize(("stream", "batch", "columns"), [("i3_detect_slides_stream", "i3_detect_slides", ["lecture_id", "span_index", "slide_id", "start_s"]), ("i12_sample_per_key_stream", "i12_sample_per_key", ["lecture_id", "page", "t_s", "frame"])])
+def test_streams_give_what_batches_give(spark, stream, batch, columns):
+    got, want = (QUERIES[n](spark, DIR).select(*columns).toPandas() for n in (stream, batch))
+    assert rows(got) == rows(want)
