@@ -2,10 +2,12 @@
 
 A token is an element by its role (the path of its tags and classes) or a whole block of text. Tokens of one host
 that occur equally often on every page have equal occurrence vectors and form an equivalence class; vectors are
-compared by the exclusive or of a hash of (page, count), so no host is ever gathered. The class that occurs once on
-every page is the root of the template; the other classes nest in the slots between its elements. The slot with the
-article is chosen once a host by what it holds; texts of the root class itself (notices that every page repeats)
-belong to the template; what remains in the slot is extracted.
+compared by hashes of (page, count), so no host is ever gathered. Classes that occur once on nearly every page that
+is not empty are the root of the template (pages cut short split it by where they end, so it is put together again).
+Other classes are valid with enough tokens, an element among them, and enough pages. Roles are paths, so a class lies
+in the slot of the deepest root element above all its tokens; the order of tokens in a slot is not compared. The slot with
+the article is chosen once a host by what it holds. Texts of the root (notices that every page repeats) and texts of
+valid classes that lie in the article's slot or around it belong to the template; what remains in the slot is extracted.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ P_ENDERS = frozenset("address article aside blockquote div dl fieldset figure fo
 RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[!?][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MIN_PAGES = 5  # a host with fewer pages has no texts in its template
+ROOT, SUPPORT, SIZE = 0.8, 0.2, 3  # shares of a host's pages that a root class and a nested class are on; tokens of a nested class
 SALTS = 64
 
 
@@ -108,7 +111,7 @@ def parse(source: str) -> Page:
 
 
 def page_tokens(page: Page) -> list[tuple[str, int, int]]:
-    """(token, count, characters of text in it that are neither noise nor links); texts start with '#'."""
+    """(token, count, characters of text in it that are neither noise nor links, role a text lies in); texts start with '#'."""
     chars: Counter[str] = Counter()
     for element, noise, text, linked in page.blocks:
         if not noise:
@@ -120,46 +123,110 @@ def page_tokens(page: Page) -> list[tuple[str, int, int]]:
                 element = page.parents[element]
     counts = Counter(page.roles)
     texts = Counter(f"#{t}" for _, noise, t, _ in page.blocks if not noise)
-    return [(r, n, chars[r]) for r, n in counts.items() if r] + [(t, n, 0) for t, n in texts.items()]
+    places: dict[str, str] = {}
+    for element, noise, text, _ in page.blocks:
+        if not noise:
+            role = page.roles[element]
+            places[f"#{text}"] = shared_path(places.get(f"#{text}", role), role)
+    return [(r, n, chars[r], None) for r, n in counts.items() if r] + [(t, n, 0, places[t]) for t, n in texts.items()]
+
+
+def shared_path(a: str, b: str) -> str:
+    """The deepest role above both."""
+    if a == b:
+        return a
+    same = [x for x, y in zip(a.split(">"), b.split(">"), strict=False) if x == y]
+    while same != a.split(">")[: len(same)] or same != b.split(">")[: len(same)]:
+        same.pop()
+    return ">".join(same)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, page_id, token, is_text, count, chars; a text is known by its digest."""
+    """host, page_key, token, count, chars, place; a text is known by its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_steps(batch, "html", 1 << 20):
                 rows = [(h, p, *t) for h, p, s in zip(part.column("host").to_pylist(), part.column("page_key").to_pylist(), part.column("html").to_pylist(), strict=True) for t in page_tokens(parse(s or ""))]
                 if rows:
-                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "page_key", "token", "count", "chars"])
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "page_key", "token", "count", "chars", "place"])
 
-    rows = pages.select("host", "page_key", "html").mapInArrow(run, "host string, page_key long, token string, count long, chars long")
+    rows = pages.select("host", "page_key", "html").mapInArrow(run, "host string, page_key long, token string, count long, chars long, place string")
     return rows.withColumn("token", F.when(F.col("token").startswith("#"), F.concat(F.lit("#"), F.md5("token"))).otherwise(F.col("token")))
 
 
-def equivalence_classes(tokens: DataFrame) -> DataFrame:
-    """host, token, vector (equal for tokens of one class), pages, most (largest count on a page), chars."""
-    return tokens.groupBy("host", "token").agg(F.expr("bit_xor(xxhash64(page_key, count))").alias("vector"), F.count("*").alias("pages"), F.max("count").alias("most"), F.sum("chars").alias("chars"))
+def occurrences(tokens: DataFrame) -> DataFrame:
+    """host, token, vector (equal for tokens of one class), pages, most (largest count on a page), chars, place (least and last role of a text)."""
+    at = F.xxhash64("page_key", "count")
+    # the sum keeps rows apart that share a key, which cancel out in the exclusive or
+    vector = F.xxhash64(F.bit_xor(at), F.sum(F.shiftright(at, 31)), F.count("*"))
+    return tokens.groupBy("host", "token").agg(vector.alias("vector"), F.count("*").alias("pages"), F.max("count").alias("most"), F.sum("chars").alias("chars"), F.min("place").alias("low"), F.max("place").alias("high"))
+
+
+def equivalence_classes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """A row a class that is valid: host, of, root, members (token, chars, low, high).
+
+    sizes: host, of (pages that are not empty). A member is on a share of the pages, so the members of all classes of a
+    host are at most 1 / SUPPORT times those of a page; tokens of hosts under MIN_PAGES only count as root.
+    """
+    # no token of one page is on enough pages of a host with more, and main_text deduces a lone page's slot itself
+    rows = occurrences(tokens).where("pages > 1").join(sizes, "host").withColumn("root", F.expr(f"most = 1 and pages >= {ROOT} * of"))
+    rows = rows.where(F.col("root") | (F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("of") * SUPPORT)))
+    classes = rows.groupBy("host", "of", "root", "vector").agg(F.collect_list(F.struct("token", "chars", F.coalesce("low", "token").alias("low"), F.coalesce("high", "token").alias("high"))).alias("members"))
+    elements = F.exists("members", lambda m: ~m["token"].startswith("#"))
+    return classes.where(F.col("root") | ((F.size("members") >= SIZE) & elements)).drop("vector")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """A row a host: pages, slot (role of the article's element, null if none), texts (digests of template texts)."""
-    classes = equivalence_classes(tokens(pages))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("of"))
-    root = classes.join(sizes, "host").where("pages = of and most = 1")
-    # the tokens of a root class stand on every page, so a page bounds how many there are
-    per = root.groupBy("host").agg(
+    sizes = pages.where(r"html rlike '\\S'").groupBy("host").agg(F.count("*").alias("of"))
+    classes = equivalence_classes(tokens(pages), sizes)
+    members = classes.groupBy("host").agg(
         F.max("of").alias("of"),
-        F.max(F.when(~F.col("token").startswith("#"), F.col("chars"))).alias("best"),
-        F.collect_list(F.when(~F.col("token").startswith("#"), F.struct("token", "chars"))).alias("roles"),
-        F.collect_list(F.when(F.col("token").startswith("#"), F.col("token"))).alias("texts"),
+        F.flatten(F.collect_list(F.when(F.col("root"), F.col("members")))).alias("members"),
+        F.collect_list(F.when(~F.col("root"), F.col("members"))).alias("nested"),
     )
+    is_text = lambda m: m["token"].startswith("#")
+    per = members.select(
+        "host",
+        "of",
+        "nested",
+        F.filter("members", lambda m: ~is_text(m)).alias("roles"),
+        F.transform(F.filter("members", is_text), lambda m: m["token"]).alias("texts"),
+    ).withColumn("best", F.array_max(F.transform("roles", lambda r: r["chars"])))
     named = F.filter("roles", lambda r: r["token"].rlike(r">(article|main)(\.[^>]*)?$") & (r["chars"] > 0))
     rich = F.filter("roles", lambda r: (r["chars"] >= 0.8 * F.col("best")) & (r["chars"] > 0))
     by_depth = lambda c: F.element_at(F.array_sort(F.transform(c, lambda r: F.struct((-F.size(F.split(r["token"], ">"))).alias("d"), r["token"].alias("t")))), 1)["t"]
     by_chars = lambda c: F.element_at(F.array_sort(F.transform(c, lambda r: F.struct((-r["chars"]).alias("n"), F.size(F.split(r["token"], ">")).alias("d"), r["token"].alias("t")))), 1)["t"]
     slot = F.when(F.size(named) > 0, by_chars(named)).when(F.size(rich) > 0, by_depth(rich))
-    return per.select("host", F.col("of").alias("pages"), slot.alias("slot"), F.when(F.col("of") >= MIN_PAGES, F.col("texts")).otherwise(F.array().cast("array<string>")).alias("texts"))
+    per = per.withColumn("slot", slot).withColumn("root_roles", F.transform("roles", lambda r: r["token"]))
+    inner = F.udf(lambda c, r, s: nested_texts(c, r, s), "array<string>")("nested", "root_roles", "slot")
+    return per.select("host", F.col("of").alias("pages"), "slot", F.when(F.col("of") >= MIN_PAGES, F.array_union("texts", inner)).otherwise(F.array().cast("array<string>")).alias("texts"))
+
+
+def nested_texts(classes: list, roles: list[str], slot: str | None) -> list[str]:
+    """Texts of the classes whose slot, the deepest root element above all members, is the article's, or in it or around it."""
+    known, out = set(roles), []
+    for members in classes:
+        place = members[0]["low"]
+        for m in members:
+            place = shared_path(shared_path(place, m["low"]), m["high"])
+        while place and place not in known:
+            place = place.rpartition(">")[0]
+        if not slot or f"{place}>".startswith(f"{slot}>") or f"{slot}>".startswith(f"{place}>"):
+            out += [m["token"] for m in members if m["token"].startswith("#")]
+    return out
+
+
+def fullest(page: Page, share: float = 0.8) -> int:
+    """The deepest element with that share of the page's characters that are neither noise nor links."""
+    chars = [0] * len(page.roles)
+    for element, noise, text, linked in page.blocks:
+        if not noise:
+            chars[element] += max(len(text) - linked, 0)
+    for i in range(len(chars) - 1, 0, -1):
+        chars[page.parents[i]] += chars[i]
+    return max(i for i, n in enumerate(chars) if n >= share * chars[0]) if chars[0] else 0
 
 
 def main_text(source: str, slot: str | None, texts: set[str]) -> str:
@@ -170,7 +237,7 @@ def main_text(source: str, slot: str | None, texts: set[str]) -> str:
     inside = [False] * len(page.roles)
     start = {i for i, r in enumerate(page.roles) if r == slot} if slot else set()
     if not start:
-        start = {i for i, r in enumerate(page.roles) if re.search(r">(article|main)(\.[^>]*)?$", r)} or {0}
+        start = {i for i, r in enumerate(page.roles) if re.search(r">(article|main)(\.[^>]*)?$", r)} or {fullest(page)}
     for i, parent in enumerate(page.parents):
         inside[i] = i in start or (parent >= 0 and inside[parent])
     kept = [t for e, noise, t, _ in page.blocks if inside[e] and not noise]
@@ -188,7 +255,7 @@ def extract(pages: DataFrame) -> DataFrame:
     table gives no rows.
     """
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url").alias("page_key"))
+    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page_key"))
     salted = templates(rows).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     spread = rows.withColumn("salt", F.pmod("page_key", F.lit(SALTS)).cast("int"))
     joined = spread.join(salted.hint("shuffle_hash"), ["host", "salt"], "left").select("page_id", "url", "html", "slot", "texts")

@@ -181,3 +181,29 @@ def test_pipeline(spark):
         n = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+SHARED = "<html><body><div><p>Menu of the site</p></div><div><div><h2>Head {i}</h2><p>Words of page {i}.</p>{box}<p>Thanks to all readers</p></div></div></body></html>"
+BOX = "<section><h4>Sign up here</h4><ul><li>Leave an address</li></ul></section>"
+
+
+def test_html_template_survives_empty_and_cut_pages(spark):
+    pages = [(i, f"http://h.org/{i}", SHARED.format(i=i, box=BOX if i % 3 == 0 else "")) for i in range(30)]
+    cut = SHARED.format(i=32, box="").split("<h2>")[0]
+    rows = [*pages, (30, "http://h.org/30", ""), (31, "http://h.org/31", None), (32, "http://h.org/32", cut), pages[3]]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extraction.extract(frame).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r.text for r in got}
+    for i in range(30):
+        assert by[i] == f"Head {i}\nWords of page {i}."
+    assert by[30] == by[31] == ""
+
+
+def test_html_classes_are_grouped_by_vector(spark):
+    pages = [(i, "h", SHARED.format(i=i, box=BOX if i % 3 == 0 else "")) for i in range(30)]
+    rows = spark.createDataFrame(pages, "page_key long, host string, html string")
+    sizes = rows.groupBy("host").count().withColumnRenamed("count", "of")
+    classes = html_extraction.equivalence_classes(html_extraction.tokens(rows), sizes).collect()
+    nested = [{m.token.rpartition(">")[2] for m in c.members if not m.token.startswith("#")} for c in classes if not c.root]
+    assert nested == [{"section", "h4", "ul", "li"}]
