@@ -34,14 +34,16 @@ RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math)\
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 MIN_PAGES = 5  # a host with fewer pages has no texts in its template
 ROOT, SUPPORT, SIZE = 0.8, 0.2, 3  # shares of a host's pages that a root class and a nested class are on; tokens of a nested class
+BACKED = 0.01  # share of a host's pages, and two pages at least, that make an element with a noise word part of the template
 SALTS = 64
+HOLDERS = frozenset("html body main article section div center table tbody tr td".split())
+PLAIN = frozenset("html body main article".split())  # never noise by name
 
 
 @dataclass
 class Element:
     tag: str
     role: str
-    noise: bool
     index: int
 
 
@@ -49,11 +51,13 @@ class Element:
 class Page:
     roles: list[str] = field(default_factory=list)  # of each element that is not inline
     parents: list[int] = field(default_factory=list)
-    blocks: list[tuple[int, bool, str, int]] = field(default_factory=list)  # element, noise, text, characters in links
+    barred: list[bool] = field(default_factory=list)  # noise by tag
+    named: list[bool] = field(default_factory=list)  # has a noise word
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters in links
 
 
 def parse(source: str) -> Page:
-    page, stack = Page([""], [-1]), [Element("", "", False, 0)]
+    page, stack = Page([""], [-1], [False], [False]), [Element("", "", 0)]
     words: list[str] = []
     link_chars, links = 0, 0
 
@@ -61,7 +65,7 @@ def parse(source: str) -> Page:
         nonlocal link_chars
         text = " ".join(entities.unescape("".join(words)).split())
         if text:
-            page.blocks.append((stack[-1].index, any(e.noise for e in stack), text, link_chars))
+            page.blocks.append((stack[-1].index, text, link_chars))
         words.clear()
         link_chars = 0
 
@@ -96,39 +100,84 @@ def parse(source: str) -> Page:
         if tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].tag in (("li",) if tag == "li" else ("dt", "dd") if tag[0] == "d" else ("td", "th") if tag != "tr" else ("td", "th", "tr")):
             stack.pop()
         names = " ".join(v for n in NAMES.finditer(m[4]) for v in n.groups()[1:] if v).lower() if m[4] else ""
-        noise = tag in NOISE_TAGS or any(w in NOISE_WORDS for w in re.split(r"[^a-z]+", names))
-        if tag == "header" and not any(e.tag in ("article", "main") for e in stack):
-            noise = True
+        barred = tag in NOISE_TAGS or (tag == "header" and not any(e.tag in ("article", "main") for e in stack))
         role = f"{stack[-1].role}>{tag}" + "".join(f".{n}" for n in sorted(set(names.split())))
         if tag not in VOID:
-            stack.append(Element(tag, role, noise, len(page.roles)))
+            stack.append(Element(tag, role, len(page.roles)))
             page.roles.append(role)
             page.parents.append(stack[-2].index)
+            page.barred.append(barred)
+            page.named.append(tag not in PLAIN and any(w in NOISE_WORDS for w in re.split(r"[^a-z]+", names)))
     if at < len(source):
         text(source[at:])
     flush()
     return page
 
 
-def page_tokens(page: Page) -> list[tuple[str, int, int]]:
-    """(token, count, characters of text in it that are neither noise nor links, role a text lies in); texts start with '#'."""
+def noise(page: Page, slots: set[int], backed: set[str] | None = None) -> list[bool]:
+    """Whether each element is noise or lies in noise; the slots and what they lie in never are.
+
+    backed: roles that count by a noise word; None is all.
+    """
+    above: set[int] = set()
+    for i in slots:
+        while i >= 0 and i not in above:
+            above.add(i)
+            i = page.parents[i]
+    out: list[bool] = []
+    for i, (role, parent) in enumerate(zip(page.roles, page.parents, strict=True)):
+        own = i not in above and (page.barred[i] or (page.named[i] and (backed is None or role in backed)))
+        out.append(own or (parent >= 0 and out[parent]))
+    return out
+
+
+def fullest(page: Page, share: float, holders: bool) -> int:
+    """The deepest element with that share of the page's characters that are neither noise by tag nor links.
+
+    holders: no element that is itself a part of a text, such as a paragraph.
+    """
+    noisy = noise(page, set(), set())
+    chars = [0] * len(page.roles)
+    for element, text, linked in page.blocks:
+        if not noisy[element]:
+            chars[element] += max(len(text) - linked, 0)
+    for i in range(len(chars) - 1, 0, -1):
+        chars[page.parents[i]] += chars[i]
+    tag = lambda i: page.roles[i].rpartition(">")[2].split(".")[0]
+    return max(i for i, n in enumerate(chars) if n >= share * chars[0] and not (holders and i and tag(i) not in HOLDERS)) if chars[0] else 0
+
+
+def articles(page: Page) -> set[int]:
+    """The page's elements of that name; those that lie in no noise first."""
+    found = {i for i, r in enumerate(page.roles) if re.search(r">(article|main)(\.[^>]*)?$", r)}
+    for backed in (None, set()):
+        noisy = noise(page, set(), backed) if found else []
+        clear = {i for i in found if not noisy[i]}
+        if clear:
+            return clear
+    return found
+
+
+def page_tokens(page: Page) -> list[tuple[str, int, int, str | None, bool]]:
+    """(token, count, characters of text in it that are neither noise nor links, role a text lies in, noise word); texts start with '#'."""
     chars: Counter[str] = Counter()
-    for element, noise, text, linked in page.blocks:
-        if not noise:
-            seen: set[str] = set()
-            while element >= 0:
-                if page.roles[element] not in seen:
-                    seen.add(page.roles[element])
-                    chars[page.roles[element]] += max(len(text) - linked, 0)
-                element = page.parents[element]
+    noisy = noise(page, articles(page) or {fullest(page, 0.51, False)})
+    kept = [b for b in page.blocks if not noisy[b[0]]]
+    for element, text, linked in kept:
+        seen: set[str] = set()
+        while element >= 0:
+            if page.roles[element] not in seen:
+                seen.add(page.roles[element])
+                chars[page.roles[element]] += max(len(text) - linked, 0)
+            element = page.parents[element]
     counts = Counter(page.roles)
-    texts = Counter(f"#{t}" for _, noise, t, _ in page.blocks if not noise)
+    named = {r for r, n in zip(page.roles, page.named, strict=True) if n}
+    texts = Counter(f"#{t}" for _, t, _ in kept)
     places: dict[str, str] = {}
-    for element, noise, text, _ in page.blocks:
-        if not noise:
-            role = page.roles[element]
-            places[f"#{text}"] = shared_path(places.get(f"#{text}", role), role)
-    return [(r, n, chars[r], None) for r, n in counts.items() if r] + [(t, n, 0, places[t]) for t, n in texts.items()]
+    for element, text, _ in kept:
+        role = page.roles[element]
+        places[f"#{text}"] = shared_path(places.get(f"#{text}", role), role)
+    return [(r, n, chars[r], None, r in named) for r, n in counts.items() if r] + [(t, n, 0, places[t], False) for t, n in texts.items()]
 
 
 def shared_path(a: str, b: str) -> str:
@@ -142,55 +191,62 @@ def shared_path(a: str, b: str) -> str:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, page_key, token, count, chars, place; a text is known by its digest."""
+    """host, page_key, token, count, chars, place, named; a text is known by its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_steps(batch, "html", 1 << 20):
                 rows = [(h, p, *t) for h, p, s in zip(part.column("host").to_pylist(), part.column("page_key").to_pylist(), part.column("html").to_pylist(), strict=True) for t in page_tokens(parse(s or ""))]
                 if rows:
-                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "page_key", "token", "count", "chars", "place"])
+                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["host", "page_key", "token", "count", "chars", "place", "named"])
 
-    rows = pages.select("host", "page_key", "html").mapInArrow(run, "host string, page_key long, token string, count long, chars long, place string")
+    rows = pages.select("host", "page_key", "html").mapInArrow(run, "host string, page_key long, token string, count long, chars long, place string, named boolean")
     return rows.withColumn("token", F.when(F.col("token").startswith("#"), F.concat(F.lit("#"), F.md5("token"))).otherwise(F.col("token")))
 
 
 def occurrences(tokens: DataFrame) -> DataFrame:
-    """host, token, vector (equal for tokens of one class), pages, most (largest count on a page), chars, place (least and last role of a text)."""
+    """host, token, vector (equal for tokens of one class), pages, most (largest count on a page), chars, place (least and last role of a text), named."""
     at = F.xxhash64("page_key", "count")
     # the sum keeps rows apart that share a key, which cancel out in the exclusive or
     vector = F.xxhash64(F.bit_xor(at), F.sum(F.shiftright(at, 31)), F.count("*"))
-    return tokens.groupBy("host", "token").agg(vector.alias("vector"), F.count("*").alias("pages"), F.max("count").alias("most"), F.sum("chars").alias("chars"), F.min("place").alias("low"), F.max("place").alias("high"))
+    return tokens.groupBy("host", "token").agg(vector.alias("vector"), F.count("*").alias("pages"), F.max("count").alias("most"), F.sum("chars").alias("chars"), F.min("place").alias("low"), F.max("place").alias("high"), F.max("named").alias("named"))
 
 
 def equivalence_classes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
-    """A row a class that is valid: host, of, root, members (token, chars, low, high).
+    """A row a class that is valid or has elements with a noise word: host, of, root, valid, members (token, chars, low, high, named).
 
     sizes: host, of (pages that are not empty). A member is on a share of the pages, so the members of all classes of a
-    host are at most 1 / SUPPORT times those of a page; tokens of hosts under MIN_PAGES only count as root.
+    host are at most 1 / BACKED times those of a page; tokens of hosts under MIN_PAGES only count as root.
     """
     # no token of one page is on enough pages of a host with more, and main_text deduces a lone page's slot itself
     rows = occurrences(tokens).where("pages > 1").join(sizes, "host").withColumn("root", F.expr(f"most = 1 and pages >= {ROOT} * of"))
-    rows = rows.where(F.col("root") | (F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("of") * SUPPORT)))
-    classes = rows.groupBy("host", "of", "root", "vector").agg(F.collect_list(F.struct("token", "chars", F.coalesce("low", "token").alias("low"), F.coalesce("high", "token").alias("high"))).alias("members"))
+    rows = rows.withColumn("wide", F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("of") * SUPPORT))
+    rows = rows.where(F.col("root") | F.col("wide") | (F.col("named") & (F.col("pages") >= F.col("of") * BACKED)))
+    classes = rows.groupBy("host", "of", "root", "wide", "vector").agg(F.collect_list(F.struct("token", "chars", F.coalesce("low", "token").alias("low"), F.coalesce("high", "token").alias("high"), "named")).alias("members"))
     elements = F.exists("members", lambda m: ~m["token"].startswith("#"))
-    return classes.where(F.col("root") | ((F.size("members") >= SIZE) & elements)).drop("vector")
+    valid = F.col("root") | (F.col("wide") & (F.size("members") >= SIZE) & elements)
+    return classes.withColumn("valid", valid).where(F.col("valid") | F.exists("members", lambda m: m["named"])).drop("vector", "wide")
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """A row a host: pages, slot (role of the article's element, null if none), texts (digests of template texts)."""
+    """A row a host: pages, slot (role of the article's element, null if none), texts (digests of template texts), backed.
+
+    backed: roles with a noise word that more pages than one have, null on hosts under MIN_PAGES, where the words alone count.
+    """
     sizes = pages.where(r"html rlike '\\S'").groupBy("host").agg(F.count("*").alias("of"))
     classes = equivalence_classes(tokens(pages), sizes)
     members = classes.groupBy("host").agg(
         F.max("of").alias("of"),
         F.flatten(F.collect_list(F.when(F.col("root"), F.col("members")))).alias("members"),
-        F.collect_list(F.when(~F.col("root"), F.col("members"))).alias("nested"),
+        F.collect_list(F.when(~F.col("root") & F.col("valid"), F.col("members"))).alias("nested"),
+        F.flatten(F.collect_list(F.filter("members", lambda m: m["named"]))).alias("backed"),
     )
     is_text = lambda m: m["token"].startswith("#")
     per = members.select(
         "host",
         "of",
         "nested",
+        F.when(F.col("of") >= MIN_PAGES, F.array_distinct(F.transform("backed", lambda m: m["token"]))).alias("backed"),
         F.filter("members", lambda m: ~is_text(m)).alias("roles"),
         F.transform(F.filter("members", is_text), lambda m: m["token"]).alias("texts"),
     ).withColumn("best", F.array_max(F.transform("roles", lambda r: r["chars"])))
@@ -201,7 +257,7 @@ def templates(pages: DataFrame) -> DataFrame:
     slot = F.when(F.size(named) > 0, by_chars(named)).when(F.size(rich) > 0, by_depth(rich))
     per = per.withColumn("slot", slot).withColumn("root_roles", F.transform("roles", lambda r: r["token"]))
     inner = F.udf(lambda c, r, s: nested_texts(c, r, s), "array<string>")("nested", "root_roles", "slot")
-    return per.select("host", F.col("of").alias("pages"), "slot", F.when(F.col("of") >= MIN_PAGES, F.array_union("texts", inner)).otherwise(F.array().cast("array<string>")).alias("texts"))
+    return per.select("host", F.col("of").alias("pages"), "slot", F.when(F.col("of") >= MIN_PAGES, F.array_union("texts", inner)).otherwise(F.array().cast("array<string>")).alias("texts"), "backed")
 
 
 def nested_texts(classes: list, roles: list[str], slot: str | None) -> list[str]:
@@ -218,29 +274,19 @@ def nested_texts(classes: list, roles: list[str], slot: str | None) -> list[str]
     return out
 
 
-def fullest(page: Page, share: float = 0.8) -> int:
-    """The deepest element with that share of the page's characters that are neither noise nor links."""
-    chars = [0] * len(page.roles)
-    for element, noise, text, linked in page.blocks:
-        if not noise:
-            chars[element] += max(len(text) - linked, 0)
-    for i in range(len(chars) - 1, 0, -1):
-        chars[page.parents[i]] += chars[i]
-    return max(i for i, n in enumerate(chars) if n >= share * chars[0]) if chars[0] else 0
-
-
-def main_text(source: str, slot: str | None, texts: set[str]) -> str:
-    """Blocks of the slot (else of the page's own article, else of the page) that are neither noise nor template."""
+def main_text(source: str, slot: str | None, texts: set[str], backed: set[str] | None = None) -> str:
+    """Blocks of the slot (else of the page's own article, else of what holds most of its text) that are neither noise nor template."""
     import hashlib
 
     page = parse(source)
     inside = [False] * len(page.roles)
     start = {i for i, r in enumerate(page.roles) if r == slot} if slot else set()
-    if not start:
-        start = {i for i, r in enumerate(page.roles) if re.search(r">(article|main)(\.[^>]*)?$", r)} or {fullest(page)}
+    named = articles(page)
+    start = start or named or {fullest(page, 0.8, True)}
+    noisy = noise(page, start if named else start | {fullest(page, 0.51, False)}, backed)
     for i, parent in enumerate(page.parents):
         inside[i] = i in start or (parent >= 0 and inside[parent])
-    kept = [t for e, noise, t, _ in page.blocks if inside[e] and not noise]
+    kept = [t for e, t, _ in page.blocks if inside[e] and not noisy[e]]
     if texts:
         left = [t for t in kept if "#" + hashlib.md5(f"#{t}".encode()).hexdigest() not in texts]
         kept = left or kept  # a host of equal pages has no slot that varies; its article is what they share
@@ -258,12 +304,13 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page_key"))
     salted = templates(rows).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     spread = rows.withColumn("salt", F.pmod("page_key", F.lit(SALTS)).cast("int"))
-    joined = spread.join(salted.hint("shuffle_hash"), ["host", "salt"], "left").select("page_id", "url", "html", "slot", "texts")
+    joined = spread.join(salted.hint("shuffle_hash"), ["host", "salt"], "left").select("page_id", "url", "html", "slot", "texts", "backed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_steps(batch, "html", 1 << 20):
-                out = [main_text(s or "", slot, set(t or ())) for s, slot, t in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), part.column("texts").to_pylist(), strict=True)]
+                given = zip(*(part.column(n).to_pylist() for n in ("html", "slot", "texts", "backed")), strict=True)
+                out = [main_text(s or "", slot, set(t or ()), None if b is None else set(b)) for s, slot, t, b in given]
                 yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

@@ -207,3 +207,28 @@ def test_html_classes_are_grouped_by_vector(spark):
     classes = html_extraction.equivalence_classes(html_extraction.tokens(rows), sizes).collect()
     nested = [{m.token.rpartition(">")[2] for m in c.members if not m.token.startswith("#")} for c in classes if not c.root]
     assert nested == [{"section", "h4", "ul", "li"}]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html><body class="has-sidebar"><div id="page" class="no-sidebar"><p>Kept words {i}.</p></div></body></html>',
+        '<body><main class="related-layout"><article class="post comments-open"><p>Kept words {i}.</p></article><div class="related">More {i}</div></main></body>',
+        '<body><div class="social-layout"><article><p>Kept words {i}.</p><div class="share">Share {i}</div></article></div></body>',
+    ],
+)
+def test_html_noise_words_above_the_article(spark, page):
+    rows = [(i, f"http://h{i * (n == 1)}.org/{i}", page.format(i=i)) for n in (1, 8) for i in range(n)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.text) for r in got} == {(i, f"Kept words {i}.") for i in range(8)}
+    assert html_extraction.main_text(page.format(i=1), None, set()) == "Kept words 1."
+
+
+def test_html_a_noise_word_on_one_page_is_no_template(spark):
+    rows = [(i, f"http://h.org/{i}", f"<body><article><p>Words {i}.</p>{'<div class=\"notice\">An own notice.</div>' if i == 3 else ''}</article></body>") for i in range(9)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got}[3] == "Words 3.\nAn own notice."
+
+
+def test_html_paragraphs_beside_the_longest_stay():
+    assert html_extraction.main_text(f"<p>Short one.<p>{'long ' * 99}", None, set()).startswith("Short one.\nlong")
