@@ -1,6 +1,7 @@
 """A corpus from raw documents to packed sequences: select, drop near copies, cut repeated passages, pack.
 
-Stages hand each other tables with the columns of ``documents``, written as Parquet between them.
+Stages hand each other tables with the columns of ``documents``, written as Parquet between them. Results meet their
+rows by doc_id and text together, so a null doc_id is an id like any other, and rows that share one stay apart.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coursemill.llm.common import stored
@@ -21,31 +22,54 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that importance resampling draws towards the good ones."""
+    """Keep the documents that importance resampling draws towards the good ones.
+
+    Rows with a null doc_id are drawn like others. Of rows equal in doc_id and text as many stay as were drawn.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = quality_sample(docs, labels).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs = docs.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text"))
+    drawn = quality_sample(docs, labels, carry=("row",)).groupBy("row").agg(F.count("*").alias("drawn"))
+    return _numbered(docs.join(drawn, "row")).where("number <= drawn").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each class of near-duplicates."""
-    first = jaccard_join(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep the smallest doc_id of each class of near-duplicates.
+
+    Texts under one doc_id, or under none, are compared like any others; a null doc_id is larger than all. Of rows equal
+    in doc_id and text one stays, also of those without a text.
+    """
+    docs = docs.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text"))
+    classes = jaccard_join(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = docs.select("row", "doc_id").distinct().join(classes, "row").groupBy("class_id").agg(F.min(order).alias("first")).select("first.row")
+    return _numbered(docs.join(first, "row")).where("number = 1").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut byte strings that occurred earlier; a character that loses one of its bytes goes whole."""
-    kept = suffix_dedup(docs).select("doc_id", "kept")
-    return docs.drop("text", "n_chars").join(_texts(kept), "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Cut byte strings that occurred earlier; a character that loses one of its bytes goes whole.
+
+    Each row gives a row. A null doc_id is later than all others; rows that share a doc_id, null too, are not earlier
+    than each other, and each keeps its own text.
+    """
+    kept = _texts(suffix_dedup(docs, key=True).select("row_key", "kept"))
+    # rows of one key have the same text and lose the same bytes
+    kept = kept.withColumn("number", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))).where("number = 1").drop("number")
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    return docs.withColumn("row_key", key).drop("text", "n_chars").join(kept, "row_key").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with number, which counts those of one row key."""
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy("row").orderBy("lang", "source", "n_chars")))
 
 
 def _texts(kept: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(b or b"").decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+            yield pa.record_batch([batch.column("row_key"), pa.array(texts, pa.string())], names=["row_key", "text"])
 
-    return kept.mapInArrow(run, "doc_id long, text string")
+    return kept.mapInArrow(run, "row_key string, text string")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,12 +112,12 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.where(F.col(score) > high).unionAll(border)
 
 
-def quality_sample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1, margin: float = 0.01, label_limit: int = LABELS) -> DataFrame:
+def quality_sample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1, margin: float = 0.01, label_limit: int = LABELS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Importance-resample ``docs`` towards the documents labelled good (labels: doc_id, quality 0 or 1).
 
     ``share`` of the rows is kept, rounded up; if None, the share of good ones among the labels, plus ``margin``. Of more
     than ``label_limit`` labelled ids those with the smallest hashes are used; nothing else is bounded. Returns the
-    kept rows: doc_id, log_weight, score. Null labels count as not labelled and an id with
+    kept rows: doc_id, the columns of ``carry``, log_weight, score. Null labels count as not labelled and an id with
     several labels as good if any is. Null text is empty and weighs 0. A null doc_id is never labelled. Ties in
     score fall to the smaller doc_id. With no good label the ratio is 0 everywhere and the sample is uniform.
     """
@@ -126,7 +126,7 @@ def quality_sample(docs: DataFrame, labels: DataFrame, share: float | None = Non
     n, good = some.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") > 0).cast("long")), F.lit(0))).first()
     if share is None:
         share = min(1.0, (good / n if n else 1.0) + margin)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *carry)
     raw, target = ngram_counts(docs, some.where("quality > 0").select("doc_id"))
     ratio = log_ratio(raw, target) if target.sum() else np.zeros(BUCKETS)
     scored = stored(weights(docs, ratio, seed))

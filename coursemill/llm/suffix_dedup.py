@@ -18,8 +18,13 @@ from coursemill.llm.windows import Kind, Texts, byte_tokens, repeated_windows
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
 
-def _finish(content: bool):
+def row_key(doc_id: int | None, text: bytes) -> str:
+    return hashlib.md5(f"{'' if doc_id is None else doc_id}:".encode() + text).hexdigest()
+
+
+def _finish(content: bool, key: bool):
     schema = SCHEMA if content else pa.schema(list(SCHEMA)[:5])
+    schema = schema.append(pa.field("row_key", pa.string())) if key else schema
 
     def finish(t: Texts, spans: list[list[tuple[int, int]]]) -> pa.Table:
         rows = []
@@ -29,24 +34,27 @@ def _finish(content: bool):
             row = {"doc_id": None if null else doc, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(own), "kept_sha256": hashlib.sha256(kept).hexdigest()}
             if content:
                 row |= {"kept": kept, "removed": [{"start": a, "end": b} for a, b in own]}
+            if key:
+                row["row_key"] = row_key(row["doc_id"], text.tobytes())
             rows.append(row)
         return pa.Table.from_pylist(rows, schema)
 
     return finish, schema
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, content: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 100, content: bool = True, key: bool = False) -> DataFrame:
     """Each byte covered by a ``length``-byte string that also starts earlier is removed.
 
     docs: doc_id long, text string; more columns are ignored. Earlier means a smaller doc_id, or the same document
     and a smaller start; strings overlap, never cross documents, and are judged on the input. ``length`` is even.
     Null text counts as empty; a null doc_id as larger than all others; rows that share a doc_id share their starts,
     so none of them is earlier than the other. An empty table gives no rows. Returns a row for each row with doc_id,
-    n_bytes, n_removed, n_spans, kept_sha256 and, with ``content``, the kept bytes and the removed spans.
+    n_bytes, n_removed, n_spans, kept_sha256 and, with ``content``, the kept bytes and the removed spans, with ``key``
+    the MD5 of doc_id (empty if null), a colon and the text, by which rows that share a doc_id are told apart.
     """
     if length < 4 or length % 2:
         raise ValueError("length must be even and at least 4")
-    finish, schema = _finish(content)
+    finish, schema = _finish(content, key)
     return repeated_windows(docs.select("doc_id", "text"), Kind(length, byte_tokens, True), finish, schema)
 
 

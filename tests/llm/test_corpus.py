@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
 import zlib
 
 import duckdb
@@ -232,3 +233,23 @@ def test_html_a_noise_word_on_one_page_is_no_template(spark):
 
 def test_html_paragraphs_beside_the_longest_stay():
     assert html_extraction.main_text(f"<p>Short one.<p>{'long ' * 99}", None, set()).startswith("Short one.\nlong")
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(None, words(1)), (None, words(2)), (7, words(3)), (7, words(4)), (8, words(5)), (8, words(5)), (9, words(3) + " end"), (None, words(4)), (None, None)]
+    docs = spark.createDataFrame([(i, t, f"l{k}", "s", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    seen = lambda df: sorted([(r.doc_id, r.text, r.lang) for r in df.collect()], key=str)
+    want = sorted([(i, t, f"l{k}") for k, (i, t) in enumerate(rows)], key=str)
+
+    everything = spark.createDataFrame([(8, 1)], "doc_id long, quality int")  # all labels are good, so all rows are drawn
+    everything.write.mode("overwrite").parquet(path := f"{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/labels.parquet")
+    assert seen(corpus_pipeline.select_quality(spark, docs, path.rpartition("/")[0])) == want
+    assert seen(corpus_pipeline.drop_near_copies(spark, docs, "")) == [w for w in want if w[2] in ("l0", "l1", "l2", "l3", "l4", "l8")]
+    cut = corpus_pipeline.cut_repeats(spark, docs, "").collect()
+    assert sorted(r.lang for r in cut) == sorted(w[2] for w in want)
+    texts = {r.lang: r.text for r in cut}
+    assert all(texts[f"l{k}"] == rows[k][1] for k in range(6))
+    assert texts["l7"] == "" and texts["l8"] == "" and len(texts["l6"]) < len(rows[6][1])
