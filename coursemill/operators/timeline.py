@@ -9,7 +9,7 @@ from coursemill.functions.text import ascii_tokens, singular, undouble_backslash
 from coursemill.operators.intervals import slide_at
 
 ENDERS = r"[.?!][\"'”’)\]]*$"
-LEADING = ["a", "an", "the"]
+LEADING = ["a", "an", "the", "of", "for", "in", "on", "to", "and", "or", "with", "by"]
 
 
 def split_sentences(words: DataFrame, keys: list[str], max_words: int = 40) -> DataFrame:
@@ -111,20 +111,21 @@ def term_key(term: Column) -> Column:
 def locate_terms(concepts: DataFrame, words: DataFrame) -> DataFrame:
     """Where the longest leading part of each term is spoken in its segment, the earliest on a tie; else the segment's start.
 
-    concepts: lecture_id, segment, ord, term, start_s; words: lecture_id, segment, pos, word, start_s. A place at second
-    0 counts as not found, as does a first token that is not said.
+    concepts: lecture_id, segment, ord, term, start_s; words: lecture_id, segment, pos, word, start_s. Leading stopwords
+    are dropped, and no length of term or segment is bounded. A place at second 0 counts as not found, as does a first
+    token that is not said and a term of stopwords only.
     """
     tokens = ascii_tokens(F.col("term"))
-    bare = F.when(F.get(tokens, F.lit(0)).isin(LEADING) & (F.size(tokens) > 1), F.slice(tokens, 2, 100)).otherwise(tokens)
-    want = concepts.withColumn("want", F.transform(bare, singular))
-    said = words.select("lecture_id", "segment", "pos", F.col("start_s").alias("at"), F.explode(ascii_tokens(F.col("word"))).alias("token")).withColumn("token", singular(F.col("token")))
-    order = Window.partitionBy("lecture_id", "segment").orderBy("pos")
-    stream = said.withColumn("here", F.collect_list("token").over(order.rowsBetween(0, 7))).withColumn("first", F.col("token"))
-    met = want.withColumn("first", F.get("want", F.lit(0))).join(stream.drop("token"), ["lecture_id", "segment", "first"], "left")
-    matched = F.aggregate(F.zip_with("want", "here", lambda a, b: F.coalesce(a == b, F.lit(False))), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), (s["n"] + (s["on"] & x).cast("int")).alias("n")))["n"]
-    best = Window.partitionBy("lecture_id", "ord").orderBy(F.desc_nulls_last("matched"), "pos")
-    top = met.withColumn("matched", F.when(F.col("here").isNotNull(), matched)).withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return top.select("lecture_id", "ord", "term", F.coalesce(F.nullif("at", F.lit(0.0)), "start_s").alias("at_s"))
+    told = lambda i: F.exists(F.slice(tokens, F.lit(1), i + 1), lambda t: ~t.isin(LEADING))
+    want = concepts.withColumn("want", F.filter(tokens, lambda _, i: told(i)))
+    said = words.select("lecture_id", "segment", "pos", F.col("start_s").alias("at"), F.posexplode(ascii_tokens(F.col("word"))).alias("part", "token"))
+    spoken = said.groupBy("lecture_id", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "at", "token"))).alias("said"))
+    met = want.join(spoken.withColumn("flat", F.transform("said", lambda x: x["token"])), ["lecture_id", "segment"], "left")
+    here = lambda i: F.slice("flat", i + 1, F.size("want"))
+    matched = lambda i: F.aggregate(F.zip_with("want", here(i), lambda a, b: F.coalesce(a == b, F.lit(False))), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), (s["n"] + (s["on"] & x).cast("int")).alias("n")))["n"]
+    places = F.filter(F.transform("flat", lambda t, i: F.when(t == F.get("want", F.lit(0)), F.struct((-matched(i)).alias("n"), i.alias("i")))), lambda x: x.isNotNull())
+    at = F.get("said", F.array_min(places)["i"])["at"]
+    return met.select("lecture_id", "ord", "term", F.coalesce(F.nullif(at, F.lit(0.0)), "start_s").alias("at_s"))
 
 
 def merge_concepts(concepts: DataFrame) -> DataFrame:

@@ -106,6 +106,15 @@ def test_located_terms(spark):
     assert [r.at_s for r in timeline.locate_terms(c, w).orderBy("ord").collect()] == [6.0, 5.0]
 
 
+def test_locate_long_terms_and_all_leading_stopwords(spark):
+    long = [f"t{i}" for i in range(120)]
+    said = [*long[:9], "x", *long[:110], "y", *long, "root", "or"]
+    terms = [" ".join(long), "of the " + " ".join(long[:12]), "on to the root", "of the", "roots"]
+    c = spark.createDataFrame([("L", 0, k, t, 5.0) for k, t in enumerate(terms)], "lecture_id string, segment int, ord int, term string, start_s double")
+    w = spark.createDataFrame([("L", 0, i, x, 10.0 + i) for i, x in enumerate(said)], "lecture_id string, segment int, pos int, word string, start_s double")
+    assert [r.at_s for r in timeline.locate_terms(c, w).orderBy("ord").collect()] == [131.0, 20.0, 251.0, 5.0, 5.0]
+
+
 def test_golden_and_replace(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"lecture_id": "L", "duration_s": 99, "questions": [{"id": "q1", "kind": "fact", "question": "?", "answer": "a", "spans": [["00:10", "01:05"]]}, {"id": "q2", "kind": "unanswerable", "question": "?"}]}')
     rows = {r.question_id: [(s.start_s, s.end_s) for s in r.spans] for r in io.read_golden(spark, str(tmp_path / "g.json")).collect()}
