@@ -12,14 +12,14 @@ import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm.tokens import cache, default_tokenizer, encode_texts, gather, in_steps
+from coursemill.llm.tokens import byte_level, cache, default_tokenizer, encode_texts, gather, in_steps
 
 
 class TrieWords:
@@ -37,8 +37,8 @@ class TrieWords:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.spelling = byte_level(self.library)
         self.fits: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
 
     def symbols(self, token: str) -> list[str]:
         body = token.removesuffix(self.end)
@@ -60,7 +60,7 @@ class TrieWords:
         key = (left, right)
         fit = self.fits.get(key)
         if fit is None:
-            if len(self.fits) > 500_000:
+            if len(self.fits) > 200_000:
                 self.fits.clear()
             fit = self.fits[key] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
         return fit
@@ -73,9 +73,9 @@ class TrieWords:
                 return token
         raise ValueError(f"no token ends {word[:depth]!r}")
 
-    def walk(self, words: list[str]) -> None:
-        """Fill known for sorted distinct words."""
-        states, before = [""], ""
+    def walk(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of sorted distinct words."""
+        states, before, known = [""], "", {}
         for word in words:
             shared, limit = 0, min(len(before), len(word), len(states) - 1)
             while shared < limit and before[shared] == word[shared]:
@@ -90,14 +90,18 @@ class TrieWords:
                 if depth == 0:
                     break
                 token = states[depth]
-            self.known[word] = array("I", ids[::-1]).tobytes()
+            known[word] = array("I", ids[::-1]).tobytes()
             before = word
+        return known
 
-    def __call__(self, words: Sequence[str]) -> list[bytes]:
+    def parts(self, parts: list[str]) -> list[bytes]:
+        spelled = [p if p.isascii() else p.translate(self.spelling) for p in parts]
+        known = self.walk(sorted(spelled))
+        return [known[p] for p in spelled]
+
+    def words(self, words: list[str]) -> list[bytes]:
         normal, pre = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
-        if len(self.known) > 300_000:
-            self.known.clear()
-        parts: list[list[str | int]] = []
+        pieces: list[list[str | int]] = []
         for word in words:
             own: list[str | int] = []
             for part in self.split.split(word) if self.split and "<" in word else (word,):
@@ -105,9 +109,9 @@ class TrieWords:
                     own.append(self.special[part])
                 elif part:
                     own += [token for token, _ in pre(normal(part))]
-            parts.append(own)
-        self.walk(sorted({p for own in parts for p in own if isinstance(p, str)} - self.known.keys()))
-        return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else self.known[p] for p in own) for own in parts]
+            pieces.append(own)
+        known = self.walk(sorted({p for own in pieces for p in own if isinstance(p, str)}))
+        return [b"".join(p.to_bytes(4, "little") if isinstance(p, int) else known[p] for p in own) for own in pieces]
 
 
 class TokenText:
@@ -148,7 +152,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache(TrieWords, tokenizer)
         for batch in batches:
-            for part in in_steps(batch):
+            for part in in_steps(batch, encoding=True):
                 ids, offsets = encode_texts(part.column("text"), words)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.record_batch([part.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -176,7 +180,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, text = cache(TrieWords, tokenizer), decoder(tokenizer)
         for batch in batches:
-            for part in in_steps(batch):
+            for part in in_steps(batch, encoding=True):
                 ids, offsets = encode_texts(part.column("text"), words)
                 own = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 hashes = [hashlib.sha256(i.astype("<u4")).hexdigest() for i in own]

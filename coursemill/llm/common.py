@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MASK = (1 << 64) - 1
+CACHES: dict = {}  # what a Python worker remembers between tasks of one operator
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -86,6 +86,13 @@ def unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def forget() -> None:
+    """Drop what another operator's tasks remembered in this worker: workers are reused, and all share an executor's memory."""
+    if CACHES:
+        CACHES.clear()
+        release()
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers share an executor's memory with its JVM."""
     pa.default_memory_pool().release_unused()

@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache(LibraryWords, tokenizer)
         for batch in batches:
-            for part in in_steps(batch):
+            for part in in_steps(batch, encoding=True):
                 ids, offsets = encode_texts(part.column("text"), words)
                 rows: list[tuple] = []
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):

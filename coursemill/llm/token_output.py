@@ -44,7 +44,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache(LibraryWords, tokenizer)
         for batch in batches:
-            for part in in_steps(batch):
+            for part in in_steps(batch, encoding=True):
                 ids, offsets = encode_texts(part.column("text"), words)
                 n = np.diff(offsets) + 1
                 out = np.insert(ids, offsets[1:], end_id).astype(np.int32)
