@@ -1,8 +1,9 @@
 """Exact removal of repeated word sequences by level-wise doubling.
 
-Level by level: windows of half the length are compared first; only those that repeat at that length are extended
-to twice it, and so on from ``start`` words to ``length``, until no candidate survives. A window whose half
-occurs once cannot repeat, so most of the text leaves at the first level (see windows.py for what is moved).
+Level by level: sequences of ``start`` words are compared first; only those that repeat at that length are extended to
+twice it, and so on up to ``length``, until no candidate survives (13, 25 and 50 words, or 25 and 50). A window whose
+half occurs once cannot repeat, so most of the text leaves at the first level. Below ``length`` one run stands for
+all windows that it is the smallest of (windows.py says why that is exact).
 """
 
 from __future__ import annotations
@@ -34,23 +35,23 @@ def _finish(content: bool):
     return finish, schema
 
 
-def substring_dedup(docs: DataFrame, length: int = 50, content: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 50, start: int = 25, content: bool = True) -> DataFrame:
     """Remove each word covered by a ``length``-word window that also starts in a document with a smaller doc_id.
 
     docs: doc_id long, text string; more columns are ignored. Words are runs of bytes other than ASCII white space
-    (space, 9 to 13). Windows lie in one document and are judged on the input. ``length`` is even. Null text has no
-    words; a null doc_id counts as larger than all others; rows that share a doc_id never remove each other's
+    (space, 9 to 13). Windows lie in one document and are judged on the input. ``length`` is even; ``start`` is the least
+    length compared, and does not change the result. Null text has no words; a null doc_id counts as larger than all others; rows that share a doc_id never remove each other's
     words. An empty table gives no rows. Returns a row for each row: doc_id, n_words, n_removed, kept_sha256 and,
     with ``content``, kept_text (kept words joined by one space).
     """
-    if length < 4 or length % 2:
-        raise ValueError("length must be even and at least 4")
+    if length < 4 or length % 2 or start < 2:
+        raise ValueError("length must be even and at least 4, start at least 2")
     finish, schema = _finish(content)
-    return repeated_windows(docs.select("doc_id", "text"), Kind(length, word_tokens, False), finish, schema)
+    return repeated_windows(docs.select("doc_id", "text"), Kind(length, word_tokens, False, start), finish, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 50, content=False)
+    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), content=False)
 
 
 ORACLE = r"""

@@ -1,19 +1,24 @@
 """Repeated fixed-length windows over blocks of documents: the core of the two exact substring dedups.
 
-A window is ``k`` consecutive tokens of one document (bytes or words); its code is made of the codes of its two
-halves of ``s = k / 2`` tokens. Testing every window would move more than the input, so only some are moved:
-
-* A window is *sampled* if the smallest half-window code in it stands first or last (a closed syncmer). That
-  depends on the window's own tokens alone: equal windows are all sampled or none is. Neighbouring sampled
-  windows are at most ``s`` apart, so two repeated neighbours cover what lies between them.
-* Windows between two sampled ones (a *gap*) all share one smallest half-window, their *anchor*. A gap whose
-  anchor occurs once cannot hold a repeated window.
-* What is left are gaps at the ends of copied passages. Their windows are moved one by one in a second round,
-  except where the first round settles them: both neighbours occur at one earlier place at the right distance, or
-  all gaps with that anchor stand between these two neighbours (the sets of places are compared by a shifted sum).
+A window is ``k`` consecutive tokens of one document (bytes or words). Lengths double level by level, from ``start`` to
+``k``. At each level only some runs are moved to be compared, so that less than the input travels:
+
+* Levels below ``k``: of the runs in each window of the next level's length the one with the smallest code (its
+  minimizer) is compared. A window can repeat only if its minimizer does; only windows whose minimizer was found
+  twice are extended to the next level, all others leave. With no survivor no later level sends anything.
+* Level ``k``: a surviving window is *sampled* if the smallest half-window code in it stands first or last (a closed
+  syncmer): the repeated half is extended to the right or to the left. Equal windows are all sampled or none is.
+  Neighbouring sampled windows are at most ``k / 2`` apart, so two repeated neighbours cover what lies between them.
+* Windows between two sampled ones (a *gap*) all share one smallest half-window, their *anchor*. What is left are
+  gaps at the ends of copied passages. Their windows are moved one by one in a last round, except where the round
+  before settles them: both neighbours occur at one earlier place at the right distance, or all gaps with that
+  anchor stand between these two neighbours (the sets of places are compared by a shifted sum).
 
 Blocks combine equal windows before each shuffle, so a passage in a third of all documents costs one entry a block.
-Nothing is capped or sampled away; all steps are exact up to collisions of 80-bit codes.
+Blocks and buckets grow with the input; they exchange keys in passes over radix digits of the destination, so that n
+blocks send about n ** (1 + 1 / h) rows in h passes, not n * n (see travel). Nothing is capped or sampled away. All
+steps are exact up to collisions of 80-bit window codes; 48-bit anchor and minimizer codes can only add
+candidates, and the sums, compared by 32 bits, settle a gap wrongly with probability 2 ** -32.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import block_count, mix64, pack, release, text_bytes, unpack, utf8
+from coursemill.llm.common import block_count, forget, mix64, pack, release, text_bytes, unpack, utf8
 
 PIECE = 1 << 17
 NO_ID = np.iinfo(np.int64).max
@@ -78,6 +83,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def sliding_max(x: np.ndarray, width: int) -> np.ndarray:
+    return ~sliding_min(~x, width)
+
+
 def byte_tokens(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
@@ -123,6 +132,14 @@ class Kind:
     k: int
     tokens: Callable[[np.ndarray], np.ndarray]
     within: bool  # an earlier start in the same document counts too
+    start: int = 0  # least length that is compared; half of k if 0
+
+    def levels(self) -> list[int]:
+        """Lengths below k in rising order: half of k, half of that and so on down to the start."""
+        out = [self.k // 2]
+        while self.start and (half := -(-out[0] // 2)) >= self.start and half < out[0]:
+            out.insert(0, half)
+        return out
 
 
 @dataclass
@@ -188,7 +205,42 @@ def window_code(h: np.ndarray, at: np.ndarray, s: int) -> tuple[np.ndarray, np.n
     return (first << np.uint64(24)) | (second >> np.uint64(16)), (second & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def scan(docs: list[np.ndarray], k: int) -> Scan:
+ANCHOR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+
+
+def anchor_code(h: np.ndarray) -> np.ndarray:
+    return mix64(h) & ANCHOR_BITS
+
+
+def among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each code is in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return known[at] == codes
+
+
+def minimizers(docs: list[np.ndarray], length: int, wide: int, before: tuple[int, np.ndarray] | None) -> np.ndarray:
+    """Codes of the runs of ``length`` that are the smallest in a window of ``wide``, one for each place.
+
+    before: the length of the level below and its repeated codes; runs whose own minimizer is not among them leave.
+    """
+    out = [np.zeros(0, np.uint64)]
+    for p in pieces(docs, wide):
+        h = gram_codes(p.tokens, length)
+        width = wide - length + 1
+        low = np.where(p.valid[: len(h) - width + 1], sliding_min(h, width), np.uint64(0))
+        edge = np.zeros(width - 1, np.uint64)
+        at = np.flatnonzero(sliding_max(np.concatenate((edge, low, edge)), width) == h)
+        if before and len(at):
+            inner = sliding_min(gram_codes(p.tokens, before[0]), length - before[0] + 1)
+            at = at[among(anchor_code(inner[at]), before[1])]
+        out.append(anchor_code(h[at]))
+    return np.concatenate(out)
+
+
+def scan(docs: list[np.ndarray], k: int, known: np.ndarray) -> Scan:
+    """Sampled windows and gaps whose smallest half-window is among the ``known`` codes."""
     s = k // 2
     rows: list[list[np.ndarray]] = []
     found = 0
@@ -199,17 +251,21 @@ def scan(docs: list[np.ndarray], k: int) -> Scan:
         valid = p.valid[:n]
         sampled = valid & ((h[:n] == low) | (h[k - s :] == low))
         at = np.flatnonzero(sampled)
+        at = at[among(anchor_code(low[at]), known)]
         code, more = window_code(h, at, s)
         edge = np.diff(np.concatenate(([False], valid & ~sampled, [False])).astype(np.int8))
         lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        gap_code = anchor_code(low[lo])
+        alive = among(gap_code, known)
+        lo, hi, gap_code = lo[alive], hi[alive], gap_code[alive]
+        kept = np.zeros(n + 1, bool)  # one place more, for the gap at the end
+        kept[at] = True
         doc, pos = p.where(at)
         gap_doc, gap_from = p.where(lo)
         # the sampled window before a gap starts one token earlier, in the same part; the one after, one token later
         left = np.searchsorted(at, lo) - 1
-        right = left + 1
-        has_left = (lo > 0) & sampled[np.maximum(lo - 1, 0)] if len(lo) else np.zeros(0, bool)
-        has_right = (hi + 1 < n) & sampled[np.minimum(hi + 1, n - 1)] if len(lo) else has_left
-        rows.append([doc, pos, code, more, gap_doc, gap_from, gap_from + hi - lo, mix64(low[lo]) & np.uint64(0xFFFFFFFFFFFF0000), np.where(has_left, left + found, -1), np.where(has_right, right + found, -1)])
+        has_left, has_right = (lo > 0) & kept[lo - 1], kept[hi + 1]
+        rows.append([doc, pos, code, more, gap_doc, gap_from, gap_from + hi - lo, gap_code, np.where(has_left, left + found, -1), np.where(has_right, left + 1 + found, -1)])
         found += len(at)
     if not rows:
         empty = np.zeros(0, np.int64)
@@ -258,70 +314,168 @@ def own_groups(code: np.ndarray, more: np.ndarray, doc: np.ndarray, pos: np.ndar
     return digit_groups(code, more, doc, pos, np.ones(len(code), np.int64), place(doc, pos))
 
 
-ROWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-ANSWERS = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
-SAMPLED, ANCHOR, WINDOW, STATE = 0, 1, 2, 3
+ROWS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
+DDL = "a int, b int, kind int, block int, data binary"
+LEVEL, SAMPLED, ANCHOR, WINDOW, STATE = 0, 1, 2, 3, 4
+RADIX = 512  # destinations that one task sends to
 
 
-def send(groups: Groups, kind: int, block: int, buckets: int) -> dict[str, list]:
-    """A row for each bucket with the block's keys of it."""
+@dataclass
+class Way:
+    """Passes between n senders and n receivers: a pass tells apart ``radix`` values of the next digit of the receiver."""
+
+    n: int
+    radix: int
+    passes: int
+
+    @staticmethod
+    def of(n: int, most: int) -> Way:
+        passes = 1
+        while most**passes < n:
+            passes += 1
+        radix = 1
+        while radix**passes < n:
+            radix += 1
+        return Way(n, radix, passes)
+
+    def prefix(self, index: np.ndarray, digits: int) -> np.ndarray:
+        """The first digits of a receiver's number."""
+        return index // self.radix ** (self.passes - digits)
+
+    def bucket(self, code: np.ndarray) -> np.ndarray:
+        return (((code >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32)).astype(np.int64)
+
+
+def put(kind: int, back: bool, columns: list[np.ndarray]) -> bytes:
+    """Keys of a kind as one value, on their way to a bucket or back. The first columns are the key's block and code."""
+    if back or kind == LEVEL:
+        return pack(*columns)
+    order = np.lexsort((columns[4], columns[3]))
+    block, code, more, doc, pos, count, total = (c[order] for c in columns)
+    many = np.flatnonzero(count > 1)
+    return pack(block, code, more, np.diff(doc, prepend=doc.dtype.type(0)), pos.astype(np.uint32), many.astype(np.uint32), count[many], total[many])
+
+
+def get(kind: int, back: bool, values: list[bytes]) -> list[np.ndarray]:
+    """Columns of all keys of some values: block, code and, for LEVEL to a bucket, count; else more, doc, pos, count, total."""
+    parts = []
+    for value in values:
+        columns = unpack(value)
+        if not back and kind != LEVEL:
+            block, code, more, doc, pos, many, count, total = columns
+            doc, pos = np.cumsum(doc), pos.astype(np.int64)
+            counts, totals = np.ones(len(code), np.int64), place(doc, pos)
+            counts[many], totals[many] = count, total
+            columns = [block, code, more, doc, pos, counts, totals]
+        parts.append(columns)
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+def addressed(kind: int, back: bool, columns: list[np.ndarray], way: Way, digits: int, sender: int, out: dict[str, list]) -> None:
+    """A row for each value of the receivers' first ``digits`` digits."""
+    to = way.prefix(columns[0] if back else way.bucket(columns[1]), digits)
+    order = np.argsort(to, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
+        for name, value in zip(ROWS.names, (int(to[part[0]]), sender // way.radix, kind, -1, put(kind, back, [c[part] for c in columns])), strict=True):
+            out[name].append(value)
+
+
+def passed_on(table: pa.Table, back: bool, way: Way, digits: int) -> pa.Table:
+    """One pass: keys of one prefix from ``radix`` senders, told apart by one digit more."""
     out: dict[str, list] = {n: [] for n in ROWS.names}
-    to = ((groups.code >> np.uint64(44)).astype(np.int64) * buckets) >> 20
-    order = np.lexsort((groups.pos, groups.doc, to))
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        i = order[cuts[b] : cuts[b + 1]]
-        if len(i):
-            many = np.flatnonzero(groups.count[i] > 1)
-            doc = groups.doc[i]
-            data = pack(groups.code[i], groups.more[i], np.diff(doc, prepend=doc.dtype.type(0)), groups.pos[i].astype(np.uint32), many.astype(np.uint32), groups.count[i][many], groups.total[i][many])
-            for name, value in zip(ROWS.names, (b, block, kind, data), strict=True):
-                out[name].append(value)
+    group = int(table["b"][0].as_py())
+    kinds = table["kind"].to_numpy()
+    for kind in np.unique(kinds):
+        sub = table.filter(pa.array(kinds == kind))
+        if kind == STATE:
+            to = sub["block"].to_numpy().astype(np.int64)
+            for values in zip(way.prefix(to, digits).tolist(), [group // way.radix] * len(to), *(sub[c].to_pylist() for c in ROWS.names[2:]), strict=True):
+                for name, value in zip(ROWS.names, values, strict=True):
+                    out[name].append(value)
+        else:
+            addressed(int(kind), back, get(int(kind), back, sub["data"].to_pylist()), way, digits, group, out)
+    return pa.table(out, schema=ROWS)
+
+
+def travel(rows: DataFrame, back: bool, way: Way) -> DataFrame:
+    """Rows to their receivers, whose number is then in column a."""
+
+    def one(digits: int) -> Callable:
+        return lambda t: freed(passed_on(t, back, way, digits))
+
+    for digits in range(2, way.passes + 1):
+        rows = rows.repartition(way.n, "a", "b").groupBy("a", "b").applyInArrow(one(digits), DDL)
+    return rows.repartition(way.n, "a")
+
+
+def freed(out: pa.Table) -> pa.Table:
+    forget()
+    release()
     return out
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """In a bucket: for keys of two blocks or more, send each block the earliest place and the sum over all blocks."""
-    out: dict[str, list] = {n: [] for n in ANSWERS.names}
+def send(groups: Groups, kind: int, block: int, way: Way, out: dict[str, list]) -> None:
+    owner = np.full(len(groups.code), block, np.int32)
+    addressed(kind, False, [owner, groups.code, groups.more, groups.doc, groups.pos, groups.count, groups.total], way, 1, block, out)
+
+
+def note(block: int, data: bytes, way: Way, out: dict[str, list]) -> None:
+    """A block's word to itself: it goes by the bucket of the block's own number, and back."""
+    for name, value in zip(ROWS.names, (int(way.prefix(np.int64(block), 1)), block // way.radix, STATE, block, data), strict=True):
+        out[name].append(value)
+
+
+def answer(table: pa.Table, way: Way) -> pa.Table:
+    """In a bucket: for keys that occur again, tell each block that has them; the earliest place and the sum over all blocks."""
+    out: dict[str, list] = {n: [] for n in ROWS.names}
+    bucket = int(table["a"][0].as_py())
     kinds = table["kind"].to_numpy()
-    for kind in np.unique(kinds):
+    for kind in map(int, np.unique(kinds)):
         sub = table.filter(pa.array(kinds == kind))
-        if kind == STATE:  # a block's note to itself passes through
-            for name, values in zip(ANSWERS.names, (sub["block"], sub["kind"], sub["data"]), strict=True):
-                out[name] += values.to_pylist()
+        values = sub["data"].to_pylist()
+        if kind == STATE:
+            for block, data in zip(sub["block"].to_pylist(), values, strict=True):
+                note(block, data, way, out)
             continue
-        parts, blocks = [], []
-        for block, data in zip(sub["block"].to_pylist(), sub["data"].to_pylist(), strict=True):
-            code, more, doc, pos, many, count, total = unpack(data)
-            doc, pos = np.cumsum(doc), pos.astype(np.int64)
-            counts, totals = np.ones(len(code), np.int64), place(doc, pos)
-            counts[many], totals[many] = count, total
-            parts.append((code, more, doc, pos, counts, totals))
-            blocks.append(np.full(len(code), block, np.int64))
-        g = digit_groups(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        block = np.concatenate(blocks)
+        columns = get(kind, False, values)
+        if kind == LEVEL:
+            block, code, count = columns
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+            sizes = np.diff(np.concatenate((first, [len(order)])))
+            again = np.repeat(np.add.reduceat(count[order].astype(np.int64), first) > 1, sizes)
+            addressed(kind, True, [c[order[again]] for c in (block, code)], way, 1, bucket, out)
+            continue
+        block, code, more, doc, pos, count, total = columns
+        g = digit_groups(code, more, doc, pos, count, total)
         wanted = np.bincount(g.slot)[g.slot] > 1
         if kind == WINDOW:  # only who has a later place than the earliest needs to know
-            doc, pos = (np.concatenate(c) for c in list(zip(*parts, strict=True))[2:4])
             wanted &= (g.doc[g.slot] != doc) | (g.pos[g.slot] != pos)
         shared = np.flatnonzero(wanted)
-        shared = shared[np.argsort(block[shared], kind="stable")]
-        for part in np.split(shared, np.flatnonzero(np.diff(block[shared])) + 1) if len(shared) else []:
-            j = np.sort(g.slot[part])
-            # an anchor's place and a window's sum are not used; that a key is shared says that it occurs again
-            doc, pos = (0 * g.doc[j], 0 * g.pos[j]) if kind == ANCHOR else (g.doc[j], g.pos[j])
-            total = 0 * g.total[j] if kind == WINDOW else g.total[j]
-            data = pack(g.code[j], g.more[j], doc, pos.astype(np.uint32), total.astype(np.uint32))
-            for name, value in zip(ANSWERS.names, (int(block[part[0]]), int(kind), data), strict=True):
-                out[name].append(value)
-    return pa.table(out, schema=ANSWERS)
+        shared = shared[np.argsort(g.slot[shared], kind="stable")]
+        j = g.slot[shared]
+        # an anchor's place and a window's sum are not used; that a key is shared says that it occurs again
+        doc, pos = (0 * g.doc[j], 0 * g.pos[j]) if kind == ANCHOR else (g.doc[j], g.pos[j])
+        total = 0 * g.total[j] if kind == WINDOW else g.total[j]
+        addressed(kind, True, [block[shared], g.code[j], g.more[j], doc, pos.astype(np.uint32), total.astype(np.uint32)], way, 1, bucket, out)
+    return pa.table(out, schema=ROWS)
+
+
+def told(answers: pa.Table, kind: int) -> list[bytes]:
+    return [d for d, k in zip(answers["data"].to_pylist(), answers["kind"].to_pylist(), strict=True) if k == kind]
+
+
+def repeated_codes(answers: pa.Table) -> np.ndarray:
+    """Sorted codes of a block's minimizers that occur again."""
+    values = told(answers, LEVEL)
+    return np.sort(get(LEVEL, True, values)[1]) if values else np.zeros(0, np.uint64)
 
 
 def merged(groups: Groups, answers: pa.Table, kind: int) -> Groups:
     """The block's keys with what the answers say; a key without an answer occurs in this block only."""
-    rows = [unpack(d) for d, k in zip(answers["data"].to_pylist(), answers["kind"].to_pylist(), strict=True) if k == kind]
-    if rows:
-        code, more, doc, pos, total = (np.concatenate(c) for c in zip(*rows, strict=True))
+    values = told(answers, kind)
+    if values:
+        _, code, more, doc, pos, total = get(kind, True, values)
         order = np.lexsort((more, code))
         both = np.concatenate((groups.code, code[order])), np.concatenate((groups.more, more[order]))
         rank = np.lexsort((np.arange(len(both[0])), both[1], both[0]))  # a key, then its answer
@@ -343,17 +497,18 @@ class Block:
 
 
 def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, doc_id, text) as one compressed row for each block and batch."""
+    """Rows (block, doc_id, text, extra) as one compressed row for each block and batch."""
+    forget()
     for batch in batches:
         if not batch.num_rows:
             continue
         block = batch.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
         block, batch = block[order], batch.take(pa.array(order))
-        ids, (data, offsets) = batch.column("doc_id"), utf8(batch.column("text"))
+        ids, (data, offsets), (more, ends) = batch.column("doc_id"), utf8(batch.column("text")), utf8(batch.column("extra"))
         null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(NO_ID).to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-        rows = [pack(ids[a:b], null[a:b].astype(np.uint8), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = [pack(ids[a:b], null[a:b].astype(np.uint8), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]], np.diff(ends[a : b + 1]), more[ends[a] : ends[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.record_batch([pa.array(block[cuts[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["block", "data"])
 
 
@@ -364,32 +519,53 @@ class Texts:
     ids: np.ndarray
     null: np.ndarray
     texts: list[np.ndarray]
+    extra: list[bytes]  # what else is carried with each
 
 
 def read_texts(table: pa.Table) -> Texts:
-    ids, null, texts = [], [], []
+    ids, null, texts, extra = [], [], [], []
     for data in table["data"].to_pylist():
-        own, missing, lengths, raw = unpack(data)
+        own, missing, lengths, raw, sizes, more = unpack(data)
         ids.append(own)
         null.append(missing)
         texts += np.split(raw, np.cumsum(lengths)[:-1])
+        extra += [e.tobytes() for e in np.split(more, np.cumsum(sizes)[:-1])]
     all_ids = np.concatenate(ids)
     order = np.argsort(all_ids, kind="stable")
-    return Texts(all_ids[order], np.concatenate(null)[order].astype(bool), [texts[i] for i in order])
+    return Texts(all_ids[order], np.concatenate(null)[order].astype(bool), [texts[i] for i in order], [extra[i] for i in order])
+
 
+def level_round(table: pa.Table, answers: pa.Table | None, kind: Kind, way: Way, level: int) -> pa.Table:
+    """Send the minimizers of a level whose own minimizers, one level below, are known to repeat."""
+    lengths = [*kind.levels(), kind.k]
+    out: dict[str, list] = {n: [] for n in ROWS.names}
+    if table.num_rows:
+        block = int(table["block"][0].as_py())
+        known = None if answers is None else repeated_codes(answers)
+        docs = [] if known is not None and not len(known) else [t for t in map(kind.tokens, read_texts(table).texts) if len(t) >= kind.k]
+        codes, counts = np.unique(minimizers(docs, lengths[level], lengths[level + 1], None if known is None else (lengths[level - 1], known)), return_counts=True)
+        addressed(LEVEL, False, [np.full(len(codes), block, np.int32), codes, np.minimum(counts, 2).astype(np.uint8)], way, 1, block, out)
+    return pa.table(out, schema=ROWS)
 
-def read_block(table: pa.Table, kind: Kind) -> Block:
+
+def read_block(table: pa.Table, kind: Kind, known: np.ndarray) -> Block:
     t = read_texts(table)
-    docs = [kind.tokens(text) for text in t.texts]
-    found = scan(docs, kind.k)
+    docs = [kind.tokens(text) if len(text) >= kind.k else np.zeros(0, np.uint64) for text in t.texts]
+    found = scan(docs if len(known) else [], kind.k, known)
     none = np.zeros(len(found.gap_code), np.uint16)
     return Block(t.ids, docs, found, own_groups(found.code, found.more, t.ids[found.doc], found.pos), own_groups(found.gap_code, none, t.ids[found.gap_doc], found.gap_from))
 
 
-def first_round(table: pa.Table, kind: Kind, buckets: int) -> pa.Table:
-    block, b = int(table["block"][0].as_py()), read_block(table, kind)
-    rows = [send(b.sampled, SAMPLED, block, buckets), send(b.anchors, ANCHOR, block, buckets)]
-    return pa.table({n: [v for r in rows for v in r[n]] for n in ROWS.names}, schema=ROWS)
+def first_round(table: pa.Table, answers: pa.Table, kind: Kind, way: Way) -> pa.Table:
+    """Send the surviving sampled windows and anchors, and a note of the surviving codes."""
+    out: dict[str, list] = {n: [] for n in ROWS.names}
+    if table.num_rows:
+        block, known = int(table["block"][0].as_py()), repeated_codes(answers)
+        b = read_block(table, kind, known)
+        send(b.sampled, SAMPLED, block, way, out)
+        send(b.anchors, ANCHOR, block, way, out)
+        note(block, pack(known), way, out)
+    return pa.table(out, schema=ROWS)
 
 
 def earlier(doc: np.ndarray, pos: np.ndarray, own_doc: np.ndarray, own_pos: np.ndarray, within: bool) -> np.ndarray:
@@ -439,29 +615,28 @@ def union_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[first], start[first], (reach - doc * wide)[np.concatenate((first[1:] - 1, [len(doc) - 1]))]
 
 
-def second_round(table: pa.Table, answers: pa.Table, kind: Kind, buckets: int) -> pa.Table:
-    """Send the windows of open gaps, and a note to the block itself: what is covered so far and which gaps are open."""
+def second_round(table: pa.Table, answers: pa.Table, kind: Kind, way: Way) -> pa.Table:
+    """Send the windows of open gaps, and a note of what is covered so far and which gaps are open."""
+    out: dict[str, list] = {n: [] for n in ROWS.names}
     if not table.num_rows:
-        return ROWS.empty_table()
-    block, b = int(table["block"][0].as_py()), read_block(table, kind)
+        return pa.table(out, schema=ROWS)
+    block = int(table["block"][0].as_py())
+    b = read_block(table, kind, unpack(told(answers, STATE)[0])[0])
     merged(b.sampled, answers, SAMPLED), merged(b.anchors, answers, ANCHOR)
     hit, both, open_ = open_gaps(b, kind)
     f = b.scan
     gaps = f.gap_doc[open_], f.gap_from[open_], f.gap_to[open_]
     doc, pos, code, more = gap_windows(b.docs, *gaps, kind.k)
-    out = send(own_groups(code, more, b.ids[doc], pos), WINDOW, block, buckets)
+    send(own_groups(code, more, b.ids[doc], pos), WINDOW, block, way, out)
     spans = union_spans(np.concatenate((f.doc[hit], f.gap_doc[both])), np.concatenate((f.pos[hit], f.gap_from[both])), np.concatenate((f.pos[hit] + kind.k, f.gap_to[both] + kind.k)))
-    note = pack(*(x.astype(np.uint32) for x in (*gaps, *spans)))
-    for name, value in zip(ROWS.names, (block % buckets, block, STATE, note), strict=True):
-        out[name].append(value)
+    note(block, pack(*(x.astype(np.uint32) for x in (*gaps, *spans))), way, out)
     return pa.table(out, schema=ROWS)
 
 
 def covered(table: pa.Table, answers: pa.Table, kind: Kind) -> tuple[Texts, list[np.ndarray]]:
     """The block's documents with a flag for each token that a repeated window covers."""
     t = read_texts(table)
-    note = [d for d, k in zip(answers["data"].to_pylist(), answers["kind"].to_pylist(), strict=True) if k == STATE]
-    gap_doc, gap_from, gap_to, doc, start, end = (x.astype(np.int64) for x in unpack(note[0]))
+    gap_doc, gap_from, gap_to, doc, start, end = (x.astype(np.int64) for x in unpack(told(answers, STATE)[0]))
     wanted = set(gap_doc.tolist())
     tokens = [kind.tokens(text) if i in wanted else text for i, text in enumerate(t.texts)]
     at_doc, pos, code, more = gap_windows(tokens, gap_doc, gap_from, gap_to, kind.k)
@@ -474,29 +649,37 @@ def covered(table: pa.Table, answers: pa.Table, kind: Kind) -> tuple[Texts, list
     return t, [spans.get(i, []) for i in range(len(t.texts))]
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Texts, list], pa.Table], schema: pa.Schema, block_bytes: int = 2 << 20) -> DataFrame:
-    """Run both rounds over docs (doc_id, text) and apply ``finish`` to each block's texts and covered token spans.
+def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Texts, list], pa.Table], schema: pa.Schema, block_bytes: int = 2 << 20, radix: int = RADIX) -> DataFrame:
+    """Run all levels over docs (doc_id, text and, if any, extra string) and apply ``finish`` to each block's texts and covered token spans.
 
-    The documents are shuffled once by block, compressed; Spark reuses that exchange for the three readings.
+    The documents are shuffled once by block, compressed; Spark reuses that exchange for all readings.
     ``block_bytes`` of text make a block; a larger cluster takes larger blocks (and fewer rows between them).
     """
     from pyspark.sql.pandas.types import from_arrow_schema
 
     n = block_count(docs.sparkSession, text_bytes(docs), block_bytes)
-    blocks = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block"))
+    way = Way.of(n, radix)
+    extra = F.col("extra") if "extra" in docs.columns else F.lit("")
+    blocks = docs.select(F.col("doc_id").cast("long"), "text", extra.alias("extra"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block"))
     blocks = blocks.mapInArrow(pack_blocks, "block int, data binary").repartition(n, "block")
-    ddl_rows, ddl_answers = "bucket int, block int, kind int, data binary", "block int, kind int, data binary"
 
-    def freed(out: pa.Table) -> pa.Table:
-        release()
-        return out
+    def answered(rows: DataFrame) -> DataFrame:
+        return travel(travel(rows, False, way).groupBy("a").applyInArrow(lambda t: freed(answer(t, way)), DDL), True, way)
+
+    def with_answers(answers: DataFrame, step: Callable) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("a")).applyInArrow(lambda t, a: freed(step(t, a)), DDL)
+
+    answers = answered(blocks.groupBy("block").applyInArrow(lambda t: freed(level_round(t, None, kind, way, 0)), DDL))
+
+    def next_level(level: int) -> Callable:
+        return lambda t, a: level_round(t, a, kind, way, level)
 
-    one = blocks.groupBy("block").applyInArrow(lambda t: freed(first_round(t, kind, n)), ddl_rows)
-    first = one.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: freed(answer(t)), ddl_answers).repartition(n, "block")
-    two = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lambda t, a: freed(second_round(t, a, kind, n)), ddl_rows)
-    second = two.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: freed(answer(t)), ddl_answers).repartition(n, "block")
+    for level in range(1, len(kind.levels())):
+        answers = answered(with_answers(answers, next_level(level)))
+    answers = answered(with_answers(answers, lambda t, a: first_round(t, a, kind, way)))
+    answers = answered(with_answers(answers, lambda t, a: second_round(t, a, kind, way)))
 
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
         return freed(finish(*covered(t, a, kind))) if t.num_rows else schema.empty_table()
 
-    return blocks.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(last, from_arrow_schema(schema))
+    return blocks.groupBy("block").cogroup(answers.groupBy("a")).applyInArrow(last, from_arrow_schema(schema))

@@ -71,8 +71,29 @@ def test_substring_dedup(spark, length):
     tokens = [(t or "").encode().split() for _, t in docs]
     flags = brute(tokens, [key(i) for i, _ in docs], length, False)
     want = [(key(i), len(t), int(f.sum()), b" ".join(w for w, g in zip(t, f, strict=True) if not g).decode()) for (i, _), t, f in zip(docs, tokens, flags, strict=True)]
-    got = substring_dedup.substring_dedup(frame(spark, docs), length).collect()
-    assert sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+    for start in (2, length // 2):  # two or three levels, or one
+        got = substring_dedup.substring_dedup(frame(spark, docs), length, start).collect()
+        assert sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in got) == sorted(want)
+
+
+def test_keys_travel_in_passes(spark):
+    """More blocks than one task sends to: the result is that of a single pass."""
+    docs = corpus(4)
+    finish, schema = suffix_dedup._finish(False, False)
+    kind = windows.Kind(20, windows.byte_tokens, True)
+    rows = frame(spark, docs).select("doc_id", "text")
+    results = [sorted(map(str, windows.repeated_windows(rows, kind, finish, schema, 1500, radix).collect())) for radix in (512, 4)]
+    assert windows.Way.of(30, 4).passes == 3
+    assert results[0] == results[1]
+
+
+def test_no_level_is_sent_without_survivors():
+    words = [f"w{i}" for i in range(200)]
+    tokens = windows.word_tokens(np.frombuffer(" ".join(words).encode(), np.uint8))
+    codes = windows.minimizers([tokens], 6, 12, None)
+    assert len(codes) == len(np.unique(codes)) > 200 / 7
+    assert len(windows.minimizers([tokens], 12, 24, (6, np.zeros(0, np.uint64)))) == 0
+    assert set(windows.minimizers([tokens], 12, 24, (6, np.sort(codes)))) == set(windows.minimizers([tokens], 12, 24, None))
 
 
 def test_empty_tables(spark):
