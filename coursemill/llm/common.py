@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HUB_SALTS = 16
 CACHES: dict = {}  # what a Python worker remembers between tasks of one operator
 
 
@@ -22,6 +23,8 @@ def work_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="coursemill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/coursemill-{uuid.uuid4().hex}"
@@ -105,7 +108,7 @@ def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     Alternates large-star and small-star rounds (Kiveris et al. 2014); each round is written to the shared
     folder, and the rounds end when a round changes nothing. Rounds grow with the logarithm of the graph, and
-    aggregation by ``min`` combines before each shuffle; a hub's neighbours are never gathered into one row.
+    aggregation by ``min`` combines before each shuffle; a hub's neighbours are never gathered into one row or task.
     """
     edges = stored(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
 
@@ -114,7 +117,8 @@ def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         if not large:
             both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = both.join(low, "a")
+        every = F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1)))  # a hub's edges are dealt over so many tasks
+        joined = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(HUB_SALTS)).cast("int")).join(low.withColumn("salt", every), ["a", "salt"])
         kept = joined.where("b > a") if large else joined
         moved = kept.select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:

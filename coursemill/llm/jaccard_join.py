@@ -1,14 +1,18 @@
 """N-gram Jaccard self-join: a MinHash LSH forest proposes, exact set comparison decides.
 
-Each tree of the forest is a trie over a signature of minimum hashes; documents under one trie node share a prefix.
-The prefix is shortened from the full depth until pairs at the threshold are found with the target recall. Texts
-with equal shingle sets are one class from the start. Classes that share a node are chained (a node costs a link
-a member, never all pairs); each chained component is compared exactly, in cells of bounded size, and only
-counts and a spanning forest of the true links leave a cell.
+A tree of the forest orders all documents by a signature of DEPTH minimum hashes; in sorted order the documents under
+one trie node are neighbours, and the length of the prefix that a document shares with the one before it tells
+which nodes the two are under. So one sort of each tree holds its trie at every depth. The matched prefix starts at
+the full depth; tree by tree it is shortened by one hash, always where the fewest new neighbours join for the recall
+that is gained, until a pair at the threshold shares a matched prefix in some tree with the target recall. Texts with
+equal shingle sets are one class from the start. Classes that share a matched node are chained (a node costs a link a
+member, never all pairs); each chained component is compared exactly, in cells of bounded size among documents of
+like set sizes, and only counts and a spanning forest of the true links leave a cell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,22 +20,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import connected, mix64, stored, utf8
+from coursemill.llm.common import connected, mix64, release, stored, utf8
 from coursemill.llm.tokens import in_steps
 from coursemill.llm.windows import gram_codes, word_tokens
 
-WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 6, 0.9995
+WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 7, 0.9995
 CELL = 1024
-_MULT = np.random.default_rng(3).integers(1, 1 << 63, (TREES, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CELL_BYTES = 8 << 20  # text that a task compares
+SIGNED = 200_000  # signatures of a task of the sort
+_MULT = np.random.default_rng(3).integers(1, 1 << 63, (TREES * DEPTH, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def prefix_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """Shorten the matched prefix until a pair at the threshold shares one in some tree often enough."""
+def least_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
+    """The depth at which all trees together find a pair at the threshold often enough."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def matched_depths(joined: dict[tuple[int, int], int], trees: int, depth: int, threshold: float, recall: float) -> list[int]:
+    """Matched prefix of each tree. joined: (tree, depth) -> documents that share exactly so much with the one before.
+
+    All trees start at the full depth. Each step shortens the tree that adds the fewest neighbours for the recall gained.
+    """
+    floor = least_depth(trees, depth, threshold, recall)
+    depths = [depth] * trees
+    found = lambda d: -math.log1p(-(threshold**d)) if threshold < 1 else math.inf
+    while sum(map(found, depths)) < -math.log(1 - recall) and max(depths) > floor:
+        price = {t: (joined.get((t, d - 1), 0) + 1) / (found(d - 1) - found(d)) for t, d in enumerate(depths) if d > floor}
+        depths[min(price, key=lambda t: (price[t], t))] -= 1
+    return depths
+
+
 def shingles(text: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit codes of the word n-grams; a shorter text is one n-gram, an empty one has none."""
     tokens = word_tokens(text)
@@ -40,21 +60,19 @@ def shingles(text: np.ndarray, words: int = WORDS) -> np.ndarray:
     return np.unique(gram_codes(tokens, min(words, len(tokens))) + np.uint64(min(words, len(tokens))))
 
 
-def prefix_keys(codes: np.ndarray, depth: int) -> np.ndarray:
-    """For each tree a key of the first ``depth`` minimum hashes."""
-    low = np.full((TREES * depth,), np.iinfo(np.uint32).max, np.uint32)
-    mult = _MULT[:, :depth].reshape(-1, 1)
+def signature(codes: np.ndarray) -> np.ndarray:
+    """TREES x 2 numbers: DEPTH minimum hashes of 16 bits each, the first one highest."""
+    low = np.full(TREES * DEPTH, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(codes), 2048):
-        low = np.minimum(low, ((codes[at : at + 2048] * mult) >> np.uint64(32)).astype(np.uint32).min(axis=1))
-    key = np.arange(1, TREES + 1, dtype=np.uint64)
-    for column in low.reshape(TREES, depth).T:
-        key = mix64(key ^ column)
-    return key
+        low = np.minimum(low, ((codes[at : at + 2048] * _MULT) >> np.uint64(32)).astype(np.uint32).min(axis=1))
+    out = np.zeros((TREES, 8), ">u2")
+    out[:, :DEPTH] = (low & np.uint32(0xFFFF)).reshape(TREES, DEPTH)
+    return out.view(">i8").astype(np.int64)
 
 
-def signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
-    """doc_id, set_a, set_b (128-bit digest of the shingle set; null for none), keys (one a tree)."""
-    schema = "doc_id long, set_a long, set_b long, keys array<long>"
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, set_a, set_b (128-bit digest of the shingle set; null for none), size (shingles), bytes, high, low (a tree)."""
+    schema = "doc_id long, set_a long, set_b long, size long, bytes long, high array<long>, low array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,15 +83,76 @@ def signatures(docs: DataFrame, words: int, depth: int) -> DataFrame:
                     codes = shingles(data[a:b], words)
                     if len(codes):
                         digest = [int(np.add.reduce(mix64(codes ^ np.uint64(salt))).astype(np.int64)) for salt in (0x1234567, 0x89ABCDEF)]
-                        rows.append((doc, *digest, prefix_keys(codes, depth).view(np.int64)))
+                        rows.append((doc, *digest, len(codes), int(b - a), *signature(codes).T))
                     else:
-                        rows.append((doc, None, None, None))
-                doc, x, y, keys = zip(*rows, strict=True)
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "set_a", "set_b", "keys"])
+                        rows.append((doc, None, None, 0, int(b - a), None, None))
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "set_a", "set_b", "size", "bytes", "high", "low"])
 
     return docs.mapInArrow(run, schema)
 
 
+ENTRY = ["tree", "high", "low", "rep"]
+NODES = "tree int, high long, low long, rep long, shared int, heads array<long>, border boolean"
+
+
+def trie_nodes(entries: DataFrame, least: int) -> DataFrame:
+    """Of entries sorted within partitions: those that share at least ``least`` hashes with the entry before.
+
+    shared: how many; heads: the first entry of the node for each depth from ``least`` to DEPTH. The first and the last
+    entry of a partition come as border rows too, since nodes can go on in the next one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, heads = None, np.zeros(DEPTH - least + 1, np.int64)
+
+        def borders(row: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array([int(row[0])], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in row[1:]), pa.array([0], pa.int32()), pa.array([[]], pa.list_(pa.int64())), pa.array([True])]
+            return pa.record_batch(columns, names=[*ENTRY, "shared", "heads", "border"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ENTRY], axis=1)
+            if last is None:
+                yield borders(rows[0])
+            before = np.concatenate(([rows[0] if last is None else last], rows[:-1]))
+            hashes = lambda r: np.ascontiguousarray(r[:, 1:3]).astype(">i8").view(">u2")[:, :DEPTH]
+            shared = np.cumprod(hashes(rows) == hashes(before), axis=1).sum(axis=1) * (rows[:, 0] == before[:, 0])
+            if last is None:
+                shared[0] = 0
+            first = np.empty((len(rows), DEPTH - least + 1), np.int64)
+            for k, depth in enumerate(range(least, DEPTH + 1)):
+                at = np.maximum.accumulate(np.where(shared < depth, np.arange(len(rows)), -1))
+                first[:, k] = np.where(at >= 0, rows[np.maximum(at, 0), 3], heads[k])
+            last, heads = rows[-1], first[-1]
+            hit = np.flatnonzero(shared >= least)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(first[hit].reshape(-1)), DEPTH - least + 1).cast(pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column("tree").take(pa.array(hit)), *(pa.array(rows[hit, c]) for c in (1, 2, 3)), pa.array(shared[hit].astype(np.int32)), lists, pa.array(np.zeros(len(hit), bool))], names=[*ENTRY, "shared", "heads", "border"])
+        if last is not None:
+            yield borders(last)
+        release()
+
+    return entries.select(*ENTRY).mapInArrow(run, NODES)
+
+
+def forest_links(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Links (a, b) of classes (rep, high, low) to the first class of each matched node."""
+    spark = reps.sparkSession
+    least = least_depth(TREES, DEPTH, threshold, recall)
+    entries = reps.select("rep", F.posexplode(F.arrays_zip("high", "low")).alias("tree", "s")).select("tree", "s.high", "s.low", "rep")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-reps.count() * TREES // SIGNED))
+    nodes = stored(trie_nodes(entries.repartitionByRange(parts, *ENTRY).sortWithinPartitions(*ENTRY), least))
+    # two rows a partition: which nodes go on from one partition to the next
+    over = trie_nodes(nodes.where("border").coalesce(1).sortWithinPartitions(*ENTRY), least)
+    inside = nodes.where("not border").select("tree", "rep", "shared", "heads")
+    joined = {(r["tree"], r["shared"]): r["n"] for r in inside.groupBy("tree", "shared").agg(F.count("*").alias("n")).collect()}  # at most TREES x DEPTH rows
+    depths = matched_depths(joined, TREES, DEPTH, threshold, recall)
+    depth = F.element_at(F.array(*map(F.lit, depths)), F.col("tree") + 1)
+    met = inside.unionAll(over.where("not border").select("tree", "rep", "shared", "heads")).where(F.col("shared") >= depth)
+    return met.select(F.col("rep").alias("a"), F.element_at("heads", depth - least + 1).alias("b")).where("a <> b").distinct()
+
+
 def compare(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Number of links of each document of a cell, and for linked ones the smallest id they reach here (else their own).
 
@@ -123,6 +202,30 @@ def compare(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray], threshold
     return links, ids[np.array([find(x) for x in range(len(ids))])]
 
 
+def cells_of(chained: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, component, bytes, cells [{cell, side, across}] of chained classes (doc_id, component, size, bytes): where each is compared.
+
+    A component of at most CELL classes is one cell. Of a larger one only classes of like set sizes can be linked: they
+    are parted by steps of the threshold on the scale of sizes, and each step, in chunks of about CELL, meets itself
+    and the next one.
+    """
+    whole = chained.groupBy("component").agg(F.count("*").alias("members"))
+    step = F.when(F.col("members") <= CELL, 0).otherwise(F.floor(F.log(F.col("size")) / -math.log(threshold) + 1e-9)).cast("int") if threshold < 1 else F.lit(0)
+    placed = chained.join(whole, "component").withColumn("step", step)
+    chunks = placed.groupBy("component", "step").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
+    chunks = chunks.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("chunks"))  # a few dozen steps at most
+    of = lambda shift: F.coalesce(F.try_element_at("chunks", F.col("step") + shift), F.lit(0))
+    placed = placed.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), of(0)).cast("int"))
+    upto = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: i - 1)
+    cell = lambda a, i, b, j, side, across: F.struct(F.concat_ws(".", a, i, b, j).alias("cell"), side.cast("int").alias("side"), across.alias("across"))
+    c, k = F.col("chunk"), F.col("step")
+    own = F.transform(upto(of(0)), lambda o: cell(k, F.least(c, o), k, F.greatest(c, o), c > o, c != o))
+    up = F.when(of(1) > 0, F.transform(upto(of(1)), lambda o: cell(k, c, k + 1, o, F.lit(0), F.lit(True))))
+    down = F.when(of(-1) > 0, F.transform(upto(of(-1)), lambda o: cell(k - 1, o, k, c, F.lit(1), F.lit(True))))
+    cells = F.concat(own, F.coalesce(up, F.slice(own, 1, 0)), F.coalesce(down, F.slice(own, 1, 0)))
+    return placed.select("doc_id", "component", "bytes", cells.alias("cells"))
+
+
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
     """Link texts whose sets of ``words``-word shingles have a Jaccard similarity of ``threshold`` or more.
 
@@ -134,36 +237,31 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    depth = prefix_depth(TREES, DEPTH, threshold, recall)
-    known = stored(signatures(docs, words, depth))
-    reps = stored(known.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")))
-    nodes = reps.select("rep", F.posexplode("keys").alias("tree", "key"))
-    tops = nodes.groupBy("tree", "key").agg(F.min("rep").alias("top"), F.count("*").alias("n")).where("n > 1").drop("n")
-    chained = connected(nodes.join(tops, ["tree", "key"]).where("rep <> top").select(F.col("rep").alias("a"), F.col("top").alias("b")).distinct())
-    chained = stored(chained.withColumnRenamed("id", "doc_id"))
-    sizes = chained.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
-    placed = chained.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-    candidates = docs.join(placed.hint("merge"), "doc_id")  # one plan at every size: texts of all documents are dealt by id
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    cells = candidates.select("doc_id", "text", "component", "chunk", other.alias("other"))
-    cells = cells.select("doc_id", "text", "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cells = cells.withColumn("task", F.pmod(F.xxhash64("component", "i", "j"), F.lit(tasks * 8)).cast("int"))
+    known = stored(signatures(docs, words))
+    reps = stored(known.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("size", "bytes", "high", "low"), "doc_id").alias("s")).select("set_a", "set_b", "rep", "s.*"))
+    chained = connected(forest_links(reps, threshold, recall)).withColumnRenamed("id", "doc_id")
+    placed = stored(cells_of(chained.join(reps.select(F.col("rep").alias("doc_id"), "size", "bytes"), "doc_id"), threshold))
+    volume = placed.agg(F.sum(F.col("bytes") * F.size("cells"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // CELL_BYTES))
+    candidates = docs.join(placed.drop("bytes").hint("merge"), "doc_id")  # one plan at every size: texts of all documents are dealt by id
+    cells = candidates.select("doc_id", "text", "component", F.explode("cells").alias("c")).select("doc_id", "text", "component", "c.*")
+    cells = cells.withColumn("task", F.pmod(F.xxhash64("component", "cell"), F.lit(tasks)))
 
     def verify(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("component", "ascending"), ("i", "ascending"), ("j", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("component", "ascending"), ("cell", "ascending"), ("doc_id", "ascending")])
         data, offsets = utf8(table["text"])
-        ids, side = table["doc_id"].to_numpy(), table["side"].to_numpy()
-        keys = np.stack([table[c].to_numpy() for c in ("component", "i", "j")])
-        cuts = np.flatnonzero(np.concatenate(([True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True])))
+        ids, side, across = (table[c].to_numpy() for c in ("doc_id", "side", "across"))
+        part, cell = table["component"].to_numpy(), table["cell"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (cell[1:] != cell[:-1]), [True])))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a > 1:
                 sets = [shingles(data[offsets[r] : offsets[r + 1]], words) for r in range(a, b)]
-                links, root = compare(ids[a:b], side[a:b], sets, threshold, bool(keys[1, a] != keys[2, a]))
+                links, root = compare(ids[a:b], side[a:b], sets, threshold, bool(across[a]))
                 hit = links > 0
                 out.append((ids[a:b][hit], links[hit], root[hit]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        release()
         return pa.table(dict(zip(("doc_id", "links", "root"), columns, strict=True)))
 
     found = stored(cells.groupBy("task").applyInArrow(verify, "doc_id long, links long, root long"))

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coursemill.llm import embedding_dedup, jaccard_join, substring_dedup, suffix_dedup, windows
 from coursemill.llm.common import connected, pack, unpack
@@ -138,9 +139,39 @@ def test_large_group_is_compared_in_cells(spark, monkeypatch):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    assert jaccard_join.prefix_depth(24, 6, 0.8, 0.9) == 6
-    assert jaccard_join.prefix_depth(24, 6, 0.8, 0.9995) == 5
-    assert jaccard_join.prefix_depth(1, 6, 0.8, 0.9995) == 1
+    assert jaccard_join.least_depth(24, 7, 0.8, 0.9) == 7
+    assert jaccard_join.least_depth(24, 7, 0.8, 0.999) == 6
+    assert jaccard_join.least_depth(24, 7, 0.8, 0.9995) == 5
+    assert jaccard_join.least_depth(1, 7, 0.8, 0.9995) == 1
+    joined = {(t, d): (1000 if t < 6 else 10) for t in range(24) for d in range(1, 7)}
+    depths = jaccard_join.matched_depths(joined, 24, 7, 0.8, 0.9995)
+    assert 1 - np.prod([1 - 0.8**d for d in depths]) >= 0.9995
+    assert set(depths[:6]) == {7} and min(depths[6:]) == 5  # where shortening adds many, the prefix stays long
+
+
+def test_trie_nodes_go_on_over_partitions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(t), int(h) << 32, 0, i) for i, (t, h) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 6, 400), strict=True))]
+    entries = spark.createDataFrame(rows, "tree int, high long, low long, rep long")
+    nodes = jaccard_join.trie_nodes(entries.repartitionByRange(7, *jaccard_join.ENTRY).sortWithinPartitions(*jaccard_join.ENTRY), 2)
+    over = jaccard_join.trie_nodes(nodes.where("border").coalesce(1).sortWithinPartitions(*jaccard_join.ENTRY), 2)
+    links = nodes.unionAll(over).where("not border").select(F.col("rep").alias("a"), F.element_at("heads", jaccard_join.DEPTH - 1).alias("b"))
+    keys = {r[3]: r[:3] for r in rows}
+    got = dict(connected(links.where("a <> b")).collect())
+    first: dict = {}
+    for i in sorted(keys):
+        first.setdefault(keys[i], i)
+    assert {i: got.get(i, i) for i in keys} == {i: first[keys[i]] for i in keys}
+
+
+def test_large_components_are_parted_by_set_size(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL", 8)
+    rows = [(i, f"{' '.join(f'w{k}' for k in range(20 + i))}") for i in range(60)]  # each text is a start of the next
+    sets = [{tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for _, t in rows]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for b in sets) - 1 for a in sets]
+    got = jaccard_join.jaccard_join(frame(spark, rows)).orderBy("doc_id").collect()
+    assert [r.n_links for r in got] == want
+    assert {r.class_id for r in got} == {0}
 
 
 def test_embedding_dedup(spark):
