@@ -67,19 +67,19 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return share(target) - share(raw)
 
 
-def weights(docs: DataFrame, ratio: np.ndarray, seed: int) -> DataFrame:
-    """All columns of docs with log_weight and score (log_weight plus Gumbel noise drawn from the row's hash)."""
-    names = docs.columns
+def weights(docs: DataFrame, ratio: np.ndarray, seed: int, text: bool = False) -> DataFrame:
+    """All columns of docs with log_weight and score (log_weight plus Gumbel noise drawn from the doc_id's hash)."""
+    names = [n for n in docs.columns if text or n != "text"]
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_steps(batch):
                 data, offsets = utf8(part.column("text"))
                 w = [float(ratio[features(data[a:b])].sum()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.record_batch([*(part.column(n) for n in names if n != "text"), pa.array(w, pa.float64())], names=[*(n for n in names if n != "text"), "log_weight"])
+                yield pa.record_batch([*(part.column(n) for n in names), pa.array(w, pa.float64())], names=[*names, "log_weight"])
 
     uniform = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    weighed = docs.mapInArrow(weigh, docs.drop("text").withColumn("log_weight", F.lit(0.0)).schema)
+    weighed = docs.mapInArrow(weigh, docs.select(*names).withColumn("log_weight", F.lit(0.0)).schema)
     return weighed.withColumn("score", F.col("log_weight") - F.log(-F.log(uniform)))
 
 
@@ -117,7 +117,7 @@ def quality_sample(docs: DataFrame, labels: DataFrame, share: float | None = Non
 
     ``share`` of the rows is kept, rounded up; if None, the share of good ones among the labels, plus ``margin``. Of more
     than ``label_limit`` labelled ids those with the smallest hashes are used; nothing else is bounded. Returns the
-    kept rows: doc_id, the columns of ``carry``, log_weight, score. Null labels count as not labelled and an id with
+    kept rows: doc_id, the columns of ``carry`` (any of docs), log_weight, score. Null labels count as not labelled and an id with
     several labels as good if any is. Null text is empty and weighs 0. A null doc_id is never labelled. Ties in
     score fall to the smaller doc_id. With no good label the ratio is 0 everywhere and the sample is uniform.
     """
@@ -126,10 +126,10 @@ def quality_sample(docs: DataFrame, labels: DataFrame, share: float | None = Non
     n, good = some.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") > 0).cast("long")), F.lit(0))).first()
     if share is None:
         share = min(1.0, (good / n if n else 1.0) + margin)
-    docs = docs.select(F.col("doc_id").cast("long"), "text", *carry)
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *(c for c in carry if c != "text"))
     raw, target = ngram_counts(docs, some.where("quality > 0").select("doc_id"))
     ratio = log_ratio(raw, target) if target.sum() else np.zeros(BUCKETS)
-    scored = stored(weights(docs, ratio, seed))
+    scored = stored(weights(docs, ratio, seed, "text" in carry))
     some.unpersist()
     return top_k(scored, math.ceil(share * scored.count()))
 
