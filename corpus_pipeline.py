@@ -1,7 +1,9 @@
 """A corpus from raw documents to packed sequences: select, drop near copies, cut repeated passages, pack.
 
-Stages hand each other tables with the columns of ``documents``, written as Parquet between them. Results meet their
-rows by doc_id and text together, so a null doc_id is an id like any other, and rows that share one stay apart.
+Stages hand each other tables with the columns of ``documents``, written as Parquet between them. The operators carry a
+row's other columns along, so a null doc_id is an id like any other, and rows that share one stay apart. Every stage
+gives an empty table for an empty one; null and empty texts are kept by all stages but of rows equal to each other the
+second one keeps one.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that importance resampling draws towards the good ones.
 
-    Rows with a null doc_id are drawn like others. Of rows equal in doc_id and text as many stay as were drawn.
+    Each row is drawn for itself, those with a null doc_id like others. Rows that share a doc_id share its noise.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = docs.withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "text"))
-    drawn = quality_sample(docs, labels, carry=("row",)).groupBy("row").agg(F.count("*").alias("drawn"))
-    return _numbered(docs.join(drawn, "row")).where("number <= drawn").select(*COLUMNS)
+    return quality_sample(docs, labels, carry=COLUMNS[1:]).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     classes = jaccard_join(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id").distinct()
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = docs.select("row", "doc_id").distinct().join(classes, "row").groupBy("class_id").agg(F.min(order).alias("first")).select("first.row")
-    return _numbered(docs.join(first, "row")).where("number = 1").select(*COLUMNS)
+    number = F.row_number().over(Window.partitionBy("row").orderBy("lang", "source", "n_chars"))
+    return docs.join(first, "row").withColumn("number", number).where("number = 1").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,29 +52,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Each row gives a row. A null doc_id is later than all others; rows that share a doc_id, null too, are not earlier
     than each other, and each keeps its own text.
     """
-    kept = _texts(suffix_dedup(docs, key=True).select("row_key", "kept"))
-    # rows of one key have the same text and lose the same bytes
-    kept = kept.withColumn("number", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))).where("number = 1").drop("number")
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    return docs.withColumn("row_key", key).drop("text", "n_chars").join(kept, "row_key").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """rows with number, which counts those of one row key."""
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy("row").orderBy("lang", "source", "n_chars")))
-
+    kept = suffix_dedup(docs, carry=("lang", "source")).select("doc_id", "kept", "lang", "source")
 
-def _texts(kept: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(b or b"").decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.record_batch([batch.column("row_key"), pa.array(texts, pa.string())], names=["row_key", "text"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("lang"), batch.column("source")], names=["doc_id", "text", "lang", "source"])
 
-    return kept.mapInArrow(run, "row_key string, text string")
+    texts = kept.mapInArrow(run, "doc_id long, text string, lang string, source string")
+    return texts.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; rows that share a doc_id are packed each for itself."""
     return pack(docs)
 
 
