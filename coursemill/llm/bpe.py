@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coursemill.llm.common import short_batches
 from coursemill.llm.tokens import byte_level, cache, default_tokenizer, encode_texts, gather, in_steps
 
 
@@ -148,6 +149,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     give a row; an empty table gives none.
     """
     tokenizer = tokenizer or default_tokenizer()
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache(TrieWords, tokenizer)
@@ -176,6 +178,7 @@ def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both directions in one pass over the documents; only digests leave the workers."""
     tokenizer = default_tokenizer()
+    short_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, text = cache(TrieWords, tokenizer), decoder(tokenizer)

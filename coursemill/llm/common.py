@@ -30,6 +30,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/coursemill-{uuid.uuid4().hex}"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Send few and bounded rows to Python at once: documents are long. Settings that the session has made stay."""
+    for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, value)
+
+
 def stored(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = work_dir(df.sparkSession)

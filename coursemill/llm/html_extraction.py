@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coursemill.llm.common import short_batches
 from coursemill.llm.tokens import in_steps
 
 # fixed values: element names as HTML defines them
@@ -300,6 +301,7 @@ def extract(pages: DataFrame) -> DataFrame:
     page_id, and repeated pages, each give a row. Pages cut off in the middle are read as far as they go. An empty
     table gives no rows.
     """
+    short_batches(pages.sparkSession)
     host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
     rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("page_key"))
     salted = templates(rows).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

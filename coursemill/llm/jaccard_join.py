@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import connected, mix64, release, stored, utf8
+from coursemill.llm.common import connected, mix64, release, short_batches, stored, utf8
 from coursemill.llm.tokens import in_steps
 from coursemill.llm.windows import gram_codes, word_tokens
 
@@ -236,6 +236,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     each of their texts. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = stored(signatures(docs, words))
     reps = stored(known.where("set_a is not null and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("size", "bytes", "high", "low"), "doc_id").alias("s")).select("set_a", "set_b", "rep", "s.*"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import stored
+from coursemill.llm.common import short_batches, stored
 from coursemill.llm.tokens import LibraryWords, cache, default_tokenizer, encode_texts, in_steps
 
 LENGTH = 2048
@@ -128,6 +128,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id (from 0, dense), offset (in the sequence).
     """
     spark = docs.sparkSession
+    short_batches(spark)
     cut = stored(pieces(docs, tokenizer, length, end_id))
     capacity = length // width
     salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_SPLITS))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import mix64, stored, utf8
+from coursemill.llm.common import mix64, short_batches, stored, utf8
 from coursemill.llm.tokens import in_steps
 from coursemill.llm.windows import gram_codes, run_codes
 
@@ -121,6 +121,7 @@ def quality_sample(docs: DataFrame, labels: DataFrame, share: float | None = Non
     several labels as good if any is. Null text is empty and weighs 0. A null doc_id is never labelled. Ties in
     score fall to the smaller doc_id. With no good label the ratio is 0 everywhere and the sample is uniform.
     """
+    short_batches(docs.sparkSession)
     by_id = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = by_id.orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_limit).cache()
     n, good = some.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") > 0).cast("long")), F.lit(0))).first()

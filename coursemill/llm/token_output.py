@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import block_count, text_bytes, work_dir
+from coursemill.llm.common import block_count, short_batches, text_bytes, work_dir
 from coursemill.llm.tokens import LibraryWords, cache, default_tokenizer, encode_texts, in_steps
 
 END_ID = 2
@@ -39,6 +39,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     that share a doc_id are all written. An empty table writes a file without rows.
     """
     tokenizer = tokenizer or default_tokenizer()
+    short_batches(docs.sparkSession)
     parts = block_count(docs.sparkSession, text_bytes(docs), 32 << 20)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

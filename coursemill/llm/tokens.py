@@ -18,8 +18,8 @@ import pyarrow.compute as pc
 
 from coursemill.llm.common import CACHES, forget, release
 
-BATCH_BYTES = 8 << 20
-CACHE_PARTS = 400_000
+BATCH_BYTES = 4 << 20
+CACHE_PARTS = 300_000
 _MARK = "\x01"  # one token of its own between words that are encoded together
 _LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ"
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"  # no apostrophe: it may start a token of its own

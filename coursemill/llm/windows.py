@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import block_count, forget, mix64, pack, release, text_bytes, unpack, utf8
+from coursemill.llm.common import block_count, forget, mix64, pack, release, short_batches, text_bytes, unpack, utf8
 
 PIECE = 1 << 17
 NO_ID = np.iinfo(np.int64).max
@@ -496,20 +496,33 @@ class Block:
     anchors: Groups
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.Table]:
+    """Batches joined up to about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, doc_id, text, extra) as one compressed row for each block and batch."""
+    """Rows (block, doc_id, text, extra) as one compressed row for each block and about 16 MB of input."""
     forget()
-    for batch in batches:
-        if not batch.num_rows:
+    for table in gathered(batches):
+        if not table.num_rows:
             continue
-        block = batch.column("block").to_numpy()
+        block = table["block"].to_numpy()
         order = np.argsort(block, kind="stable")
-        block, batch = block[order], batch.take(pa.array(order))
-        ids, (data, offsets), (more, ends) = batch.column("doc_id"), utf8(batch.column("text")), utf8(batch.column("extra"))
+        block, table = block[order], table.take(pa.array(order))
+        ids, (data, offsets), (more, ends) = table["doc_id"].combine_chunks(), utf8(table["text"]), utf8(table["extra"])
         null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(NO_ID).to_numpy()
         cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
         rows = [pack(ids[a:b], null[a:b].astype(np.uint8), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]], np.diff(ends[a : b + 1]), more[ends[a] : ends[b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield pa.record_batch([pa.array(block[cuts[:-1]], pa.int32()), pa.array(rows, pa.binary())], names=["block", "data"])
+    release()
 
 
 @dataclass
@@ -657,6 +670,7 @@ def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Texts, list]
     """
     from pyspark.sql.pandas.types import from_arrow_schema
 
+    short_batches(docs.sparkSession)
     n = block_count(docs.sparkSession, text_bytes(docs), block_bytes)
     way = Way.of(n, radix)
     extra = F.col("extra") if "extra" in docs.columns else F.lit("")
