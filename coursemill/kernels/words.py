@@ -11,25 +11,26 @@ import pandas as pd
 def edit_operations(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of a shortest word alignment.
 
-    One row of the table is made at a time; the insertions along a row are a running minimum. Operation counts travel
-    packed with the cost, so no table is kept for a trace back; ties prefer substitution, then deletion.
+    One row of the table is made at a time; the insertions along a row are a running minimum. A value holds the cost
+    above the deletions, in as many bits as the lengths need, so no table is kept for a trace back; the lengths give the
+    insertions. Ties prefer substitution, then deletion.
     """
     names = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
     ref = np.array([names[w] for w in reference], np.int64)
     hyp = np.array([names[w] for w in hypothesis], np.int64)
-    n = len(hyp)
-    base = np.int64(1) << 40  # cost above, then deletions, then insertions
-    step_i, step_d, step_s = base + 1, base + (np.int64(1) << 20), base
-    across = np.arange(n + 1) * step_i
+    n, bits = len(hyp), len(ref).bit_length()
+    kind = np.int32 if bits + (len(ref) + n).bit_length() < 31 else np.int64
+    one = kind(1 << bits)
+    across = np.arange(n + 1, dtype=kind) * one
     row = across.copy()
     for word in ref:
-        diagonal = row[:-1] + np.where(hyp == word, 0, step_s)
-        new = np.empty(n + 1, np.int64)
-        new[0] = row[0] + step_d
-        new[1:] = np.minimum(diagonal, row[1:] + step_d)
-        row = np.minimum.accumulate(new - across) + across
-    total = int(row[-1])
-    cost, deletions, insertions = total >> 40, (total >> 20) & 0xFFFFF, total & 0xFFFFF
+        new = np.empty(n + 1, kind)
+        new[0] = row[0] + one + kind(1)
+        np.minimum(row[:-1] + (hyp != word) * one, row[1:] + (one + kind(1)), out=new[1:])
+        new -= across
+        row = np.minimum.accumulate(new) + across
+    cost, deletions = int(row[-1]) >> bits, int(row[-1]) & (int(one) - 1)
+    insertions = deletions + n - len(ref)
     return cost - deletions - insertions, deletions, insertions
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coursemill.kernels import latex, links, words
+from coursemill.functions import links
+from coursemill.kernels import latex, words
 from coursemill.operators import catalog as C
 from coursemill.operators import slides as P
 from coursemill.plans.views import VIEWS, view, with_views
@@ -326,19 +327,17 @@ def tidy(spark, d):
 def link_reasons(spark, d):
     p = F.col("page_id") % 5
     url = F.when(p == 0, F.concat(F.lit("ftp://x.org/"), F.col("page_id").cast("string"))).when(p == 1, "http://10.0.0.1/a").when(p == 2, "https://me:pw@host.org/v").when(p == 3, "http://queue/x").otherwise(F.col("url"))
-    return view(spark, d, "pages").select("page_id", F.pandas_udf(links.refusals, "string")(url).alias("reason"))
+    return view(spark, d, "pages").select("page_id", links.refusal(url).alias("reason"))
 
 
 @query("b20_excerpt")
 def excerpt(spark, d):
-    docs = view(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.pandas_udf(links.excerpts, "string")("text", F.lit("the thand erndes")).alias("excerpt"))
+    return view(spark, d, "documents").select("doc_id", links.excerpt(F.col("text"), F.lit("the thand erndes")).alias("excerpt"))
 
 
 @query("b20_highlight_terms")
 def highlight(spark, d):
-    docs = view(spark, d, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.pandas_udf(links.matches, "array<string>")("text", F.lit("the thand erndes")).alias("words"))
+    return view(spark, d, "documents").select("doc_id", links.highlights(F.col("text"), F.lit("the thand erndes")).alias("words"))
 
 
 @query("b22_slugify", r"SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM benchmark WHERE regexp_full_match(text, '[ -~\n]*')")

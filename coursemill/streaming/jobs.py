@@ -173,30 +173,30 @@ def upsert_feedback_stream(ratings: DataFrame, path: str) -> DataFrame:
 def detect_slides_stream(frames: DataFrame) -> DataFrame:
     """(lecture_id, span_index, slide_id, start_s): spans of detect_slides as they are accepted, from a stream of frames.
 
-    A lecture's state is its slide machine; frames of a batch are taken in time order, and batches must come in order.
+    A lecture's state is its deck; frames of a batch are taken in time order, and batches must come in order.
     A span ends where the next one of its lecture starts.
     """
     import pickle
 
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    from coursemill.operators.slides import SlideMachine
+    from coursemill.operators.slides import Deck
 
     names = sorted(c for c in frames.columns if c[0] == "h" and c[1:].isdigit())
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = pickle.loads(state.get[0]) if state.exists else SlideMachine(len(names))  # written by this job alone
-        known = len(machine.spans)
+        deck = pickle.loads(state.get[0]) if state.exists else Deck(len(names))  # written by this job alone
+        known = len(deck.spans)
         rows = pd.concat(list(batches)).sort_values("t_s", kind="stable")
-        for t, s, h in zip(rows.t_s, rows.is_slide, rows[names].to_numpy("int64"), strict=True):
-            machine.push(float(t), bool(s), h)
-        state.update((pickle.dumps(machine),))
-        out = [(key[0], i, x[0], x[1]) for i, x in enumerate(machine.spans) if i >= known]
+        slides = rows[rows.is_slide]
+        deck.feed(slides.t_s.to_numpy(float), slides[names].to_numpy("int64"))
+        state.update((pickle.dumps(deck),))
+        out = [(key[0], i, slide, start) for i, (slide, start) in enumerate(deck.spans) if i >= known]
         yield pd.DataFrame(out, columns=["lecture_id", "span_index", "slide_id", "start_s"])
 
     kind = dict(frames.dtypes)["lecture_id"]
     rows = frames.select("lecture_id", "t_s", "is_slide", *names)
-    return rows.groupBy("lecture_id").applyInPandasWithState(step, f"lecture_id {kind}, span_index int, slide_id int, start_s double", "machine binary", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("lecture_id").applyInPandasWithState(step, f"lecture_id {kind}, span_index int, slide_id int, start_s double", "deck binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def sample_per_key_stream(frames: DataFrame, keys: list[str], limit: int = 6, gap_s: float = 10.0) -> DataFrame:

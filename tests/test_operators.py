@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from coursemill.functions import links
 from coursemill.functions import text as T
-from coursemill.kernels import latex, links, words
+from coursemill.kernels import latex, words
 from coursemill.operators import qa, slides, timeline
 from coursemill.sources import io
 
@@ -46,9 +47,25 @@ def test_place():
     assert missing == ["n", "x^2"]
 
 
-def test_links():
-    bad = {"ftp://a.org": "scheme", "http://10.0.0.1": "private", "https://u:p@a.org": "credentials", "http://host/x": "private", "http://a.org:x/": "invalid", "http://[::ffff:127.0.0.1]/": "private", "https://a.org/" + "x" * 2100: "too long", " https://a.org/v ": None}
-    assert [links.refusal(u) for u in bad] == list(bad.values())
+def test_links(spark):
+    bad = {"ftp://a.org": "scheme", "http://10.0.0.1": "private", "https://u:p@a.org": "credentials", "http://host/x": "private", "http://a.org:x/": "invalid", "http://a.org:70000/": "invalid", "http://[::ffff:127.0.0.1]/": "private", "http://[2001:4860:4860::8888]/": None, "http://8.8.8.8:80/": None, "http://[::1": "invalid", "https://": "no host", "https://a.local./": "private", "nothing": "scheme", "https://a.org/" + "x" * 2100: "too long", " https://a.org/v ": None, "https://@a.org/": None}
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate([*bad, None])], "i int, u string").select("i", links.refusal(F.col("u")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in rows] == [*bad.values(), "scheme"]
+
+
+def test_excerpts_and_highlights(spark):
+    far = "aa " * 40 + "Näh-Wörter of wörtlich, the word"
+    cases = [(far, "the Wört?"), ("short wört", "wört"), ("x" * 99 + ".wört", "wört"), (far, "the of"), (None, "wört"), ("\U0001f600 " * 50 + "wört", "wört")]
+    rows = spark.createDataFrame([(i, t, q) for i, (t, q) in enumerate(cases)], "i int, t string, q string")
+    got = rows.select("i", links.excerpt(F.col("t"), F.col("q")).alias("e"), links.highlights(F.col("t"), F.col("q")).alias("h")).orderBy("i").collect()
+    assert got[0].e == "…" + ("aa " * 40 + "Näh-Wörter")[66:] + " of wörtlich, the word" and got[0].h == ["Wörter", "wörtlich"]
+    assert [r.e for r in got[1:]] == ["short wört", "…wört", far, "", "…" + "\U0001f600 " * 29 + "wört"]
+    assert [r.h for r in got[1:]] == [["wört"], ["wört"], [], [], ["wört"]]
+
+
+def test_latex_groups():
+    cases = {r"\frac{\alpha}{\sqrt{xy}}": "α/(√(xy))", r"x_{\text{ab}} \foo{\beta}": "x_{ab} \\foo{β}", r"\frac{x_{ab}}{c}": r"\frac{x_{ab}}{c}", r"\{a\} \unclosed{": r"{a} \unclosed{", r"\mathbf {v}^{2}  \vec{}": "v^2 \\vec{}", r"\\alpha": r"\\alpha", r"\\beta x": "β x"}
+    assert {k: latex.readable(k) for k in cases} == {k: (v if k != r"\\alpha" else "α") for k, v in cases.items()}
 
 
 def test_edit_operations_match_the_full_table():
@@ -63,6 +80,7 @@ def test_edit_operations_match_the_full_table():
         s, dl, ins = words.edit_operations(a, b)
         assert s + dl + ins == d[-1, -1]
         assert len(a) - dl + ins == len(b)
+    assert words.edit_operations(["a"] * 70_000, ["b"] * 3) == (3, 69_997, 0)  # no length is too long
 
 
 def test_slide_machine(spark):
@@ -75,6 +93,44 @@ def test_slide_machine(spark):
     assert got[0].slide_share == 9 / 12
 
 
+def fold_by_hand(shots: list[tuple[float, np.ndarray]]) -> list[tuple[int, float]]:
+    """The rule of detect_slides, a sample at a time."""
+    far = lambda a, b: sum(bin(int(x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b, strict=True)) / (64 * len(a))
+    known: list[np.ndarray] = []
+    at, spans, waiting = None, [], []
+    for t, h in shots:
+        if at is not None and far(h, known[at]) < slides.SAME:
+            known[at], waiting = h, []
+            continue
+        waiting = [*waiting, (t, h)] if waiting and far(h, waiting[-1][1]) < slides.SAME else [(t, h)]
+        if len(waiting) >= slides.STABLE:
+            at = next((i for i, k in enumerate(known) if far(k, h) < slides.REVISIT), len(known))
+            known[at : at + 1] = [h]
+            spans.append((at, waiting[0][0]))
+            waiting = []
+    return spans
+
+
+def test_deck_in_one_batch_and_in_many():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        base = rng.integers(-(2**62), 2**62, (5, 4))
+        shots = []
+        for t in range(int(rng.integers(1, 120))):
+            h = base[int(rng.integers(0, 5)) if rng.random() < 0.4 or not shots else last].copy()
+            last = int(np.flatnonzero((base == h).all(axis=1))[0])
+            for _ in range(int(rng.integers(0, 20))):
+                h[int(rng.integers(0, 4))] ^= np.int64(1 << int(rng.integers(0, 62)))
+            shots.append((float(t), h))
+        t, h = np.array([s[0] for s in shots]), np.array([s[1] for s in shots])
+        for step in (1, 7, 500):
+            deck = slides.Deck(4)
+            deck.LOOK = 16
+            for i in range(0, len(t), step):
+                deck.feed(t[i : i + step], h[i : i + step])
+            assert deck.spans == fold_by_hand(shots)
+
+
 def test_sample_per_key_counts_from_the_last_one_kept(spark):
     frames = spark.createDataFrame([("k", float(t), t) for t in (0, 4, 9, 10, 19, 20, 31)], "page string, t_s double, frame long")
     assert [r.frame for r in slides.sample_per_key(frames, ["page"], 3, 10.0).orderBy("t_s").collect()] == [0, 10, 20]
