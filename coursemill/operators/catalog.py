@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,38 +103,82 @@ def export_manifest(lectures: DataFrame, courses: DataFrame) -> tuple[DataFrame,
 
 
 def own_threads(threads: DataFrame, viewers: DataFrame, limit: int = 50) -> DataFrame:
-    return newest(changeable(threads, viewers), ["viewer_id"], limit, "updated_at")
+    """A viewer's own threads, or everyone's for admins, newest first. Each list is cut before it meets a viewer."""
+    every = threads.orderBy(F.desc("updated_at"), F.desc("id")).limit(limit)
+    own = newest(threads, ["owner_id"], limit, "updated_at")
+    rows = changeable(own, viewers.where("not admin")).unionAll(changeable(every, viewers.where("admin")))
+    return newest(rows, ["viewer_id"], limit, "updated_at")
 
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """JSON object of flat string or integer columns: keys sorted, no blanks."""
-    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(fields.items())]
-    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"} | {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in "\n\r\t\b\f"}
 
 
 def quoted(c: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A JSON string: quotes, backslashes and control characters escaped, all else as it is; null stays null."""
+    for raw, shown in _ESCAPES.items():
+        c = F.replace(c, F.lit(raw), F.lit(shown))
+    return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def json_object(fields: dict[str, Column]) -> Column:
+    """JSON object of columns that are JSON already: keys sorted, no blanks."""
+    return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(fields.items()))), F.lit("}"))
+
+
+def json_map(c: Column) -> Column:
+    """JSON object of a map of strings, in order of its keys; an empty one for null."""
+    pairs = F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(quoted(e["key"]), F.lit(":"), quoted(e["value"])))
+    return F.concat(F.lit("{"), F.coalesce(F.array_join(pairs, ","), F.lit("")), F.lit("}"))
+
+
+def canonical(texts: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys and no blanks; NaN and infinity are refused."""
+
+    def refuse(name: str) -> None:
+        raise ValueError(f"{name} has no place in a key")
+
+    return texts.map(lambda t: "{}" if t is None else json.dumps(json.loads(t, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 def cache_keys(specs: DataFrame) -> DataFrame:
-    """Add ``key``: SHA-256 of the canonical JSON of stage, version, model, inputs (array of strings)."""
-    inputs = F.concat(F.lit("["), F.array_join(F.transform("inputs", quoted), ","), F.lit("]"))
-    return specs.withColumn("key", F.sha2(canonical_json({"inputs": inputs, "model": F.coalesce(quoted(F.col("model")), F.lit("null")), "stage": quoted(F.col("stage")), "version": F.col("version").cast("string")}), 256))
+    """Add ``key``: SHA-256 of the canonical JSON {inputs, model, params, stage, version}.
+
+    specs: stage, version (string), model (null allowed), inputs (map of role to hash or key) and, if any, params (JSON
+    object as text; null and none count as empty). Keys do not depend on the order of params or inputs.
+    """
+    params = F.pandas_udf(canonical, "string")("params") if "params" in specs.columns else F.lit("{}")
+    fields = {"inputs": json_map(F.col("inputs")), "model": F.coalesce(quoted(F.col("model")), F.lit("null")), "params": params, "stage": quoted(F.col("stage")), "version": quoted(F.col("version").cast("string"))}
+    return specs.withColumn("key", F.sha2(json_object(fields), 256))
 
 
 def prompt_fingerprint(name: Column, text: Column) -> Column:
     return F.concat(name, F.lit("@"), F.substring(F.sha2(text, 256), 1, 12))
 
 
-def chain_keys(roots: DataFrame, stages: list[tuple[str, int, str | None]]) -> DataFrame:
-    """A key a stage of each root's chain (root_id, content_hash): each takes the key of the stage before it."""
-    rows, key = None, roots.select("root_id", F.array("content_hash").alias("inputs"))
-    for stage, version, model in stages:
-        level = cache_keys(key.withColumns({"stage": F.lit(stage), "version": F.lit(version), "model": F.lit(model).cast("string")}))
-        part = level.select("root_id", "stage", "key")
-        rows = part if rows is None else rows.unionAll(part)
-        key = level.select("root_id", F.array("key").alias("inputs"))
-    return rows
+@dataclass(frozen=True)
+class Stage:
+    """A stage of the graph; inputs maps each role to the stage it comes from, or to None for the source's hash."""
+
+    name: str
+    version: str
+    inputs: dict[str, str | None]
+    model: str | None = None
+    params: str | None = None
+
+
+def chain_keys(roots: DataFrame, stages: list[Stage]) -> DataFrame:
+    """(root_id, stage, key) of every stage of each root (root_id, content_hash); stages stand behind those they need.
+
+    A stage's key takes its parents' keys, so a change re-keys what comes after it and nothing else. All keys of a
+    root are columns of one row: no join.
+    """
+    rows = roots.select("root_id", "content_hash")
+    for s in stages:
+        parents = [x for role, parent in sorted(s.inputs.items()) for x in (F.lit(role), F.col("content_hash" if parent is None else f"key_{parent}"))]
+        spec = {"stage": F.lit(s.name), "version": F.lit(s.version), "model": F.lit(s.model).cast("string"), "params": F.lit(s.params).cast("string"), "inputs": F.create_map(*parents)}
+        rows = cache_keys(rows.withColumns(spec)).withColumnRenamed("key", f"key_{s.name}").drop(*spec)
+    keys = F.array(*(F.struct(F.lit(s.name).alias("stage"), F.col(f"key_{s.name}").alias("key")) for s in stages))
+    return rows.select("root_id", F.explode(keys).alias("k")).select("root_id", "k.stage", "k.key")
 
 
 def pending_work(specs: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: upper bounds of the histogram buckets
-STAGE_BOUNDS = (0.1, 0.5, 1, 2.5, 5, 10, 30, 60, 120, 300, 600, 1200, 1800, 3600)
-LATENCY_BOUNDS = (100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000)
+STAGE_BOUNDS = (0.1, 0.25, 0.5, 1, 2.5, 5, 10, 25, 50, 100, 250, 500, 1000, 2500)  # seconds
+LATENCY_BOUNDS = (250, 500, 1000, 1500, 2000, 3000, 4000, 5000, 7500, 10_000, 15_000, 20_000, 30_000)  # milliseconds
 
 
 def price_asof(usage: DataFrame, prices: DataFrame, date: str) -> DataFrame:
     """usage with the price of its model in force on its date: the last listed since then; null for an unknown model."""
-    p = prices.withColumnRenamed("model", "p_model")
-    met = usage.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(p), (F.col("model") == F.col("p_model")) & (F.col("since") <= F.to_date(date)), "left")
     names = [c for c in prices.columns if c not in ("model", "since", "ord")]
-    best = met.groupBy("_row").agg(*[F.first(c).alias(c) for c in usage.columns], F.max_by(F.struct(*names), "ord").alias("_p"))
-    return best.select(*usage.columns, *[F.col(f"_p.{n}").alias(n) for n in names])
+    days = prices.select("model", "since").distinct()
+    older = prices.withColumnsRenamed({"model": "_m", "since": "_s"})
+    # of the prices listed by a day the last one counts, and it holds until the next day with a price: one row a day
+    listed = days.join(older, (F.col("_m") == F.col("model")) & (F.col("_s") <= F.col("since"))).groupBy("model", "since").agg(F.max_by(F.struct(*names), "ord").alias("_p"))
+    until = F.lead("since").over(Window.partitionBy("model").orderBy("since"))
+    ranges = listed.select(F.col("model").alias("_model"), F.col("since").alias("_since"), until.alias("_until"), *[F.col(f"_p.{n}").alias(n) for n in names])
+    day = F.to_date(date)
+    held = (F.col("model") == F.col("_model")) & (day >= F.col("_since")) & (F.col("_until").isNull() | (day < F.col("_until")))
+    return usage.join(F.broadcast(ranges), held, "left").drop("_model", "_since", "_until")  # a price list is small
 
 
 def token_cost(input_tokens: Column, output_tokens: Column, audio_tokens: Column | None = None) -> Column:
@@ -79,6 +84,18 @@ def llm_usage_stats(calls: DataFrame) -> DataFrame:
     return sums.unpivot(["model", "purpose"], ["input", "output"], "direction", "tokens")
 
 
+def llm_cost_stats(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """(model, purpose, cost) of calls that ran, at the prices of their day; calls of a model without a price cost nothing."""
+    priced = price_asof(calls.where(~F.col("cached")), prices, "started_at")
+    return priced.groupBy("model", "purpose").agg(F.sum(F.coalesce(token_cost(F.col("input_tokens"), F.col("output_tokens")), F.lit(0.0))).alias("cost"))
+
+
+def latency_histograms(messages: DataFrame, by: list[str]) -> DataFrame:
+    """(by, metric, bucket, n): answers by time to the first token and to the end (first_token_ms, total_ms), in buckets."""
+    long = messages.unpivot(by, ["first_token_ms", "total_ms"], "metric", "ms").where("ms is not null")
+    return histogram(long, "ms", LATENCY_BOUNDS, [*by, "metric"])
+
+
 def latency_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
     return rows.groupBy(*by).agg(F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"))

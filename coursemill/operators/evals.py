@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursemill.functions.text import ascii_tokens, singular
+from coursemill.functions.text import ascii_tokens, format_timestamp, singular
 from coursemill.kernels.words import edit_table, nfkc
 
 K, RECALL_AT = 10, 5
@@ -82,12 +82,14 @@ def ngram_counts(words: DataFrame, terms: DataFrame) -> DataFrame:
     return grams.join(t, "gram").groupBy("key", "term").agg(F.count("*").alias("n"))
 
 
-def occurrences(stream: DataFrame, terms: DataFrame, longest: int = 4) -> DataFrame:
-    """(lecture_id, term, at): each time a term of at most ``longest`` words starts in the stream (lecture_id, pos, word, at)."""
+def occurrences(stream: DataFrame, terms: DataFrame) -> DataFrame:
+    """(lecture_id, term, at): each time a term starts in the stream (lecture_id, pos, word, at); terms may have any length."""
     t = terms.select("term", F.transform("tokens", singular).alias("s")).where(F.size("s") > 0).select("term", F.array_join("s", " ").alias("gram"), F.size("s").alias("size"))
-    order = Window.partitionBy("lecture_id").orderBy("pos").rowsBetween(0, longest - 1)
+    sizes = [r["size"] for r in t.select("size").distinct().collect()]  # a row a length
+    order = Window.partitionBy("lecture_id").orderBy("pos").rowsBetween(0, max(sizes, default=1) - 1)
     runs = stream.withColumn("run", F.collect_list(singular(F.col("word"))).over(order))
-    grams = runs.select("lecture_id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.array_join(F.slice("run", 1, n), " "))).alias("gram"))
+    lengths = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size("run"))
+    grams = runs.select("lecture_id", "at", F.explode(F.transform(lengths, lambda n: F.array_join(F.slice("run", F.lit(1), n), " "))).alias("gram"))
     return grams.join(t, "gram").select("lecture_id", "term", "at")
 
 
@@ -141,22 +143,37 @@ def slide_summary(scores: DataFrame) -> DataFrame:
     return scores.groupingSets([[], ["reader"]], "reader").agg(*(F.avg(c).alias(c) for c in ("precision", "recall", "f1")), F.avg((F.col("reader") == "ocr").cast("double")).alias("by_ocr"), F.avg((F.col("title") != "").cast("double")).alias("titled"))
 
 
-def note_checks(chapters: DataFrame, durations: DataFrame, tolerance: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Issues (lecture_id, ord, issue) of chapters, and the share of the video that they cover."""
-    order = Window.partitionBy("lecture_id").orderBy("ord")
-    rows = chapters.withColumn("before", F.lag("end_s").over(order)).join(durations, "lecture_id", "left")
-    issue = F.array_compact(F.array(
-        F.when(F.col("end_s") < F.col("start_s"), "backwards"),
-        F.when(F.col("start_s") - F.col("before") > tolerance, "gap"),
-        F.when(F.col("before") - F.col("start_s") > tolerance, "overlap"),
-        F.when((F.col("start_s") < 0) | (F.col("end_s") > F.col("duration_s") + tolerance), "out of range"),
+def note_checks(chapters: DataFrame, items: DataFrame, durations: DataFrame, tolerance: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """Issues (lecture_id, issue) of notes, and counts (lecture_id, timestamps, out_of_range, coverage).
+
+    chapters: lecture_id, ord, start_s, end_s; items: lecture_id, kind (concepts, formulas, quiz), ord, at_s. Places are
+    numbered from 0. Without a positive duration nothing is out of range and the coverage is null.
+    """
+    place = F.row_number().over(Window.partitionBy("lecture_id").orderBy("ord")) - 1
+    rows = chapters.withColumn("i", place).join(durations, "lecture_id", "left")
+    order = Window.partitionBy("lecture_id").orderBy("i")
+    rows = rows.withColumn("gap", F.col("start_s") - F.lag("end_s").over(order))
+    name = lambda shift: F.concat(F.lit("chapters["), (F.col("i") + shift).cast("string"), F.lit("]"))
+    seconds = lambda c: F.concat(F.bround(c).cast("long").cast("string"), F.lit("s"))
+    chapter_issues = F.array_compact(F.array(
+        F.when(F.col("end_s") <= F.col("start_s"), F.concat(name(0), F.lit(" ends before it starts ("), format_timestamp(F.col("start_s")), F.lit("-"), format_timestamp(F.col("end_s")), F.lit(")"))),
+        F.when(F.col("gap") > tolerance, F.concat(seconds(F.col("gap")), F.lit(" gap between "), name(-1), F.lit(" and "), name(0))),
+        F.when(F.col("gap") < -tolerance, F.concat(name(-1), F.lit(" and "), name(0), F.lit(" overlap by "), seconds(-F.col("gap")))),
     ))
-    issues = rows.select("lecture_id", "ord", F.explode(issue).alias("issue"))
-    clipped = rows.select("lecture_id", "duration_s", F.greatest("start_s", F.lit(0.0)).alias("a"), F.least("end_s", "duration_s").alias("b")).where("b > a")
+    ends = F.array(*(F.struct(F.concat(name(0), F.lit(f".{c}")).alias("label"), F.col(f"{c}_s").alias("at_s")) for c in ("start", "end")))
+    others = items.withColumn("i", F.row_number().over(Window.partitionBy("lecture_id", "kind").orderBy("ord")) - 1)
+    cited = rows.select("lecture_id", F.inline(ends)).unionAll(others.select("lecture_id", F.concat("kind", F.lit("["), F.col("i").cast("string"), F.lit("]")), "at_s")).join(durations, "lecture_id", "left")
+    outside = F.coalesce((F.col("duration_s") > 0) & ((F.col("at_s") < 0) | (F.col("at_s") > F.col("duration_s") + tolerance)), F.lit(False))
+    cited = cited.withColumn("outside", outside)
+    message = F.concat("label", F.lit(" at "), format_timestamp(F.col("at_s")), F.lit(" is outside the video (length "), format_timestamp(F.col("duration_s")), F.lit(")"))
+    issues = rows.select("lecture_id", F.explode(chapter_issues).alias("issue")).unionAll(cited.where("outside").select("lecture_id", message))
+    clipped = rows.where("end_s > start_s and duration_s > 0").select("lecture_id", "duration_s", F.greatest("start_s", F.lit(0.0)).alias("a"), F.least("end_s", "duration_s").alias("b"))
     reach = F.max("b").over(Window.partitionBy("lecture_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.col("b") - F.greatest("a", F.coalesce("reach", "a")), F.lit(0.0))
-    coverage = clipped.withColumn("reach", reach).groupBy("lecture_id").agg((F.sum(new) / F.max("duration_s")).alias("coverage"))
-    return issues, coverage
+    covered = clipped.withColumn("reach", reach).groupBy("lecture_id").agg(F.sum(new).alias("covered"))
+    counts = cited.groupBy("lecture_id").agg(F.count("*").alias("timestamps"), F.sum(F.col("outside").cast("long")).alias("out_of_range"), F.max("duration_s").alias("duration_s"))
+    share_ = F.when(F.col("duration_s") > 0, F.coalesce("covered", F.lit(0.0)) / F.col("duration_s"))
+    return issues, counts.join(covered, "lecture_id", "left").select("lecture_id", "timestamps", "out_of_range", share_.alias("coverage"))
 
 
 def concept_accuracy(distances: DataFrame, by: list[str], near: float = 10.0) -> DataFrame:
@@ -187,6 +204,41 @@ def worst_cases(scores: DataFrame, by: str, keys: list[str], n: int = 3, partiti
     return scores.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n") if partition else scores.orderBy(by, *keys).limit(n)
 
 
+def missed_terms(reference: DataFrame, hypothesis: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, said, heard): terms that are said more often than transcribed. Inputs: keys, term, n."""
+    both = reference.withColumnRenamed("n", "said").join(hypothesis.withColumnRenamed("n", "heard"), [*keys, "term"], "left")
+    return both.withColumn("heard", F.coalesce("heard", F.lit(0))).where("said > heard")
+
+
+def far_concepts(distances: DataFrame, near: float = 10.0) -> DataFrame:
+    """Concepts that are never said or said far from their citation."""
+    return distances.where(F.col("distance").isNull() | (F.col("distance") > near))
+
+
+def imperfect_answers(checks: DataFrame) -> DataFrame:
+    """Answers that are not fully right: answerable ones that are declined or not correct, and others that are not declined."""
+    wrong = F.col("declined") | (F.coalesce("verdict", F.lit("")) != "correct")
+    return checks.where(F.when(F.col("kind") == "unanswerable", ~F.col("declined")).otherwise(wrong))
+
+
+def variant_scores(scored: DataFrame, recall: DataFrame, runs: DataFrame) -> DataFrame:
+    """(variant, wer, term_recall, real_time_factor, memory_mb): a row a model variant.
+
+    scored: variant and the counts of word_error_rate; recall: variant, said, heard (term counts); runs: variant, seconds,
+    audio_s, mb_before, mb_peak. Memory is null unless both readings are there; recall is 1 where no term is said.
+    """
+    errors = F.sum(F.col("substitutions") + F.col("deletions") + F.col("insertions"))
+    wer = scored.groupBy("variant").agg(F.try_divide(errors, F.sum(F.size("ref"))).alias("wer"))
+    terms = recall.groupBy("variant").agg(F.try_divide(F.sum(F.least("said", "heard")), F.sum("said")).alias("term_recall"))
+    spent = runs.groupBy("variant").agg(F.try_divide(F.sum("seconds"), F.sum("audio_s")).alias("real_time_factor"), (F.max("mb_peak") - F.min("mb_before")).alias("memory_mb"))
+    return wer.join(terms, "variant", "left").join(spent, "variant", "left").select("variant", "wer", F.coalesce("term_recall", F.lit(1.0)).alias("term_recall"), "real_time_factor", "memory_mb")
+
+
+def mean_ap(ap: DataFrame) -> DataFrame:
+    """One row (map_50_95, map_50): means over classes and thresholds, and at 0.5 alone. ap: label, threshold, ap."""
+    return ap.agg(F.avg("ap").alias("map_50_95"), F.avg(F.when(F.abs(F.col("threshold") - 0.5) < 1e-9, F.col("ap"))).alias("map_50"))
+
+
 def vector_drift(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Mean cosine of two encoders' vectors of the same chunks."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -195,13 +247,19 @@ def vector_drift(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg(F.avg(dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))).alias("cosine"), F.count("*").alias("n"))
 
 
-def score_table(summary: DataFrame) -> DataFrame:
+def score_table(summary: DataFrame, kinds: tuple[str, ...] = ("code", "concept", "fact")) -> DataFrame:
     """Markdown rows of modes by kinds, a missing kind 0."""
-    wide = summary.where("kind is not null").groupBy("mode").pivot("kind", ["code", "concept", "fact"]).agg(F.first("recall")).fillna(0.0)
-    cells = [F.format_number(F.col(c), 2) for c in ("code", "concept", "fact")]
+    wide = summary.where("kind is not null").groupBy("mode").pivot("kind", list(kinds)).agg(F.first("recall")).fillna(0.0)
+    cells = [F.format_number(F.col(c), 2) for c in kinds]
     return wide.select("mode", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("mode").cast("string"), *cells), F.lit(" |")).alias("line"))
 
 
+def answer_table(metrics: DataFrame, columns: tuple[str, ...] = ("correctness", "faithfulness", "citations_valid", "on_target", "declines")) -> DataFrame:
+    """Markdown rows of answer metrics (see answer_metrics), a row a run."""
+    cells = [F.format_number(F.col(c), 2) for c in columns]
+    return metrics.select("run_id", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("run_id").cast("string"), *cells), F.lit(" |")).alias("line"))
+
+
 def detection_ap(truth: DataFrame, detections: DataFrame, thresholds: tuple[float, ...] = tuple(0.5 + 0.05 * i for i in range(10))) -> DataFrame:
     """Average precision of each (label, threshold), 101 recall points.
 

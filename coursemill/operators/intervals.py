@@ -52,11 +52,33 @@ def relevant(segments: DataFrame, spans: DataFrame) -> DataFrame:
     return met.select("query_id", "lecture_id", "segment_id").distinct()
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, id_: str) -> DataFrame:
-    """left with ``nearest``, the closest right time of its keys, the earlier on a tie; null if none."""
-    w = Window.partitionBy(*keys, id_).orderBy(F.abs(F.col(right_t) - F.col(left_t)), right_t)
-    met = left.join(right.select(*keys, right_t), keys, "left")
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumnRenamed(right_t, "nearest")
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str) -> DataFrame:
+    """left with ``nearest``, the closest right time of its keys, the earlier on a tie; null if none.
+
+    The last right time up to each row and the first one from it on, in one union and two windows: no pair is formed.
+    """
+    both = left.select(*keys, F.col(left_t).alias("_t"), F.struct(*left.columns).alias("_left"))
+    times = right.select(*keys, F.col(right_t).alias("_t")).distinct()
+    rows = both.withColumn("_at", F.lit(None).cast(times.schema["_t"].dataType)).unionByName(times.withColumn("_at", F.col("_t")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_t")
+    before = F.last("_at", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.first("_at", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    found = rows.select("*", before.alias("_before"), after.alias("_after")).where("_left is not null")
+    closer = F.when(F.col("_before").isNull() | (F.col("_after") - F.col("_t") < F.col("_t") - F.col("_before")), F.col("_after")).otherwise(F.col("_before"))
+    return found.select("_left.*", closer.alias("nearest"))
+
+
+def attach_passages(hits: DataFrame, sentences: DataFrame, slides: DataFrame) -> DataFrame:
+    """hits with their sentences [{start_s, text}] in order and the columns of their slide.
+
+    hits: lecture_id, segment_id, start_s, end_s, slide_id, transcript, one row a segment; sentences: lecture_id, start_s,
+    text; slides: lecture_id, slide_id and what is known of each. Without a sentence the transcript is one, at the start.
+    """
+    keys = ["lecture_id", "segment_id"]
+    said = attach_sentences(hits.select(*keys, "start_s", "end_s"), sentences)
+    lines = said.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("sentence_s").alias("start_s"), "text"))).alias("sentences"))
+    whole = F.array(F.struct("start_s", F.col("transcript").alias("text")))
+    return hits.join(lines, keys, "left").withColumn("sentences", F.coalesce("sentences", whole)).join(slides, ["lecture_id", "slide_id"], "left")
 
 
 def attach_sentences(hits: DataFrame, sentences: DataFrame, slack: float = 0.5) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursemill.functions.text import html_escape, parse_timestamp
+from coursemill.functions.text import format_timestamp, html_escape, parse_timestamp
+from coursemill.operators.timeline import in_order
 
 TOLERANCE_S = 1.0
 
@@ -26,18 +27,36 @@ def chat_history(messages: DataFrame, turns: int = 3) -> DataFrame:
 
 
 def render_conversation(history: DataFrame, limit: int = 600) -> DataFrame:
-    """One document a thread; answers are cut at ``limit`` characters."""
+    """(thread_id, conversation): earlier turns (turn, question, answer) as one document; answers are cut at ``limit`` characters."""
     answer = F.when(F.length("answer") > limit, F.concat(F.substring("answer", 1, limit), F.lit("…"))).otherwise(F.col("answer"))
-    pair = F.concat(F.lit("Q: "), "question", F.lit("\nA: "), answer)
-    rows = F.array_sort(F.collect_list(F.struct("turn", pair.alias("text"))))
-    return history.groupBy("thread_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("conversation"))
+    text = F.concat(F.lit("<turn>\n<question>"), html_escape(F.col("question")), F.lit("</question>\n<answer>"), html_escape(answer), F.lit("</answer>\n</turn>"))
+    return history.withColumn("text", text).groupBy("thread_id").agg(F.concat(F.lit("<conversation>\n"), in_order("turn", "text", "\n"), F.lit("\n</conversation>")).alias("conversation"))
 
 
 def render_passages(passages: DataFrame) -> DataFrame:
-    """Passages of a question in rank order, escaped, each with its label."""
-    one = F.concat(F.lit("<passage id=\""), F.coalesce("label", F.lit("")), F.lit("\">"), html_escape(F.col("text")), F.lit("</passage>"))
-    rows = F.array_sort(F.collect_list(F.struct("rank", one.alias("text"))))
-    return passages.groupBy("question_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("context"))
+    """(question_id, context): the passages of a question in rank order, each with its slide and its timed sentences.
+
+    passages: question_id, rank, label, lecture_title, chapter, slide_document (see slide_documents), sentences [{start_s,
+    text}]. Attributes and slide may be null; a label stands before each time too.
+    """
+    named = F.concat(F.col("label"), F.lit(": "), F.coalesce(F.nullif("lecture_title", F.lit("")), F.lit("Untitled")))
+    attribute = lambda name, value: F.concat(F.lit(f' {name}="'), html_escape(value, True), F.lit('"'))
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    head = F.concat(F.lit("<passage"), F.when(has("label"), attribute("lecture", named)).otherwise(""), F.when(has("chapter"), attribute("chapter", F.col("chapter"))).otherwise(""), F.lit(">"))
+    slide = F.when(has("slide_document"), F.concat(F.lit("<slide>\n"), "slide_document", F.lit("\n</slide>")))
+    prefix = F.when(has("label"), F.concat("label", F.lit(" "))).otherwise("")
+    lines = F.transform("sentences", lambda s: F.concat(F.lit("["), prefix, format_timestamp(s["start_s"]), F.lit("] "), html_escape(s["text"])))
+    block = F.concat_ws("\n", head, slide, F.lit("<speech>"), F.when(F.size("sentences") > 0, F.array_join(lines, "\n")), F.lit("</speech>\n</passage>"))
+    return passages.withColumn("block", block).groupBy("question_id").agg(F.concat(F.lit("<passages>\n"), in_order("rank", "block", "\n"), F.lit("\n</passages>")).alias("context"))
+
+
+def render_outline(outlines: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(lecture_id, outline): a lecture's summary (may be empty), then each chapter's start and title, its summary below."""
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    line = F.concat_ws("\n", F.concat(F.lit("["), format_timestamp(F.col("start_s")), F.lit("] "), html_escape(F.col("title"))), F.when(has("summary"), html_escape(F.col("summary"))))
+    lines = chapters.withColumn("line", line).groupBy("lecture_id").agg(in_order("ord", "line", "\n").alias("lines"))
+    summary = F.when(has("summary"), F.concat(F.lit("<summary>"), html_escape(F.col("summary")), F.lit("</summary>")))
+    return outlines.join(lines, "lecture_id", "left").select("lecture_id", F.concat_ws("\n", F.lit("<outline>"), summary, "lines", F.lit("</outline>")).alias("outline"))
 
 
 def label_passages(passages: DataFrame, lectures: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from coursemill.functions.text import ascii_tokens, singular
 STOPWORDS = "a an and are as at be but by for from has have he her his i in is it its not of on or she that the their they this to was we were what when which who will with you".split()
 K1, B = 1.2, 0.75
 NAMESPACE = "6f9619ff8b86d011b42d00cf4fc964ff"
+SCORES = 1 << 22  # scores of a step: 32 MB
 QUERY_BLOCK = 1 << 22  # values of a broadcast query matrix; more queries are searched in several passes
 
 
@@ -107,19 +108,24 @@ def dense_search(queries: DataFrame, index: DataFrame, limit: int = 30, key: str
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
         scopes = np.array([r[scope] for r in block]) if scope else None
 
+        step = max(SCORES // max(len(ids), 1), 64)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = np.full(len(ids), -np.inf)
             for batch in batches:
-                vectors = np.array(batch.column("dense").to_pylist(), np.float64)
-                if not len(vectors) or not len(ids):
-                    continue
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
-                scores = np.round(matrix @ vectors.T, 9)
-                if scope:
-                    scores[scopes[:, None] != batch.column(scope).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                k = min(limit, scores.shape[1])
-                cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]  # ties at the cut all go on
-                q, c = np.nonzero((scores >= cut[:, None]) & np.isfinite(scores))
-                yield pa.record_batch([pa.array(ids[q]), batch.column(key).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", key, "score"])
+                for at in range(0, batch.num_rows if len(ids) else 0, step):
+                    part = batch.slice(at, step)
+                    vectors = np.array(part.column("dense").to_pylist(), np.float64)
+                    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
+                    scores = np.round(matrix @ vectors.T, 9)
+                    if scope:
+                        scores[scopes[:, None] != part.column(scope).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+                    k = min(limit, scores.shape[1])
+                    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]  # ties at the cut all go on
+                    if k == limit:
+                        best = np.maximum(best, cut)  # limit chunks of this task reach so much already
+                    q, c = np.nonzero((scores >= best[:, None]) & np.isfinite(scores))
+                    yield pa.record_batch([pa.array(ids[q]), part.column(key).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", key, "score"])
 
         return run
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursemill.functions.text import ascii_tokens, singular, undouble_backslashes
+from coursemill.functions.text import ascii_tokens, format_timestamp, html_escape, singular, undouble_backslashes
 from coursemill.operators.intervals import slide_at
 
 ENDERS = r"[.?!][\"'”’)\]]*$"
@@ -162,24 +162,72 @@ def batch_requests(slides: DataFrame, size: int = 8) -> DataFrame:
     return slides.withColumn("batch", F.floor(number / size)).groupBy("deck_id", "batch").agg(F.array_sort(F.collect_list("slide_id")).alias("slides"))
 
 
-def render_segments(segments: DataFrame) -> DataFrame:
+def render_slide(title: Column, text: Column, figure: Column, latex: Column, code: Column) -> Column:
+    """A slide's reading as labelled lines, escaped; empty fields are left out."""
+    fields = {"Title": title, "Text": text, "Figure": figure, "LaTeX": F.array_join(latex, "; "), "Code": code}
+    return F.concat_ws("\n", *(F.when(v != "", F.concat(F.lit(f"{name}: "), html_escape(v, True))) for name, v in fields.items()))
+
+
+def slide_documents(slides: DataFrame) -> DataFrame:
+    """(lecture_id, slide_id, slide_document) of readings."""
+    document = render_slide(*(F.coalesce(c, F.lit("")) for c in ("title", "text", "figure_description")), F.coalesce("latex", F.array().cast("array<string>")), F.coalesce("code", F.lit("")))
+    return slides.select("lecture_id", "slide_id", document.alias("slide_document"))
+
+
+def shown_slides(segments: DataFrame) -> DataFrame:
     """Segments with ``shown``: whether their slide differs from the last slide shown (no slide does not reset it)."""
     before = Window.partitionBy("lecture_id").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last("slide_id", ignorenulls=True).over(before)
     return segments.withColumn("shown", F.col("slide_id").isNotNull() & ~F.col("slide_id").eqNullSafe(last))
 
 
-def notes_markdown(chapters: DataFrame, concepts: DataFrame) -> DataFrame:
-    """A Markdown document a lecture: chapters, then concepts, with the time of each."""
-    from coursemill.functions.text import format_timestamp
+def span_text(start: Column, end: Column) -> Column:
+    return F.concat(format_timestamp(start), F.lit("-"), format_timestamp(end))
+
+
+def render_segments(segments: DataFrame, slides: DataFrame) -> DataFrame:
+    """(lecture_id, document): a lecture's segments as blocks; a slide's content stands where it first shows.
+
+    segments: index, segment_id, start_s, end_s, slide_id, transcript; slides: readings. A slide without a reading is none.
+    """
+    known = segments.join(slide_documents(slides), ["lecture_id", "slide_id"], "left").withColumn("slide_id", F.when(F.col("slide_document").isNotNull(), F.col("slide_id")))
+    number = F.col("slide_id").cast("string")
+    slide = F.when(F.col("shown"), F.concat(F.lit('<slide id="'), number, F.lit('">\n'), "slide_document", F.lit("\n</slide>")))
+    slide = slide.when(F.col("slide_id").isNotNull(), F.concat(F.lit('<slide id="'), number, F.lit('">(same slide as before)</slide>')))
+    head = F.concat(F.lit('<segment id="'), "segment_id", F.lit('" time="'), span_text(F.col("start_s"), F.col("end_s")), F.lit('">'))
+    speech = F.concat(F.lit("<speech>"), html_escape(F.col("transcript"), True), F.lit("</speech>"))
+    blocks = shown_slides(known).withColumn("block", F.concat_ws("\n", head, slide, speech, F.lit("</segment>")))
+    return blocks.groupBy("lecture_id").agg(in_order("index", "block", "\n").alias("document"))
 
-    line = lambda text, at: F.concat(F.lit("- "), text, F.lit(" ["), format_timestamp(at), F.lit("]"))
-    rows = chapters.select("lecture_id", F.lit(0).alias("part"), F.col("start_s").alias("at"), line(F.col("title"), F.col("start_s")).alias("line"))
-    rows = rows.unionAll(concepts.select("lecture_id", F.lit(1), F.col("at_s"), line(F.concat_ws(": ", "term", "definition"), F.col("at_s"))))
-    ordered = F.array_sort(F.collect_list(F.struct("part", "at", "line")))
-    part = lambda n: F.array_join(F.transform(F.filter(ordered, lambda x: x["part"] == n), lambda x: x["line"]), "\n")
-    body = lambda n: F.coalesce(F.nullif(part(n), F.lit("")), F.lit("None."))
-    return rows.groupBy("lecture_id").agg(F.concat(F.lit("## Chapters\n\n"), body(0), F.lit("\n\n## Concepts\n\n"), body(1)).alias("markdown"))
+
+def in_order(order: str, text: str, by: str) -> Column:
+    """Texts of a group joined in the order of a column."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), by)
+
+
+def notes_markdown(summaries: DataFrame, chapters: DataFrame, concepts: DataFrame, formulas: DataFrame, quiz: DataFrame) -> DataFrame:
+    """(lecture_id, markdown): the study notes of each lecture of ``summaries`` (lecture_id, title, tldr) as one document.
+
+    chapters: ord, start_s, end_s, title, summary; concepts: ord, term, at_s, definition; formulas: ord, latex, at_s,
+    meaning; quiz: ord, question, at_s, answer. Quiz questions are numbered from 1; without formulas the document says so.
+    """
+    at = F.concat(F.lit("["), format_timestamp(F.col("at_s")), F.lit("]"))
+    number = F.row_number().over(Window.partitionBy("lecture_id").orderBy("ord"))
+    parts = [
+        (chapters, F.concat(F.lit("### ["), span_text(F.col("start_s"), F.col("end_s")), F.lit("] "), "title", F.lit("\n\n"), "summary", F.lit("\n\n"))),
+        (concepts, F.concat(F.lit("- **"), "term", F.lit("** "), at, F.lit(": "), "definition", F.lit("\n"))),
+        (formulas, F.concat(F.lit("- $$"), "latex", F.lit("$$ "), at, F.lit(": "), "meaning", F.lit("\n"))),
+        (quiz, F.concat(number.cast("string"), F.lit(". "), "question", F.lit("\n   - Answer "), at, F.lit(": "), "answer", F.lit("\n"))),
+    ]
+    rows = None
+    for i, (items, line) in enumerate(parts):
+        part = items.select("lecture_id", F.lit(i).alias("part"), F.col("ord").cast("long").alias("ord"), line.alias("line"))
+        rows = part if rows is None else rows.unionAll(part)
+    lines = rows.groupBy("lecture_id").agg(F.array_sort(F.collect_list(F.struct("part", "ord", "line"))).alias("lines"))
+    body = lambda i: F.coalesce(F.array_join(F.transform(F.filter("lines", lambda x: x["part"] == i), lambda x: x["line"]), ""), F.lit(""))
+    none = F.when(body(2) == "", "None.\n").otherwise(body(2))
+    text = F.concat(F.lit("# "), "title", F.lit("\n\n"), "tldr", F.lit("\n\n## Chapters\n\n"), body(0), F.lit("## Key concepts\n\n"), body(1), F.lit("\n## Formulas\n\n"), none, F.lit("\n## Quiz\n\n"), body(3))
+    return summaries.join(lines, "lecture_id", "left").select("lecture_id", text.alias("markdown"))
 
 
 def chapter_at(points: DataFrame, chapters: DataFrame, t: str) -> DataFrame:
@@ -220,11 +268,21 @@ def assemble_notes(planned: DataFrame, items: DataFrame, segments: DataFrame, wo
     }
 
 
-def evidence(sources: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Passages as a judge sees them: the sentences of each source, in order and escaped."""
-    from coursemill.functions.text import html_escape
+def evidence(sources: DataFrame, sentences: DataFrame, slides: DataFrame) -> DataFrame:
+    """(question_id, evidence): the passages an answer was given, as a judge sees them, in rank order.
+
+    sources: question_id, rank, lecture_id, segment_id, start_s, end_s, slide_id, slide_title; sentences: lecture_id, start_s,
+    text; slides: readings. A passage has its span, its slide and its sentences with their times.
+    """
     from coursemill.operators.intervals import attach_sentences
 
-    rows = attach_sentences(sources, sentences)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_s", "text"))), lambda x: x["text"]), " ")
-    return rows.groupBy("lecture_id", "segment_id").agg(html_escape(text).alias("passage"))
+    keys = ["question_id", "rank"]
+    said = attach_sentences(sources.select(*keys, "lecture_id", "start_s", "end_s"), sentences)
+    line = F.concat(F.lit("["), format_timestamp(F.col("sentence_s")), F.lit("] "), html_escape(F.col("text"), True))
+    lines = said.withColumn("line", line).groupBy(*keys).agg(in_order("sentence_s", "line", "\n").alias("lines"))
+    slide = F.when(F.coalesce("slide_title", F.lit("")) != "", F.concat(F.lit(' slide="'), html_escape(F.col("slide_title"), True), F.lit('"')))
+    head = F.concat(F.lit('<passage time="'), span_text(F.col("start_s"), F.col("end_s")), F.lit('"'), F.coalesce(slide, F.lit("")), F.lit(">"))
+    reading = F.when(F.col("slide_document") != "", F.concat(F.lit("<slide>\n"), "slide_document", F.lit("\n</slide>")))
+    rows = sources.join(slide_documents(slides), ["lecture_id", "slide_id"], "left").join(lines, keys, "left")
+    blocks = rows.withColumn("block", F.concat_ws("\n", head, reading, "lines", F.lit("</passage>")))
+    return blocks.groupBy("question_id").agg(F.concat(F.lit("<passages>\n"), in_order("rank", "block", "\n"), F.lit("\n</passages>")).alias("evidence"))

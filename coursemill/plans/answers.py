@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from coursemill.operators import qa as A
 from coursemill.operators import search as S
-from coursemill.plans.views import view, with_views
+from coursemill.plans.views import sql_escape, sql_time, view, with_views
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -63,11 +63,11 @@ def vectors(spark, d):
 
 
 def vector_queries(spark, d):
-    return vectors(spark, d).where("chunk_id % 25 = 0").withColumnRenamed("chunk_id", "query_id")
+    return vectors(spark, d).where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
 
 
 DENSE = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v),
-  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.label = b.label AS same, round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS score FROM n a, n b WHERE a.vec_id % 25 = 0{}))"""
+  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.label = b.label AS same, round(list_dot_product(a.v, b.v) / (a.n * b.n), 9) AS score FROM n a, n b WHERE a.vec_id % 20 = 0{}))"""
 
 
 @query("e5_dense_search", DENSE.format("") + " SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 30")
@@ -140,16 +140,25 @@ def history(spark, d):
 SQL["g1_chat_history"] = SQL["g1_chat_history"].replace(") , w", "), w")
 
 
-@query("b18_render_conversation", "SELECT thread_id, string_agg('Q: ' || q || chr(10) || 'A: ' || CASE WHEN length(a) > 600 THEN a[1:600] || '…' ELSE a END, chr(10) ORDER BY o) AS conversation FROM (SELECT thread_id, ord AS o, 'q' || ord AS q, content AS a FROM messages WHERE role = 'assistant') GROUP BY thread_id", "messages")
+@query("b18_render_conversation", f"SELECT thread_id, '<conversation>' || chr(10) || string_agg('<turn>' || chr(10) || '<question>q' || ord || ' &lt;</question>' || chr(10) || '<answer>' || {sql_escape("CASE WHEN length(content) > 600 THEN content[1:600] || '…' ELSE content END")} || '</answer>' || chr(10) || '</turn>', chr(10) ORDER BY ord) || chr(10) || '</conversation>' AS conversation FROM messages WHERE role = 'assistant' GROUP BY thread_id", "messages")
 def conversation(spark, d):
     m = view(spark, d, "messages").where("role = 'assistant'")
-    return A.render_conversation(m.select("thread_id", F.col("ord").alias("turn"), F.concat(F.lit("q"), F.col("ord").cast("string")).alias("question"), F.col("content").alias("answer")))
+    return A.render_conversation(m.select("thread_id", F.col("ord").alias("turn"), F.concat(F.lit("q"), F.col("ord").cast("string"), F.lit(" <")).alias("question"), F.col("content").alias("answer")))
 
 
-@query("b18_render_passages", "SELECT query_id AS question_id, string_agg('<passage id=\"L' || lecture_id || '\">s&amp;' || segment_id || '</passage>', chr(10) ORDER BY rank) AS context FROM hits WHERE mode = 1 GROUP BY 1", "hits")
+@query("b18_render_passages", f"""SELECT doc_id AS question_id, '<passages>' || chr(10) || string_agg('<passage' || CASE WHEN slide_id % 3 > 0 THEN ' lecture="L' || (slide_id % 3) || ': ' || CASE WHEN slide_id % 2 = 0 THEN {sql_escape('source', True)} ELSE 'Untitled' END || '"' ELSE '' END || CASE WHEN slide_id % 4 = 0 THEN ' chapter="' || {sql_escape('lang', True)} || '"' ELSE '' END || '>' || chr(10) || CASE WHEN slide_id % 5 = 0 THEN '<slide>' || chr(10) || 'Title: x' || chr(10) || '</slide>' || chr(10) ELSE '' END || '<speech>' || chr(10) || '[' || CASE WHEN slide_id % 3 > 0 THEN 'L' || (slide_id % 3) || ' ' ELSE '' END || {sql_time('slide_id * 61')} || '] ' || {sql_escape('l.text')} || chr(10) || '</speech>' || chr(10) || '</passage>', chr(10) ORDER BY slide_id) || chr(10) || '</passages>' AS context FROM lines l JOIN documents ON doc_id = deck_id GROUP BY 1""", "lines")
 def passages(spark, d):
-    h = view(spark, d, "hits").where("mode = 1")
-    return A.render_passages(h.select(F.col("query_id").alias("question_id"), "rank", F.concat(F.lit("L"), F.col("lecture_id").cast("string")).alias("label"), F.concat(F.lit("s&"), F.col("segment_id").cast("string")).alias("text")))
+    i = F.col("slide_id")
+    rows = view(spark, d, "lines").join(view(spark, d, "documents").select(F.col("doc_id").alias("deck_id"), "source", "lang"), "deck_id")
+    sentence = F.array(F.struct((i * 61).alias("start_s"), "text"))
+    return A.render_passages(rows.select(F.col("deck_id").alias("question_id"), i.alias("rank"), F.when(i % 3 > 0, F.concat(F.lit("L"), (i % 3).cast("string"))).alias("label"), F.when(i % 2 == 0, F.col("source")).alias("lecture_title"), F.when(i % 4 == 0, F.col("lang")).alias("chapter"), F.when(i % 5 == 0, "Title: x").alias("slide_document"), sentence.alias("sentences")))
+
+
+@query("b18_render_outline", f"""SELECT deck_id AS lecture_id, '<outline>' || chr(10) || CASE WHEN deck_id % 3 > 0 THEN '<summary>' || any_value(lang) || ' &amp;</summary>' || chr(10) ELSE '' END || string_agg('[' || {sql_time('slide_id * 61')} || '] ' || {sql_escape('substr(l.text, 1, 30)')} || CASE WHEN slide_id % 2 = 0 AND l.text <> '' THEN chr(10) || {sql_escape('l.text')} ELSE '' END, chr(10) ORDER BY slide_id) || chr(10) || '</outline>' AS outline FROM lines l JOIN documents ON doc_id = deck_id GROUP BY 1""", "lines")
+def outline(spark, d):
+    outlines = view(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("lecture_id"), F.when(F.col("doc_id") % 3 > 0, F.concat("lang", F.lit(" &"))).alias("summary"))
+    chapters = view(spark, d, "lines").select(F.col("deck_id").alias("lecture_id"), F.col("slide_id").alias("ord"), (F.col("slide_id") * 61).alias("start_s"), F.substring("text", 1, 30).alias("title"), F.when(F.col("slide_id") % 2 == 0, F.col("text")).alias("summary"))
+    return A.render_outline(outlines, chapters)
 
 
 CITED = "SELECT doc_id AS question_id, concat('See [', doc_id % 50, ':', lpad(CAST(n_chars % 70 AS VARCHAR(9)), 2, '0'), '] and [L', doc_id % 4, ' 01:', lpad(CAST(doc_id % 60 AS VARCHAR(9)), 2, '0'), ', 02:30; L2 1:00:05] but [', doc_id % 50, ':', lpad(CAST(n_chars % 70 AS VARCHAR(9)), 2, '0'), '] or [x].') AS content FROM documents"
@@ -228,3 +237,22 @@ def detail(spark, d):
 def outcomes(spark, d):
     m = view(spark, d, "messages").withColumn("scope", F.when(F.col("thread_id") % 2 == 0, "lecture").otherwise("course"))
     return A.answer_outcomes(m)
+
+
+@query("g7_answer_outcomes_stream", "SELECT CASE WHEN thread_id % 2 = 0 THEN 'lecture' ELSE 'course' END AS scope, CASE WHEN failed THEN 'error' ELSE 'done' END AS outcome, count(*) AS n FROM messages WHERE role = 'assistant' GROUP BY ALL", "messages")
+def outcomes_stream(spark, d):
+    from coursemill.plans.scores import streamed
+    from coursemill.plans.views import VIEWS
+    from coursemill.streaming.jobs import run_to_end
+
+    m = spark.sql(VIEWS["messages"][1], conversations=streamed(spark, d, "conversations"))
+    return run_to_end(A.answer_outcomes(m.withColumn("scope", F.when(F.col("thread_id") % 2 == 0, "lecture").otherwise("course"))))
+
+
+@query("g6_latest_feedback_stream", f"SELECT message_id, arg_max(rating, id) AS rating FROM ({RATINGS.replace('{events}', 'events')}) GROUP BY 1")
+def feedback_stream(spark, d):
+    from coursemill.plans.scores import streamed
+    from coursemill.session import shared_path
+    from coursemill.streaming.jobs import upsert_feedback_stream
+
+    return upsert_feedback_stream(spark.sql(RATINGS, events=streamed(spark, d, "events")), shared_path(spark, "feedback")).select("message_id", "rating")

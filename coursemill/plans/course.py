@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from coursemill.functions import text as T
 from coursemill.operators import intervals as I
 from coursemill.operators import timeline as L
-from coursemill.plans.views import view, with_views
+from coursemill.plans.views import sql_escape, sql_time, view, with_views
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -34,11 +34,13 @@ def asof(spark, d):
     return I.asof_backward(view(spark, d, "speech").select("lecture_id", "idx", "start_ds"), view(spark, d, "spans").withColumnRenamed("start_ds", "at"), ["lecture_id"], "start_ds", "at", ["span_index"]).select("lecture_id", "idx", "span_index")
 
 
-@query("d4_attach_passages", "SELECT h.lecture_id, h.segment_id, count(*) AS n, min(s.start_ds) AS first_ds, max(s.start_ds) AS last_ds FROM segments h JOIN words s ON s.lecture_id = h.lecture_id AND s.start_ds / 10.0 >= h.start_s - 0.5 AND s.start_ds / 10.0 < h.end_s WHERE h.index % 5 = 0 GROUP BY ALL", "segments words")
+@query("d4_attach_passages", f"""SELECT h.lecture_id, h.segment_id, coalesce(count(s.word), 0) + (count(s.word) = 0)::INT AS n, coalesce(string_agg(s.word, ' ' ORDER BY s.start_ds), any_value(h.transcript)) AS said, coalesce(min(s.start_ds / 10.0), any_value(h.start_s)) AS first_s, any_value(substr(l.text, 1, 20)) AS title
+  FROM segments h LEFT JOIN words s ON s.lecture_id = h.lecture_id AND s.segment % 9 NOT IN (7, 8) AND s.start_ds / 10.0 >= h.start_s - 0.5 AND s.start_ds / 10.0 < h.end_s LEFT JOIN lines l ON l.deck_id = h.lecture_id AND l.slide_id = h.index % 4 GROUP BY 1, 2""", "segments words lines")
 def attach(spark, d):
-    hits = view(spark, d, "segments").where("index % 5 = 0").select("lecture_id", "segment_id", "start_s", "end_s")
-    words = view(spark, d, "words").select("lecture_id", "start_ds", (F.col("start_ds") / 10).alias("start_s"))
-    return I.attach_sentences(hits, words).groupBy("lecture_id", "segment_id").agg(F.count("*").alias("n"), F.min("start_ds").alias("first_ds"), F.max("start_ds").alias("last_ds"))
+    hits = view(spark, d, "segments").select("lecture_id", "segment_id", "start_s", "end_s", "transcript", (F.col("index") % 4).alias("slide_id"))
+    words = view(spark, d, "words").where("segment % 9 not in (7, 8)").select("lecture_id", (F.col("start_ds") / 10).alias("start_s"), F.col("word").alias("text"))
+    rows = I.attach_passages(hits, words, slides(spark, d).drop("text"))
+    return rows.select("lecture_id", "segment_id", F.size("sentences").cast("long").alias("n"), F.array_join(F.transform("sentences", lambda s: s["text"]), " ").alias("said"), F.col("sentences")[0]["start_s"].alias("first_s"), "title")
 
 
 @query("d5_relevant", "SELECT DISTINCT q.query_id, g.lecture_id, g.segment_id FROM grid g JOIN answer_spans q USING (lecture_id) WHERE least(g.end_s, q.end_s) - greatest(g.start_s, q.start_s) > 0 AND least(g.end_s, q.end_s) - greatest(g.start_s, q.start_s) >= least(3, (q.end_s - q.start_s) / 2)", "grid answer_spans")
@@ -50,7 +52,7 @@ def relevant(spark, d):
 def nearest(spark, d):
     c = view(spark, d, "concepts").select("lecture_id", "segment", "ord", F.col("definition").alias("word"), (F.col("ord") * 4 + 200).alias("t"))
     w = view(spark, d, "words").select("lecture_id", "word", F.col("start_ds").alias("said_s"))
-    return I.nearest(c, w, ["lecture_id", "word"], "t", "said_s", "ord").select("lecture_id", "segment", "ord", "nearest")
+    return I.nearest(c, w, ["lecture_id", "word"], "t", "said_s").select("lecture_id", "segment", "ord", "nearest")
 
 
 @query("d10_resolve_citations", "SELECT c.lecture_id, c.ord, c.segment_id, s.start_s, s.end_s FROM concepts c JOIN segments s USING (lecture_id, segment_id)", "concepts segments")
@@ -171,19 +173,37 @@ def batches(spark, d):
     return L.batch_requests(view(spark, d, "lines"))
 
 
-@query("b17_render_segments", "SELECT lecture_id, index, slide_id IS NOT NULL AND slide_id IS DISTINCT FROM last_value(slide_id IGNORE NULLS) OVER (PARTITION BY lecture_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown FROM (SELECT lecture_id, index, CASE WHEN index % 3 <> 2 THEN (index // 4) % 3 END AS slide_id FROM segments)", "segments")
+READING = f"concat_ws(chr(10), 'Title: ' || {sql_escape('substr(l.text, 1, 20)', True)}, CASE WHEN l.text <> '' THEN 'Text: ' || {sql_escape('l.text', True)} END)"
+
+
+def readings(spark, d):
+    """Readings of the slides whose text does not start with an empty title."""
+    lines = view(spark, d, "lines").where("text <> ''")
+    return lines.select(F.col("deck_id").alias("lecture_id"), "slide_id", F.substring("text", 1, 20).alias("title"), "text", F.lit("").alias("figure_description"), F.array().cast("array<string>").alias("latex"), F.lit("").alias("code"))
+
+
+def paced(spark, d):
+    return view(spark, d, "segments").withColumn("slide_id", F.when(F.col("index") % 3 != 2, (F.floor(F.col("index") / 4) % 3).cast("int")))
+
+
+@query("b17_render_segments", f"""SELECT lecture_id, string_agg('<segment id="' || segment_id || '" time="' || {sql_time('start_s')} || '-' || {sql_time('end_s')} || '">' || chr(10) || CASE WHEN slide IS NULL THEN '' WHEN slide IS DISTINCT FROM last THEN '<slide id="' || slide || '">' || chr(10) || document || chr(10) || '</slide>' || chr(10) ELSE '<slide id="' || slide || '">(same slide as before)</slide>' || chr(10) END || '<speech>' || {sql_escape('transcript', True)} || '</speech>' || chr(10) || '</segment>', chr(10) ORDER BY index) AS document
+  FROM (SELECT *, last_value(slide IGNORE NULLS) OVER (PARTITION BY lecture_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM (SELECT s.*, l.slide_id AS slide, {READING} AS document FROM (SELECT *, CASE WHEN index % 3 <> 2 THEN (index // 4) % 3 END AS wanted FROM segments) s LEFT JOIN lines l ON l.deck_id = s.lecture_id AND l.slide_id = s.wanted AND l.text <> '')) GROUP BY 1""", "segments lines")
 def render(spark, d):
-    s = view(spark, d, "segments").withColumn("slide_id", F.when(F.col("index") % 3 != 2, F.floor(F.col("index") / 4) % 3))
-    return L.render_segments(s).select("lecture_id", "index", "shown")
+    return L.render_segments(paced(spark, d), readings(spark, d))
 
 
-@query("a8_notes_markdown", r"""SELECT lecture_id, '## Chapters' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY start_s) FILTER (p = 0) || chr(10) || chr(10) || '## Concepts' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY start_s, line) FILTER (p = 1) AS markdown FROM (
-  SELECT lecture_id, start_s, CASE WHEN index % 3 = 0 THEN 0 ELSE 1 END AS p, '- ' || CASE WHEN index % 3 = 0 THEN segment_id ELSE segment_id || ': x' END || ' [' || CASE WHEN start_s < 3600 THEN printf('%02d:%02d', CAST(floor(start_s) AS INT) // 60, CAST(floor(start_s) AS INT) % 60) ELSE printf('%d:%02d:%02d', CAST(floor(start_s) AS INT) // 3600, (CAST(floor(start_s) AS INT) // 60) % 60, CAST(floor(start_s) AS INT) % 60) END || ']' AS line FROM segments WHERE lecture_id IN (SELECT lecture_id FROM lengths WHERE n > 12)) GROUP BY lecture_id""", "segments lengths")
+@query("a8_notes_markdown", f"""SELECT lecture_id, '# Lecture ' || lecture_id || chr(10) || chr(10) || 'In short.' || chr(10) || chr(10) || '## Chapters' || chr(10) || chr(10)
+  || coalesce(string_agg('### [' || {sql_time('start_s')} || '-' || {sql_time('end_s')} || '] ' || segment_id || chr(10) || chr(10) || transcript || chr(10) || chr(10), '' ORDER BY index) FILTER (index % 5 = 0), '') || '## Key concepts' || chr(10) || chr(10)
+  || coalesce(string_agg('- **' || segment_id || '** [' || {sql_time('start_s')} || ']: ' || transcript || chr(10), '' ORDER BY index) FILTER (index % 5 IN (1, 2)), '') || chr(10) || '## Formulas' || chr(10) || chr(10)
+  || coalesce(string_agg('- $$' || segment_id || '$$ [' || {sql_time('start_s')} || ']: ' || transcript || chr(10), '' ORDER BY index) FILTER (index % 5 = 3), 'None.' || chr(10)) || chr(10) || '## Quiz' || chr(10) || chr(10)
+  || coalesce(string_agg((index // 5 + 1) || '. ' || segment_id || chr(10) || '   - Answer [' || {sql_time('start_s')} || ']: ' || transcript || chr(10), '' ORDER BY index) FILTER (index % 5 = 4), '') AS markdown FROM segments GROUP BY 1""", "segments")
 def markdown(spark, d):
-    s = view(spark, d, "segments").join(view(spark, d, "lengths").where("n > 12"), "lecture_id", "left_semi")
-    chapters = s.where("index % 3 = 0").select("lecture_id", F.col("segment_id").alias("title"), "start_s")
-    concepts = s.where("index % 3 <> 0").select("lecture_id", F.col("segment_id").alias("term"), F.lit("x").alias("definition"), F.col("start_s").alias("at_s"))
-    return L.notes_markdown(chapters, concepts)
+    s = view(spark, d, "segments").withColumnsRenamed({"index": "ord", "segment_id": "name"})
+    part = lambda *k: s.where((F.col("ord") % 5).isin(*k))
+    item = lambda rows, name, text: rows.select("lecture_id", "ord", F.col("name").alias(name), F.col("start_s").alias("at_s"), F.col("transcript").alias(text))
+    summaries = s.select("lecture_id", F.concat(F.lit("Lecture "), F.col("lecture_id").cast("string")).alias("title"), F.lit("In short.").alias("tldr")).distinct()
+    chapters = part(0).select("lecture_id", "ord", "start_s", "end_s", F.col("name").alias("title"), F.col("transcript").alias("summary"))
+    return L.notes_markdown(summaries, chapters, item(part(1, 2), "term", "definition"), item(part(3), "latex", "meaning"), item(part(4), "question", "answer"))
 
 
 STAMP = "CASE doc_id % 6 WHEN 0 THEN concat('[', doc_id % 70, ':', lpad(CAST(n_chars % 75 AS VARCHAR(9)), 2, '0'), ']') WHEN 1 THEN concat(doc_id % 3, ':', lpad(CAST(n_chars % 66 AS VARCHAR(9)), 2, '0'), ':', lpad(CAST(doc_id % 60 AS VARCHAR(9)), 2, '0')) WHEN 2 THEN substr(text, 1, 5) WHEN 3 THEN concat(n_chars, ':05.5') WHEN 4 THEN '' END"
@@ -203,9 +223,9 @@ def fmt(spark, d):
     return view(spark, d, "events").select(F.col("event_id").alias("id"), T.format_timestamp(F.col("value") * 17).alias("t"))
 
 
-@query("b4_ascii_tokens", "SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE lang = 'en'")
+@query("b4_ascii_tokens", "SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents")
 def tokens(spark, d):
-    return view(spark, d, "documents").where("lang = 'en'").select("doc_id", T.ascii_tokens(F.col("text")).alias("t"))
+    return view(spark, d, "documents").select("doc_id", T.ascii_tokens(F.col("text")).alias("t"))
 
 
 @query("b3_caption_words", r"SELECT item_id, list_filter(list_transform(string_split_regex(regexp_replace(lower(regexp_replace(' ' || text, '-', ' ', 'g')), '[^\w\s'']', '', 'g'), '\s+'), lambda w: trim(w, '''')), lambda w: w <> '') AS w FROM (SELECT item_id, regexp_replace(text, '[^ -~\n]', '', 'g') AS text FROM benchmark)")
@@ -218,10 +238,10 @@ def singular(spark, d):
     return view(spark, d, "words").select(F.lower("word").alias("word")).distinct().withColumn("stem", T.singular(F.col("word")))
 
 
-@query("b7_undouble_backslashes", r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '\frac ' || a || ' \alpha' WHEN doc_id % 3 = 1 THEN 'x \\ y \beta' ELSE 'a \\ b' END AS t FROM (SELECT doc_id, substr(text, 1, 3) AS a FROM documents WHERE lang = 'en')")
+@query("b7_undouble_backslashes", r"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '\frac ' || a || ' \alpha' WHEN doc_id % 3 = 1 THEN 'x \\ y \beta' ELSE 'a \\ b' END AS t FROM (SELECT doc_id, substr(text, 1, 3) AS a FROM documents)")
 def undouble(spark, d):
     made = F.expr(r"CASE WHEN doc_id % 3 = 0 THEN concat(r'\\frac ', substr(text, 1, 3), r' \\alpha') WHEN doc_id % 3 = 1 THEN r'x \\ y \beta' ELSE r'a \\ b' END")
-    return view(spark, d, "documents").where("lang = 'en'").select("doc_id", T.undouble_backslashes(made).alias("t"))
+    return view(spark, d, "documents").select("doc_id", T.undouble_backslashes(made).alias("t"))
 
 
 @query("b14_thread_title", r"SELECT thread_id, ord, CASE WHEN length(l) <= 80 THEN l ELSE (CASE WHEN regexp_extract(l[1:79], '^(.*) ', 1) = '' THEN l[1:79] ELSE rtrim(regexp_extract(l[1:79], '^(.*) ', 1)) END) || '…' END AS title FROM (SELECT thread_id, ord, trim(regexp_replace(content, '\s+', ' ', 'g')) AS l FROM messages)", "messages")
@@ -305,8 +325,11 @@ def external(spark, d):
     return L.external_notes(raw)[0].select("lecture_id", "ord", "start_s", "end_s")
 
 
-@query("d13_evidence", "SELECT s.lecture_id, s.segment_id, replace(replace(replace(string_agg(w.word, ' ' ORDER BY w.start_ds), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS passage FROM segments s JOIN words w ON w.lecture_id = s.lecture_id AND w.start_ds / 10.0 >= s.start_s - 0.5 AND w.start_ds / 10.0 < s.end_s WHERE s.index % 7 = 0 GROUP BY 1, 2", "segments words")
+@query("d13_evidence", f"""SELECT lecture_id AS question_id, '<passages>' || chr(10) || string_agg('<passage time="' || {sql_time('start_s')} || '-' || {sql_time('end_s')} || '"' || CASE WHEN title <> '' THEN ' slide="' || {sql_escape('title', True)} || '"' ELSE '' END || '>' || chr(10) || CASE WHEN document IS NOT NULL THEN '<slide>' || chr(10) || document || chr(10) || '</slide>' || chr(10) ELSE '' END || coalesce(lines || chr(10), '') || '</passage>', chr(10) ORDER BY index) || chr(10) || '</passages>' AS evidence FROM (
+  SELECT s.lecture_id, s.index, s.start_s, s.end_s, any_value(substr(l.text, 1, 5)) AS title, any_value(CASE WHEN l.text IS NOT NULL THEN {READING} END) AS document, string_agg('[' || {sql_time('w.start_ds / 10.0')} || '] ' || {sql_escape('w.word', True)}, chr(10) ORDER BY w.start_ds) AS lines
+  FROM segments s LEFT JOIN words w ON w.lecture_id = s.lecture_id AND w.start_ds / 10.0 >= s.start_s - 0.5 AND w.start_ds / 10.0 < s.end_s LEFT JOIN lines l ON l.deck_id = s.lecture_id AND l.text <> '' AND l.slide_id = CASE WHEN s.index % 3 <> 2 THEN (s.index // 4) % 3 END GROUP BY 1, 2, 3, 4) GROUP BY 1""", "segments words lines")
 def evidence(spark, d):
-    hits = view(spark, d, "segments").where("index % 7 = 0").select("lecture_id", "segment_id", "start_s", "end_s")
+    titles = readings(spark, d).select("lecture_id", "slide_id", F.substring("text", 1, 5).alias("slide_title"))
+    sources = paced(spark, d).join(titles, ["lecture_id", "slide_id"], "left").select(F.col("lecture_id").alias("question_id"), F.col("index").alias("rank"), "lecture_id", "segment_id", "start_s", "end_s", "slide_id", "slide_title")
     words = view(spark, d, "words").select("lecture_id", (F.col("start_ds") / 10).alias("start_s"), F.col("word").alias("text"))
-    return L.evidence(hits, words)
+    return L.evidence(sources, words, readings(spark, d))

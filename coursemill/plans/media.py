@@ -91,10 +91,12 @@ def manifest(spark, d):
     return C.export_manifest(view(spark, d, "lectures"), view(spark, d, "courses"))[0].select("id", "course")
 
 
-@query("k1_cache_keys", "SELECT doc_id, sha256('{\"inputs\":[\"' || source || '\",\"' || lang || '\"],\"model\":' || CASE WHEN doc_id % 3 > 0 THEN '\"' || lang || '\"' ELSE 'null' END || ',\"stage\":\"asr\",\"version\":' || n_chars || '}') AS key FROM documents")
+@query("k1_cache_keys", """SELECT doc_id, sha256('{"inputs":{"audio":"' || source || '","text":"' || sha256(text) || '"},"model":' || CASE WHEN doc_id % 3 > 0 THEN '"' || lang || '"' ELSE 'null' END || ',"params":' || CASE WHEN doc_id % 4 > 0 THEN '{"beam_size":' || n_chars || ',"note":"a \\"b\\" é","vad":true}' ELSE '{}' END || ',"stage":"asr","version":"' || n_chars % 5 || '"}') AS key FROM documents""")
 def cache_keys(spark, d):
     docs = view(spark, d, "documents")
-    return C.cache_keys(docs.select("doc_id", F.array("source", "lang").alias("inputs"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("model"), F.lit("asr").alias("stage"), F.col("n_chars").alias("version"))).select("doc_id", "key")
+    params = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit('{"vad": true, "note": "a \\"b\\" é", "beam_size": '), F.col("n_chars").cast("string"), F.lit("}")))
+    inputs = F.create_map(F.lit("text"), F.sha2("text", 256), F.lit("audio"), F.col("source"))
+    return C.cache_keys(docs.select("doc_id", inputs.alias("inputs"), F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("model"), F.lit("asr").alias("stage"), (F.col("n_chars") % 5).cast("string").alias("version"), params.alias("params"))).select("doc_id", "key")
 
 
 @query("k2_prompt_fingerprint", "SELECT item_id, 'p' || item_id || '@' || substr(sha256(text), 1, 12) AS f FROM benchmark")
@@ -102,11 +104,17 @@ def fingerprint(spark, d):
     return view(spark, d, "benchmark").select("item_id", C.prompt_fingerprint(F.concat(F.lit("p"), F.col("item_id").cast("string")), F.col("text")).alias("f"))
 
 
-@query("k3_chain_keys", """WITH a AS (SELECT doc_id AS root_id, sha256('{"inputs":["' || source || '"],"model":null,"stage":"audio","version":1}') AS k FROM documents), b AS (SELECT root_id, sha256('{"inputs":["' || k || '"],"model":"m","stage":"asr","version":2}') AS k FROM a), c AS (SELECT root_id, sha256('{"inputs":["' || k || '"],"model":null,"stage":"fuse","version":1}') AS k FROM b)
-SELECT root_id, 'audio' AS stage, k AS key FROM a UNION ALL SELECT root_id, 'asr', k FROM b UNION ALL SELECT root_id, 'fuse', k FROM c""")
+def _key(stage: str, inputs: str, version: int = 1, model: str = "null", params: str = "{}") -> str:
+    return f"""sha256('{{"inputs":{{{inputs}}},"model":{model},"params":{params},"stage":"{stage}","version":"{version}"}}')"""
+
+
+@query("k3_chain_keys", f"""WITH a AS (SELECT doc_id AS root_id, sha256(text) AS h FROM documents), b AS (SELECT *, {_key("audio", "\"video\":\"' || h || '\"")} AS audio, {_key("slides", "\"video\":\"' || h || '\"", 2)} AS slides FROM a),
+  c AS (SELECT *, {_key("asr", "\"audio\":\"' || audio || '\"", 3, '"m"', '{"beam":5}')} AS asr FROM b), e AS (SELECT *, {_key("timeline", "\"slides\":\"' || slides || '\",\"speech\":\"' || asr || '\"")} AS timeline FROM c)
+  SELECT root_id, s AS stage, CASE s WHEN 'audio' THEN audio WHEN 'slides' THEN slides WHEN 'asr' THEN asr ELSE timeline END AS key FROM e, (VALUES ('audio'), ('slides'), ('asr'), ('timeline')) v(s)""")
 def chain(spark, d):
-    roots = view(spark, d, "documents").select(F.col("doc_id").alias("root_id"), F.col("source").alias("content_hash"))
-    return C.chain_keys(roots, [("audio", 1, None), ("asr", 2, "m"), ("fuse", 1, None)])
+    roots = view(spark, d, "documents").select(F.col("doc_id").alias("root_id"), F.sha2("text", 256).alias("content_hash"))
+    graph = [C.Stage("audio", "1", {"video": None}), C.Stage("slides", "2", {"video": None}), C.Stage("asr", "3", {"audio": "audio"}, "m", '{"beam": 5}'), C.Stage("timeline", "1", {"speech": "asr", "slides": "slides"})]
+    return C.chain_keys(roots, graph)
 
 
 @query("k4_content_dedupe", "SELECT sha256(text) AS hash, count(*) AS files, min(doc_id) AS first FROM documents GROUP BY 1")
@@ -200,7 +208,7 @@ def reading(spark, d):
 
 @query("i9_line_pairs")
 def pairs(spark, d):
-    lines = view(spark, d, "lines").where("deck_id % 10 = deck_id % 5 and slide_id < 4").withColumns({"line_no": F.lit(0), "page": F.lit(0)})
+    lines = view(spark, d, "lines").withColumns({"line_no": F.lit(0), "page": F.floor(F.col("slide_id") / 4)})  # four lines a page
     pages = lines.select("deck_id", "page", F.col("slide_id").alias("line_no"), F.regexp_replace("text", "e", "c").alias("text"))
     return P.line_pairs(lines, pages, 0.7).select("deck_id", "slide_id", "page_line", "ratio")
 
@@ -239,9 +247,9 @@ def carry(spark, d):
     return P.carry_regions(f, r).select("frame", "line_no", "x1", "label")
 
 
-@query("i15_split_counts", "SELECT split, count(*) FILTER (label = 'A') AS A, count(*) FILTER (label = 'N') AS N, count(*) FILTER (label = 'R') AS R FROM (SELECT label, CASE WHEN deck_id % 10 = 0 THEN 'test' WHEN x1 >= 0.8 * 500 THEN 'valid' ELSE 'train' END AS split FROM boxes) GROUP BY 1", "boxes")
+@query("i15_split_counts", "SELECT split, count(DISTINCT slide_id) AS images, count(*) FILTER (label = 'A') AS A, count(*) FILTER (label = 'N') AS N, count(*) FILTER (label = 'R') AS R FROM (SELECT label, slide_id, CASE WHEN deck_id % 10 = 0 THEN 'test' WHEN x1 >= 0.8 * 500 THEN 'valid' ELSE 'train' END AS split FROM boxes) GROUP BY 1", "boxes")
 def splits(spark, d):
-    b = view(spark, d, "boxes").withColumn("split", P.assign_split(F.col("x1"), F.lit(500.0), F.col("deck_id") % 10 == 0))
+    b = view(spark, d, "boxes").withColumn("split", P.assign_split(F.col("x1"), F.lit(500.0), F.col("deck_id") % 10 == 0)).withColumnRenamed("slide_id", "image_id")
     return P.split_counts(b, ["A", "N", "R"])
 
 
@@ -273,15 +281,15 @@ def match_page(spark, d):
     return dense_search(v.where("vec_id % 5 > 0").withColumnRenamed("vec_id", "query_id"), pages, 1, "page", scope="label").select("query_id", "page")
 
 
-@query("b5_nfkc_words", r"SELECT item_id, regexp_extract_all(lower(replace(replace(text, 'ﬁ', 'fi'), '②', '2')), '[a-z0-9]+') AS t FROM (SELECT item_id, text || ' ﬁne ②' AS text FROM benchmark WHERE regexp_full_match(text, '[ -~\n]*'))")
+@query("b5_nfkc_words", r"SELECT item_id, regexp_extract_all(lower(replace(replace(text, 'ﬁ', 'fi'), '②', '2')), '[a-z0-9]+') AS t FROM (SELECT item_id, text || ' ﬁne ②' AS text FROM benchmark)")
 def nfkc(spark, d):
     from coursemill.operators.evals import nfkc_words
 
-    b = view(spark, d, "benchmark").where(F.col("text").rlike(r"^[ -~\n]*$"))
+    b = view(spark, d, "benchmark")
     return b.select("item_id", nfkc_words(F.concat("text", F.lit(" ﬁne ②"))).alias("t"))
 
 
-FORMULA = r"CASE doc_id % 4 WHEN 0 THEN concat(r'len(L) + \text{fib(n)} ', substr(text, 1, 5)) WHEN 1 THEN concat(r'\frac{a}{b} \alpha ', substr(text, 1, 5)) WHEN 2 THEN 'O(1) + O(n) -> x' ELSE substr(text, 1, 9) END"
+FORMULA = r"CASE doc_id % 4 WHEN 0 THEN concat(r'len(L) + \text{fib(n)} ', text) WHEN 1 THEN concat(r'\frac{a}{b} \alpha ', text) WHEN 2 THEN concat('O(1) + O(n) -> x ', text) ELSE text END"
 
 
 def formulas(spark, d):
@@ -340,9 +348,9 @@ def highlight(spark, d):
     return view(spark, d, "documents").select("doc_id", links.highlights(F.col("text"), F.lit("the thand erndes")).alias("words"))
 
 
-@query("b22_slugify", r"SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM benchmark WHERE regexp_full_match(text, '[ -~\n]*')")
+@query("b22_slugify", r"SELECT item_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM benchmark")
 def slug(spark, d):
-    b = view(spark, d, "benchmark").where(F.col("text").rlike(r"^[ -~\n]*$"))
+    b = view(spark, d, "benchmark")
     return b.select("item_id", F.pandas_udf(words.slug, "string")("text").alias("slug"))
 
 
@@ -395,11 +403,12 @@ def decisions(spark, d):
 SQL["j3_quota_decisions"] = SQL["j3_quota_decisions"].replace(") , q AS", "), q AS", 1)
 
 
-@query("j4_usage_snapshot", f"SELECT user_id, questions, uploads, 30 AS question_limit, 3 AS upload_limit, (SELECT coalesce(sum(cost_usd), 0) FROM ledger WHERE CAST(created_at AS DATE) = '2024-01-09') >= 2 AS paused FROM ({DAILY}) WHERE day = '2024-01-09'", "ledger")
+@query("j4_usage_snapshot", f"SELECT user_id, questions, uploads, 30 AS question_limit, 5 AS minute_limit, 3 AS upload_limit, '2024-01-10 00:00:00' AS resets_at, (SELECT coalesce(sum(cost_usd), 0) FROM ledger WHERE CAST(created_at AS DATE) = '2024-01-09') >= 2 AS paused FROM ({DAILY}) WHERE day = '2024-01-09'", "ledger")
 def snapshot(spark, d):
-    return J.usage_snapshot(view(spark, d, "ledger"), "2024-01-09")
+    return J.usage_snapshot(view(spark, d, "ledger"), "2024-01-09").withColumn("resets_at", F.date_format("resets_at", "yyyy-MM-dd HH:mm:ss"))
 
 
+LOW = {"minute": 1, "day": 4, "uploads": 1, "budget": 2.0}  # limits that these tables reach
 EVENTS = "SELECT user_id AS run_id, event_id AS ord, CASE WHEN event_type IN ('click', 'view') THEN 'a' ELSE event_type END AS payload, CASE WHEN value > 200 THEN 'done' ELSE 'running' END AS status FROM {events}"
 CHANGES = f"SELECT run_id, ord, payload, status FROM (SELECT *, coalesce(max((status <> 'running')::INT) OVER (PARTITION BY run_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended, lag(payload) OVER (PARTITION BY run_id ORDER BY ord) AS last FROM ({EVENTS.format(events='events')})) WHERE ended = 0 AND payload IS DISTINCT FROM last"
 
@@ -415,10 +424,25 @@ def changes_stream(spark, d):
     return J.run_to_end(J.progress_changes_stream(spark.sql(EVENTS, events=stream)), "append")
 
 
-@query("j6_run_progress", "SELECT run_id, count(DISTINCT stage) FILTER (NOT cached) AS done, CASE WHEN max((status = 'succeeded')::INT) = 1 THEN 100 ELSE CAST(floor(100 * count(DISTINCT stage) FILTER (NOT cached) / 13.0) AS INT) END AS percent FROM stages GROUP BY 1", "stages")
+NAMED = "CASE WHEN stage = 'stage7' THEN 'other' ELSE ['probe', 'audio', 'asr', 'slides', 'ocr', 'read_slides'][substr(stage, 6)::INT] END"
+PROGRESS = f"SELECT run_id, CASE WHEN ok THEN 13 ELSE d END AS done, 13 AS total, CASE WHEN ok THEN 100 ELSE CAST(floor(d / 13.0 * 100 + 0.5) AS INT) END AS percent, CASE WHEN ok OR a THEN 'done' WHEN r THEN 'running' ELSE 'pending' END AS asr FROM (SELECT run_id, max((status = 'succeeded')::INT) = 1 AS ok, count(DISTINCT name) FILTER (NOT cached AND name <> 'other') AS d, coalesce(bool_or(name = 'asr' AND NOT cached), false) AS a, coalesce(bool_or(name = 'asr' AND cached), false) AS r FROM (SELECT *, {NAMED} AS name FROM stages) GROUP BY 1)"
+
+
+def stage_events(stages):
+    name = F.coalesce(F.try_element_at(F.array(*map(F.lit, J.STAGES[:6])), F.substring("stage", 6, 1).cast("int")), F.lit("other"))
+    return stages.select("run_id", name.alias("stage"), F.col("status").alias("run_status"), F.when(F.col("cached"), "running").otherwise("done").alias("status"))
+
+
+@query("j6_run_progress", PROGRESS, "stages")
 def progress(spark, d):
-    e = view(spark, d, "stages").select("run_id", "stage", F.col("status").alias("run_status"), F.when(F.col("cached"), "cached").otherwise("done").alias("status"))
-    return J.run_progress(e)
+    return J.run_progress(stage_events(view(spark, d, "stages"))).select("run_id", "done", "total", "percent", F.col("states")["asr"].alias("asr"))
+
+
+@query("j6_run_progress_stream", PROGRESS, "stages")
+def progress_stream(spark, d):
+    from coursemill.plans.scores import streamed_stages
+
+    return J.run_to_end(J.run_progress(stage_events(streamed_stages(spark, d)))).select("run_id", "done", "total", "percent", F.col("states")["asr"].alias("asr"))
 
 
 RUNS = "SELECT o_orderkey AS run_id, o_custkey AS lecture_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'P' THEN 'running' ELSE 'done' END AS status FROM {orders}"
@@ -429,6 +453,23 @@ def latest(spark, d):
     return J.latest_runs(spark.sql(RUNS, orders=view(spark, d, "orders"))).select("lecture_id", "run_id", "n")
 
 
+@query("j7_newest_runs_stream", f"SELECT lecture_id, arg_max(run_id, (started_at, run_id)) AS run_id FROM ({RUNS.format(orders='orders')}) GROUP BY 1")
+def newest_stream(spark, d):
+    from coursemill.plans.scores import streamed
+
+    return J.run_to_end(J.newest_runs(spark.sql(RUNS, orders=streamed(spark, d, "orders"))))
+
+
+@query("j3_quota_replay")
+def replay(spark, d):
+    return J.quota_replay(view(spark, d, "ledger"), LOW)
+
+
+@query("j3_quota_replay_stream")
+def replay_stream(spark, d):
+    return J.run_to_end(J.quota_replay(ledger_stream(spark, d), LOW), "append")
+
+
 @query("j7_running_conflicts", f"SELECT lecture_id, count(*) AS n FROM ({RUNS.format(orders='orders')}) WHERE status = 'running' GROUP BY 1 HAVING count(*) > 1")
 def conflicts(spark, d):
     return J.running_conflicts(spark.sql(RUNS, orders=view(spark, d, "orders")))

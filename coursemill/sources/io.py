@@ -55,21 +55,44 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     return notes.join(names, ["file", "category_id"]).join(images, ["file", "image_id"]).select("image_id", "file_name", "label", "bbox")
 
 
+def coco_images(boxes: DataFrame) -> DataFrame:
+    """(split, file_name, image_id, before): images numbered from 1 in each split, and the boxes of those before.
+
+    Boxes are counted by image first, so only a row an image is numbered.
+    """
+    images = boxes.groupBy("split", "file_name").agg(F.count("label").alias("n"))
+    order = Window.partitionBy("split").orderBy("file_name")
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return images.select("split", "file_name", F.row_number().over(order).alias("image_id"), before.alias("before"))
+
+
 def coco_annotations(boxes: DataFrame, labels: list[str]) -> DataFrame:
     """Annotation rows of boxes (split, file_name, label, x1, y1, x2, y2): ids from 1 in each split, values to a tenth.
 
-    Category ids are the labels' places from 1.
+    Category ids are the labels' places from 1. An image without boxes has one row with a null label, which gives none.
     """
-    image = F.dense_rank().over(Window.partitionBy("split").orderBy("file_name"))
-    number = F.row_number().over(Window.partitionBy("split").orderBy("file_name", "label", "x1", "y1", "x2", "y2"))
+    number = F.row_number().over(Window.partitionBy("split", "file_name").orderBy("label", "x1", "y1", "x2", "y2"))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     tenth = lambda c: F.bround(c, 1)
-    return boxes.select("split", number.alias("id"), image.alias("image_id"), F.array_position(F.array(*map(F.lit, labels)), F.col("label")).alias("category_id"), F.array(tenth(F.col("x1")), tenth(F.col("y1")), tenth(w), tenth(h)).alias("bbox"), tenth(w * h).alias("area"))
+    rows = boxes.where("label is not null").withColumn("n", number).join(coco_images(boxes), ["split", "file_name"])
+    return rows.select("split", "file_name", (F.col("before") + F.col("n")).alias("id"), "image_id", F.array_position(F.array(*map(F.lit, labels)), F.col("label")).alias("category_id"), F.array(tenth(F.col("x1")), tenth(F.col("y1")), tenth(w), tenth(h)).alias("bbox"), tenth(w * h).alias("area"))
 
 
-def write_coco(boxes: DataFrame, labels: list[str], path: str) -> None:
-    """A JSON line a annotation, a folder a split; a split is never gathered in one task."""
-    coco_annotations(boxes, labels).write.partitionBy("split").json(path)
+def write_coco(boxes: DataFrame, labels: list[str], path: str, images_per_document: int = 10_000) -> None:
+    """COCO documents of boxes (also width, height) that read_coco reads: a folder a split, a file for every so many images.
+
+    Ids are unique in a split over all its documents.
+    """
+    shard = F.floor((F.col("image_id") - 1) / images_per_document)
+    sizes = boxes.groupBy("split", "file_name").agg(F.max("width").alias("width"), F.max("height").alias("height"))
+    images = coco_images(boxes).join(sizes, ["split", "file_name"])
+    image = F.struct(F.col("image_id").cast("long").alias("id"), "file_name", "width", "height")
+    note = F.struct(F.col("id").cast("long").alias("id"), F.col("image_id").cast("long").alias("image_id"), F.col("category_id").cast("int").alias("category_id"), "bbox", "area", F.lit(0).alias("iscrowd"))
+    named = images.groupBy("split", shard.alias("shard")).agg(F.array_sort(F.collect_list(image)).alias("images"))
+    notes = coco_annotations(boxes, labels).groupBy("split", shard.alias("shard")).agg(F.array_sort(F.collect_list(note)).alias("annotations"))
+    categories = F.array(*(F.struct(F.lit(i + 1).alias("id"), F.lit(n).alias("name"), F.lit("none").alias("supercategory")) for i, n in enumerate(labels)))
+    documents = named.join(notes, ["split", "shard"], "left").select("split", "images", F.coalesce("annotations", F.array().cast(notes.schema["annotations"].dataType)).alias("annotations"), categories.alias("categories"))
+    documents.write.option("maxRecordsPerFile", 1).partitionBy("split").json(path)
 
 
 def read_page_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -90,10 +113,33 @@ def replace_by_key(spark: SparkSession, new: DataFrame, path: str, keys: list[st
     return f"{path}/v{version}"
 
 
+def replace_tables(new: dict[str, DataFrame], root: str, keys: list[str], version: int) -> str:
+    """Write version ``version`` of several tables together, each with the keys' rows replaced: all or nothing.
+
+    A version counts once its mark is written, after the last table; see committed_version.
+    """
+    spark = next(iter(new.values())).sparkSession
+    for name, rows in new.items():
+        whole = replaced(spark.read.parquet(f"{root}/v{version - 1}/{name}"), rows, keys) if version else rows
+        whole.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
+    spark.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{root}/committed")
+    return f"{root}/v{version}"
+
+
+def committed_version(spark: SparkSession, root: str) -> int | None:
+    """The last version of which all tables are written."""
+    return spark.read.schema("version int").parquet(f"{root}/committed").agg(F.max("version")).first()[0]
+
+
 def append_eval_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 
 
+def write_table(rows: DataFrame, url: str, table: str, mode: str = "append", batch: int = 10_000) -> None:
+    """Rows into a warehouse table over JDBC, in batches from every task."""
+    rows.write.format("jdbc").options(url=url, dbtable=table, batchsize=batch).mode(mode).save()
+
+
 def read_table(spark: SparkSession, url: str, table: str, partition: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:
     """A warehouse table over JDBC, in ``bounds`` = (low, high, parts) of a numeric column."""
     options = {"url": url, "dbtable": table}

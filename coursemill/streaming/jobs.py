@@ -16,7 +16,9 @@ from coursemill.session import shared_path
 
 # fixed values: limits of a user, and the budget of all
 LIMITS = {"minute": 5, "day": 30, "uploads": 3, "budget": 2.0}
-STAGES = ["fetch", "audio", "asr", "frames", "slides", "ocr", "route", "read", "fuse", "plan", "notes", "embed", "save"]
+# fixed values: the stages of a run in order; one from a link downloads first
+STAGES = ["probe", "audio", "asr", "slides", "ocr", "read_slides", "timeline", "chapters", "draft_notes", "notes", "embed", "index", "save"]
+FETCH = "fetch"
 
 
 def daily_usage(ledger: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -81,11 +83,11 @@ def quota_decisions(requests: DataFrame, ledger: DataFrame, limits: dict = LIMIT
 
 
 def usage_snapshot(ledger: DataFrame, day: str, limits: dict = LIMITS) -> DataFrame:
-    """Counts and limits of each user on a day, and whether the budget is spent."""
+    """Counts and limits of each user on a day, whether the budget is spent, and when the day ends."""
     use = daily_usage(ledger).where(F.col("day") == F.lit(day).cast("date"))
     spend = daily_spend(ledger).where(F.col("day") == F.lit(day).cast("date")).agg(F.coalesce(F.sum("spend"), F.lit(0.0)).alias("spend"))
     out = use.crossJoin(F.broadcast(spend))  # one row
-    return out.select("user_id", "questions", "uploads", F.lit(limits["day"]).alias("question_limit"), F.lit(limits["uploads"]).alias("upload_limit"), (F.col("spend") >= limits["budget"]).alias("paused"))
+    return out.select("user_id", "questions", "uploads", F.lit(limits["day"]).alias("question_limit"), F.lit(limits["minute"]).alias("minute_limit"), F.lit(limits["uploads"]).alias("upload_limit"), (F.col("spend") >= limits["budget"]).alias("paused"), F.date_add(F.lit(day).cast("date"), 1).cast("timestamp").alias("resets_at"))
 
 
 def progress_changes(events: DataFrame) -> DataFrame:
@@ -118,11 +120,18 @@ def progress_changes_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, ord long, payload string, status string", "last string, ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_progress(events: DataFrame, total: int = len(STAGES)) -> DataFrame:
-    """(run_id, done, percent) of stage events (run_id, stage, status, run_status)."""
-    done = F.count_distinct(F.when(F.col("status") == "done", F.col("stage")))
-    ok = F.max((F.col("run_status") == "succeeded").cast("int")) == 1
-    return events.groupBy("run_id").agg(done.alias("done"), F.when(ok, 100).otherwise(F.floor(100 * done / total)).cast("int").alias("percent"))
+def run_progress(events: DataFrame, stages: list[str] = STAGES) -> DataFrame:
+    """(run_id, done, total, percent, states) of stage events (run_id, stage, status done or running, run_status).
+
+    Stages that are not listed do not count. A run that succeeded has done all of them and is at 100 percent. states maps
+    each stage to done, running or pending.
+    """
+    total = len(stages)
+    names = lambda s: F.collect_set(F.when((F.col("status") == s) & F.col("stage").isin(stages), F.col("stage")))
+    rows = events.groupBy("run_id").agg(names("done").alias("d"), names("running").alias("r"), (F.max((F.col("run_status") == "succeeded").cast("int")) == 1).alias("ok"))
+    state = lambda s: F.when(F.col("ok") | F.array_contains("d", s), "done").when(F.array_contains("r", s), "running").otherwise("pending")
+    done = F.when(F.col("ok"), total).otherwise(F.size("d"))
+    return rows.select("run_id", done.alias("done"), F.lit(total).alias("total"), F.when(F.col("ok"), 100).otherwise(F.floor(F.size("d") / total * 100 + 0.5)).cast("int").alias("percent"), F.create_map(*(x for s in stages for x in (F.lit(s), state(s)))).alias("states"))
 
 
 def latest_runs(runs: DataFrame, newest: int = 20) -> DataFrame:
@@ -130,6 +139,51 @@ def latest_runs(runs: DataFrame, newest: int = 20) -> DataFrame:
     return runs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= newest)
 
 
+def newest_runs(runs: DataFrame) -> DataFrame:
+    """(lecture_id, run_id): the newest run of each lecture; the form of latest_runs that a stream can keep up."""
+    return runs.groupBy("lecture_id").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
+
+
+def quota_replay(requests: DataFrame, limits: dict = LIMITS) -> DataFrame:
+    """(user_id, id, decision) of raw requests (id, user_id, kind, created_at), each decision feeding the next: admitted ones count.
+
+    Per user, for the limits of a minute and a day; a table or a stream (whose batches come in order). Everyone's budget
+    is not a user's state: see quota_decisions.
+    """
+    schema = "user_id long, id long, decision string"
+
+    def fold(rows: pd.DataFrame, recent: list[int], day: int, used: dict[str, int]) -> tuple[list[tuple], list[int], int, dict[str, int]]:
+        out = []
+        for r in rows.sort_values(["us", "id"]).itertuples():
+            if r.us // 86_400_000_000 != day:
+                day, used = r.us // 86_400_000_000, {}
+            recent = [t for t in recent if t >= r.us - 60_000_000]
+            most = limits["uploads"] if r.kind == "upload" else limits["day"]
+            if r.kind == "question" and len(recent) >= limits["minute"]:
+                decision = "minute"
+            else:
+                decision = "day" if used.get(r.kind, 0) >= most else "ok"
+            if decision == "ok":
+                used = used | {r.kind: used.get(r.kind, 0) + 1}
+                recent = [*recent, r.us] if r.kind == "question" else recent
+            out.append((r.user_id, r.id, decision))
+        return out, recent, day, used
+
+    rows = requests.where("user_id is not null and kind in ('question', 'upload')").select(F.col("user_id").cast("long"), F.col("id").cast("long"), "kind", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us"))
+    names = ["user_id", "id", "decision"]
+    if not requests.isStreaming:
+        return rows.groupBy("user_id").applyInPandas(lambda t: pd.DataFrame(fold(t, [], -1, {})[0], columns=names), schema)
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, day, questions, uploads = state.get if state.exists else ([], -1, 0, 0)
+        out, recent, day, used = fold(pd.concat(list(batches)), list(recent), day, {"question": questions, "upload": uploads})
+        state.update((recent, day, used.get("question", 0), used.get("upload", 0)))
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.groupBy("user_id").applyInPandasWithState(step, schema, "recent array<long>, day long, questions long, uploads long", "append", GroupStateTimeout.NoTimeout)
+
+
 def running_conflicts(runs: DataFrame) -> DataFrame:
     """Lectures with more than one running run."""
     return runs.where("status = 'running'").groupBy("lecture_id").agg(F.count("*").alias("n")).where("n > 1")
@@ -164,10 +218,15 @@ def upsert_feedback_stream(ratings: DataFrame, path: str) -> DataFrame:
             new = new.unionByName(old)
         latest_feedback(new).write.mode("overwrite").parquet(f"{path}/v{number}")
 
+    def versions() -> list[int]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        return sorted(int(f.getPath().getName()[1:]) for f in files.listStatus(folder) if f.getPath().getName()[1:].isdigit()) if files.exists(folder) else []
+
     query = ratings.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
-    return spark.read.parquet(f"{path}/v{last}")
+    last = versions()  # also those of an earlier start: this one may have had no new rows
+    return spark.read.parquet(f"{path}/v{last[-1]}") if last else latest_feedback(spark.createDataFrame([], "id long, message_id long, rating string, updated_at timestamp"))
 
 
 def detect_slides_stream(frames: DataFrame) -> DataFrame:
