@@ -208,12 +208,11 @@ def reading(spark, d):
 
 @query("i9_line_pairs")
 def pairs(spark, d):
-    lines = view(spark, d, "lines").withColumns({"line_no": F.lit(0), "page": F.floor(F.col("slide_id") / 4)})  # four lines a page
+    lines = view(spark, d, "speech").select(F.col("lecture_id").alias("deck_id"), F.col("idx").alias("slide_id"), F.lit(0).alias("line_no"), F.floor(F.col("idx") / 4).alias("page"), "text")
     pages = lines.select("deck_id", "page", F.col("slide_id").alias("line_no"), F.regexp_replace("text", "e", "c").alias("text"))
     return P.line_pairs(lines, pages, 0.7).select("deck_id", "slide_id", "page_line", "ratio")
 
 
-
 @query("i10_map_boxes", "SELECT * FROM (SELECT slide_id, line_no, x1, y1, greatest(least(x1 + 10, 400.0), 0.0) AS m1, greatest(least(2 * y1, 300.0), 0.0) AS n1, greatest(least(x2 + 10, 400.0), 0.0) AS m2, greatest(least(2 * y2, 300.0), 0.0) AS n2 FROM boxes) WHERE m2 - m1 >= 6 AND n2 - n1 >= 6", "boxes")
 def map_boxes(spark, d):
     t = {k: F.lit(v) for k, v in zip("abcdef", (1.0, 0.0, 10.0, 0.0, 2.0, 0.0), strict=True)}

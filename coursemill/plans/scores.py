@@ -266,9 +266,9 @@ def usage(spark, d):
     return C.llm_usage_stats(view(spark, d, "stages").withColumnRenamed("stage", "purpose"))
 
 
-@query("h16_llm_cost_stats", f"SELECT model, stage AS purpose, round(sum(coalesce((input_tokens * input + output_tokens * output) / 1e6, 0)), 6) AS cost FROM {PRICED} WHERE NOT cached GROUP BY ALL", "stages prices")
+@query("h16_llm_cost_stats", f"SELECT model, stage AS purpose, round(sum(coalesce((input_tokens * input + output_tokens * output) / 1e6, 0)), 9) AS cost FROM {PRICED} WHERE NOT cached GROUP BY ALL", "stages prices")
 def llm_costs(spark, d):
-    return C.llm_cost_stats(view(spark, d, "stages").withColumnRenamed("stage", "purpose"), view(spark, d, "prices")).withColumn("cost", F.round("cost", 6))
+    return C.llm_cost_stats(view(spark, d, "stages").withColumnRenamed("stage", "purpose"), view(spark, d, "prices")).withColumn("cost", F.round("cost", 9))
 
 
 LATENCIES = "SELECT event_type AS scope, user_id % 2 = 0 AS ok, CASE WHEN user_id % 5 > 0 THEN value * 20 END AS first_token_ms, value * 100 AS total_ms FROM {events}"
