@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm.common import connected, mix64, release, short_batches, stored, utf8
+from coursemill.llm.common import HUB_SALTS, connected, mix64, release, short_batches, stored, utf8
 from coursemill.llm.tokens import in_steps
 from coursemill.llm.windows import gram_codes, word_tokens
 
@@ -209,13 +209,16 @@ def cells_of(chained: DataFrame, threshold: float) -> DataFrame:
     are parted by steps of the threshold on the scale of sizes, and each step, in chunks of about CELL, meets itself
     and the next one.
     """
-    whole = chained.groupBy("component").agg(F.count("*").alias("members"))
-    step = F.when(F.col("members") <= CELL, 0).otherwise(F.floor(F.log(F.col("size")) / -math.log(threshold) + 1e-9)).cast("int") if threshold < 1 else F.lit(0)
-    placed = chained.join(whole, "component").withColumn("step", step)
-    chunks = placed.groupBy("component", "step").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
-    chunks = chunks.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("chunks"))  # a few dozen steps at most
+    step = F.floor(F.log(F.col("size")) / -math.log(threshold) + 1e-9).cast("int") if threshold < 1 else F.lit(0)
+    rows = chained.withColumns({"step": step, "salt": F.pmod(F.xxhash64("doc_id"), F.lit(HUB_SALTS)).cast("int")})
+    counts = rows.groupBy("component", "step").agg(F.count("*").alias("n"))
+    chunks = F.map_from_entries(F.collect_list(F.struct("step", F.ceil(F.col("n") / CELL).cast("int"))))  # a few dozen steps at most
+    info = counts.groupBy("component").agg(F.sum("n").alias("members"), chunks.alias("chunks"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1)))  # a large component is dealt over so many tasks
+    placed = rows.join(info.withColumn("salt", every), ["component", "salt"])
+    placed = placed.withColumns({"step": F.when(F.col("members") > CELL, F.col("step")).otherwise(0), "chunks": F.when(F.col("members") > CELL, F.col("chunks")).otherwise(F.create_map(F.lit(0), F.lit(1)))})
     of = lambda shift: F.coalesce(F.try_element_at("chunks", F.col("step") + shift), F.lit(0))
-    placed = placed.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), of(0)).cast("int"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit("chunk")), of(0)).cast("int"))
     upto = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: i - 1)
     cell = lambda a, i, b, j, side, across: F.struct(F.concat_ws(".", a, i, b, j).alias("cell"), side.cast("int").alias("side"), across.alias("across"))
     c, k = F.col("chunk"), F.col("step")
