@@ -212,3 +212,22 @@ def test_feedback_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     got = upsert_feedback_stream(stream, str(tmp_path / "out"))
     assert sorted((r.message_id, r.rating) for r in got.collect()) == [(1, "down"), (2, "up")]
+
+
+def test_coco_documents_are_read_back(spark, tmp_path):
+    rows = [("train", f"f{i:02d}", "slide" if i % 2 else None, 1.0 * i, 2.0, 10.0 * i, 9.5, 640, 360) for i in range(9)] + [("train", "f01", "figure", 0.0, 0.0, 5.0, 5.0, 640, 360), ("test", "g", "figure", 1.0, 1.0, 4.0, 3.0, 640, 360)]
+    boxes = spark.createDataFrame(rows, "split string, file_name string, label string, x1 double, y1 double, x2 double, y2 double, width int, height int")
+    io.write_coco(boxes, ["slide", "figure"], str(tmp_path / "coco"), images_per_document=4)
+    got = io.read_coco(spark, str(tmp_path / "coco" / "split=train")).collect()
+    assert sorted((r.file_name, r.label, r.bbox) for r in got) == sorted((f, k, [a, b, c - a, d - b]) for s, f, k, a, b, c, d, _, _ in rows if s == "train" and k)
+    assert len({r.image_id for r in got}) == 4
+
+
+def test_tables_are_replaced_together(spark, tmp_path):
+    table = lambda rows: spark.createDataFrame(rows, "lecture_id string, v int")
+    root = str(tmp_path / "w")
+    io.replace_tables({"a": table([("x", 1), ("y", 2)]), "b": table([("x", 3)])}, root, ["lecture_id"], 0)
+    path = io.replace_tables({"a": table([("x", 9)]), "b": table([("y", 4)])}, root, ["lecture_id"], 1)
+    assert io.committed_version(spark, root) == 1
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/a").collect())) == [("x", 9), ("y", 2)]
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/b").collect())) == [("x", 3), ("y", 4)]
