@@ -253,3 +253,18 @@ def test_pipeline_null_and_repeated_ids(spark):
     texts = {r.lang: r.text for r in cut}
     assert all(texts[f"l{k}"] == rows[k][1] for k in range(6))
     assert texts["l7"] == "" and texts["l8"] == "" and len(texts["l6"]) < len(rows[6][1])
+
+
+def test_sketches_merge_and_estimate_containment(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(1, " ".join(words), "a"), (2, " ".join(words[:400]), "b"), (2, " ".join(words[:400]), "b"), (3, "", "b"), (4, None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part string")
+    sketches = fingerprints.with_sketch(docs, "text", "sketch")
+    by = {r.part: r.sketch for r in fingerprints.merged(sketches, ["part"]).collect()}
+    one = {r.doc_id: r.sketch for r in sketches.collect()}
+    assert by == {"a": one[1], "b": one[2], "c": []}
+    pair = spark.createDataFrame([(one[2], one[1]), ([], one[1])], "a array<string>, b array<string>")
+    assert [r.c for r in pair.select(fingerprints.containment(F.col("a"), F.col("b")).alias("c")).collect()] == [1.0, None]
+    assert 0.05 < len(one[2]) / len(one[1]) < 0.15  # a tenth of the shingles
