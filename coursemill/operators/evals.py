@@ -147,9 +147,9 @@ def note_checks(chapters: DataFrame, items: DataFrame, durations: DataFrame, tol
     """Issues (lecture_id, issue) of notes, and counts (lecture_id, timestamps, out_of_range, coverage).
 
     chapters: lecture_id, ord, start_s, end_s; items: lecture_id, kind (concepts, formulas, quiz), ord, at_s. Places are
-    numbered from 0. Without a positive duration nothing is out of range and the coverage is null.
+    numbered from 0 by ord, those of equal ord by their times. Without a positive duration nothing is out of range and the coverage is null.
     """
-    place = F.row_number().over(Window.partitionBy("lecture_id").orderBy("ord")) - 1
+    place = F.row_number().over(Window.partitionBy("lecture_id").orderBy("ord", "start_s", "end_s")) - 1
     rows = chapters.withColumn("i", place).join(durations, "lecture_id", "left")
     order = Window.partitionBy("lecture_id").orderBy("i")
     rows = rows.withColumn("gap", F.col("start_s") - F.lag("end_s").over(order))
@@ -161,7 +161,7 @@ def note_checks(chapters: DataFrame, items: DataFrame, durations: DataFrame, tol
         F.when(F.col("gap") < -tolerance, F.concat(name(-1), F.lit(" and "), name(0), F.lit(" overlap by "), seconds(-F.col("gap")))),
     ))
     ends = F.array(*(F.struct(F.concat(name(0), F.lit(f".{c}")).alias("label"), F.col(f"{c}_s").alias("at_s")) for c in ("start", "end")))
-    others = items.withColumn("i", F.row_number().over(Window.partitionBy("lecture_id", "kind").orderBy("ord")) - 1)
+    others = items.withColumn("i", F.row_number().over(Window.partitionBy("lecture_id", "kind").orderBy("ord", "at_s")) - 1)
     cited = rows.select("lecture_id", F.inline(ends)).unionAll(others.select("lecture_id", F.concat("kind", F.lit("["), F.col("i").cast("string"), F.lit("]")), "at_s")).join(durations, "lecture_id", "left")
     outside = F.coalesce((F.col("duration_s") > 0) & ((F.col("at_s") < 0) | (F.col("at_s") > F.col("duration_s") + tolerance)), F.lit(False))
     cited = cited.withColumn("outside", outside)

@@ -165,7 +165,7 @@ def notes(spark, d):
 
 
 CHECKED = f"""ch AS (SELECT *, row_number() OVER (PARTITION BY lecture_id ORDER BY ord) - 1 AS i, lag(end_s) OVER (PARTITION BY lecture_id ORDER BY ord) AS b, CASE WHEN lecture_id % 11 > 0 THEN CASE WHEN lecture_id % 7 > 0 THEN 800.0 ELSE 0 END END AS d FROM ({CHAPTERS.format(orders="orders")})),
-  ci AS (SELECT lecture_id, 'chapters[' || i || '].start' AS label, start_s AS at_s FROM ch UNION ALL SELECT lecture_id, 'chapters[' || i || '].end', end_s FROM ch UNION ALL SELECT lecture_id, kind || '[' || (row_number() OVER (PARTITION BY lecture_id, kind ORDER BY ord) - 1) || ']', at_s FROM ({ITEMS.format(orders="orders", lineitem="lineitem")})),
+  ci AS (SELECT lecture_id, 'chapters[' || i || '].start' AS label, start_s AS at_s FROM ch UNION ALL SELECT lecture_id, 'chapters[' || i || '].end', end_s FROM ch UNION ALL SELECT lecture_id, kind || '[' || (row_number() OVER (PARTITION BY lecture_id, kind ORDER BY ord, at_s) - 1) || ']', at_s FROM ({ITEMS.format(orders="orders", lineitem="lineitem")})),
   cited AS (SELECT *, lecture_id % 11 > 0 AND lecture_id % 7 > 0 AND at_s > 802 AS o FROM ci)"""
 
 

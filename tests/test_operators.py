@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from coursemill.functions import links
 from coursemill.functions import text as T
 from coursemill.kernels import latex, words
-from coursemill.operators import qa, slides, timeline
+from coursemill.operators import evals, qa, slides, timeline
 from coursemill.sources import io
 
 
@@ -231,3 +231,15 @@ def test_tables_are_replaced_together(spark, tmp_path):
     assert io.committed_version(spark, root) == 1
     assert sorted(map(tuple, spark.read.parquet(f"{path}/a").collect())) == [("x", 9), ("y", 2)]
     assert sorted(map(tuple, spark.read.parquet(f"{path}/b").collect())) == [("x", 3), ("y", 4)]
+
+
+def test_note_checks_number_items_of_equal_order_by_time(spark):
+    chapters = spark.createDataFrame([(1, 0, 0.0, 100.0)], "lecture_id long, ord long, start_s double, end_s double")
+    durations = spark.createDataFrame([(1, 100.0)], "lecture_id long, duration_s double")
+    items = [(1, "quiz", 5, at) for at in (300.0, 50.0, 200.0)] + [(1, "quiz", 4, 70.0)]
+    want = {"quiz[2] at 03:20 is outside the video (length 01:40)", "quiz[3] at 05:00 is outside the video (length 01:40)"}
+    for given in (items, items[::-1]):
+        rows = spark.createDataFrame(given, "lecture_id long, kind string, ord long, at_s double")
+        issues, counts = evals.note_checks(chapters, rows, durations)
+        assert {r.issue for r in issues.collect()} == want
+        assert counts.first()[1:3] == (6, 2)
