@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursemill.llm import bpe, embedding_dedup, fingerprints, html_extraction, jaccard_join, packing, quality, sentence_pieces, substring_dedup, suffix_dedup, token_output
+from coursemill.llm import bpe, embedding_dedup, fingerprints, html_extraction, jaccard_join, packing, quality, sentence_pieces, substring_dedup, suffix_dedup, token_output, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_fingerprints": fingerprints.query,
     "op10_token_output": token_output.query,
+    "op12_whitening": whitening.query,
     "op13_sentence_pieces": sentence_pieces.query,
 }
 ORACLE: dict[str, str] = {
