@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursemill.llm import bpe, embedding_dedup, fingerprints, html_extraction, jaccard_join, packing, quality, sentence_pieces, substring_dedup, suffix_dedup, token_output, whitening
+from coursemill.llm import bpe, embedding_dedup, fingerprints, html_extraction, jaccard_join, lexical_search, packing, quality, sentence_pieces, substring_dedup, suffix_dedup, token_output, whitening
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_fingerprints": fingerprints.query,
     "op10_token_output": token_output.query,
+    "op11_lexical_search": lexical_search.query,
     "op12_whitening": whitening.query,
     "op13_sentence_pieces": sentence_pieces.query,
 }
@@ -24,4 +25,5 @@ ORACLE: dict[str, str] = {
     "op5_embedding_dedup": embedding_dedup.ORACLE,
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_fingerprints": fingerprints.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }
