@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coursemill.functions.text import ascii_tokens, format_timestamp, singular
 from coursemill.kernels.words import edit_table, nfkc
+from coursemill.operators.scans import running, sliced
 
 K, RECALL_AT = 10, 5
 
@@ -264,7 +265,8 @@ def detection_ap(truth: DataFrame, detections: DataFrame, thresholds: tuple[floa
     """Average precision of each (label, threshold), 101 recall points.
 
     truth: image_id, label, x1, y1, x2, y2; detections: also score, det_id. In an image each detection, best first,
-    takes the free truth it overlaps most, if by the threshold; running counts by score are windows of one label.
+    takes the free truth it overlaps most, if by the threshold. Running counts by score are a scan over slices of a label
+    (see scans.running), of which each recall point keeps its best precision; no task holds a label's detections.
     """
     cuts = list(thresholds)
     boxes = ["x1", "y1", "x2", "y2"]
@@ -280,27 +282,27 @@ def detection_ap(truth: DataFrame, detections: DataFrame, thresholds: tuple[floa
             h = np.clip(np.minimum(a[:, None, 3], b[:, 3]) - np.maximum(a[:, None, 1], b[:, 1]), 0, None)
             area = lambda z: (z[:, 2] - z[:, 0]) * (z[:, 3] - z[:, 1])
             iou = w * h / np.maximum(area(a)[:, None] + area(b) - w * h, 1e-12)
-        rows = []
-        for cut in cuts:
-            free = np.ones(len(facts), bool)
-            for i, det in enumerate(dets.itertuples()):
-                best = int(np.argmax(np.where(free, iou[i], -1))) if free.any() else -1
-                hit = best >= 0 and iou[i, best] >= cut
-                if hit:
-                    free[best] = False
-                rows.append((key[1], key[0], det.score, det.det_id, cut, int(hit)))
-        return pd.DataFrame(rows, columns=["label", "image_id", "score", "det_id", "threshold", "hit"])
+        free = np.ones((len(cuts), len(facts)), bool)
+        hits = np.zeros((len(cuts), len(dets)), np.int32)
+        for i in range(len(dets) if len(facts) else 0):  # every threshold takes its own truth
+            overlap = np.where(free, iou[i], -1.0)
+            best = overlap.argmax(1)
+            taken = overlap[np.arange(len(cuts)), best] >= np.array(cuts)
+            free[taken, best[taken]] = False
+            hits[:, i] = taken
+        out = {c: np.tile(dets[c].to_numpy(), len(cuts)) for c in ("image_id", "score", "det_id")}
+        return pd.DataFrame({"label": key[1], **out, "threshold": np.repeat(cuts, len(dets)), "hit": hits.reshape(-1)})[["label", "image_id", "score", "det_id", "threshold", "hit"]]
 
     keys = ["image_id", "label"]
     matched = detections.select(*keys, "score", "det_id", *boxes).groupBy(*keys).cogroup(truth.select(*keys, *boxes).groupBy(*keys)).applyInPandas(match, schema)
     totals = truth.groupBy("label").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("label", "threshold").orderBy(F.desc("score"), "det_id")
-    run = matched.withColumns({"tp": F.sum("hit").over(order), "seen": F.row_number().over(order)}).join(totals, "label")
-    curve = run.withColumns({"recall": F.col("tp") / F.col("n"), "precision": F.col("tp") / F.col("seen")})
-    best = F.max("precision").over(Window.partitionBy("label", "threshold").orderBy(F.desc("seen")))
-    steps = curve.withColumn("envelope", best).where("hit = 1")
-    lower = F.coalesce(F.lag("recall").over(Window.partitionBy("label", "threshold").orderBy("recall")), F.lit(-1.0))
-    points = F.floor(F.col("recall") * 100 + 1e-9) - F.floor(F.col("lower") * 100 + 1e-9)
-    sums = steps.withColumn("lower", F.when(lower < 0, F.lit(-0.01)).otherwise(lower)).groupBy("label", "threshold").agg((F.sum(F.col("envelope") * points) / 101).alias("ap"))
+    keys, order = ["label", "threshold"], [F.desc("score"), F.col("det_id"), F.col("image_id")]
+    run = running(sliced(matched, keys, order), keys, order, {"tp": F.col("hit"), "seen": F.lit(1)}).where("hit = 1").join(totals, "label")
+    point = F.floor(F.col("tp") / F.col("n") * 100 + 1e-9).alias("point")  # the last of 101 recall points that it reaches
+    tops = run.groupBy(*keys, point).agg(F.max(F.col("tp") / F.col("seen")).alias("top"))
+    by_point = Window.partitionBy(*keys).orderBy("point")
+    envelope = F.max("top").over(by_point.rowsBetween(0, Window.unboundedFollowing))
+    steps = tops.select(*keys, envelope.alias("envelope"), (F.col("point") - F.coalesce(F.lag("point").over(by_point), F.lit(-1))).alias("points"))
+    sums = steps.groupBy(*keys).agg((F.sum(F.col("envelope") * F.col("points")) / 101).alias("ap"))
     grid = totals.crossJoin(F.broadcast(truth.sparkSession.createDataFrame([(c,) for c in cuts], "threshold double")))  # ten rows
     return grid.join(sums, ["label", "threshold"], "left").select("label", "threshold", F.coalesce("ap", F.lit(0.0)).alias("ap"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coursemill.operators.scans import first_span
+
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, take: list[str], order: str | None = None) -> DataFrame:
     """left with ``take`` of the last right row (of its keys) that starts at or before it; null if none.
@@ -24,10 +26,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_t: st
 
 
 def slide_at(points: DataFrame, spans: DataFrame, t: str = "t", start: str = "start", end: str = "end", key: str = "lecture_id", take: tuple[str, ...] = ("span_index", "slide_id")) -> DataFrame:
-    """The span with start <= t < end; spans of a key do not overlap (see detect_slides)."""
-    found = asof_backward(points, spans, [key], t, start, [*take, end], "span_index")
-    inside = F.col(end) > F.col(t)
-    return found.select(*points.columns, *[F.when(inside, F.col(c)).alias(c) for c in take])
+    """The first span in deck order with start <= t < end; spans may overlap and nest (see first_span)."""
+    return first_span(points, spans, [key], t, start, end, "span_index", list(take))
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_range: tuple[Column, Column], right_range: tuple[Column, Column], condition: Column, block: float = 60.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursemill.functions.text import ascii_tokens, format_timestamp, html_escape, singular, undouble_backslashes
 from coursemill.operators.intervals import slide_at
+from coursemill.operators.scans import greedy_marks, running, sliced
 
 ENDERS = r"[.?!][\"'”’)\]]*$"
 LEADING = ["a", "an", "the", "of", "for", "in", "on", "to", "and", "or", "with", "by"]
@@ -25,33 +26,22 @@ def split_sentences(words: DataFrame, keys: list[str], max_words: int = 40) -> D
 def sentence_rows(words: DataFrame, max_words: int = 40) -> DataFrame:
     """Sentences of each segment, numbered from 0 through the lecture."""
     rows = split_sentences(words, ["lecture_id", "segment"], max_words)
-    number = F.row_number().over(Window.partitionBy("lecture_id").orderBy("segment", "pos")) - 1
-    return rows.select("lecture_id", number.alias("index"), "start_ds", "text")
+    order = ["segment", "pos"]
+    numbered = running(sliced(rows, ["lecture_id"], order), ["lecture_id"], order, {"number": F.lit(1)})
+    return numbered.select("lecture_id", (F.col("number") - 1).alias("index"), "start_ds", "text")
 
 
 def build_timeline(speech: DataFrame, spans: DataFrame, longest: float = 900) -> DataFrame:
     """Segments of consecutive speech under one span, cut where they would be longer than ``longest``.
 
-    Speech belongs to the span at its midpoint. Spans are told apart by span_index, so a slide shown again starts a new
-    segment. The cut depends on where the segment began, so it is a fold over each run's rows in order.
+    Speech belongs to the first span that holds its midpoint. Spans are told apart by span_index, so a slide shown again
+    starts a new segment. Where a segment is cut depends on where it began: greedy marks, over lectures of any length.
     """
     points = speech.withColumn("mid", (F.col("start_ds") + F.col("end_ds")) / 2)
-    placed = slide_at(points, spans, "mid", "start_ds_span", "end_ds_span")
-    order = Window.partitionBy("lecture_id").orderBy("idx")
-    new_run = ~F.col("span_index").eqNullSafe(F.lag("span_index").over(order)) | (F.col("idx") == F.min("idx").over(Window.partitionBy("lecture_id")))
-    runs = placed.withColumn("run", F.sum(new_run.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = runs.groupBy("lecture_id", "run").agg(F.array_sort(F.collect_list(F.struct("idx", "start_ds", "end_ds", "text", "slide_id"))).alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cut = (F.size(acc["cuts"]) == 0) | (x["end_ds"] - acc["first"] > longest)
-        return F.struct(F.when(cut, x["start_ds"]).otherwise(acc["first"]).alias("first"), F.concat(acc["cuts"], F.array(F.when(cut, 1).otherwise(0))).alias("cuts"))
-
-    start = F.struct(F.lit(0).cast("int").alias("first"), F.array().cast("array<int>").alias("cuts"))
-    cuts = rows.withColumn("cuts", F.aggregate("rows", start, step)["cuts"])
-    flat = cuts.select("lecture_id", "run", F.explode(F.arrays_zip("rows", "cuts")).alias("x")).select("lecture_id", "run", "x.rows.*", "x.cuts")
-    segment = F.sum("cuts").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    placed = slide_at(points, spans, "mid", "start_ds_span", "end_ds_span").drop("mid")
+    marked = greedy_marks(placed, ["lecture_id"], ["idx"], "start_ds", "end_ds", longest, groups=["span_index"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ")
-    out = flat.withColumn("index", segment).groupBy("lecture_id", "index").agg(F.min("start_ds").alias("start_ds"), F.max("end_ds").alias("end_ds"), joined.alias("transcript"), F.first("slide_id").alias("slide_id"))
+    out = marked.groupBy("lecture_id", (F.col("number") - 1).alias("index")).agg(F.min("start_ds").alias("start_ds"), F.max("end_ds").alias("end_ds"), joined.alias("transcript"), F.first("slide_id").alias("slide_id"))
     return out.withColumn("segment_id", F.format_string("s%03d", F.col("index")))
 
 

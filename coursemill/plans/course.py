@@ -29,6 +29,13 @@ def slide_at(spark, d):
     return I.slide_at(points, view(spark, d, "spans"), "t", "start_ds", "end_ds").drop("t")
 
 
+@query("d1_slide_at_overlaps", "SELECT lecture_id, idx, span_index, slide_id FROM (SELECT s.lecture_id, s.idx, p.span_index, p.slide_id, row_number() OVER (PARTITION BY s.lecture_id, s.idx ORDER BY p.span_index) AS n FROM speech s LEFT JOIN layers p ON p.lecture_id = s.lecture_id AND p.start_ds <= (s.start_ds + s.end_ds) / 2.0 AND (s.start_ds + s.end_ds) / 2.0 < p.end_ds) WHERE n = 1", "speech layers")
+def slide_at_overlaps(spark, d):
+    """Spans that overlap and nest, late ones often first in deck order."""
+    points = view(spark, d, "speech").select("lecture_id", "idx", ((F.col("start_ds") + F.col("end_ds")) / 2).alias("t"))
+    return I.slide_at(points, view(spark, d, "layers"), "t", "start_ds", "end_ds").drop("t")
+
+
 @query("d2_asof_backward", "SELECT s.lecture_id, s.idx, p.span_index FROM speech s ASOF LEFT JOIN spans p ON p.lecture_id = s.lecture_id AND p.start_ds <= s.start_ds", "speech spans")
 def asof(spark, d):
     return I.asof_backward(view(spark, d, "speech").select("lecture_id", "idx", "start_ds"), view(spark, d, "spans").withColumnRenamed("start_ds", "at"), ["lecture_id"], "start_ds", "at", ["span_index"]).select("lecture_id", "idx", "span_index")

@@ -24,6 +24,11 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         "SELECT lecture_id, CAST(j AS INT) AS span_index, CAST(j % 5 AS INT) AS slide_id, CAST(300 * j AS INT) AS start_ds, CAST(300 * j + 300 AS INT) AS end_ds FROM (SELECT lecture_id, explode(sequence(0, CAST(floor((4 * n - 1) / 300) AS INT))) AS j FROM {lengths}) WHERE j % 4 <> 3",
         "SELECT lecture_id, CAST(j AS INT) AS span_index, CAST(j % 5 AS INT) AS slide_id, CAST(300 * j AS INT) AS start_ds, CAST(300 * j + 300 AS INT) AS end_ds FROM (SELECT lecture_id, unnest(range(0, CAST(floor((4 * n - 1) / 300) AS INT) + 1)) AS j FROM lengths) WHERE j % 4 <> 3",
     ),
+    "layers": (
+        ("lengths",),
+        "SELECT lecture_id, CAST(CASE WHEN j % 2 = 0 THEN 1000000 - j ELSE j END AS INT) AS span_index, CAST(j % 5 AS INT) AS slide_id, CAST(200 * j AS INT) AS start_ds, CAST(CASE WHEN j % 11 = 3 THEN 4 * n ELSE 200 * j + 150 * (j % 5) END AS INT) AS end_ds FROM (SELECT lecture_id, n, explode(sequence(0, CAST(floor((4 * n - 1) / 200) AS INT))) AS j FROM {lengths})",
+        "SELECT lecture_id, CAST(CASE WHEN j % 2 = 0 THEN 1000000 - j ELSE j END AS INT) AS span_index, CAST(j % 5 AS INT) AS slide_id, CAST(200 * j AS INT) AS start_ds, CAST(CASE WHEN j % 11 = 3 THEN 4 * n ELSE 200 * j + 150 * (j % 5) END AS INT) AS end_ds FROM (SELECT lecture_id, n, unnest(range(0, CAST(floor((4 * n - 1) / 200) AS INT) + 1)) AS j FROM lengths)",
+    ),
     "lines": (
         ("documents",),
         r"SELECT doc_id AS deck_id, CAST(pos AS INT) AS slide_id, line AS text FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, line) FROM {documents})",

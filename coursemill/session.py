@@ -16,3 +16,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="coursemill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """See that reliable checkpoints have a folder: the one that ``spark.checkpoint.dir`` names."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))

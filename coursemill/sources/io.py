@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions.text import caption_words, parse_timestamp
+from coursemill.operators.scans import running, sliced
 
 GOLDEN = "lecture_id string, duration_s double, questions array<struct<id: string, kind: string, question: string, answer: string, spans: array<array<string>>>>"
 COCO = "images array<struct<id: long, file_name: string, width: int, height: int>>, annotations array<struct<id: long, image_id: long, category_id: int, bbox: array<double>, area: double>>, categories array<struct<id: int, name: string>>"
@@ -61,9 +62,8 @@ def coco_images(boxes: DataFrame) -> DataFrame:
     Boxes are counted by image first, so only a row an image is numbered.
     """
     images = boxes.groupBy("split", "file_name").agg(F.count("label").alias("n"))
-    order = Window.partitionBy("split").orderBy("file_name")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return images.select("split", "file_name", F.row_number().over(order).alias("image_id"), before.alias("before"))
+    numbered = running(sliced(images, ["split"], ["file_name"]), ["split"], ["file_name"], {"image_id": F.lit(1), "upto": F.col("n")})
+    return numbered.select("split", "file_name", F.col("image_id").cast("int").alias("image_id"), (F.col("upto") - F.col("n")).alias("before"))
 
 
 def coco_annotations(boxes: DataFrame, labels: list[str]) -> DataFrame:
