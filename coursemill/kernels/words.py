@@ -3,35 +3,72 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
 
 
 def edit_operations(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions and insertions of a shortest word alignment.
+    """Substitutions, deletions and insertions of a shortest word alignment; of these one with the fewest deletions.
 
-    One row of the table is made at a time; the insertions along a row are a running minimum. A value holds the cost
-    above the deletions, in as many bits as the lengths need, so no table is kept for a trace back; the lengths give the
-    insertions. Ties prefer substitution, then deletion.
+    Only a band of diagonals around the two corners is filled, row by row; it doubles until it must hold every shortest
+    alignment, so the time is about the words times the errors. What the texts begin and end with alike is left out first.
     """
     names = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
     ref = np.array([names[w] for w in reference], np.int64)
     hyp = np.array([names[w] for w in hypothesis], np.int64)
-    n, bits = len(hyp), len(ref).bit_length()
-    kind = np.int32 if bits + (len(ref) + n).bit_length() < 31 else np.int64
-    one = kind(1 << bits)
-    across = np.arange(n + 1, dtype=kind) * one
-    row = across.copy()
-    for word in ref:
-        new = np.empty(n + 1, kind)
-        new[0] = row[0] + one + kind(1)
-        np.minimum(row[:-1] + (hyp != word) * one, row[1:] + (one + kind(1)), out=new[1:])
-        new -= across
-        row = np.minimum.accumulate(new) + across
-    cost, deletions = int(row[-1]) >> bits, int(row[-1]) & (int(one) - 1)
-    insertions = deletions + n - len(ref)
-    return cost - deletions - insertions, deletions, insertions
+    for _ in range(2):  # the common beginning, then the common end
+        least = min(len(ref), len(hyp))
+        differ = np.flatnonzero(ref[:least] != hyp[:least])
+        same = int(differ[0]) if len(differ) else least
+        ref, hyp = ref[same:][::-1], hyp[same:][::-1]
+    m, n = len(ref), len(hyp)
+    if not m or not n:
+        return 0, m, n
+    bags = np.bincount(ref, minlength=len(names)), np.bincount(hyp, minlength=len(names))
+    fewest = max(m, n) - int(np.minimum(*bags).sum())
+    side = min(max(128, fewest - abs(n - m)), max(m, n))  # wider rows take little longer
+    while True:
+        cost, deletions = _banded(ref, hyp, side)
+        if cost < abs(n - m) + 2 * (side + 1):  # an alignment that leaves the band costs as much at least
+            insertions = deletions + n - m
+            return cost - deletions - insertions, deletions, insertions
+        side = max(2 * side, (cost - abs(n - m)) // 2)
+
+
+def _banded(ref: np.ndarray, hyp: np.ndarray, side: int) -> tuple[int, int]:
+    """Cost and deletions of the best alignment between the diagonals ``side`` beyond the corners'.
+
+    A value is the cost above the deletions in its bits, less the cost of its column's insertions: those are then a
+    running minimum along the row. Entry d of a row stands for column row + low + d; places outside the table are dear.
+    """
+    m, n = len(ref), len(hyp)
+    low, high = min(0, n - m) - side, max(0, n - m) + side
+    bits = m.bit_length()
+    kind = np.int32 if bits + (m + 2 * n + 4 * side).bit_length() < 30 else np.int64
+    one, dear = kind(1 << bits), np.iinfo(kind).max // 2
+    delete = one + kind(1)
+    order = np.argsort(hyp, kind="stable")  # columns by word: few of a row's places match
+    begin = np.searchsorted(hyp[order], np.arange(max(int(ref.max()), int(hyp.max())) + 2)).tolist()
+    columns, place = order + 1, (order + 1).tolist()
+    width = high - low + 1
+    row = np.full(width, dear, kind)
+    row[-low : min(width, n - low + 1)] = 0
+    lower, left, right = np.empty(width - 1, kind), row[:-1], row[1:]
+    for i, word in enumerate(ref.tolist(), 1):
+        np.add(right, delete, out=lower)
+        x = bisect_left(place, i + low, begin[word], begin[word + 1])
+        y = bisect_left(place, i + low + width, x, begin[word + 1])
+        if x < y:
+            row[columns[x:y] - (i + low)] -= one
+        np.minimum(left, lower, out=left)
+        start = -low - i  # entry of column 0
+        if start >= 0:
+            row[:start] = dear
+        np.minimum.accumulate(row, out=row)
+    value = int(row[n - m - low]) + n * int(one)
+    return value >> bits, value & (int(one) - 1)
 
 
 def edit_table(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:

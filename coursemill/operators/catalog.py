@@ -131,13 +131,17 @@ def json_map(c: Column) -> Column:
     return F.concat(F.lit("{"), F.coalesce(F.array_join(pairs, ","), F.lit("")), F.lit("}"))
 
 
-def canonical(texts: pd.Series) -> pd.Series:
-    """JSON texts with sorted keys and no blanks; NaN and infinity are refused."""
+def canonical_json(text: str | None) -> str:
+    """JSON with sorted keys and no blanks, {} for none; NaN and infinity are refused."""
 
     def refuse(name: str) -> None:
         raise ValueError(f"{name} has no place in a key")
 
-    return texts.map(lambda t: "{}" if t is None else json.dumps(json.loads(t, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+    return "{}" if text is None else json.dumps(json.loads(text, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def canonical(texts: pd.Series) -> pd.Series:
+    return texts.map(canonical_json)
 
 
 def cache_keys(specs: DataFrame) -> DataFrame:
@@ -170,13 +174,14 @@ def chain_keys(roots: DataFrame, stages: list[Stage]) -> DataFrame:
     """(root_id, stage, key) of every stage of each root (root_id, content_hash); stages stand behind those they need.
 
     A stage's key takes its parents' keys, so a change re-keys what comes after it and nothing else. All keys of a
-    root are columns of one row: no join.
+    root are columns of one row: no join. What a stage says of itself is JSON made once, on the driver.
     """
-    rows = roots.select("root_id", "content_hash")
+    said = lambda x: json.dumps(x, ensure_ascii=False)
+    rows = roots.select("root_id", quoted(F.col("content_hash")).alias("source"))
     for s in stages:
-        parents = [x for role, parent in sorted(s.inputs.items()) for x in (F.lit(role), F.col("content_hash" if parent is None else f"key_{parent}"))]
-        spec = {"stage": F.lit(s.name), "version": F.lit(s.version), "model": F.lit(s.model).cast("string"), "params": F.lit(s.params).cast("string"), "inputs": F.create_map(*parents)}
-        rows = cache_keys(rows.withColumns(spec)).withColumnRenamed("key", f"key_{s.name}").drop(*spec)
+        parents = [x for i, (role, parent) in enumerate(sorted(s.inputs.items())) for x in (F.lit("," * (i > 0) + said(role) + ":"), F.col("source") if parent is None else F.concat(F.lit('"'), f"key_{parent}", F.lit('"')))]
+        fields = {"inputs": F.concat(F.lit("{"), *parents, F.lit("}")), **{k: F.lit(said(v)) for k, v in (("model", s.model), ("stage", s.name), ("version", s.version))}, "params": F.lit(canonical_json(s.params))}
+        rows = rows.withColumn(f"key_{s.name}", F.sha2(json_object(fields), 256))
     keys = F.array(*(F.struct(F.lit(s.name).alias("stage"), F.col(f"key_{s.name}").alias("key")) for s in stages))
     return rows.select("root_id", F.explode(keys).alias("k")).select("root_id", "k.stage", "k.key")
 
