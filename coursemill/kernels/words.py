@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_left
 
@@ -80,10 +81,19 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+# fixed values: bullets of slides, those of symbol fonts (private use) among them
+BULLETS = re.compile("^[\ue000-\uf8ff•▪◦●■□◆·*]+\\s*")
+PRIVATE_USE = re.compile("[\ue000-\uf8ff]")
+
+
+def clean_lines(text: pd.Series) -> pd.DataFrame:
+    """Whether each line begins with a bullet, and its NFKC text without bullets and private characters."""
+    plain = [unicodedata.normalize("NFKC", t or "").strip() for t in text]
+    return pd.DataFrame({"bullet": [bool(BULLETS.match(t)) for t in plain], "text": [PRIVATE_USE.sub("", BULLETS.sub("", t)).strip() for t in plain]})
+
+
 def slug(title: pd.Series) -> pd.Series:
     """Lower-case ASCII words joined by hyphens; "lecture" if none is left."""
-    import re
-
     def one(t: str | None) -> str:
         bare = "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).lower()
         return re.sub(r"[^a-z0-9]+", "-", bare).strip("-") or "lecture"

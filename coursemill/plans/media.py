@@ -181,11 +181,15 @@ def geometry(spark, d):
     return P.line_geometry(b).select("slide_id", "line_no", "top", "left", "right", F.round("height", 6).alias("height"), F.round("angle", 6).alias("angle"))
 
 
+LEADS = ("", "• ", "\uf0a7", "●■  ", "* ", "a • ", "▪")  # in front of lines 1 to 7; the last has nothing else
+CLEAN = r"trim(regexp_replace(regexp_replace(text, '^[\x{E000}-\x{F8FF}•▪◦●■□◆·*]+\s*', ''), '[\x{E000}-\x{F8FF}]', '', 'g'))"
+
+
 def ocr(spark, d):
-    return view(spark, d, "boxes").select("deck_id", "slide_id", "line_no", F.concat(F.col("label"), F.lit(" word "), F.col("line_no").cast("string")).alias("text"), "score", (F.col("x1") / 40 - 3).alias("angle"), F.col("y1").alias("top"), F.col("x1").alias("left"), F.col("x2").alias("right"), F.col("h").alias("height"))
+    return view(spark, d, "boxes").select("deck_id", "slide_id", "line_no", F.concat(F.element_at(F.array(*map(F.lit, LEADS)), F.col("line_no").cast("int")), F.when(F.col("line_no") == 7, "").otherwise(F.concat(F.col("label"), F.lit(" word "), F.col("line_no").cast("string")))).alias("text"), "score", (F.col("x1") / 40 - 3).alias("angle"), F.col("y1").alias("top"), F.col("x1").alias("left"), F.col("x2").alias("right"), F.col("h").alias("height"), F.lit(10.0).alias("area_top"), F.lit(280.0).alias("area_height"))
 
 
-@query("i4_route_slides", """, s AS (SELECT deck_id, slide_id, max(ink) AS ink, sum((abs(x1 / 40 - 3) > 8)::INT) AS tilted, count(*) * 3 AS words, avg(score) AS score FROM boxes GROUP BY 1, 2), b AS (SELECT deck_id, quantile_cont(ink, 0.25) AS base FROM s GROUP BY 1)
+@query("i4_route_slides", """, s AS (SELECT deck_id, slide_id, max(ink) AS ink, sum((abs(x1 / 40 - 3) > 8)::INT) AS tilted, sum([3, 4, 3, 4, 4, 5, 1][line_no]) AS words, avg(score) AS score FROM boxes GROUP BY 1, 2), b AS (SELECT deck_id, quantile_cont(ink, 0.25) AS base FROM s GROUP BY 1)
   SELECT slide_id, reasons FROM (SELECT slide_id, list_filter([CASE WHEN ink - base > 0.003 THEN 'figure' END, CASE WHEN tilted >= 2 THEN 'annotations' END, CASE WHEN slide_id % 9 >= 3 AND slide_id % 2 = 0 THEN 'columns' END, CASE WHEN words < 5 THEN 'little text' WHEN score < 0.93 THEN 'low confidence' END], lambda r: r IS NOT NULL) AS reasons FROM s JOIN b USING (deck_id)) WHERE len(reasons) > 0""", "boxes")
 def route(spark, d):
     slides = view(spark, d, "boxes").groupBy("deck_id", "slide_id").agg(F.max("ink").alias("ink"))
@@ -201,9 +205,19 @@ def columns(spark, d):
     return P.side_by_side_rows(ocr(spark, d), ["deck_id", "slide_id"])
 
 
-@query("i6_reading_from_ocr")
+@query(
+    "i6_reading_from_ocr",
+    rf""", o AS (SELECT *, ['', '• ', chr(61607), '●■  ', '* ', 'a • ', '▪'][line_no] || CASE line_no WHEN 7 THEN '' ELSE label || ' word ' || line_no END AS text FROM boxes WHERE y1 < 10.0 + 0.92 * 280.0),
+  n AS (SELECT *, row_number() OVER w AS n, max(h) OVER (PARTITION BY deck_id, slide_id) AS tall, y1 - lag(y1) OVER w < 2 * lag(h) OVER w AS follows FROM o WINDOW w AS (PARTITION BY deck_id, slide_id ORDER BY round_even(y1 / 4, 0), x1, line_no)),
+  t AS (SELECT *, min((h >= 0.75 * tall AND CASE n WHEN 1 THEN y1 < 10.0 + 0.3 * 280.0 ELSE follows END)::INT) OVER (PARTITION BY deck_id, slide_id ORDER BY n) = 1 AS title, regexp_matches(text, '^[\x{{E000}}-\x{{F8FF}}•▪◦●■□◆·*]') AS bullet, {CLEAN} AS cleaned FROM n)
+  SELECT deck_id, slide_id, coalesce(string_agg(cleaned, ' ' ORDER BY n) FILTER (title AND cleaned <> ''), '') AS title, coalesce(string_agg(CASE WHEN bullet THEN '- ' ELSE '' END || cleaned, chr(10) ORDER BY n) FILTER (NOT title AND cleaned <> ''), '') AS text FROM t GROUP BY 1, 2""",
+    "boxes",
+)
 def reading(spark, d):
-    return P.reading_from_ocr(ocr(spark, d).withColumn("area_height", F.lit(320.0)), ["deck_id", "slide_id"])
+    return P.reading_from_ocr(ocr(spark, d), ["deck_id", "slide_id"])
+
+
+SQL["i6_reading_from_ocr"] = SQL["i6_reading_from_ocr"].replace(") , o AS", "), o AS", 1)
 
 
 @query("i9_line_pairs")
