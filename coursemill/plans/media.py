@@ -9,7 +9,8 @@ from coursemill.kernels import latex, words
 from coursemill.operators import catalog as C
 from coursemill.operators import slides as P
 from coursemill.plans.views import VIEWS, view, with_views
-from coursemill.sources import io
+from coursemill.session import shared_path
+from coursemill.sources import buckets, io
 from coursemill.streaming import jobs as J
 
 Q: dict = {}
@@ -131,7 +132,10 @@ def pending(spark, d):
 @query("a6_replace_by_key", "SELECT lecture_id, idx, 'new' AS text FROM speech WHERE lecture_id % 4 = 0 UNION ALL SELECT lecture_id, idx, text FROM speech WHERE lecture_id % 4 <> 0", "speech")
 def replace(spark, d):
     old = view(spark, d, "speech").select("lecture_id", "idx", "text")
-    return io.replaced(old, old.where("lecture_id % 4 = 0").withColumn("text", F.lit("new")), ["lecture_id"])
+    root = shared_path(spark, "speech")
+    buckets.replace_by_key(old, root, ["lecture_id"])
+    buckets.replace_by_key(old.where("lecture_id % 4 = 0").withColumn("text", F.lit("new")), root, ["lecture_id"])
+    return buckets.read(spark, root)
 
 
 SRT = "SELECT CAST(doc_id AS {s}) AS path, concat('1{crlf}00:', lpad(CAST(doc_id % 60 AS {s}), 2, '0'), ':05,250 --> 00:', lpad(CAST(doc_id % 60 AS {s}), 2, '0'), ':09.500{crlf}', 'hello there{crlf}SPEAKER one{crlf}{crlf}no time here{crlf}{crlf}2{crlf}01:00:00,000 --> 01:00:02,000{crlf}bye') AS value FROM {t}"
@@ -399,6 +403,17 @@ def rate(spark, d):
     return J.minute_rate(view(spark, d, "ledger")).select("id", "rate")
 
 
+@query("j2_minute_rate_stream", RATE, "ledger")
+def rate_stream(spark, d):
+    """A heartbeat behind the last event moves the watermark past all questions."""
+    stream = ledger_stream(spark, d).select("id", "user_id", "kind", "created_at")
+    beat = stream.schema
+    last = view(spark, d, "ledger").agg(F.max(F.col("created_at").cast("timestamp")).alias("t")).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast("long").alias("user_id"), F.lit("heartbeat").alias("kind"), F.col("t") + F.expr("INTERVAL 1 DAY"))
+    path = shared_path(spark, "heartbeat")
+    last.toDF(*beat.names).select(*[F.col(f.name).cast(f.dataType) for f in beat]).write.parquet(path)
+    return J.run_to_end(J.minute_rate_stream(stream.unionByName(spark.readStream.schema(beat).parquet(path))), "append", own_state=True).select("id", "rate")
+
+
 @query("j2_minute_windows_stream", "SELECT strftime(time_bucket(INTERVAL 10 SECOND, created_at) - k * INTERVAL 10 SECOND, '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM ledger, range(0, 6) z(k) WHERE kind = 'question' AND user_id IS NOT NULL GROUP BY ALL", "ledger")
 def windows_stream(spark, d):
     return J.run_to_end(J.minute_windows(ledger_stream(spark, d), "60 days")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
@@ -437,25 +452,26 @@ def changes_stream(spark, d):
     return J.run_to_end(J.progress_changes_stream(spark.sql(EVENTS, events=stream)), "append")
 
 
-NAMED = "CASE WHEN stage = 'stage7' THEN 'other' ELSE ['probe', 'audio', 'asr', 'slides', 'ocr', 'read_slides'][substr(stage, 6)::INT] END"
-PROGRESS = f"SELECT run_id, CASE WHEN ok THEN 13 ELSE d END AS done, 13 AS total, CASE WHEN ok THEN 100 ELSE CAST(floor(d / 13.0 * 100 + 0.5) AS INT) END AS percent, CASE WHEN ok OR a THEN 'done' WHEN r THEN 'running' ELSE 'pending' END AS asr FROM (SELECT run_id, max((status = 'succeeded')::INT) = 1 AS ok, count(DISTINCT name) FILTER (NOT cached AND name <> 'other') AS d, coalesce(bool_or(name = 'asr' AND NOT cached), false) AS a, coalesce(bool_or(name = 'asr' AND cached), false) AS r FROM (SELECT *, {NAMED} AS name FROM stages) GROUP BY 1)"
+NAMED = "CASE WHEN stage = 'stage7' THEN 'fetch' ELSE ['probe', 'audio', 'asr', 'slides', 'ocr', 'read_slides'][substr(stage, 6)::INT] END"
+PROGRESS = f"""SELECT run_id, CASE WHEN ok THEN total ELSE d END AS done, total, CASE WHEN ok THEN 100 ELSE CAST(floor(d * 100.0 / total + 0.5) AS INT) END AS percent, CASE WHEN ok OR a THEN 'done' WHEN r THEN 'running' ELSE 'pending' END AS asr, link AS fetches FROM (
+  SELECT run_id, run_id % 3 = 0 AS link, 13 + (run_id % 3 = 0)::INT AS total, max((status = 'succeeded')::INT) = 1 AS ok, count(DISTINCT name) FILTER (NOT cached AND (name <> 'fetch' OR run_id % 3 = 0)) AS d, coalesce(bool_or(name = 'asr' AND NOT cached), false) AS a, coalesce(bool_or(name = 'asr' AND cached), false) AS r FROM (SELECT *, {NAMED} AS name FROM stages) GROUP BY 1)"""
 
 
 def stage_events(stages):
-    name = F.coalesce(F.try_element_at(F.array(*map(F.lit, J.STAGES[:6])), F.substring("stage", 6, 1).cast("int")), F.lit("other"))
-    return stages.select("run_id", name.alias("stage"), F.col("status").alias("run_status"), F.when(F.col("cached"), "running").otherwise("done").alias("status"))
+    name = F.coalesce(F.try_element_at(F.array(*map(F.lit, J.STAGES[:6])), F.substring("stage", 6, 1).cast("int")), F.lit(J.FETCH))
+    return stages.select("run_id", name.alias("stage"), (F.col("run_id") % 3 == 0).alias("from_link"), F.col("status").alias("run_status"), F.when(F.col("cached"), "running").otherwise("done").alias("status"))
 
 
 @query("j6_run_progress", PROGRESS, "stages")
 def progress(spark, d):
-    return J.run_progress(stage_events(view(spark, d, "stages"))).select("run_id", "done", "total", "percent", F.col("states")["asr"].alias("asr"))
+    return J.run_progress(stage_events(view(spark, d, "stages"))).select("run_id", "done", "total", "percent", F.try_element_at("states", F.lit("asr")).alias("asr"), F.map_contains_key("states", J.FETCH).alias("fetches"))
 
 
 @query("j6_run_progress_stream", PROGRESS, "stages")
 def progress_stream(spark, d):
     from coursemill.plans.scores import streamed_stages
 
-    return J.run_to_end(J.run_progress(stage_events(streamed_stages(spark, d)))).select("run_id", "done", "total", "percent", F.col("states")["asr"].alias("asr"))
+    return J.run_to_end(J.run_progress(stage_events(streamed_stages(spark, d)))).select("run_id", "done", "total", "percent", F.try_element_at("states", F.lit("asr")).alias("asr"), F.map_contains_key("states", J.FETCH).alias("fetches"))
 
 
 RUNS = "SELECT o_orderkey AS run_id, o_custkey AS lecture_id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'P' THEN 'running' ELSE 'done' END AS status FROM {orders}"

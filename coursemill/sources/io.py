@@ -100,37 +100,6 @@ def read_page_regions(spark: SparkSession, path: str) -> DataFrame:
     return pages.select("pdf", "p.page", F.explode("p.regions").alias("r")).select("pdf", "page", "r.label", "r.box")
 
 
-def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows of keys that new has not, and all new rows."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
-
-
-def replace_by_key(spark: SparkSession, new: DataFrame, path: str, keys: list[str], version: int) -> str:
-    """Write version ``version`` of a table: the version before with the keys' rows replaced. All or nothing: readers
-    take the last version that has its _SUCCESS file."""
-    rows = replaced(spark.read.parquet(f"{path}/v{version - 1}"), new, keys) if version else new
-    rows.write.mode("overwrite").parquet(f"{path}/v{version}")
-    return f"{path}/v{version}"
-
-
-def replace_tables(new: dict[str, DataFrame], root: str, keys: list[str], version: int) -> str:
-    """Write version ``version`` of several tables together, each with the keys' rows replaced: all or nothing.
-
-    A version counts once its mark is written, after the last table; see committed_version.
-    """
-    spark = next(iter(new.values())).sparkSession
-    for name, rows in new.items():
-        whole = replaced(spark.read.parquet(f"{root}/v{version - 1}/{name}"), rows, keys) if version else rows
-        whole.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
-    spark.createDataFrame([(version,)], "version int").write.mode("append").parquet(f"{root}/committed")
-    return f"{root}/v{version}"
-
-
-def committed_version(spark: SparkSession, root: str) -> int | None:
-    """The last version of which all tables are written."""
-    return spark.read.schema("version int").parquet(f"{root}/committed").agg(F.max("version")).first()[0]
-
-
 def append_eval_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 

@@ -6,12 +6,14 @@ come later than it are dropped.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coursemill.operators.scans import running, sliced
 from coursemill.session import shared_path
 
 # fixed values: limits of a user, and the budget of all
@@ -49,12 +51,67 @@ def minute_windows(ledger: DataFrame, delay: str = "1 minute") -> DataFrame:
     return counts.select(F.col("w.start").alias("start"), "user_id", "n")
 
 
+MINUTE_US = 60_000_000
+
+
+def minute_rate_stream(ledger: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """(user_id, id, rate): minute_rate of a stream, row by row; a question is answered once the watermark has passed it.
+
+    A user's state is a deque of the times of the last minute and the questions that wait for an answer; questions of one batch
+    or of several may come in any order within ``delay``. A timer answers what the watermark has passed; with none waiting
+    it drops the times a minute later, so idle users keep nothing. Rows of other kinds only move the watermark. Needs
+    the state store that transformWithState asks for (see run_to_end).
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Rates(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("times", "times array<long>, ids array<long>, at array<long>")
+
+        def read(self) -> tuple[list[int], list[int], list[int]]:
+            return tuple(map(list, self.state.get())) if self.state.exists() else ([], [], [])
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            times, ids, at = self.read()
+            for part in rows:
+                asked = part[part.asks]
+                times += asked.us.tolist()
+                at += asked.us.tolist()
+                ids += asked.id.tolist()
+            if at:
+                self.state.update((sorted(times), ids, at))
+                self.handle.registerTimer(-(-min(at) // 1000))
+            yield pd.DataFrame({"user_id": [], "id": [], "rate": []}, dtype="int64")
+
+        def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            times, ids, at = self.read()
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            due = [i for i, us in enumerate(at) if us <= passed]
+            rates = [bisect_right(times, at[i]) - bisect_left(times, at[i] - MINUTE_US) for i in due]
+            left = [i for i, us in enumerate(at) if us > passed]
+            yield pd.DataFrame({"user_id": [key[0]] * len(due), "id": [ids[i] for i in due], "rate": rates}, dtype="int64")
+            times = times[bisect_left(times, passed - MINUTE_US) :]
+            if left or times:
+                self.state.update((times, [ids[i] for i in left], [at[i] for i in left]))
+                self.handle.registerTimer(-(-min((at[i] for i in left), default=passed + MINUTE_US) // 1000))
+            elif self.state.exists():
+                self.state.clear()
+
+        def close(self) -> None:
+            pass
+
+    asks = (F.col("kind") == "question") & F.col("user_id").isNotNull()
+    rows = ledger.withWatermark("created_at", delay).select(F.coalesce(F.col("user_id").cast("long"), F.lit(-1)).alias("user_id"), F.col("id").cast("long"), asks.alias("asks"), F.unix_micros("created_at").alias("us"), "created_at")
+    return rows.groupBy("user_id").transformWithStateInPandas(Rates(), "user_id long, id long, rate long", "Append", "EventTime")
+
+
 def quota_decisions(requests: DataFrame, ledger: DataFrame, limits: dict = LIMITS) -> DataFrame:
     """(id, decision, retry_s) of requests (id, user_id, kind, admin, created_at) against the ledger of admitted events.
 
     In order: the minute's limit, the day's limit, everyone's budget; what has reached its limit is refused. Only
-    ledger rows count, so a refused request never does. The budget is summed by day and by running sums within a day's
-    spending rows.
+    ledger rows count, so a refused request never does. Spending is one running sum a day (see scans.running): no request
+    meets the spends before it.
     """
     us = F.unix_micros(F.col("created_at").cast("timestamp"))
     day = F.to_date("created_at")
@@ -64,18 +121,12 @@ def quota_decisions(requests: DataFrame, ledger: DataFrame, limits: dict = LIMIT
     minute = counted.over(Window.partitionBy("user_id", "kind").orderBy("us").rangeBetween(-60_000_000, 0))
     today = counted.over(Window.partitionBy("user_id", "kind", "day").orderBy("us").rangeBetween(Window.unboundedPreceding, 0))
     rows = old.unionAll(new).withColumns({"minute": minute, "today": today}).where("ask = 1")
-    # everyone's spending up to a request: whole minutes before it, then its own minute's rows
-    slot = F.floor(F.col("us") / 60_000_000)
-    spends = ledger.where("cost_usd > 0").select(us.alias("us"), day.alias("day"), "cost_usd").withColumn("slot", slot)
-    per_slot = spends.groupBy("day", "slot").agg(F.sum("cost_usd").alias("c"))
-    running = per_slot.withColumn("before", F.sum("c").over(Window.partitionBy("day").orderBy("slot"))).select("day", F.col("slot").alias("at"), "before")
-    asked = rows.withColumn("slot", slot)
-    marks = asked.select("day", "slot").distinct()
-    both = marks.select("day", "slot", F.lit(None).cast("double").alias("b")).unionAll(running.select("day", F.col("at") + 1, "before"))
-    base = both.groupBy("day", "slot").agg(F.max("b").alias("b")).withColumn("base", F.last("b", ignorenulls=True).over(Window.partitionBy("day").orderBy("slot")))
-    own = asked.select("id", "day", "slot", F.col("us").alias("ask_us")).join(spends, ["day", "slot"]).where("us <= ask_us").groupBy("id").agg(F.sum("cost_usd").alias("own"))
-    full = asked.join(base.select("day", "slot", "base"), ["day", "slot"], "left").join(own, "id", "left")
-    spent = F.coalesce("base", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))
+    # everyone's spending of the day up to a request: a running sum over spends and requests together
+    order = ["us", "ask", "id"]
+    spends = ledger.where("cost_usd > 0").select(day.alias("day"), us.alias("us"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("id"), F.col("cost_usd").cast("double").alias("cost"))
+    both = spends.unionAll(rows.select("day", "us", "ask", "id", F.lit(0.0).alias("cost")))
+    spent_by = running(sliced(both, ["day"], order), ["day"], order, {"spent": F.col("cost")}).where("ask = 1").select("id", "spent")
+    full, spent = rows.join(spent_by, "id"), F.col("spent")
     most = F.when(F.col("kind") == "upload", limits["uploads"]).otherwise(limits["day"])
     decision = F.when(F.col("admin"), "ok").when((F.col("kind") == "question") & (F.col("minute") >= limits["minute"]), "minute").when(F.col("today") >= most, "day").when(spent >= limits["budget"], "budget").otherwise("ok")
     midnight = F.ceil((F.unix_micros((F.col("day") + F.expr("INTERVAL 1 DAY")).cast("timestamp")) - F.col("us")) / 1e6)
@@ -123,15 +174,21 @@ def progress_changes_stream(events: DataFrame) -> DataFrame:
 def run_progress(events: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """(run_id, done, total, percent, states) of stage events (run_id, stage, status done or running, run_status).
 
-    Stages that are not listed do not count. A run that succeeded has done all of them and is at 100 percent. states maps
-    each stage to done, running or pending.
+    With a column from_link, a run that has it true downloads first: FETCH is a stage of it, and of no other. Stages that are
+    not of a run do not count. A run that succeeded has done all of them and is at 100 percent. states maps each stage
+    to done, running or pending.
     """
-    total = len(stages)
-    names = lambda s: F.collect_set(F.when((F.col("status") == s) & F.col("stage").isin(stages), F.col("stage")))
-    rows = events.groupBy("run_id").agg(names("done").alias("d"), names("running").alias("r"), (F.max((F.col("run_status") == "succeeded").cast("int")) == 1).alias("ok"))
+    link = F.coalesce("from_link", F.lit(False)) if "from_link" in events.columns else F.lit(False)
+    marked = events.withColumn("_link", link)
+    counts = F.col("stage").isin(stages) | ((F.col("stage") == FETCH) & F.col("_link"))
+    names = lambda s: F.collect_set(F.when((F.col("status") == s) & counts, F.col("stage")))
+    rows = marked.groupBy("run_id").agg(names("done").alias("d"), names("running").alias("r"), (F.max((F.col("run_status") == "succeeded").cast("int")) == 1).alias("ok"), (F.max(F.col("_link").cast("int")) == 1).alias("link"))
     state = lambda s: F.when(F.col("ok") | F.array_contains("d", s), "done").when(F.array_contains("r", s), "running").otherwise("pending")
+    every = [FETCH, *stages]
+    states = F.map_filter(F.create_map(*(x for s in every for x in (F.lit(s), state(s)))), lambda k, _: (k != FETCH) | F.col("link"))
+    total = F.lit(len(stages)) + F.col("link").cast("int")
     done = F.when(F.col("ok"), total).otherwise(F.size("d"))
-    return rows.select("run_id", done.alias("done"), F.lit(total).alias("total"), F.when(F.col("ok"), 100).otherwise(F.floor(F.size("d") / total * 100 + 0.5)).cast("int").alias("percent"), F.create_map(*(x for s in stages for x in (F.lit(s), state(s)))).alias("states"))
+    return rows.select("run_id", done.alias("done"), total.alias("total"), F.when(F.col("ok"), 100).otherwise(F.floor(F.size("d") / total * 100 + 0.5)).cast("int").alias("percent"), states.alias("states"))
 
 
 def latest_runs(runs: DataFrame, newest: int = 20) -> DataFrame:
@@ -189,44 +246,53 @@ def running_conflicts(runs: DataFrame) -> DataFrame:
     return runs.where("status = 'running'").groupBy("lecture_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and return its last output (complete) or all of it (append)."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(stream: DataFrame, mode: str = "complete", own_state: bool = False) -> DataFrame:
+    """Run a stream over all that is there now and return its last output (complete) or all of it (append).
+
+    own_state: the stream uses transformWithState, whose state needs the RocksDB store; the session's setting comes back.
+    """
     spark: SparkSession = stream.sparkSession
     path = shared_path(spark, "stream")
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE)
+    try:
+        if own_state:
+            spark.conf.set(STORE, ROCKS)
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def upsert_feedback_stream(ratings: DataFrame, path: str) -> DataFrame:
     """Keep the last rating of each answer under ``path`` from a stream of ratings; returns what is stored.
 
-    Each batch is merged with the version before it into a new one, so a lost batch can be done again.
+    A batch changes the buckets of its answers and no others (see sources.buckets); one that is tried again after its
+    commit changes nothing.
     """
     from coursemill.operators.qa import latest_feedback
+    from coursemill.sources import buckets
 
     spark = ratings.sparkSession
+    older = lambda rows: rows.withColumn("id", F.lit(-1).cast("long"))  # noqa: E731  at one time a stored rating yields
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.select("id", "message_id", "rating", "updated_at")
-        if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}").withColumn("id", F.lit(-1).cast("long"))
-            new = new.unionByName(old)
-        latest_feedback(new).write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    def versions() -> list[int]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        return sorted(int(f.getPath().getName()[1:]) for f in files.listStatus(folder) if f.getPath().getName()[1:].isdigit()) if files.exists(folder) else []
+        new = latest_feedback(batch.select("id", "message_id", "rating", "updated_at"))
+        buckets.change(path, {"ratings": new}, ["message_id"], lambda old, rows: latest_feedback(older(old).unionByName(rows.withColumn("id", F.lit(0).cast("long")))), batch=number)
 
     query = ratings.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = versions()  # also those of an earlier start: this one may have had no new rows
-    return spark.read.parquet(f"{path}/v{last[-1]}") if last else latest_feedback(spark.createDataFrame([], "id long, message_id long, rating string, updated_at timestamp"))
+    if buckets.manifest(spark, path):
+        return buckets.read(spark, path, "ratings")
+    return latest_feedback(spark.createDataFrame([], "id long, message_id long, rating string, updated_at timestamp"))
 
 
 def detect_slides_stream(frames: DataFrame) -> DataFrame:

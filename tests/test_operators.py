@@ -12,7 +12,7 @@ from coursemill.functions import links
 from coursemill.functions import text as T
 from coursemill.kernels import latex, words
 from coursemill.operators import evals, qa, slides, timeline
-from coursemill.sources import io
+from coursemill.sources import buckets, io
 
 
 def test_timestamps(spark):
@@ -176,9 +176,9 @@ def test_golden_and_replace(spark, tmp_path):
     rows = {r.question_id: [(s.start_s, s.end_s) for s in r.spans] for r in io.read_golden(spark, str(tmp_path / "g.json")).collect()}
     assert rows == {"q1": [(10.0, 65.0)], "q2": []}
     new = spark.createDataFrame([("a", 1), ("b", 2)], "lecture_id string, v int")
-    io.replace_by_key(spark, new, str(tmp_path / "t"), ["lecture_id"], 0)
-    path = io.replace_by_key(spark, spark.createDataFrame([("a", 9)], "lecture_id string, v int"), str(tmp_path / "t"), ["lecture_id"], 1)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 9), ("b", 2)]
+    buckets.replace_by_key(new, str(tmp_path / "t"), ["lecture_id"])
+    buckets.replace_by_key(spark.createDataFrame([("a", 9)], "lecture_id string, v int"), str(tmp_path / "t"), ["lecture_id"])
+    assert sorted(map(tuple, buckets.read(spark, str(tmp_path / "t")).collect())) == [("a", 9), ("b", 2)]
 
 
 def test_regions_and_coco(spark, tmp_path):
@@ -226,11 +226,10 @@ def test_coco_documents_are_read_back(spark, tmp_path):
 def test_tables_are_replaced_together(spark, tmp_path):
     table = lambda rows: spark.createDataFrame(rows, "lecture_id string, v int")
     root = str(tmp_path / "w")
-    io.replace_tables({"a": table([("x", 1), ("y", 2)]), "b": table([("x", 3)])}, root, ["lecture_id"], 0)
-    path = io.replace_tables({"a": table([("x", 9)]), "b": table([("y", 4)])}, root, ["lecture_id"], 1)
-    assert io.committed_version(spark, root) == 1
-    assert sorted(map(tuple, spark.read.parquet(f"{path}/a").collect())) == [("x", 9), ("y", 2)]
-    assert sorted(map(tuple, spark.read.parquet(f"{path}/b").collect())) == [("x", 3), ("y", 4)]
+    buckets.replace_tables({"a": table([("x", 1), ("y", 2)]), "b": table([("x", 3)])}, root, ["lecture_id"])
+    assert buckets.replace_tables({"a": table([("x", 9)]), "b": table([("y", 4)])}, root, ["lecture_id"]) == 1
+    assert sorted(map(tuple, buckets.read(spark, root, "a").collect())) == [("x", 9), ("y", 2)]
+    assert sorted(map(tuple, buckets.read(spark, root, "b").collect())) == [("x", 3), ("y", 4)]
 
 
 def test_note_checks_number_items_of_equal_order_by_time(spark):
