@@ -15,8 +15,9 @@ A window is ``k`` consecutive tokens of one document (bytes or words). Lengths d
   anchor stand between these two neighbours (the sets of places are compared by a shifted sum).
 
 Blocks combine equal windows before each shuffle, so a passage in a third of all documents costs one entry a block.
-Blocks and buckets grow with the input; they exchange keys in passes over radix digits of the destination, so that n
-blocks send about n ** (1 + 1 / h) rows in h passes, not n * n (see travel). Nothing is capped or sampled away. All
+Blocks and buckets grow in number with the input, buckets more slowly (see Ways). While their rows to each other stay few
+enough, keys go in one pass; beyond, in passes over radix digits of the destination, so that n senders send about
+n ** (1 + 1 / h) rows in h passes (see travel). Nothing is capped or sampled away. All
 steps are exact up to collisions of 80-bit window codes; 48-bit anchor and minimizer codes can only add
 candidates, and the sums, compared by 32 bits, settle a gap wrongly with probability 2 ** -32.
 """
@@ -317,7 +318,9 @@ def own_groups(code: np.ndarray, more: np.ndarray, doc: np.ndarray, pos: np.ndar
 ROWS = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("kind", pa.int32()), ("block", pa.int32()), ("data", pa.binary())])
 DDL = "a int, b int, kind int, block int, data binary"
 LEVEL, SAMPLED, ANCHOR, WINDOW, STATE = 0, 1, 2, 3, 4
-RADIX = 512  # destinations that one task sends to
+RADIX = 512  # destinations that one task sends to where one pass would have more than MOST_ROWS rows
+MOST_ROWS = 1 << 25  # from all blocks to all buckets in one pass: blocks of 2 MB reach it at 32 GB
+LEAST_BUCKETS, BLOCKS_A_BUCKET = 512, 8
 
 
 @dataclass
@@ -346,6 +349,28 @@ class Way:
         return (((code >> np.uint64(32)) * np.uint64(self.n)) >> np.uint64(32)).astype(np.int64)
 
 
+@dataclass
+class Ways:
+    """From blocks to buckets, and back. A bucket takes the keys of its share of codes from some blocks' worth of text."""
+
+    blocks: int
+    to: Way
+    back: Way
+
+    @staticmethod
+    def of(blocks: int, radix: int | None = None) -> Ways:
+        buckets = min(blocks, max(LEAST_BUCKETS, blocks // BLOCKS_A_BUCKET))
+        one_pass = radix is None and blocks * buckets <= MOST_ROWS
+        return Ways(blocks, *(Way.of(n, n if one_pass else radix or RADIX) for n in (buckets, blocks)))
+
+    def way(self, back: bool) -> Way:
+        return self.back if back else self.to
+
+    def of_block(self, block: np.ndarray, back: bool) -> np.ndarray:
+        """Where a block's note to itself goes: to one of the buckets, and back."""
+        return block if back else block * self.to.n // self.blocks
+
+
 def put(kind: int, back: bool, columns: list[np.ndarray]) -> bytes:
     """Keys of a kind as one value, on their way to a bucket or back. The first columns are the key's block and code."""
     if back or kind == LEVEL:
@@ -371,8 +396,9 @@ def get(kind: int, back: bool, values: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
-def addressed(kind: int, back: bool, columns: list[np.ndarray], way: Way, digits: int, sender: int, out: dict[str, list]) -> None:
+def addressed(kind: int, back: bool, columns: list[np.ndarray], ways: Ways, digits: int, sender: int, out: dict[str, list]) -> None:
     """A row for each value of the receivers' first ``digits`` digits."""
+    way = ways.way(back)
     to = way.prefix(columns[0] if back else way.bucket(columns[1]), digits)
     order = np.argsort(to, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1) if len(order) else []:
@@ -380,28 +406,30 @@ def addressed(kind: int, back: bool, columns: list[np.ndarray], way: Way, digits
             out[name].append(value)
 
 
-def passed_on(table: pa.Table, back: bool, way: Way, digits: int) -> pa.Table:
+def passed_on(table: pa.Table, back: bool, ways: Ways, digits: int) -> pa.Table:
     """One pass: keys of one prefix from ``radix`` senders, told apart by one digit more."""
+    way = ways.way(back)
     out: dict[str, list] = {n: [] for n in ROWS.names}
     group = int(table["b"][0].as_py())
     kinds = table["kind"].to_numpy()
     for kind in np.unique(kinds):
         sub = table.filter(pa.array(kinds == kind))
         if kind == STATE:
-            to = sub["block"].to_numpy().astype(np.int64)
+            to = ways.of_block(sub["block"].to_numpy().astype(np.int64), back)
             for values in zip(way.prefix(to, digits).tolist(), [group // way.radix] * len(to), *(sub[c].to_pylist() for c in ROWS.names[2:]), strict=True):
                 for name, value in zip(ROWS.names, values, strict=True):
                     out[name].append(value)
         else:
-            addressed(int(kind), back, get(int(kind), back, sub["data"].to_pylist()), way, digits, group, out)
+            addressed(int(kind), back, get(int(kind), back, sub["data"].to_pylist()), ways, digits, group, out)
     return pa.table(out, schema=ROWS)
 
 
-def travel(rows: DataFrame, back: bool, way: Way) -> DataFrame:
+def travel(rows: DataFrame, back: bool, ways: Ways) -> DataFrame:
     """Rows to their receivers, whose number is then in column a."""
+    way = ways.way(back)
 
     def one(digits: int) -> Callable:
-        return lambda t: freed(passed_on(t, back, way, digits))
+        return lambda t: freed(passed_on(t, back, ways, digits))
 
     for digits in range(2, way.passes + 1):
         rows = rows.repartition(way.n, "a", "b").groupBy("a", "b").applyInArrow(one(digits), DDL)
@@ -414,18 +442,19 @@ def freed(out: pa.Table) -> pa.Table:
     return out
 
 
-def send(groups: Groups, kind: int, block: int, way: Way, out: dict[str, list]) -> None:
+def send(groups: Groups, kind: int, block: int, ways: Ways, out: dict[str, list]) -> None:
     owner = np.full(len(groups.code), block, np.int32)
-    addressed(kind, False, [owner, groups.code, groups.more, groups.doc, groups.pos, groups.count, groups.total], way, 1, block, out)
+    addressed(kind, False, [owner, groups.code, groups.more, groups.doc, groups.pos, groups.count, groups.total], ways, 1, block, out)
 
 
-def note(block: int, data: bytes, way: Way, out: dict[str, list]) -> None:
-    """A block's word to itself: it goes by the bucket of the block's own number, and back."""
-    for name, value in zip(ROWS.names, (int(way.prefix(np.int64(block), 1)), block // way.radix, STATE, block, data), strict=True):
+def note(block: int, data: bytes, ways: Ways, out: dict[str, list], back: bool = False) -> None:
+    """A block's word to itself: it goes by a bucket, and back."""
+    way = ways.way(back)
+    for name, value in zip(ROWS.names, (int(way.prefix(ways.of_block(np.int64(block), back), 1)), block // way.radix, STATE, block, data), strict=True):
         out[name].append(value)
 
 
-def answer(table: pa.Table, way: Way) -> pa.Table:
+def answer(table: pa.Table, ways: Ways) -> pa.Table:
     """In a bucket: for keys that occur again, tell each block that has them; the earliest place and the sum over all blocks."""
     out: dict[str, list] = {n: [] for n in ROWS.names}
     bucket = int(table["a"][0].as_py())
@@ -435,7 +464,7 @@ def answer(table: pa.Table, way: Way) -> pa.Table:
         values = sub["data"].to_pylist()
         if kind == STATE:
             for block, data in zip(sub["block"].to_pylist(), values, strict=True):
-                note(block, data, way, out)
+                note(block, data, ways, out, back=True)
             continue
         columns = get(kind, False, values)
         if kind == LEVEL:
@@ -444,7 +473,7 @@ def answer(table: pa.Table, way: Way) -> pa.Table:
             first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
             sizes = np.diff(np.concatenate((first, [len(order)])))
             again = np.repeat(np.add.reduceat(count[order].astype(np.int64), first) > 1, sizes)
-            addressed(kind, True, [c[order[again]] for c in (block, code)], way, 1, bucket, out)
+            addressed(kind, True, [c[order[again]] for c in (block, code)], ways, 1, bucket, out)
             continue
         block, code, more, doc, pos, count, total = columns
         g = digit_groups(code, more, doc, pos, count, total)
@@ -457,7 +486,7 @@ def answer(table: pa.Table, way: Way) -> pa.Table:
         # an anchor's place and a window's sum are not used; that a key is shared says that it occurs again
         doc, pos = (0 * g.doc[j], 0 * g.pos[j]) if kind == ANCHOR else (g.doc[j], g.pos[j])
         total = 0 * g.total[j] if kind == WINDOW else g.total[j]
-        addressed(kind, True, [block[shared], g.code[j], g.more[j], doc, pos.astype(np.uint32), total.astype(np.uint32)], way, 1, bucket, out)
+        addressed(kind, True, [block[shared], g.code[j], g.more[j], doc, pos.astype(np.uint32), total.astype(np.uint32)], ways, 1, bucket, out)
     return pa.table(out, schema=ROWS)
 
 
@@ -548,7 +577,7 @@ def read_texts(table: pa.Table) -> Texts:
     return Texts(all_ids[order], np.concatenate(null)[order].astype(bool), [texts[i] for i in order], [extra[i] for i in order])
 
 
-def level_round(table: pa.Table, answers: pa.Table | None, kind: Kind, way: Way, level: int) -> pa.Table:
+def level_round(table: pa.Table, answers: pa.Table | None, kind: Kind, ways: Ways, level: int) -> pa.Table:
     """Send the minimizers of a level whose own minimizers, one level below, are known to repeat."""
     lengths = [*kind.levels(), kind.k]
     out: dict[str, list] = {n: [] for n in ROWS.names}
@@ -557,7 +586,7 @@ def level_round(table: pa.Table, answers: pa.Table | None, kind: Kind, way: Way,
         known = None if answers is None else repeated_codes(answers)
         docs = [] if known is not None and not len(known) else [t for t in map(kind.tokens, read_texts(table).texts) if len(t) >= kind.k]
         codes, counts = np.unique(minimizers(docs, lengths[level], lengths[level + 1], None if known is None else (lengths[level - 1], known)), return_counts=True)
-        addressed(LEVEL, False, [np.full(len(codes), block, np.int32), codes, np.minimum(counts, 2).astype(np.uint8)], way, 1, block, out)
+        addressed(LEVEL, False, [np.full(len(codes), block, np.int32), codes, np.minimum(counts, 2).astype(np.uint8)], ways, 1, block, out)
     return pa.table(out, schema=ROWS)
 
 
@@ -569,15 +598,15 @@ def read_block(table: pa.Table, kind: Kind, known: np.ndarray) -> Block:
     return Block(t.ids, docs, found, own_groups(found.code, found.more, t.ids[found.doc], found.pos), own_groups(found.gap_code, none, t.ids[found.gap_doc], found.gap_from))
 
 
-def first_round(table: pa.Table, answers: pa.Table, kind: Kind, way: Way) -> pa.Table:
+def first_round(table: pa.Table, answers: pa.Table, kind: Kind, ways: Ways) -> pa.Table:
     """Send the surviving sampled windows and anchors, and a note of the surviving codes."""
     out: dict[str, list] = {n: [] for n in ROWS.names}
     if table.num_rows:
         block, known = int(table["block"][0].as_py()), repeated_codes(answers)
         b = read_block(table, kind, known)
-        send(b.sampled, SAMPLED, block, way, out)
-        send(b.anchors, ANCHOR, block, way, out)
-        note(block, pack(known), way, out)
+        send(b.sampled, SAMPLED, block, ways, out)
+        send(b.anchors, ANCHOR, block, ways, out)
+        note(block, pack(known), ways, out)
     return pa.table(out, schema=ROWS)
 
 
@@ -628,7 +657,7 @@ def union_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
     return doc[first], start[first], (reach - doc * wide)[np.concatenate((first[1:] - 1, [len(doc) - 1]))]
 
 
-def second_round(table: pa.Table, answers: pa.Table, kind: Kind, way: Way) -> pa.Table:
+def second_round(table: pa.Table, answers: pa.Table, kind: Kind, ways: Ways) -> pa.Table:
     """Send the windows of open gaps, and a note of what is covered so far and which gaps are open."""
     out: dict[str, list] = {n: [] for n in ROWS.names}
     if not table.num_rows:
@@ -640,9 +669,9 @@ def second_round(table: pa.Table, answers: pa.Table, kind: Kind, way: Way) -> pa
     f = b.scan
     gaps = f.gap_doc[open_], f.gap_from[open_], f.gap_to[open_]
     doc, pos, code, more = gap_windows(b.docs, *gaps, kind.k)
-    send(own_groups(code, more, b.ids[doc], pos), WINDOW, block, way, out)
+    send(own_groups(code, more, b.ids[doc], pos), WINDOW, block, ways, out)
     spans = union_spans(np.concatenate((f.doc[hit], f.gap_doc[both])), np.concatenate((f.pos[hit], f.gap_from[both])), np.concatenate((f.pos[hit] + kind.k, f.gap_to[both] + kind.k)))
-    note(block, pack(*(x.astype(np.uint32) for x in (*gaps, *spans))), way, out)
+    note(block, pack(*(x.astype(np.uint32) for x in (*gaps, *spans))), ways, out)
     return pa.table(out, schema=ROWS)
 
 
@@ -662,36 +691,37 @@ def covered(table: pa.Table, answers: pa.Table, kind: Kind) -> tuple[Texts, list
     return t, [spans.get(i, []) for i in range(len(t.texts))]
 
 
-def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Texts, list], pa.Table], schema: pa.Schema, block_bytes: int = 2 << 20, radix: int = RADIX) -> DataFrame:
+def repeated_windows(docs: DataFrame, kind: Kind, finish: Callable[[Texts, list], pa.Table], schema: pa.Schema, block_bytes: int = 2 << 20, radix: int | None = None) -> DataFrame:
     """Run all levels over docs (doc_id, text and, if any, extra string) and apply ``finish`` to each block's texts and covered token spans.
 
     The documents are shuffled once by block, compressed; Spark reuses that exchange for all readings.
-    ``block_bytes`` of text make a block; a larger cluster takes larger blocks (and fewer rows between them).
+    ``block_bytes`` of text make a block; a larger cluster takes larger blocks (and fewer rows between them). ``radix``
+    forces passes (see Ways).
     """
     from pyspark.sql.pandas.types import from_arrow_schema
 
     short_batches(docs.sparkSession)
     n = block_count(docs.sparkSession, text_bytes(docs), block_bytes)
-    way = Way.of(n, radix)
+    ways = Ways.of(n, radix)
     extra = F.col("extra") if "extra" in docs.columns else F.lit("")
     blocks = docs.select(F.col("doc_id").cast("long"), "text", extra.alias("extra"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int").alias("block"))
     blocks = blocks.mapInArrow(pack_blocks, "block int, data binary").repartition(n, "block")
 
     def answered(rows: DataFrame) -> DataFrame:
-        return travel(travel(rows, False, way).groupBy("a").applyInArrow(lambda t: freed(answer(t, way)), DDL), True, way)
+        return travel(travel(rows, False, ways).groupBy("a").applyInArrow(lambda t: freed(answer(t, ways)), DDL), True, ways)
 
     def with_answers(answers: DataFrame, step: Callable) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("a")).applyInArrow(lambda t, a: freed(step(t, a)), DDL)
 
-    answers = answered(blocks.groupBy("block").applyInArrow(lambda t: freed(level_round(t, None, kind, way, 0)), DDL))
+    answers = answered(blocks.groupBy("block").applyInArrow(lambda t: freed(level_round(t, None, kind, ways, 0)), DDL))
 
     def next_level(level: int) -> Callable:
-        return lambda t, a: level_round(t, a, kind, way, level)
+        return lambda t, a: level_round(t, a, kind, ways, level)
 
     for level in range(1, len(kind.levels())):
         answers = answered(with_answers(answers, next_level(level)))
-    answers = answered(with_answers(answers, lambda t, a: first_round(t, a, kind, way)))
-    answers = answered(with_answers(answers, lambda t, a: second_round(t, a, kind, way)))
+    answers = answered(with_answers(answers, lambda t, a: first_round(t, a, kind, ways)))
+    answers = answered(with_answers(answers, lambda t, a: second_round(t, a, kind, ways)))
 
     def last(t: pa.Table, a: pa.Table) -> pa.Table:
         return freed(finish(*covered(t, a, kind))) if t.num_rows else schema.empty_table()

@@ -88,6 +88,26 @@ def test_keys_travel_in_passes(spark):
     assert results[0] == results[1]
 
 
+def test_fewer_buckets_than_blocks(spark, monkeypatch):
+    """Large inputs have more blocks than buckets, in one pass or in several."""
+    monkeypatch.setattr(windows, "LEAST_BUCKETS", 3)
+    docs = corpus(4)
+    finish, schema = suffix_dedup._finish(False, False)
+    kind = windows.Kind(20, windows.byte_tokens, True)
+    rows = frame(spark, docs).select("doc_id", "text")
+    few = [sorted(map(str, windows.repeated_windows(rows, kind, finish, schema, 1500, radix).collect())) for radix in (None, 4)]
+    monkeypatch.undo()
+    assert few[0] == few[1] == sorted(map(str, windows.repeated_windows(rows, kind, finish, schema, 1500).collect()))
+
+
+def test_one_pass_up_to_30_gb():
+    ways = windows.Ways.of(30 * 1024 // 2)
+    assert (ways.to.passes, ways.back.passes) == (1, 1) and ways.blocks * ways.to.n <= windows.MOST_ROWS
+    assert windows.Ways.of(250) == windows.Ways(250, windows.Way(250, 250, 1), windows.Way(250, 250, 1))
+    far = windows.Ways.of(1 << 20)
+    assert far.to.n == 1 << 17 and (far.to.passes, far.back.passes) == (2, 3)
+
+
 def test_no_level_is_sent_without_survivors():
     words = [f"w{i}" for i in range(200)]
     tokens = windows.word_tokens(np.frombuffer(" ".join(words).encode(), np.uint8))
