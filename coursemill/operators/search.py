@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions.text import ascii_tokens, singular
+from coursemill.operators.intervals import asof_backward
 
 # fixed values: words too common to search for
 STOPWORDS = "a an and are as at be but by for from has have he her his i in is it its not of on or she that the their they this to was we were what when which who will with you".split()
 K1, B = 1.2, 0.75
-NAMESPACE = "6f9619ff8b86d011b42d00cf4fc964ff"
+NAMESPACE = "0d7f3a529b414c1e8f0a6e2d5c9b7a14"  # fixed value: ids of points are made in it
+AVERAGE_LENGTH = 256.0  # fixed value: what sparse vectors take for the mean length of a chunk
 SCORES = 1 << 22  # scores of a step: 32 MB
-QUERY_BLOCK = 1 << 22  # values of a broadcast query matrix; more queries are searched in several passes
+QUERY_BLOCK = 1 << 22  # values of a block of queries; one block is sent to all tasks, several meet the index in a grid
+INDEX_BLOCK = 1 << 24  # values of a cell's share of the index
 
 
 def terms_of(text: Column, stem: bool = True) -> Column:
@@ -32,6 +35,18 @@ def bm25_postings(chunks: DataFrame, key: str = "chunk_id", stem: bool = True) -
     return each.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def sparse_vectors(chunks: DataFrame, key: str = "chunk_id", stem: bool = True) -> DataFrame:
+    """(key, doc_len, ids, terms, weights): a chunk's terms with their BM25 weights but for IDF, which is the collection's.
+
+    ids are 64-bit hashes of terms, so no dictionary is kept. The mean length is a constant, so a vector depends on its
+    chunk alone; a chunk without terms has an empty vector.
+    """
+    each = bm25_postings(chunks, key, stem).groupBy(key, "doc_len").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("terms"))  # a chunk's own terms
+    rows = chunks.select(key).join(each, key, "left").select(key, F.coalesce("doc_len", F.lit(0)).alias("doc_len"), F.coalesce("terms", F.array().cast(each.schema["terms"].dataType)).alias("terms"))
+    weight = lambda x: x["tf"] * (K1 + 1) / (x["tf"] + K1 * (1 - B + B * F.col("doc_len") / AVERAGE_LENGTH))
+    return rows.select(key, "doc_len", F.transform("terms", lambda x: F.xxhash64(x["term"])).alias("ids"), F.transform("terms", lambda x: x["term"]).alias("terms"), F.transform("terms", weight).alias("weights"))
+
+
 def bm25_stats(postings: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """(term, df), and one row (n, avg_len) over the whole collection."""
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
@@ -53,15 +68,20 @@ def bm25_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, limi
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text"), stem))).alias("term"))
     df, total = bm25_stats(postings, chunks, key)
-    kept = postings.join(wanted.select("term").distinct(), "term", "left_semi").join(df, "term").crossJoin(F.broadcast(total))  # total is one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    hits = wanted.join(kept.select(key, "term", weight.alias("w")), "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 9).alias("score"))
+    hits = bm25_hits(wanted, postings, df, F.broadcast(total), key)  # total is one row
     if scope is not None:
         hits = hits.join(scope, ["query_id", key], "left_semi")
     return top_k(hits, limit, ties=(key,))
 
 
+def bm25_hits(wanted: DataFrame, postings: DataFrame, df: DataFrame, total: DataFrame, key: str) -> DataFrame:
+    """(query_id, key, score) of wanted (query_id, term) over postings, with (term, df) and one row (n, avg_len)."""
+    kept = postings.join(wanted.select("term").distinct(), "term", "left_semi").join(df, "term").crossJoin(total)
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    return wanted.join(kept.select(key, "term", weight.alias("w")), "term").groupBy("query_id", key).agg(F.round(F.sum("w"), 9).alias("score"))
+
+
 def hashed_bag(texts: list[str], size: int = 64) -> np.ndarray:
     """Stand-in encoder: hashed bag of words, unit length."""
     import re
@@ -83,59 +103,85 @@ def embed_chunks(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray] =
         for rows in batches:
             texts = [prefix + (t or "") for t in rows.column("text").to_pylist()]
             parts = [encoder(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-            dense = pa.array([v.tolist() for p in parts for v in p], pa.list_(pa.float32()))
+            vectors = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, 1), np.float32)
+            dense = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.reshape(-1)))
             yield pa.record_batch([*rows.columns, dense], names=[*names, "dense"])
 
     return chunks.mapInArrow(run, chunks.withColumn("dense", F.array().cast("array<float>")).schema)
 
 
+def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one size as a matrix of unit rows, from the flat buffer."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
+
+
+class _Nearest:
+    """A block of queries and the scores that ``limit`` chunks seen so far reach for each."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, scopes: np.ndarray | None, limit: int):
+        self.ids, self.matrix, self.scopes, self.limit = ids, matrix, scopes, limit
+        self.best = np.full(len(ids), -np.inf)
+        self.step = max(SCORES // max(len(ids), 1), 64)
+
+    def feed(self, rows: pa.RecordBatch | pa.Table, key: str, scope: str | None) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """(query ids, chunk keys, scores) that may be among the best."""
+        for at in range(0, rows.num_rows if len(self.ids) else 0, self.step):
+            part = rows.slice(at, self.step)
+            scores = np.round(self.matrix @ _unit_rows(part.column("dense")).T, 9)
+            if self.scopes is not None:
+                scores[self.scopes[:, None] != part.column(scope).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            k = min(self.limit, scores.shape[1])
+            cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]  # ties at the cut all go on
+            if k == self.limit:
+                self.best = np.maximum(self.best, cut)
+            q, c = np.nonzero((scores >= self.best[:, None]) & np.isfinite(scores))
+            yield self.ids[q], part.column(key).take(pa.array(c)), scores[q, c]
+
+
 def dense_search(queries: DataFrame, index: DataFrame, limit: int = 30, key: str = "chunk_id", scope: str | None = None) -> DataFrame:
     """(query_id, key, score, rank): cosine top-k of queries (query_id, dense) over index (key, dense).
 
-    The query matrix is sent to the tasks in passes of a bounded size, chunks are never shuffled, and a batch sends on
-    its best only. With ``scope``, a column of both tables, a query sees the chunks of its own scope.
+    Queries of one block (QUERY_BLOCK values) are sent to the tasks that read the index, and chunks are not shuffled. More
+    blocks meet the index in a grid: a cell is a block of queries and a share of the index, both of bounded size, so
+    the index is read once for any number of queries. Only what may be among a cell's best is sent on. With ``scope``, a
+    column of both tables, a query sees the chunks of its own scope. Rows without a vector are left out.
     """
-    names = ["query_id", "dense", *([scope] if scope else [])]
-    rows = queries.select(*names)
-    size = len(first["dense"]) if (first := rows.first()) else 1
-    per = max(QUERY_BLOCK // size, 1)
-    passes = max(-(-rows.count() // per), 1)
-    numbered = rows.withColumn("_pass", F.pmod(F.xxhash64("query_id"), F.lit(passes)))
-
-    def search(block: list) -> Callable:
-        ids = np.array([r["query_id"] for r in block], np.int64)
-        matrix = np.array([r["dense"] for r in block], np.float64)
+    names = ["dense", *([scope] if scope else [])]
+    asked, chunks = queries.select("query_id", *names).where("dense is not null"), index.select(key, *names).where("dense is not null")
+    first = asked.first()
+    size = max(len(first["dense"]), 1) if first else 1
+    blocks = -(-asked.count() * size // QUERY_BLOCK) or 1
+    schema = f"query_id long, {key} {dict(index.dtypes)[key]}, score double"
+    found = lambda hits: pa.record_batch([pa.array(hits[0]), hits[1].combine_chunks() if isinstance(hits[1], pa.ChunkedArray) else hits[1], pa.array(hits[2])], names=["query_id", key, "score"])
+
+    if blocks == 1:
+        rows = asked.collect()  # at most QUERY_BLOCK values
+        ids, scopes = np.array([r["query_id"] for r in rows], np.int64), np.array([r[scope] for r in rows]) if scope else None
+        matrix = np.array([r["dense"] for r in rows], np.float64).reshape(len(rows), size)
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
-        scopes = np.array([r[scope] for r in block]) if scope else None
-
-        step = max(SCORES // max(len(ids), 1), 64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = np.full(len(ids), -np.inf)
+            block = _Nearest(ids, matrix, scopes, limit)
             for batch in batches:
-                for at in range(0, batch.num_rows if len(ids) else 0, step):
-                    part = batch.slice(at, step)
-                    vectors = np.array(part.column("dense").to_pylist(), np.float64)
-                    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30)
-                    scores = np.round(matrix @ vectors.T, 9)
-                    if scope:
-                        scores[scopes[:, None] != part.column(scope).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-                    k = min(limit, scores.shape[1])
-                    cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]  # ties at the cut all go on
-                    if k == limit:
-                        best = np.maximum(best, cut)  # limit chunks of this task reach so much already
-                    q, c = np.nonzero((scores >= best[:, None]) & np.isfinite(scores))
-                    yield pa.record_batch([pa.array(ids[q]), part.column(key).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", key, "score"])
-
-        return run
-
-    out = None
-    kind = dict(index.dtypes)[key]
-    for i in range(passes):
-        block = numbered.where(F.col("_pass") == i).collect()  # at most about QUERY_BLOCK values
-        part = index.select(key, "dense", *([scope] if scope else [])).mapInArrow(search(block), f"query_id long, {key} {kind}, score double")
-        out = part if out is None else out.unionAll(part)
-    return top_k(out, limit, ties=(key,))
+                yield from map(found, block.feed(batch, key, scope))
+
+        return top_k(chunks.mapInArrow(run, schema), limit, ties=(key,))
+    shares = -(-chunks.count() * size // INDEX_BLOCK) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_i", every(shares))
+    right = chunks.withColumn("_i", F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")).withColumn("_q", every(blocks))
+
+    def cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        scopes = asked.column(scope).to_numpy() if scope else None
+        block = _Nearest(asked.column("query_id").to_numpy(), _unit_rows(asked.column("dense")) if asked.num_rows else np.zeros((0, 1)), scopes, limit)
+        parts = list(map(found, block.feed(rows, key, scope)))
+        kind = pa.schema([("query_id", pa.int64()), (key, rows.schema.field(key).type), ("score", pa.float64())])
+        return pa.Table.from_batches(parts, kind)
+
+    met = left.groupBy("_q", "_i").cogroup(right.groupBy("_q", "_i")).applyInArrow(cell, schema)
+    return top_k(met, limit, ties=(key,))
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = 60, candidates: int = 30, limit: int = 6, key: str = "chunk_id") -> DataFrame:
@@ -177,18 +223,21 @@ def search(queries: DataFrame, chunks: DataFrame, postings: DataFrame, mode: str
     return rerank(fused.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(chunks.select(key, "text"), key), limit, key=key)
 
 
-def point_id(name: Column) -> Column:
-    """Name-based UUID (version 5) of a string in a fixed namespace."""
-    h = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE)), F.encode(name, "UTF-8")))
+def point_id(name: Column, namespace: str = NAMESPACE) -> Column:
+    """Name-based UUID (version 5) of a string in a namespace (32 hexadecimal digits)."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-def upsert_index(index: DataFrame, chunks: DataFrame, lectures: DataFrame, size: int) -> DataFrame:
+def upsert_index(index: DataFrame, chunks: DataFrame, lectures: DataFrame, size: int, chapters: DataFrame | None = None, namespace: str = NAMESPACE) -> DataFrame:
     """The index with each given lecture's points replaced by exactly its chunks (none: cleared).
 
-    Chunks (lecture_id, segment_id, text, dense) of another vector size than ``size`` fail the job.
+    Chunks (lecture_id, segment_id, text, dense) of another vector size than ``size`` fail the job. With chapters
+    (lecture_id, ord, title, chapter_s) a point (then also start_s) has ``chapter``, the title of the one under way.
     """
     sized = chunks.withColumn("dense", F.when(F.size("dense") == size, F.col("dense")).otherwise(F.raise_error(F.lit("wrong vector size")).cast("array<float>")))
-    points = sized.withColumn("point_id", point_id(F.concat_ws("/", F.col("lecture_id").cast("string"), "segment_id")))
+    points = sized.withColumn("point_id", point_id(F.concat_ws("/", F.col("lecture_id").cast("string"), "segment_id"), namespace))
+    if chapters is not None:
+        points = asof_backward(points, chapters.withColumnRenamed("title", "chapter"), ["lecture_id"], "start_s", "chapter_s", ["chapter"], "ord")
     return index.join(lectures.select("lecture_id").distinct(), "lecture_id", "left_anti").unionByName(points, allowMissingColumns=True)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from coursemill.operators import lexical_index as LI
 from coursemill.operators import qa as A
 from coursemill.operators import search as S
 from coursemill.plans.views import sql_escape, sql_time, view, with_views
+from coursemill.session import shared_path
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -121,12 +123,39 @@ def embed(spark, d):
     return S.embed_chunks(chunks(spark, d)).select("chunk_id", "dense")
 
 
-@query("e3_upsert_index", f"SELECT lecture_id, segment_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT lecture_id, segment_id, sha1(unhex('{S.NAMESPACE}' || hex(encode(lecture_id || '/' || segment_id)))) AS h FROM segments WHERE lecture_id % 2 = 0) UNION ALL SELECT lecture_id, segment_id, 'old' FROM segments WHERE lecture_id % 2 = 1", "segments")
+@query("e2_sparse_vectors", f"SELECT chunk_id, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / 256.0)), 9) AS weight FROM ({POSTINGS})")
+def sparse(spark, d):
+    rows = S.sparse_vectors(chunks(spark, d), stem=False)
+    return rows.select("chunk_id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("chunk_id", F.col("x.terms").alias("term"), F.round("x.weights", 9).alias("weight"))
+
+
+@query("e4_index_counts", f"SELECT term, count(*) AS df FROM ({POSTINGS}) GROUP BY term")
+def index_counts(spark, d):
+    """Counts after three upserts: all chunks with another text, every second again, every third removed and put back."""
+    return LI.document_counts(spark, upserted(spark, d)).select("term", "df")
+
+
+def upserted(spark, d):
+    root, every = shared_path(spark, "lexical"), chunks(spark, d)
+    LI.upsert(root, every.withColumn("text", F.reverse("text")).where("chunk_id % 2 = 0").unionByName(every.where("chunk_id % 2 = 1")), stem=False)
+    LI.upsert(root, every.where("chunk_id % 2 = 0"), every.where("chunk_id % 3 = 0 and chunk_id % 2 = 1"), stem=False)
+    LI.upsert(root, every.where("chunk_id % 3 = 0 and chunk_id % 2 = 1"), stem=False)
+    return root
+
+
+@query("e6_index_search", f"{BM25} SELECT query_id, chunk_id, rank FROM bm")
+def index_search(spark, d):
+    return LI.search(questions(spark, d), upserted(spark, d), 30, stem=False).select("query_id", "chunk_id", "rank")
+
+
+@query("e3_upsert_index", f"SELECT lecture_id, segment_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(h, 17, 1)) AS INT) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id, chapter FROM (SELECT lecture_id, segment_id, 'Chapter ' || (index - index % 3) AS chapter, sha1(unhex('{S.NAMESPACE}' || hex(encode(lecture_id || '/' || segment_id)))) AS h FROM segments WHERE lecture_id % 2 = 0) UNION ALL SELECT lecture_id, segment_id, 'old', NULL FROM segments WHERE lecture_id % 2 = 1", "segments")
 def upsert(spark, d):
-    rows = view(spark, d, "segments").select("lecture_id", "segment_id", F.array(F.lit(1.0).cast("float")).alias("dense"))
-    old = rows.withColumn("point_id", F.lit("old"))
+    segments = view(spark, d, "segments")
+    rows = segments.select("lecture_id", "segment_id", "start_s", F.array(F.lit(1.0).cast("float")).alias("dense"))
+    old = rows.withColumns({"point_id": F.lit("old"), "chapter": F.lit(None).cast("string")})
     new = rows.where("lecture_id % 2 = 0")
-    return S.upsert_index(old, new, new, 1).select("lecture_id", "segment_id", "point_id")
+    chapters = segments.where("index % 3 = 0").select("lecture_id", F.col("index").alias("ord"), F.concat(F.lit("Chapter "), F.col("index").cast("string")).alias("title"), F.col("start_s").alias("chapter_s"))
+    return S.upsert_index(old, new, new, 1, chapters).select("lecture_id", "segment_id", "point_id", "chapter")
 
 
 @query("g1_chat_history", """, w AS (SELECT *, last_value(CASE WHEN role = 'user' THEN ord END IGNORE NULLS) OVER (PARTITION BY thread_id ORDER BY ord) AS q FROM messages),
@@ -252,7 +281,6 @@ def outcomes_stream(spark, d):
 @query("g6_latest_feedback_stream", f"SELECT message_id, arg_max(rating, id) AS rating FROM ({RATINGS.replace('{events}', 'events')}) GROUP BY 1")
 def feedback_stream(spark, d):
     from coursemill.plans.scores import streamed
-    from coursemill.session import shared_path
     from coursemill.streaming.jobs import upsert_feedback_stream
 
     return upsert_feedback_stream(spark.sql(RATINGS, events=streamed(spark, d, "events")), shared_path(spark, "feedback")).select("message_id", "rating")

@@ -10,8 +10,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +70,7 @@ def _commit(spark: SparkSession, root: str, content: dict) -> None:
 
 
 def _rows(spark: SparkSession, table: dict | None, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
-    places = [place for b, place in sorted((table or {"places": {}})["places"].items()) if buckets is None or int(b) in buckets]
+    places = [p for b, found in sorted((table or {"places": {}})["places"].items()) if buckets is None or int(b) in buckets for p in found]
     return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
 
 
@@ -81,30 +82,51 @@ def read(spark: SparkSession, root: str, name: str = "rows", version: int | None
     return _rows(spark, table, T.StructType.fromJson(table["schema"]), buckets)
 
 
-def change(root: str, new: dict[str, DataFrame], keys: list[str], combine: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS, batch: int | None = None) -> int:
-    """Commit the next version: in buckets that new rows fall into, each table becomes ``combine(old rows, new rows)``.
+def bucket_of(keys: list[str], count: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
 
-    The number of buckets is the first version's. ``batch``: a change of a batch that is committed already does nothing, so a
-    stream's batch may be tried again. Returns the version.
+
+def buckets_of(spark: SparkSession, root: str, rows: DataFrame, keys: list[str]) -> list[int]:
+    """The buckets that keys of ``rows`` fall into: as many as there are buckets at most."""
+    found = manifest(spark, root)
+    return [r[0] for r in rows.select(bucket_of(keys, found["buckets"])).distinct().collect()] if found else []
+
+
+class Change(NamedTuple):
+    """What a table gets: in buckets (by ``keys``) that rows fall into, ``combine(old rows, rows)``; without combine rows are added."""
+
+    rows: DataFrame
+    keys: list[str]
+    combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+
+
+def change(root: str, changes: dict[str, Change], buckets: int = BUCKETS, batch: int | None = None, facts: dict | None = None) -> int:
+    """Commit the next version of the changed tables together; the number of buckets is the first version's.
+
+    ``batch``: a change of a batch that is committed already does nothing, so a stream's batch may be tried again. ``facts``
+    are small values that the manifest keeps. Added rows go into a folder beside the old ones. Returns the version.
     """
-    spark = next(iter(new.values())).sparkSession
-    base = manifest(spark, root) or {"version": -1, "buckets": buckets, "tables": {}, "batch": None}
+    spark = next(iter(changes.values())).rows.sparkSession
+    base = manifest(spark, root) or {"version": -1, "buckets": buckets, "tables": {}, "batch": None, "facts": {}}
     if batch is not None and base["batch"] is not None and batch <= base["batch"]:
         return base["version"]
     number = max([*versions(spark, root), -1]) + 1
     count, tables = base["buckets"], dict(base["tables"])
-    of_row = F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int").alias(BUCKET)
-    for name, rows in new.items():
-        touched = [r[0] for r in rows.select(of_row).distinct().collect()]  # as many as there are buckets at most
+    for name, (rows, keys, combine) in changes.items():
         old = tables.get(name)
-        schema = T.StructType.fromJson(old["schema"]) if old else rows.schema
-        whole = combine(_rows(spark, old, schema, touched), rows).select(*schema.names)
+        schema, places = T.StructType.fromJson(old["schema"]) if old else rows.schema, dict(old["places"]) if old else {}
+        if combine:
+            touched = [r[0] for r in rows.select(bucket_of(keys, count)).distinct().collect()]
+            rows = combine(_rows(spark, old, schema, touched), rows)
+            places = {b: p for b, p in places.items() if int(b) not in touched}
         place = f"{root}/data/{name}-{uuid.uuid4().hex}"
-        whole.select("*", of_row).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(place)
-        written = {n.split("=")[1]: f"{place}/{n}" for n in _names(spark, place) if n.startswith(BUCKET)}
-        kept = {b: p for b, p in (old["places"] if old else {}).items() if int(b) not in touched}
-        tables[name] = {"schema": schema.jsonValue(), "places": kept | written}
-    _commit(spark, root, {"version": number, "buckets": count, "tables": tables, "batch": base["batch"] if batch is None else batch})
+        rows.select(*schema.names).withColumn(BUCKET, bucket_of(keys, count)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(place)
+        for folder in _names(spark, place):
+            if folder.startswith(BUCKET):
+                b = folder.split("=")[1]
+                places[b] = [*places.get(b, []), f"{place}/{folder}"]
+        tables[name] = {"schema": schema.jsonValue(), "places": places}
+    _commit(spark, root, {"version": number, "buckets": count, "tables": tables, "batch": base["batch"] if batch is None else batch, "facts": base["facts"] | (facts or {})})
     return number
 
 
@@ -115,7 +137,7 @@ def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def replace_tables(new: dict[str, DataFrame], root: str, keys: list[str], buckets: int = BUCKETS) -> int:
     """Replace the keys' rows in several tables together: all or nothing. Only buckets of these keys are written."""
-    return change(root, new, keys, lambda old, rows: replaced(old, rows, keys), buckets)
+    return change(root, {name: Change(rows, keys, lambda old, new: replaced(old, new, keys)) for name, rows in new.items()}, buckets)
 
 
 def replace_by_key(new: DataFrame, root: str, keys: list[str], buckets: int = BUCKETS) -> int:

@@ -286,7 +286,8 @@ def upsert_feedback_stream(ratings: DataFrame, path: str) -> DataFrame:
 
     def merge(batch: DataFrame, number: int) -> None:
         new = latest_feedback(batch.select("id", "message_id", "rating", "updated_at"))
-        buckets.change(path, {"ratings": new}, ["message_id"], lambda old, rows: latest_feedback(older(old).unionByName(rows.withColumn("id", F.lit(0).cast("long")))), batch=number)
+        merged = lambda old, rows: latest_feedback(older(old).unionByName(rows.withColumn("id", F.lit(0).cast("long"))))
+        buckets.change(path, {"ratings": buckets.Change(new, ["message_id"], merged)}, batch=number)
 
     query = ratings.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()

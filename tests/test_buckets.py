@@ -12,7 +12,7 @@ def table(spark, rows):
 
 
 def folders(spark, root):
-    return {b: p for b, p in buckets.manifest(spark, root)["tables"]["rows"]["places"].items()}
+    return {b: tuple(p) for b, p in buckets.manifest(spark, root)["tables"]["rows"]["places"].items()}
 
 
 def test_one_lecture_of_many_rewrites_one_bucket(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_a_lost_writer_leaves_the_version_before(spark, tmp_path):
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError, match="lost"):
-        buckets.change(root, {"rows": table(spark, [(1, 9)])}, ["lecture_id"], lost)
+        buckets.change(root, {"rows": buckets.Change(table(spark, [(1, 9)]), ["lecture_id"], lost)})
     (tmp_path / "t" / "manifests" / "v000000001.json").write_text('{"version": 1, "tab')  # died while it wrote this
     assert sorted(r.v for r in buckets.read(spark, root).collect()) == [1, 2]
     assert buckets.replace_by_key(table(spark, [(1, 9)]), root, ["lecture_id"]) == 2
@@ -52,13 +52,13 @@ def test_of_two_writers_the_second_fails(spark, tmp_path):
         return rows
 
     with pytest.raises(buckets.ConcurrentWriteError):
-        buckets.change(root, {"rows": table(spark, [(1, 3)])}, ["lecture_id"], slow)
+        buckets.change(root, {"rows": buckets.Change(table(spark, [(1, 3)]), ["lecture_id"], slow)})
     assert [r.v for r in buckets.read(spark, root).collect()] == [2]
 
 
 def test_batches_null_keys_and_empty_tables(spark, tmp_path):
     root = str(tmp_path / "t")
-    add = lambda rows, n: buckets.change(root, {"rows": table(spark, rows)}, ["lecture_id"], lambda old, new: old.unionByName(new), batch=n)
+    add = lambda rows, n: buckets.change(root, {"rows": buckets.Change(table(spark, rows), ["lecture_id"])}, batch=n)
     assert [add([(1, 1), (None, 5)], 0), add([(1, 2)], 1), add([(1, 2)], 1), add([], 2)] == [0, 1, 1, 2]
     assert sorted((r.lecture_id or 0, r.v) for r in buckets.read(spark, root).collect()) == [(0, 5), (1, 1), (1, 2)]
     with pytest.raises(ValueError, match="no table"):
