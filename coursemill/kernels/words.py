@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -103,6 +104,37 @@ def slug(title: pd.Series) -> pd.Series:
 
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two lines: twice the matched characters over all."""
-    from difflib import SequenceMatcher
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+def gram_size(least: float) -> int:
+    """Pairs of characters where a ratio of ``least`` implies that some are shared in texts of six or more, else characters."""
+    return 2 if least_shared(pd.Series(range(6, 200)), 2, least).min() >= 1 else 1
+
+
+def least_shared(n: pd.Series, q: int, least: float) -> pd.Series:
+    """Grams (see numbered_grams) that a text of n characters shares with any text of a ratio of ``least`` or more to it.
+
+    With m characters there, at least ``least * (n + m) / 2`` are matched, and m lies between n * least / (2 - least) and
+    n * (2 - least) / least. All matched characters are shared. Of pairs, each character that is not matched, on either
+    side, breaks two at most.
+    """
+    if q == 1:
+        return np.ceil(n * least / (2 - least) - 1e-9).astype("int32")
+    longest = np.floor(n * (2 - least) / least + 1e-9)
+    return (n - 1 - 2 * np.floor((1 - least) * (n + longest) + 1e-9)).astype("int32")
+
+
+def numbered_grams(texts: pd.Series, q: int) -> pd.Series:
+    """The substrings of q characters of each text; the k-th of equal ones carries its number."""
+
+    def one(text: str | None) -> list[str]:
+        seen: dict[str, int] = {}
+        out = []
+        for i in range(len(text or "") - q + 1):
+            gram = text[i : i + q]
+            seen[gram] = seen.get(gram, 0) + 1
+            out.append(f"{gram}{seen[gram]}")
+        return out
+
+    return texts.map(one)

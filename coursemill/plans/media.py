@@ -226,9 +226,13 @@ SQL["i6_reading_from_ocr"] = SQL["i6_reading_from_ocr"].replace(") , o AS", "),
 
 @query("i9_line_pairs")
 def pairs(spark, d):
-    lines = view(spark, d, "speech").select(F.col("lecture_id").alias("deck_id"), F.col("idx").alias("slide_id"), F.lit(0).alias("line_no"), F.floor(F.col("idx") / 4).alias("page"), "text")
-    pages = lines.select("deck_id", "page", F.col("slide_id").alias("line_no"), F.regexp_replace("text", "e", "c").alias("text"))
-    return P.line_pairs(lines, pages, 0.7).select("deck_id", "slide_id", "page_line", "ratio")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    left, top, n = F.col("idx") % 7, 20 * (F.col("idx") % 4), F.length("text")
+    lines = view(spark, d, "speech").select(F.col("lecture_id").alias("deck_id"), F.col("idx").alias("slide_id"), F.lit(0).alias("line_no"), F.floor(F.col("idx") / 4).alias("page"), "text", F.array(at(left, top), at(left + n, top + 1), at(left + n, top + 11), at(left, top + 10)).alias("box"))
+    box = F.array(*((F.col("box")[i][c] / 2).alias("v") for i, c in ((0, "x"), (0, "y"), (2, "x"), (2, "y"))))
+    pages = lines.select("deck_id", "page", F.col("slide_id").alias("line_no"), F.regexp_replace("text", "th", "tn").alias("text"), box.alias("box"))
+    found = P.line_pairs(lines, pages).select("deck_id", "slide_id", "page_line", "ratio", F.posexplode("pairs").alias("corner", "p"))
+    return found.select("deck_id", "slide_id", "page_line", "ratio", "corner", "p.*")
 
 
 @query("i10_map_boxes", "SELECT * FROM (SELECT slide_id, line_no, x1, y1, greatest(least(x1 + 10, 400.0), 0.0) AS m1, greatest(least(2 * y1, 300.0), 0.0) AS n1, greatest(least(x2 + 10, 400.0), 0.0) AS m2, greatest(least(2 * y2, 300.0), 0.0) AS n2 FROM boxes) WHERE m2 - m1 >= 6 AND n2 - n1 >= 6", "boxes")
