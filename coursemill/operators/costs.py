@@ -24,19 +24,21 @@ def price_asof(usage: DataFrame, prices: DataFrame, date: str) -> DataFrame:
     return usage.join(F.broadcast(ranges), held, "left").drop("_model", "_since", "_until")  # a price list is small
 
 
-def token_cost(input_tokens: Column, output_tokens: Column, audio_tokens: Column | None = None) -> Column:
+def token_cost(input_tokens: Column, output_tokens: Column, audio_tokens: Column | None = None, tool_tokens: Column | None = None, thinking_tokens: Column | None = None) -> Column:
     """US dollars at the row's prices per million tokens.
 
-    Audio is priced apart only where the model prices it; past the long-context threshold the long rates hold.
-    Columns: input, output and, with audio, input_audio, long_context_threshold, long_input, long_output.
+    The prompt is input and audio; past the long-context threshold the long rates hold, where the model has any. Audio is
+    priced apart only where the model prices it. What tools add counts as input but not towards the threshold, and
+    thinking counts as output. Columns: input, output and, with any of the last three arguments, input_audio,
+    long_context_threshold, long_input, long_output.
     """
-    if audio_tokens is None:
+    if audio_tokens is None and tool_tokens is None and thinking_tokens is None:
         return (input_tokens * F.col("input") + output_tokens * F.col("output")) / 1e6
-    total = input_tokens + audio_tokens
-    long = F.coalesce(total > F.col("long_context_threshold"), F.lit(False))
-    rate = F.when(long, F.coalesce("long_input", "input")).otherwise(F.col("input"))
-    out = F.when(long, F.coalesce("long_output", "output")).otherwise(F.col("output"))
-    return (input_tokens * rate + audio_tokens * F.coalesce("input_audio", rate) + output_tokens * out) / 1e6
+    audio, tools, thinking = (F.coalesce(c, F.lit(0)) if c is not None else F.lit(0) for c in (audio_tokens, tool_tokens, thinking_tokens))
+    long = F.coalesce(input_tokens + audio > F.col("long_context_threshold"), F.lit(False))
+    rate = F.when(long & (F.col("long_input") > 0), F.col("long_input")).otherwise(F.col("input"))
+    out = F.when(long & (F.col("long_output") > 0), F.col("long_output")).otherwise(F.col("output"))
+    return ((input_tokens + tools) * rate + audio * F.coalesce("input_audio", rate) + (output_tokens + thinking) * out) / 1e6
 
 
 def run_cost(stages: DataFrame, prices: DataFrame) -> DataFrame:
@@ -61,6 +63,16 @@ def first_uncached_stage(stages: DataFrame, stage: str, newest: int = 20) -> Dat
     return ran.groupBy("lecture_id").agg(F.min_by("seconds", F.struct("started_at", "run_id", "part")).alias("seconds"))
 
 
+def real_time_factor(stages: DataFrame, lectures: DataFrame, stage: str = "asr", newest: int = 20) -> DataFrame:
+    """(lecture_id, seconds, real_time_factor) of lectures (lecture_id, duration_s): a stage's seconds over those of the video.
+
+    Null where the stage never really ran, and the factor also where it took no time or the video has no length.
+    """
+    rows = lectures.join(first_uncached_stage(stages, stage, newest), "lecture_id", "left")
+    known = (F.col("seconds") != 0) & (F.col("duration_s") != 0)
+    return rows.select("lecture_id", "seconds", F.when(known, F.col("seconds") / F.col("duration_s")).alias("real_time_factor"))
+
+
 def bucket(value: Column, bounds: tuple[float, ...]) -> Column:
     """Number of bounds below a value."""
     return sum(((value > b).cast("int") for b in bounds), F.lit(0))

@@ -29,10 +29,16 @@ def retrieval_scores(hits: DataFrame, relevant: DataFrame) -> DataFrame:
     return rows.select("query_id", "mode", *out)
 
 
-def retrieval_summary(scores: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Means by mode, and by mode and kind (kind null: all); structure and unanswerable questions are left out."""
+def retrieval_summary(scores: DataFrame, kinds: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
+    """Means by mode, and by mode and kind (kind null: all); structure and unanswerable questions are left out.
+
+    With latencies (query_id, mode, latency_ms) also ``median_latency_ms``, the mean of the middle two of an even number.
+    """
     rows = scores.join(kinds, "query_id").where(~F.col("kind").isin("structure", "unanswerable"))
     means = [F.avg(c).alias(c) for c in ("recall", "mrr", "ndcg")]
+    if latencies is not None:
+        rows = rows.join(latencies, ["query_id", "mode"], "left")
+        means.append(F.median("latency_ms").alias("median_latency_ms"))
     return rows.groupingSets([["mode"], ["mode", "kind"]], "mode", "kind").agg(*means, F.count("*").alias("n"))
 
 
@@ -260,6 +266,27 @@ def score_table(summary: DataFrame, kinds: tuple[str, ...] = ("code", "concept",
     return wide.select("mode", F.concat(F.lit("| "), F.concat_ws(" | ", F.col("mode").cast("string"), *cells), F.lit(" |")).alias("line"))
 
 
+def retrieval_report(summary: DataFrame, segments: int) -> DataFrame:
+    """One row ``markdown``: the tables of a run's summary with latencies, by mode and by mode and kind; a missing kind is 0.
+
+    A summary has a row a mode and kind. Without one, the tables have no rows.
+    """
+    number = lambda c, form: F.call_function("format_number", c, F.lit(form))
+    cells = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
+    in_order = lambda line: F.transform(F.array_sort(F.collect_list(F.struct("mode", line.alias("line")))), lambda x: x["line"])
+    mode = F.col("mode").cast("string")
+    whole = summary.where("kind is null")
+    first = whole.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), in_order(cells(mode, *(number(F.col(c), "0.00") for c in ("recall", "mrr", "ndcg")), F.concat(number(F.col("median_latency_ms"), "0"), F.lit(" ms")))).alias("modes"))
+    kinds = summary.where("kind is not null").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    by_mode = summary.where("kind is not null").groupBy("mode").agg(F.map_from_entries(F.collect_list(F.struct("kind", "recall"))).alias("recall"))
+    line = cells(mode, F.array_join(F.transform("kinds", lambda k: number(F.coalesce(F.try_element_at("recall", k), F.lit(0.0)), "0.00")), " | "))
+    second = by_mode.crossJoin(F.broadcast(kinds)).agg(in_order(line).alias("by_kind"))  # kinds is one row
+    heads = [F.format_string(f"%d questions, {segments} segments, K = {K}", "n"), F.lit(""), F.lit("| Mode | Recall@5 | MRR@10 | nDCG@10 | Median latency |"), F.lit("|---|---|---|---|---|")]
+    middle = [F.lit(""), F.lit("Recall@5 by kind of question:"), F.lit(""), F.concat(F.lit("| Mode | "), F.array_join("kinds", " | "), F.lit(" |")), F.concat(F.lit("|---|"), F.repeat(F.lit("---|"), F.size("kinds")))]
+    one = first.crossJoin(kinds).crossJoin(second)  # one row each
+    return one.select(F.array_join(F.concat(F.array(*heads), "modes", F.array(*middle), "by_kind"), "\n").alias("markdown"))
+
+
 def answer_table(metrics: DataFrame, columns: tuple[str, ...] = ("correctness", "faithfulness", "citations_valid", "on_target", "declines")) -> DataFrame:
     """Markdown rows of answer metrics (see answer_metrics), a row a run."""
     cells = [F.format_number(F.col(c), 2) for c in columns]

@@ -46,6 +46,34 @@ def summary(spark, d):
     return out.select("mode", "kind", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")], "n")
 
 
+LATENCY = "(query_id * 37 + mode * 11) % 501 / 2"
+
+
+def timed_summary(spark, d):
+    latencies = view(spark, d, "hits").select("query_id", "mode").distinct().withColumn("latency_ms", F.expr(LATENCY))
+    return E.retrieval_summary(scores(spark, d), view(spark, d, "answer_spans").select("query_id", "kind"), latencies)
+
+
+TIMED = f"SELECT mode, kind, avg(recall) AS recall, avg(mrr) AS mrr, avg(ndcg) AS ndcg, median({LATENCY}) AS latency, count(*) AS n FROM {SCORES} JOIN answer_spans USING (query_id) WHERE kind NOT IN ('structure', 'unanswerable') GROUP BY GROUPING SETS ((mode), (mode, kind))"
+
+
+@query("h2_median_latency", f"SELECT mode, kind, latency AS median_latency_ms, n FROM ({TIMED})", "hits grid answer_spans")
+def median_latency(spark, d):
+    return timed_summary(spark, d).select("mode", "kind", "median_latency_ms", "n")
+
+
+@query("a11_retrieval_report", f""", t AS MATERIALIZED ({TIMED}), k AS (SELECT DISTINCT kind FROM t WHERE kind IS NOT NULL)
+  SELECT (SELECT max(n) FROM t WHERE kind IS NULL) || ' questions, 50 segments, K = 10' || chr(10) || chr(10) || '| Mode | Recall@5 | MRR@10 | nDCG@10 | Median latency |' || chr(10) || '|---|---|---|---|---|' || chr(10)
+    || (SELECT string_agg('| ' || mode || printf(' | %.2f | %.2f | %.2f | %.0f ms |', recall, mrr, ndcg, latency), chr(10) ORDER BY mode) FROM t WHERE kind IS NULL) || chr(10) || chr(10) || 'Recall@5 by kind of question:' || chr(10) || chr(10)
+    || '| Mode | ' || (SELECT string_agg(kind, ' | ' ORDER BY kind) FROM k) || ' |' || chr(10) || '|---|' || repeat('---|', (SELECT count(*)::INT FROM k)) || chr(10)
+    || (SELECT string_agg('| ' || mode || ' | ' || cells || ' |', chr(10) ORDER BY mode) FROM (SELECT m.mode, string_agg(printf('%.2f', coalesce(t.recall, 0)), ' | ' ORDER BY k.kind) AS cells FROM (SELECT DISTINCT mode FROM t) m CROSS JOIN k LEFT JOIN t ON t.mode = m.mode AND t.kind = k.kind GROUP BY m.mode)) AS markdown""", "hits grid answer_spans")
+def retrieval_report(spark, d):
+    return E.retrieval_report(timed_summary(spark, d), 50)
+
+
+SQL["a11_retrieval_report"] = SQL["a11_retrieval_report"].replace(") , t AS", "), t AS", 1)
+
+
 @query("a11_score_tables", f"SELECT mode, '| ' || mode || ' | ' || printf('%.2f', coalesce(avg(recall) FILTER (kind = 'code'), 0)) || ' | ' || printf('%.2f', coalesce(avg(recall) FILTER (kind = 'concept'), 0)) || ' | ' || printf('%.2f', coalesce(avg(recall) FILTER (kind = 'fact'), 0)) || ' |' AS line FROM {SCORES} JOIN answer_spans USING (query_id) GROUP BY mode", "hits grid answer_spans")
 def table(spark, d):
     return E.score_table(E.retrieval_summary(scores(spark, d), view(spark, d, "answer_spans").select("query_id", "kind")))
@@ -227,6 +255,19 @@ def token_cost(spark, d):
     return priced.select("run_id", "stage", "part", F.round(C.token_cost(F.col("input_tokens"), F.col("output_tokens")), 9).alias("cost"))
 
 
+EXTRA = {"audio": "part % 700", "tools": "part % 90", "thinking": "part % 401", "input_audio": "CASE WHEN model = 'm0' THEN 0.9 END", "threshold": "CASE model WHEN 'm1' THEN 40000 WHEN 'm2' THEN 20000 END", "long_input": "CASE model WHEN 'm1' THEN 2.5 WHEN 'm2' THEN 0 END", "long_output": "CASE WHEN model = 'm1' THEN 15.0 END"}
+
+
+@query("h12_request_cost", f"""SELECT run_id, stage, part, round(((input_tokens + {EXTRA['tools']}) * CASE WHEN long AND coalesce({EXTRA['long_input']}, 0) > 0 THEN {EXTRA['long_input']} ELSE input END + {EXTRA['audio']} * coalesce({EXTRA['input_audio']}, CASE WHEN long AND coalesce({EXTRA['long_input']}, 0) > 0 THEN {EXTRA['long_input']} ELSE input END)
+  + (output_tokens + {EXTRA['thinking']}) * CASE WHEN long AND {EXTRA['long_output']} > 0 THEN {EXTRA['long_output']} ELSE output END) / 1e6, 9) AS cost FROM (SELECT *, coalesce(input_tokens + {EXTRA['audio']} > {EXTRA['threshold']}, false) AS long FROM {PRICED})""", "stages prices")
+def request_cost(spark, d):
+    """Audio, tools, thinking and long prompts."""
+    priced = C.price_asof(view(spark, d, "stages"), view(spark, d, "prices"), "started_at")
+    priced = priced.withColumns({n: F.expr(EXTRA[n]) for n in ("input_audio", "long_input", "long_output")} | {"long_context_threshold": F.expr(EXTRA["threshold"])})
+    cost = C.token_cost(F.col("input_tokens"), F.col("output_tokens"), *(F.expr(EXTRA[n]) for n in ("audio", "tools", "thinking")))
+    return priced.select("run_id", "stage", "part", F.round(cost.cast("double"), 9).alias("cost"))
+
+
 @query("h11_run_cost", f"SELECT run_id, CASE WHEN max((c IS NULL AND NOT cached)::INT) = 0 THEN round(sum(CASE WHEN NOT cached THEN c ELSE 0 END), 8) END AS cost, round(sum(c), 8) AS all_in FROM (SELECT *, (input_tokens * input + output_tokens * output) / 1e6 AS c FROM {PRICED}) GROUP BY run_id", "stages prices")
 def run_cost(spark, d):
     return C.run_cost(view(spark, d, "stages"), view(spark, d, "prices")).select("run_id", F.round("cost", 8).alias("cost"), F.round("all_in", 8).alias("all_in"))
@@ -246,6 +287,16 @@ def uncached(spark, d):
 SQL["h14_first_uncached_stage"] = SQL["h14_first_uncached_stage"].replace(") , r AS", "), r AS", 1)
 
 
+@query("h14_real_time_factor", ", u AS (SELECT lecture_id, arg_min(seconds, (started_at, run_id, part)) AS seconds FROM stages JOIN (SELECT lecture_id, run_id FROM (SELECT *, row_number() OVER (PARTITION BY lecture_id ORDER BY started_at DESC, run_id DESC) AS n FROM (SELECT DISTINCT lecture_id, run_id, started_at FROM stages)) WHERE n <= 5) r USING (lecture_id, run_id) WHERE stage = 'stage2' AND NOT cached GROUP BY 1), l AS (SELECT DISTINCT lecture_id, lecture_id % 7 * 600.0 AS duration_s FROM stages) SELECT lecture_id, u.seconds, round(CASE WHEN u.seconds <> 0 AND duration_s <> 0 THEN u.seconds / duration_s END, 9) AS real_time_factor FROM l LEFT JOIN u USING (lecture_id)", "stages")
+def real_time(spark, d):
+    stages = view(spark, d, "stages")
+    lectures = stages.select("lecture_id").distinct().withColumn("duration_s", F.col("lecture_id") % 7 * 600.0)
+    return C.real_time_factor(stages, lectures, "stage2", 5).withColumn("real_time_factor", F.round("real_time_factor", 9))
+
+
+SQL["h14_real_time_factor"] = SQL["h14_real_time_factor"].replace(") , u AS", "), u AS", 1)
+
+
 @query("h15_stage_stats", "SELECT stage, cached, count(*) AS runs, sum(seconds) AS seconds FROM stages GROUP BY ALL", "stages")
 def stage_stats(spark, d):
     return C.stage_stats(view(spark, d, "stages"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from coursemill.functions import links
 from coursemill.functions import text as T
 from coursemill.kernels import latex, words
-from coursemill.operators import evals, qa, slides, timeline
+
+from coursemill.operators import costs, evals, qa, slides, timeline
 from coursemill.sources import buckets, io
 
 
@@ -242,3 +243,23 @@ def test_note_checks_number_items_of_equal_order_by_time(spark):
         issues, counts = evals.note_checks(chapters, rows, durations)
         assert {r.issue for r in issues.collect()} == want
         assert counts.first()[1:3] == (6, 2)
+
+
+def test_warehouse_tables_over_jdbc(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/warehouse;create=true"
+    rows = spark.range(50).selectExpr("id", "id * 2 as twice")
+    io.write_table(rows, url, "runs", batch=7)
+    io.write_table(rows.where("id < 5"), url, "runs")
+    got = io.read_table(spark, url, "runs", "ID", (0, 50, 4))
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 55
+    assert io.read_table(spark, url, "runs").where("ID = 3").count() == 2
+
+
+def test_cost_of_a_request(spark):
+    price = {"input": 2.0, "output": 12.0, "input_audio": None, "long_context_threshold": 200_000, "long_input": 4.0, "long_output": 18.0}
+    rows = [(1, 1000, 100, 0, 0, 0), (2, 200_000, 100, 0, 50, 7), (3, 200_000, 100, 1, 50, 7)]
+    columns = spark.createDataFrame(rows, "id int, i int, o int, a int, u int, t int").withColumns({n: F.lit(v).cast("double") for n, v in price.items()})
+    got = {r.id: r.c for r in columns.select("id", costs.token_cost(*map(F.col, "ioaut")).alias("c")).collect()}
+    assert got == {1: 0.0032, 2: pytest.approx((200_050 * 2 + 107 * 12) / 1e6), 3: pytest.approx((200_051 * 4 + 107 * 18) / 1e6)}
+    other = columns.withColumns({"input_audio": F.lit(1.0), "long_context_threshold": F.lit(None).cast("double"), "long_input": F.lit(0.0)})
+    assert other.where("id = 3").select(costs.token_cost(*map(F.col, "ioaut")).alias("c")).first().c == pytest.approx((200_050 * 2 + 1 + 107 * 12) / 1e6)
