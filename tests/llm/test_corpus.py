@@ -205,7 +205,7 @@ def test_html_classes_are_grouped_by_vector(spark):
     pages = [(i, "h", SHARED.format(i=i, box=BOX if i % 3 == 0 else "")) for i in range(30)]
     rows = spark.createDataFrame(pages, "page_key long, host string, html string")
     sizes = rows.groupBy("host").count().withColumnRenamed("count", "of")
-    classes = html_extraction.equivalence_classes(html_extraction.tokens(rows), sizes).collect()
+    classes = html_extraction.equivalence_classes(html_extraction.occurrences(html_extraction.tokens(rows)), sizes).collect()
     nested = [{m.token.rpartition(">")[2] for m in c.members if not m.token.startswith("#")} for c in classes if not c.root]
     assert nested == [{"section", "h4", "ul", "li"}]
 
@@ -231,6 +231,43 @@ def test_html_a_noise_word_on_one_page_is_no_template(spark):
     assert {r.page_id: r.text for r in got}[3] == "Words 3.\nAn own notice."
 
 
+@pytest.mark.parametrize("name", ["social-science", "comment-thread-analysis", "ad-free", "no-sidebar", "share-price-table", "notice", "header", "post-header", "widget"])
+@pytest.mark.parametrize("pages", [1, 2, 8])
+def test_html_parts_of_an_article_stay_whatever_their_name(spark, name, pages):
+    page = "<body><nav>Site</nav><article><h1>Head {i}</h1><section class='{name}'><p>An own paragraph, {i} of all.</p></section><p>End {i}.</p></article></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i=i, name=name)) for i in range(pages)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Head {i}\nAn own paragraph, {i} of all.\nEnd {i}." for i in range(pages)}
+
+
+@pytest.mark.parametrize("pages", [4, 5])
+def test_html_lines_that_every_page_repeats_go_alike_on_small_hosts(spark, pages):
+    page = "<body><article><h1>Head {i}</h1><p>Own words {i}.</p><p>We thank all readers.</p><div class='notice-box'>Mind the gap</div><div class='comments'>Said {i}</div></article></body>"
+    rows = [(i, f"http://h.org/{i}", page.format(i=i)) for i in range(pages)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Head {i}\nOwn words {i}." for i in range(pages)}
+
+
+def test_html_generated_templates(spark):
+    """Pages made from drawn templates, whose main text is known."""
+    rng = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(400)]
+    line = lambda n: " ".join(rng.choice(words, n))
+    rows, want = [], {}
+    for host in range(12):
+        wrap = rng.choice(["<article>{}</article>", "<main><div class='text'>{}</div></main>", "<div id='page'><div class='story'>{}</div></div>"])
+        menu, foot, notice = line(5), line(9), line(7)
+        for i in range(int(rng.integers(4, 30))):
+            key = host * 100 + i
+            blocks = [f"Title {key}", *(line(int(rng.integers(8, 40))) + f" {key}" for _ in range(int(rng.integers(2, 6))))]
+            body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+            body += f"<div class='notice'>{notice}</div><div class='comment-list'><p>{line(6)}</p></div><script>x</script>"
+            rows.append((key, f"https://h{host}.net/{i}", f"<html><head><title>t</title></head><body><div class='menu'>{menu}</div>{wrap.format(body)}<footer>{foot}</footer></body></html>"))
+            want[key] = "\n".join(blocks)
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_html_paragraphs_beside_the_longest_stay():
     assert html_extraction.main_text(f"<p>Short one.<p>{'long ' * 99}", None, set()).startswith("Short one.\nlong")
 
