@@ -24,6 +24,8 @@ candidates, and the sums, compared by 32 bits, settle a gap wrongly with probabi
 
 from __future__ import annotations
 
+import contextlib
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -62,6 +64,25 @@ def place(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return mix64(doc.astype(np.uint64) ^ np.uint64(0xD1B54A32D192ED03)) * power(pos)  # no small id maps to 0
 
 
+STRETCH = 1 << 15  # results made at once: what they need stays in a core's cache
+
+
+def in_stretches(of: Callable[[np.ndarray, int], np.ndarray]) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A function of all runs of ``length`` values, applied to stretches that overlap by a run less one."""
+
+    def run(values: np.ndarray, length: int) -> np.ndarray:
+        n = len(values) - length + 1
+        if n <= 2 * STRETCH:
+            return of(values, length)
+        out = np.empty(n, values.dtype)
+        for at in range(0, n, STRETCH):
+            out[at : at + STRETCH] = of(values[at : at + STRETCH + length - 1], length)
+        return out
+
+    return run
+
+
+@in_stretches
 def gram_codes(tokens: np.ndarray, length: int) -> np.ndarray:
     """64-bit codes of all runs of ``length`` tokens, from codes of half the length, doubling."""
     h, n, step = tokens, 1, 0
@@ -75,6 +96,7 @@ def gram_codes(tokens: np.ndarray, length: int) -> np.ndarray:
     return h * _STEP[step]
 
 
+@in_stretches
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = 1
     while n < width:
@@ -321,6 +343,8 @@ LEVEL, SAMPLED, ANCHOR, WINDOW, STATE = 0, 1, 2, 3, 4
 RADIX = 512  # destinations that one task sends to where one pass would have more than MOST_ROWS rows
 MOST_ROWS = 1 << 25  # from all blocks to all buckets in one pass: blocks of 2 MB reach it at 32 GB
 LEAST_BUCKETS, BLOCKS_A_BUCKET = 512, 8
+KEPT_BYTES = 200 << 20  # of a Python worker between tasks
+RESIDENT_PAGE = os.sysconf("SC_PAGE_SIZE")
 
 
 @dataclass
@@ -437,8 +461,13 @@ def travel(rows: DataFrame, back: bool, ways: Ways) -> DataFrame:
 
 
 def freed(out: pa.Table) -> pa.Table:
+    """A task's end: a worker that has grown gives its memory back; one that has not keeps it, so that the next task need not ask anew."""
     forget()
-    release()
+    resident = KEPT_BYTES + 1
+    with contextlib.suppress(OSError), open("/proc/self/statm") as f:  # not on every system
+        resident = int(f.read().split()[1]) * RESIDENT_PAGE
+    if resident > KEPT_BYTES:
+        release()
     return out
 
 
