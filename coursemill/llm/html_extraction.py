@@ -244,40 +244,39 @@ def occurrences(tokens: DataFrame) -> DataFrame:
 
 
 def equivalence_classes(seen: DataFrame, sizes: DataFrame) -> DataFrame:
-    """A row a valid class: host, of, root, members (token, chars, low, high), of seen tokens (see occurrences).
+    """A row a valid class: host, of, root, members (token, chars, low, high, pages), of seen tokens (see occurrences).
 
     sizes: host, of (pages that are not empty). A member is on a share of the pages, so the members of all classes of a
-    host are at most 1 / SUPPORT times those of a page.
+    host are at most 1 / SUPPORT times those of a page. Rows with a ``role`` and no members are the elements named by a repeated
+    word that say the same on most of the pages they are on, and on two at least.
     """
     # no token of one page is on enough pages of a host with more, and main_text deduces a lone page's slot itself
-    rows = seen.where("pages > 1 and chars >= 0").join(sizes, "host").withColumn("root", F.expr(f"most = 1 and pages >= {ROOT} * of"))
-    rows = rows.withColumn("wide", F.col("pages") >= F.greatest(F.lit(MIN_PAGES), F.col("of") * SUPPORT)).where("root or wide")
-    classes = rows.groupBy("host", "of", "root", "wide", "vector").agg(F.collect_list(F.struct("token", "chars", F.coalesce("low", "token").alias("low"), F.coalesce("high", "token").alias("high"), "pages")).alias("members"))
+    rows = seen.join(sizes, "host").withColumn("role", F.when(F.col("chars") < 0, F.expr("substring(substring_index(token, '\n', 1), 2)")))
+    rows = rows.withColumns({"root": F.expr(f"role is null and most = 1 and pages >= {ROOT} * of"), "wide": F.expr(f"role is null and pages >= greatest({MIN_PAGES}, of * {SUPPORT})")})
+    rows = rows.where("role is not null or pages > 1 and (root or wide)").withColumn("vector", F.when(F.col("role").isNull(), F.col("vector")))
+    member = F.struct("token", "chars", F.coalesce("low", "token").alias("low"), F.coalesce("high", "token").alias("high"), "pages")
+    classes = rows.groupBy("host", "of", "root", "wide", "role", "vector").agg(F.collect_list(F.when(F.col("role").isNull(), member)).alias("members"), F.sum("pages").alias("all"), F.max("pages").alias("same"))
     elements = F.exists("members", lambda m: ~m["token"].startswith("#"))
-    return classes.where(F.col("root") | (F.col("wide") & (F.size("members") >= SIZE) & elements)).drop("vector", "wide")
-
-
-def backed_roles(seen: DataFrame, sizes: DataFrame) -> DataFrame:
-    """host, backed: the roles named by a repeated word that say the same on most of the pages they are on, and on two at least."""
-    said = seen.where("chars < 0").withColumn("role", F.expr("substring(substring_index(token, '\n', 1), 2)"))  # by a sum, so that both readings share one shuffle
-    roles = said.groupBy("host", "role").agg(F.sum("pages").alias("pages"), F.max("pages").alias("same")).join(sizes, "host")
-    return roles.where(f"same > 1 and 2 * same >= pages and pages >= of * {BACKED}").groupBy("host").agg(F.collect_list("role").alias("backed"))
+    says = F.expr(f"same > 1 and 2 * same >= all and all >= of * {BACKED}")
+    valid = F.col("root") | (F.col("wide") & (F.size("members") >= SIZE) & elements)
+    return classes.where(F.when(F.col("role").isNull(), valid).otherwise(says)).drop("vector", "wide", "all", "same")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """A row a host: pages, slot (role of the article's element, null if none), texts (digests of template texts), backed (roles)."""
     sizes = pages.where(r"html rlike '\\S'").groupBy("host").agg(F.count("*").alias("of"))
-    seen = occurrences(tokens(pages))
-    members = equivalence_classes(seen, sizes).groupBy("host").agg(
+    members = equivalence_classes(occurrences(tokens(pages)), sizes).groupBy("host").agg(
         F.max("of").alias("of"),
         F.flatten(F.collect_list(F.when(F.col("root"), F.col("members")))).alias("members"),
-        F.collect_list(F.when(~F.col("root"), F.col("members"))).alias("nested"),
+        F.collect_list(F.when(~F.col("root") & F.col("role").isNull(), F.col("members"))).alias("nested"),
+        F.collect_list("role").alias("backed"),
     )
     is_text = lambda m: m["token"].startswith("#")
     per = members.select(
         "host",
         "of",
         "nested",
+        "backed",
         F.filter("members", lambda m: ~is_text(m)).alias("roles"),
         F.transform(F.filter("members", lambda m: is_text(m) & (m["pages"] >= MIN_PAGES)), lambda m: m["token"]).alias("texts"),
     ).withColumn("best", F.array_max(F.transform("roles", lambda r: r["chars"])))
@@ -288,7 +287,7 @@ def templates(pages: DataFrame) -> DataFrame:
     slot = F.when(F.size(named) > 0, by_chars(named)).when(F.size(rich) > 0, by_depth(rich))
     per = per.withColumn("slot", slot).withColumn("root_roles", F.transform("roles", lambda r: r["token"]))
     inner = F.udf(lambda c, r, s: nested_texts(c, r, s), "array<string>")("nested", "root_roles", "slot")
-    return per.select("host", F.col("of").alias("pages"), "slot", F.array_union("texts", inner).alias("texts")).join(backed_roles(seen, sizes), "host", "left")
+    return per.select("host", F.col("of").alias("pages"), "slot", F.array_union("texts", inner).alias("texts"), "backed")
 
 
 def nested_texts(classes: list, roles: list[str], slot: str | None) -> list[str]:
