@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from coursemill.llm import bpe, fingerprints, html_extraction, packing, quality, queries, token_output
 from coursemill.llm.tokens import default_tokenizer
@@ -119,14 +120,48 @@ def test_fingerprints_edges(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
     want = con.execute(queries.ORACLE[name]).fetchdf()
     got = queries.QUERIES[name](spark, DIR).toPandas()[list(want.columns)]
-    key = want.columns[0]
+    key = list(want.columns[:2])
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True), check_dtype=False)
 
 
+def test_quality_against_a_plain_sample(spark):
+    """Counts, ratio, noise and the cut by loops; only the hashes of tokens and of ids are the operator's."""
+    import math
+    import re
+    from collections import Counter
+    from functools import lru_cache
+
+    docs, labels = pd.read_parquet(f"{DIR}/documents.parquet"), pd.read_parquet(f"{DIR}/labels.parquet")
+    token = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\t-\r ]+")
+    bucket = lru_cache(None)(lambda text, i: int(quality.features(np.frombuffer(text, np.uint8))[i]))
+
+    def bag(text: str | None) -> Counter:
+        words = token.findall((text or "").encode())
+        return Counter([bucket(w, 0) for w in words] + [bucket(a + b" " + b, 2) for a, b in zip(words[:-1], words[1:], strict=True)])
+
+    bags = {d: bag(t) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    good = set(labels[labels.quality == 1].doc_id)
+    raw, target = Counter(), Counter()
+    for d, own in bags.items():
+        raw.update(own)
+        if d in good:
+            target.update(own)
+    size = {id(c): sum(c.values()) + 0.5 * (1 << 14) for c in (raw, target)}
+    ratio = lambda b: math.log((target[b] + 0.5) / size[id(target)]) - math.log((raw[b] + 0.5) / size[id(raw)])
+    hashes = {r.id: r.h for r in spark.createDataFrame([(int(d),) for d in docs.doc_id], "id long").select("id", F.xxhash64("id", F.lit(1)).alias("h")).collect()}
+    weight = {d: sum(n * ratio(b) for b, n in own.items()) for d, own in bags.items()}
+    score = {d: w - math.log(-math.log((((hashes[d] % (1 << 64)) >> 11) + 0.5) / (1 << 53))) for d, w in weight.items()}
+    share = len(good) / labels[labels.quality.notna()].doc_id.nunique() + 0.01
+    want = sorted(score, key=lambda d: (-score[d], d))[: math.ceil(share * len(docs))]
+    got = {r.doc_id: r for r in quality.query(spark, DIR).collect()}
+    assert set(got) == set(want)
+    assert all(got[d].log_weight == pytest.approx(weight[d], abs=1e-6) and got[d].score == pytest.approx(score[d], abs=1e-6) for d in want)
+
+
 def test_quality_held_out(spark):
     docs, labels = pd.read_parquet("/root/testdata/sf0.01/documents.parquet"), pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
     seen, held = labels[labels.doc_id % 2 == 0], labels[labels.doc_id % 2 == 1]
@@ -293,7 +328,6 @@ def test_pipeline_null_and_repeated_ids(spark):
 
 
 def test_sketches_merge_and_estimate_containment(spark):
-    from pyspark.sql import functions as F
 
     words = [f"w{i}" for i in range(4000)]
     rows = [(1, " ".join(words), "a"), (2, " ".join(words[:400]), "b"), (2, " ".join(words[:400]), "b"), (3, "", "b"), (4, None, "c")]
