@@ -28,11 +28,21 @@ def terms_of(text: Column, stem: bool = True) -> Column:
     return F.transform(tokens, singular) if stem else tokens
 
 
+def term_counts(rows: DataFrame, terms: str = "terms") -> DataFrame:
+    """rows with their column of terms as rows of (term, tf): equal ones of a row stand together when sorted, so nothing is shuffled."""
+    others = [c for c in rows.columns if c != terms]
+    s, at = F.col("_s"), F.col("_at")
+    runs = rows.select(*others, F.array_sort(terms).alias("_s")).where(F.size("_s") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    cut = runs.select(*others, "_s", begins.alias("_at"))
+    ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
+    return cut.select(*others, F.inline(F.zip_with(at, ends, lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).cast("long").alias("tf")))))
+
+
 def bm25_postings(chunks: DataFrame, key: str = "chunk_id", stem: bool = True) -> DataFrame:
-    """(key, term, tf, doc_len) of every chunk; stopwords are left out."""
+    """(key, term, tf, doc_len) of every chunk, a row of ``chunks``; stopwords are left out."""
     terms = chunks.select(key, terms_of(F.col("text"), stem).alias("terms"))
-    each = terms.select(key, F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term"))
-    return each.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
+    return term_counts(terms.select(key, F.size("terms").cast("long").alias("doc_len"), "terms")).select(key, "term", "doc_len", "tf")
 
 
 def sparse_vectors(chunks: DataFrame, key: str = "chunk_id", stem: bool = True) -> DataFrame:
