@@ -102,9 +102,16 @@ def slug(title: pd.Series) -> pd.Series:
     return title.map(one)
 
 
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two lines: twice the matched characters over all."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def ratio(a: pd.Series, b: pd.Series, least: float = 0.0) -> pd.Series:
+    """Similarity of two lines: twice the matched characters over all; 0 where a bound by the characters of both is below ``least``."""
+
+    def one(x: str, y: str) -> float:
+        if x == y:
+            return 1.0
+        match = SequenceMatcher(None, x, y)
+        return match.ratio() if not least or match.quick_ratio() >= least else 0.0
+
+    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def gram_size(least: float) -> int:
