@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_left
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -14,9 +15,14 @@ import pandas as pd
 def edit_operations(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions of a shortest word alignment; of these one with the fewest deletions.
 
-    Only a band of diagonals around the two corners is filled, row by row; it doubles until it must hold every shortest
-    alignment, so the time is about the words times the errors. What the texts begin and end with alike is left out first.
+    An alignment with no more errors than the bags of words ask for is told in one reading (see _bound_met). Else only a
+    band of diagonals around the two corners is filled, row by row; it doubles until it must hold every shortest alignment,
+    so the time is about the words times the errors. What the texts begin and end with alike is left out first.
     """
+    common = _bound_met(reference, hypothesis) if len(reference) >= len(hypothesis) else _bound_met(hypothesis, reference)
+    if common is not None:
+        spare = len(reference) - len(hypothesis)
+        return min(len(reference), len(hypothesis)) - common, max(spare, 0), max(-spare, 0)
     names = {w: i for i, w in enumerate(dict.fromkeys([*reference, *hypothesis]))}
     ref = np.array([names[w] for w in reference], np.int64)
     hyp = np.array([names[w] for w in hypothesis], np.int64)
@@ -30,13 +36,37 @@ def edit_operations(reference: list[str], hypothesis: list[str]) -> tuple[int, i
         return 0, m, n
     bags = np.bincount(ref, minlength=len(names)), np.bincount(hyp, minlength=len(names))
     fewest = max(m, n) - int(np.minimum(*bags).sum())
-    side = min(max(128, fewest - abs(n - m)), max(m, n))  # wider rows take little longer
+    side = min(128, max(m, n))  # wider rows take little longer
     while True:
         cost, deletions = _banded(ref, hyp, side)
-        if cost < abs(n - m) + 2 * (side + 1):  # an alignment that leaves the band costs as much at least
+        # an alignment that leaves the band has side + 1 steps too many one way, which the others undo or come on top of the fewest
+        needed = min((cost - abs(n - m)) // 2, cost - fewest)
+        if needed <= side:
             insertions = deletions + n - m
             return cost - deletions - insertions, deletions, insertions
-        side = max(2 * side, (cost - abs(n - m)) // 2)
+        side = min(2 * side, needed)
+
+
+def _bound_met(longer: list[str], shorter: list[str]) -> int | None:
+    """Words in common if an alignment has just as many errors as the longer text has other words; None if not found.
+
+    No alignment has fewer errors, and one that has no more only leaves out words of the longer text: as the others of it are
+    all substituted or left out, nothing is left for words put in, so its operations are known. Words that the longer text
+    holds often enough must all be met there, and the earliest places serve if any do; words that it lacks take one place.
+    """
+    have = Counter(longer)
+    common = 0
+    for word, n in Counter(shorter).items():
+        if n > have[word] > 0:  # which of them are met is open
+            return None
+        common += n if have[word] else 0
+    at = 0
+    try:
+        for word in shorter:
+            at = longer.index(word, at) + 1 if have[word] else at + 1
+    except ValueError:
+        return None
+    return common if at <= len(longer) else None
 
 
 def _banded(ref: np.ndarray, hyp: np.ndarray, side: int) -> tuple[int, int]:

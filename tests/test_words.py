@@ -53,3 +53,43 @@ def test_long_texts_take_time_by_their_errors():
     found = edit_operations(ref, hyp)
     assert time.process_time() - start < 1
     assert 200 < sum(found) < 400
+
+
+def test_an_alignment_as_short_as_the_bags_allow_fills_no_table(monkeypatch):
+    """Substituted and left-out words of long texts are told without the table; what the bags leave open still uses it."""
+    import random
+
+    from coursemill.kernels import words as W
+
+    rng = random.Random(5)
+
+    def plain(ref, hyp):
+        row = [(j, 0) for j in range(len(hyp) + 1)]
+        for i, r in enumerate(ref, 1):
+            new = [(i, i)]
+            for j, h in enumerate(hyp, 1):
+                new.append(min((row[j - 1][0] + (r != h), row[j - 1][1]), (row[j][0] + 1, row[j][1] + 1), (new[j - 1][0] + 1, new[j - 1][1])))
+            row = new
+        cost, deletions = row[-1]
+        insertions = deletions + len(hyp) - len(ref)
+        return cost - deletions - insertions, deletions, insertions
+
+    for _ in range(1500):
+        ref = [rng.choice("abcdefg") for _ in range(rng.randrange(12))]
+        hyp = [w if rng.random() < 0.7 else rng.choice(["x", "y", "a", w + "x"]) for w in ref if rng.random() < 0.8] + [rng.choice("abz") for _ in range(rng.randrange(3))]
+        for a, b in ((ref, hyp), (hyp, ref)):
+            assert W.edit_operations(a, b) == plain(a, b)
+    for small in (1, 2):  # narrow bands: the test of leaving them holds
+        monkeypatch.setattr(W, "min", lambda *a, **k: min(*a, **k) if a[0] != 128 else min(small, a[1]), raising=False)
+        for _ in range(400):
+            ref = [rng.choice("abcd") for _ in range(rng.randrange(30))]
+            hyp = [rng.choice("abce") for _ in range(rng.randrange(30))]
+            assert W.edit_operations(ref, hyp) == plain(ref, hyp)
+    monkeypatch.undo()
+    monkeypatch.setattr(W, "_banded", None)
+    ref = [f"w{rng.randrange(300)}" for _ in range(20_000)]
+    hyp = [w + "?" if i % 7 == 3 else w for i, w in enumerate(ref) if i % 11 != 5]
+    left = sum(i % 11 == 5 for i in range(20_000))
+    changed = sum(w.endswith("?") for w in hyp)
+    assert W.edit_operations(ref, hyp) == (changed, left, 0)
+    assert W.edit_operations(hyp, ref) == (changed, 0, left)
