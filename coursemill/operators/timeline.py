@@ -266,13 +266,20 @@ def evidence(sources: DataFrame, sentences: DataFrame, slides: DataFrame) -> Dat
     """
     from coursemill.operators.intervals import attach_sentences
 
-    keys = ["question_id", "rank"]
-    said = attach_sentences(sources.select(*keys, "lecture_id", "start_s", "end_s"), sentences)
-    line = F.concat(F.lit("["), format_timestamp(F.col("sentence_s")), F.lit("] "), html_escape(F.col("text"), True))
-    lines = said.withColumn("line", line).groupBy(*keys).agg(in_order("sentence_s", "line", "\n").alias("lines"))
-    slide = F.when(F.coalesce("slide_title", F.lit("")) != "", F.concat(F.lit(' slide="'), html_escape(F.col("slide_title"), True), F.lit('"')))
-    head = F.concat(F.lit('<passage time="'), span_text(F.col("start_s"), F.col("end_s")), F.lit('"'), F.coalesce(slide, F.lit("")), F.lit(">"))
-    reading = F.when(F.col("slide_document") != "", F.concat(F.lit("<slide>\n"), "slide_document", F.lit("\n</slide>")))
-    rows = sources.join(slide_documents(slides), ["lecture_id", "slide_id"], "left").join(lines, keys, "left")
-    blocks = rows.withColumn("block", F.concat_ws("\n", head, reading, "lines", F.lit("</passage>")))
-    return blocks.groupBy("question_id").agg(F.concat(F.lit("<passages>\n"), in_order("rank", "block", "\n"), F.lit("\n</passages>")).alias("evidence"))
+    said = attach_sentences(sources, sentences)
+    line = lambda s: F.concat(F.lit("["), format_timestamp(s["start_s"]), F.lit("] "), html_escape(s["text"], True))
+    passages = said.withColumn("lines", F.when(F.size("sentences") > 0, F.array_join(F.transform("sentences", line), "\n")))
+    parts = ("rank", "lecture_id", "slide_id", "slide_title", "start_s", "end_s", "lines")
+    asked = passages.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("passages"))
+    # a slide goes to a question once, however many of its passages show it
+    shown = sources.select("question_id", "lecture_id", "slide_id").distinct().join(slide_documents(slides).where("slide_document <> ''"), ["lecture_id", "slide_id"])
+    known = shown.groupBy("question_id").agg(F.collect_list(F.struct("lecture_id", "slide_id", "slide_document")).alias("documents"))
+
+    def block(p: Column) -> Column:
+        slide = F.when(F.coalesce(p["slide_title"], F.lit("")) != "", F.concat(F.lit(' slide="'), html_escape(p["slide_title"], True), F.lit('"')))
+        head = F.concat(F.lit('<passage time="'), span_text(p["start_s"], p["end_s"]), F.lit('"'), F.coalesce(slide, F.lit("")), F.lit(">"))
+        own = F.get(F.filter("documents", lambda x: (x["lecture_id"] == p["lecture_id"]) & (x["slide_id"] == p["slide_id"])), F.lit(0))["slide_document"]
+        return F.concat_ws("\n", head, F.concat(F.lit("<slide>\n"), own, F.lit("\n</slide>")), p["lines"], F.lit("</passage>"))
+
+    blocks = F.array_join(F.transform("passages", block), "\n")
+    return asked.join(known, "question_id", "left").select("question_id", F.concat(F.lit("<passages>\n"), blocks, F.lit("\n</passages>")).alias("evidence"))
