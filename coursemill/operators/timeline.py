@@ -60,10 +60,10 @@ def build_chunks(segments: DataFrame, slides: DataFrame) -> DataFrame:
     return segments.join(s, ["lecture_id", "slide_id"], "left").withColumn("text", text).drop("slide_text")
 
 
-def resolve_citations(items: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with the times of the segment they cite, and the items whose segment is unknown."""
+def resolve_citations(items: DataFrame, segments: DataFrame, take: tuple[str, ...] = ("start_s", "end_s")) -> tuple[DataFrame, DataFrame]:
+    """Items with the times (or ``take``) of the segment they cite, and the items whose segment is unknown."""
     keys = ["lecture_id", "segment_id"]
-    return items.join(segments.select(*keys, "start_s", "end_s"), keys), items.join(segments, keys, "left_anti")
+    return items.join(segments.select(*keys, *take), keys), items.join(segments, keys, "left_anti")
 
 
 def chapter_ranges(planned: DataFrame, segments: DataFrame) -> DataFrame:
@@ -101,21 +101,30 @@ def term_key(term: Column) -> Column:
 def locate_terms(concepts: DataFrame, words: DataFrame) -> DataFrame:
     """Where the longest leading part of each term is spoken in its segment, the earliest on a tie; else the segment's start.
 
-    concepts: lecture_id, segment, ord, term, start_s; words: lecture_id, segment, pos, word, start_s. Leading stopwords
-    are dropped, and no length of term or segment is bounded. A place at second 0 counts as not found, as does a first
-    token that is not said and a term of stopwords only.
+    concepts: lecture_id, segment, ord, term, start_s; words: lecture_id, segment, pos, word, start_s, or a row a segment
+    with arrays ``said`` and ``at`` of its words and their times in order. Leading stopwords are dropped, and no length of
+    term or segment is bounded. A place at second 0 counts as not found, as does a first token that is not said and a term
+    of stopwords only.
     """
+    return located(concepts, words).select("lecture_id", "ord", "term", "at_s")
+
+
+def located(concepts: DataFrame, words: DataFrame) -> DataFrame:
+    """concepts with ``at_s`` of locate_terms."""
     tokens = ascii_tokens(F.col("term"))
     told = lambda i: F.exists(F.slice(tokens, F.lit(1), i + 1), lambda t: ~t.isin(LEADING))
     want = concepts.withColumn("want", F.filter(tokens, lambda _, i: told(i)))
-    said = words.select("lecture_id", "segment", "pos", F.col("start_s").alias("at"), F.posexplode(ascii_tokens(F.col("word"))).alias("part", "token"))
-    spoken = said.groupBy("lecture_id", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "part", "at", "token"))).alias("said"))
-    met = want.join(spoken.withColumn("flat", F.transform("said", lambda x: x["token"])), ["lecture_id", "segment"], "left")
+    if "said" not in words.columns:
+        in_turn = F.array_sort(F.collect_list(F.struct("pos", "start_s", "word")))
+        words = words.groupBy("lecture_id", "segment").agg(in_turn.alias("w")).select("lecture_id", "segment", F.col("w.word").alias("said"), F.col("w.start_s").alias("at"))
+    parts = words.select("lecture_id", "segment", "at", F.transform("said", lambda w: F.coalesce(ascii_tokens(w), F.array().cast("array<string>"))).alias("parts"))
+    times = F.flatten(F.zip_with("parts", "at", lambda p, t: F.array_repeat(t, F.size(p))))
+    met = want.join(parts.select("lecture_id", "segment", F.flatten("parts").alias("flat"), times.alias("times")), ["lecture_id", "segment"], "left")
     here = lambda i: F.slice("flat", i + 1, F.size("want"))
     matched = lambda i: F.aggregate(F.zip_with("want", here(i), lambda a, b: F.coalesce(a == b, F.lit(False))), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")), lambda s, x: F.struct((s["on"] & x).alias("on"), (s["n"] + (s["on"] & x).cast("int")).alias("n")))["n"]
     places = F.filter(F.transform("flat", lambda t, i: F.when(t == F.get("want", F.lit(0)), F.struct((-matched(i)).alias("n"), i.alias("i")))), lambda x: x.isNotNull())
-    at = F.get("said", F.array_min(places)["i"])["at"]
-    return met.select("lecture_id", "ord", "term", F.coalesce(F.nullif(at, F.lit(0.0)), "start_s").alias("at_s"))
+    at = F.get("times", F.array_min(places)["i"])
+    return met.withColumn("at_s", F.coalesce(F.nullif(at, F.lit(0.0)), "start_s")).drop("want", "flat", "times")
 
 
 def merge_concepts(concepts: DataFrame) -> DataFrame:
@@ -245,10 +254,9 @@ def assemble_notes(planned: DataFrame, items: DataFrame, segments: DataFrame, wo
     Chapters get their times, concepts the place where they are spoken and one definition, formulas and questions are
     listed once; ``dropped`` has the items that cite no segment of their lecture.
     """
-    known, dropped = resolve_citations(items, segments)
-    known = known.join(segments.select("lecture_id", "segment_id", F.col("index").alias("segment")), ["lecture_id", "segment_id"])
-    concepts = known.where("kind = 'concept'")
-    placed = concepts.join(locate_terms(concepts.select("lecture_id", "segment", "ord", "term", "start_s"), words).select("lecture_id", "ord", "at_s"), ["lecture_id", "ord"])
+    known, dropped = resolve_citations(items, segments, ("start_s", "end_s", "index"))
+    known = known.withColumnRenamed("index", "segment")
+    placed = located(known.where("kind = 'concept'").select("lecture_id", "segment", "ord", "term", "definition", "start_s"), words)
     return {
         "chapters": chapter_times(chapter_ranges(planned, segments), segments, durations),
         "concepts": merge_concepts(placed).select("lecture_id", "ord", "term", "definition", "at_s"),
