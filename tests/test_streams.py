@@ -71,3 +71,23 @@ def test_runs_from_links_download_first(spark):
     events = spark.createDataFrame(rows, "run_id int, stage string, status string, run_status string, from_link boolean")
     got = {r.run_id: (r.done, r.total, r.percent, r.states.get("fetch"), len(r.states)) for r in J.run_progress(events).collect()}
     assert got == {1: (1, 14, 7, "done", 14), 2: (0, 13, 0, None, 13), 3: (14, 14, 100, "done", 14), 4: (13, 13, 100, None, 13)}
+
+
+def test_sampling_keeps_its_keys_by_lecture_over_batches(spark, tmp_path):
+    """A group of the stream is a lecture; its other keys (null, two kinds) are told apart and come back as they were."""
+    from coursemill.operators.slides import sample_per_key
+
+    rng = random.Random(4)
+    schema = "lecture_id long, page long, seen timestamp, t_s double, frame long"
+    pages, times = [None, 1, 2**60 + 1, 2**60 + 2], [None, datetime(2024, 1, 1, 5, 0, 0, 123456)]
+    rows = [(rng.choice([1, 2, None]), rng.choice(pages), rng.choice(times), None if rng.random() < 0.1 else rng.randrange(8) + 8.0 * (i // 250), i) for i in range(1000)]
+    for i in range(4):
+        spark.createDataFrame(rows[250 * i : 250 * i + 250], schema).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/*")
+    for keys in (["lecture_id", "page", "seen"], ["lecture_id"]):
+        sampled = J.sample_per_key_stream(stream, keys, 4, 3.0)
+        plan = sampled._jdf.queryExecution().analyzed().toString()
+        assert "page" not in plan.split("FlatMapGroupsInPandasWithState")[1].split("\n")[0]
+        got = [tuple(r) for r in J.run_to_end(sampled, "append").collect()]
+        want = [tuple(r) for r in sample_per_key(spark.createDataFrame(rows, schema), keys, 4, 3.0).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and len(want) >= 12
