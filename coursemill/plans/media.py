@@ -9,7 +9,7 @@ from coursemill.kernels import latex, words
 from coursemill.operators import catalog as C
 from coursemill.operators import slides as P
 from coursemill.plans.views import VIEWS, view, with_views
-from coursemill.session import shared_path
+from coursemill.session import shared_path, short_batches
 from coursemill.sources import buckets, io
 from coursemill.streaming import jobs as J
 
@@ -314,6 +314,7 @@ FORMULA = r"CASE doc_id % 4 WHEN 0 THEN concat(r'len(L) + \text{fib(n)} ', text)
 
 
 def formulas(spark, d):
+    short_batches(spark)
     return view(spark, d, "documents").select("doc_id", F.expr(FORMULA).alias("t"))
 
 

@@ -22,3 +22,10 @@ def checkpoint_dir(spark: SparkSession) -> None:
     """See that reliable checkpoints have a folder: the one that ``spark.checkpoint.dir`` names."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Send few and bounded rows to Python at once where they hold whole texts. Settings that the session was made with stay."""
+    for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, value)
