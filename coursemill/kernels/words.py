@@ -132,18 +132,128 @@ def slug(title: pd.Series) -> pd.Series:
     return title.map(one)
 
 
+AUTOJUNK = 200  # from this length on SequenceMatcher passes over common characters of the second text
+DIFFERS = bytes([0] + [1] * 255)
+
+
+def _longest(x: bytes, y: bytes) -> tuple[int, int, int]:
+    """Places and length of the longest common substring, the first in x, then in y.
+
+    Lines that are compared in full are much alike, so a run at equal places, from the start or from the end, is mostly as long
+    as any. A substring as long holds one of the blocks of half that size that x is cut into, so others are found by these.
+    """
+    n, m = len(x), len(y)
+    low = min(n, m)
+    best = (0, 0, 0)
+    for i, j in {(0, 0), (n - low, m - low)}:
+        both = int.from_bytes(x[i : i + low], "big") ^ int.from_bytes(y[j : j + low], "big")
+        differ = both.to_bytes(low, "big").translate(DIFFERS)
+        size = max(map(len, differ.split(b"\1")))
+        at = differ.find(bytes(size))
+        best = max(best, (size, -i - at, -j - at))
+    step = max((best[0] + 1) // 2, 1)
+    for i in range(0, n - step + 1, step):
+        block = x[i : i + step]
+        j = y.find(block)
+        while j >= 0:
+            if j - i != 0 and j - i != m - n:
+                a, b, c, d = i, j, i + step, j + step
+                while a and b and x[a - 1] == y[b - 1]:
+                    a, b = a - 1, b - 1
+                while c < n and d < m and x[c] == y[d]:
+                    c, d = c + 1, d + 1
+                best = max(best, (c - a, -a, -b))
+            j = y.find(block, j + 1)
+    return -best[1], -best[2], best[0]
+
+
+def matched(x: str, y: str) -> int:
+    """Characters in the matching blocks of SequenceMatcher(None, x, y)."""
+    if len(y) >= AUTOJUNK or not (x.isascii() and y.isascii()):
+        return sum(m.size for m in SequenceMatcher(None, x, y).get_matching_blocks())
+    total, left = 0, [(x.encode(), y.encode())]
+    while left:
+        a, b = left.pop()
+        if not a or not b:
+            continue
+        if len(a) == 1 or len(b) == 1:  # one character at most
+            total += a in b or b in a
+            continue
+        i, j, size = _longest(a, b)
+        if size:
+            total += size
+            left += [(a[:i], b[:j]), (a[i + size :], b[j + size :])]
+    return total
+
+
 def ratio(a: pd.Series, b: pd.Series, least: float = 0.0) -> pd.Series:
     """Similarity of two lines: twice the matched characters over all; 0 where a bound by the characters of both is below ``least``."""
 
     def one(x: str, y: str) -> float:
         if x == y:
             return 1.0
-        match = SequenceMatcher(None, x, y)
-        return match.ratio() if not least or match.quick_ratio() >= least else 0.0
+        if least and SequenceMatcher(None, x, y).quick_ratio() < least:
+            return 0.0
+        return 2.0 * matched(x, y) / (len(x) + len(y))
 
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+SYMBOLS = np.full(256, 37, np.int64)  # of words in lower case; all others count as one
+SYMBOLS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789 ", np.uint8)] = range(37)
+PAIRS = 1 << 13  # pairs of lines whose bounds are taken at once
+
+
+def _bags(texts: list[str]) -> np.ndarray:
+    """A row a text: how often it has each symbol."""
+    data = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(rows * 38 + SYMBOLS[data], minlength=38 * len(texts)).reshape(-1, 38)
+
+
+def closest(texts: pd.Series, pages: pd.Series, least: float) -> pd.DataFrame:
+    """Place (from 0) and ratio of the line most like each text among its page's lines, joined by line breaks: the first on a
+    tie, null below ``least`` and for a null. Only lines whose characters allow a ratio as good as any yet are compared in full."""
+    out: list[tuple[int | None, float | None]] = []
+    todo: list[tuple[str, list[str]]] = []
+    split = {p: p.split("\n") for p in set(pages)}
+
+    def flush() -> None:
+        of = {id(lines): lines for _, lines in todo if lines}
+        start = dict(zip(of, np.cumsum([0, *map(len, of.values())]).tolist(), strict=False))
+        flat = [t for lines in of.values() for t in lines]
+        a, b = _bags([t for t, _ in todo]), _bags(flat)
+        at = np.repeat(np.arange(len(todo)), [len(lines) for _, lines in todo])
+        to = np.concatenate([np.arange(start[id(lines)], start[id(lines)] + len(lines)) for _, lines in todo if lines] or [at])
+        both = a.sum(axis=1)[at] + b.sum(axis=1)[to]
+        bound = 2.0 * np.minimum(a[at], b[to]).sum(axis=1) / np.maximum(both, 1)
+        kept = np.flatnonzero(bound >= least)
+        kept = kept[np.lexsort((to[kept], -bound[kept], at[kept]))]
+        best: list[tuple[float, int] | None] = [None] * len(todo)
+        for row, other, most in zip(at[kept].tolist(), to[kept].tolist(), bound[kept].tolist(), strict=True):
+            had = best[row]
+            if had and (most, -other) < had:
+                continue
+            x, y = todo[row][0], flat[other]
+            now = (1.0 if x == y else 2.0 * matched(x, y) / (len(x) + len(y)), -other)
+            if now[0] >= least and (not had or now > had):
+                best[row] = now
+        out.extend((None, None) if b is None else (-b[1] - start[id(lines)], b[0]) for b, (_, lines) in zip(best, todo, strict=True))
+        todo.clear()
+
+    n = 0
+    for text, page in zip(texts, pages, strict=True):
+        lines = split[page] if text is not None else []
+        todo.append((text or "", lines))
+        n += len(lines)
+        if n >= PAIRS:
+            flush()
+            n = 0
+    if todo:
+        flush()
+    return pd.DataFrame({"place": pd.array([i for i, _ in out], dtype="Int32"), "ratio": pd.array([r for _, r in out], dtype="Float64")})
+
+
 def gram_size(least: float) -> int:
     """Pairs of characters where a ratio of ``least`` implies that some are shared in texts of six or more, else characters."""
     return 2 if least_shared(pd.Series(range(6, 200)), 2, least).min() >= 1 else 1
