@@ -32,9 +32,9 @@ def term_counts(rows: DataFrame, terms: str = "terms") -> DataFrame:
     """rows with their column of terms as rows of (term, tf): equal ones of a row stand together when sorted, so nothing is shuffled."""
     others = [c for c in rows.columns if c != terms]
     s, at = F.col("_s"), F.col("_at")
-    runs = rows.select(*others, F.array_sort(terms).alias("_s")).where(F.size("_s") > 0)
+    runs = rows.select(*others, F.sort_array(terms).alias("_s"))  # not array_sort, which compares by an interpreted function
     begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    cut = runs.select(*others, "_s", begins.alias("_at"))
+    cut = runs.select(*others, "_s", F.when(F.size(s) > 0, begins).alias("_at"))  # a filter would sort a second time
     ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(s)))
     return cut.select(*others, F.inline(F.zip_with(at, ends, lambda a, b: F.struct(F.get(s, a).alias("term"), (b - a).cast("long").alias("tf")))))
 
@@ -71,13 +71,15 @@ def top_k(hits: DataFrame, limit: int, partition: list[str] | None = None, ties:
 
 
 def bm25_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame, limit: int = 30, key: str = "chunk_id", stem: bool = True, scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, key, score, rank): summed BM25 weights of the terms a query shares with a chunk.
+    """(query_id, key, score, rank): summed BM25 weights of the terms a query shares with a chunk (key, text).
 
     Postings are cut to the queries' terms before the join on them; scope (query_id, key) limits what a query sees,
     and a query without scope rows then sees nothing.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms_of(F.col("text"), stem))).alias("term"))
-    df, total = bm25_stats(postings, chunks, key)
+    df = bm25_stats(postings, chunks, key)[0]
+    length = F.greatest(F.size(terms_of(F.col("text"), stem)), F.lit(0))  # as in postings, which need not be counted again
+    total = chunks.agg(F.count("*").alias("n"), F.sum(length).alias("total")).select("n", (F.col("total") / F.col("n")).alias("avg_len"))
     hits = bm25_hits(wanted, postings, df, F.broadcast(total), key)  # total is one row
     if scope is not None:
         hits = hits.join(scope, ["query_id", key], "left_semi")
@@ -106,18 +108,18 @@ def hashed_bag(texts: list[str], size: int = 64) -> np.ndarray:
 
 
 def embed_chunks(chunks: DataFrame, encoder: Callable[[list[str]], np.ndarray] = hashed_bag, prefix: str = "", batch: int = 8) -> DataFrame:
-    """Add ``dense``, the encoder's vector of prefix + text; the encoder sees ``batch`` texts at a time."""
-    names = chunks.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts = [prefix + (t or "") for t in rows.column("text").to_pylist()]
-            parts = [encoder(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-            vectors = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, 1), np.float32)
-            dense = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.reshape(-1)))
-            yield pa.record_batch([*rows.columns, dense], names=[*names, "dense"])
-
-    return chunks.mapInArrow(run, chunks.withColumn("dense", F.array().cast("array<float>")).schema)
+    """Add ``dense``, the encoder's vector of prefix + text; the encoder sees ``batch`` texts at a time.
+
+    A column of its own, so texts are not encoded where a plan takes other columns only, and not again for a filter.
+    """
+
+    def run(column: pa.Array) -> pa.Array:
+        texts = [prefix + (t or "") for t in column.to_pylist()]
+        parts = [encoder(texts[i : i + batch]) for i in range(0, len(texts), batch)]
+        vectors = np.concatenate(parts).astype(np.float32) if parts else np.zeros((0, 1), np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1]), pa.array(vectors.reshape(-1)))
+
+    return chunks.withColumn("dense", F.arrow_udf(run, "array<float>").asNondeterministic()("text"))
 
 
 def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

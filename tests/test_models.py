@@ -129,3 +129,19 @@ def test_concepts_of_notes(spark):
     assert got["Hash Tables"] == ("a longer definition", 11.0) and got["trees"] == ("t", 10.0) and "ghost" not in got
     assert len(got) + len({"the hash table"} - got.keys()) == 3
     assert [r.ord for r in notes["dropped"].collect()] == [3]
+
+
+def test_texts_are_encoded_only_where_vectors_are_taken(spark):
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    rows = search.embed_chunks(spark.createDataFrame([(1, "graph edge")], "chunk_id long, text string"))
+    assert "Arrow" not in plan(rows.select("chunk_id", "text")) and plan(rows.where("dense is not null")).count("ArrowEvalPython") == 1
+
+
+def test_terms_are_sorted_once_and_lengths_need_no_postings(spark):
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, "edge graph edge"), (2, ""), (3, None)], "chunk_id long, text string")
+    postings = search.bm25_postings(rows)
+    assert plan(postings).count("sort_array") == 1 and "array_sort" not in plan(postings)
+    assert sorted(map(tuple, postings.collect())) == [(1, "edge", 3, 2), (1, "graph", 3, 1)]
+    found = search.bm25_search(spark.createDataFrame([(7, "edge")], "query_id long, text string"), postings, rows)
+    assert plan(found).count("zip_with") == 2 and [(r.query_id, r.chunk_id, r.rank) for r in found.collect()] == [(7, 1, 1)]
