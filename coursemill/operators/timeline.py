@@ -24,13 +24,32 @@ def split_sentences(words: DataFrame, keys: list[str], max_words: int = 40) -> D
 
 
 def sentence_rows(words: DataFrame, max_words: int = 40) -> DataFrame:
-    """Sentences of each segment, numbered from 0 through the lecture."""
+    """Sentences of each segment, numbered from 0 through the lecture.
+
+    words: as for split_sentences with lecture_id and segment; or a row a lecture with arrays segment, word and start_ds, in
+    order of segment and place, whose sentences are cut and numbered within the row.
+    """
+    if "pos" not in words.columns:
+        return _sentences_of_rows(words, max_words)
     rows = split_sentences(words, ["lecture_id", "segment"], max_words)
     order = ["segment", "pos"]
     numbered = running(sliced(rows, ["lecture_id"], order), ["lecture_id"], order, {"number": F.lit(1)})
     return numbered.select("lecture_id", (F.col("number") - 1).alias("index"), "start_ds", "text")
 
 
+def _sentences_of_rows(words: DataFrame, max_words: int) -> DataFrame:
+    """sentence_rows of a row a lecture: nothing is shuffled. Each list of places is a column, so it is made once."""
+    said, n = F.col("word"), F.size("word")
+    other = lambda i: ~F.get("segment", i).eqNullSafe(F.get("segment", i - 1))
+    begins = lambda i: (i == 0) | other(i) | F.coalesce(F.get(said, i - 1).rlike(ENDERS), F.lit(False))
+    until = lambda c: F.concat(F.slice(c, F.lit(2), F.size(c)), F.array(n))
+    part = lambda c, a, b: F.slice(c, a + 1, b - a)
+    cut = words.select("lecture_id", "segment", "word", "start_ds", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), begins)).alias("_starts"))
+    cut = cut.withColumn("_begins", F.flatten(F.zip_with("_starts", until("_starts"), lambda a, b: F.sequence(a, b - 1, F.lit(max_words)))))
+    rows = F.zip_with("_begins", until("_begins"), lambda a, b: F.struct(F.array_min(part("start_ds", a, b)).alias("start_ds"), F.array_join(part("word", a, b), " ").alias("text")))
+    return cut.select("lecture_id", F.posexplode(rows).alias("index", "_s")).select("lecture_id", F.col("index").cast("long").alias("index"), "_s.*")
+
+
 def build_timeline(speech: DataFrame, spans: DataFrame, longest: float = 900) -> DataFrame:
     """Segments of consecutive speech under one span, cut where they would be longer than ``longest``.
 

@@ -52,3 +52,25 @@ def test_no_query_shuffles_words_one_by_one(spark, name, most):
     made = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Generate posexplode\(split\(trim", plan)) == most
+
+
+def test_sentences_of_a_lecture_in_one_row_are_those_of_its_words(spark):
+    import random
+
+    from coursemill.operators.timeline import sentence_rows
+
+    rng = random.Random(3)
+    flat, whole = [], [("empty", [], [], []), ("null", None, None, None)]
+    for lecture in map(str, range(12)):
+        segments = sorted(rng.choices(range(4), k=rng.randrange(1, 60)))
+        said = [rng.choice(["a", "b.", 'c?"', "d", "e", "f!)", None, "g.h"]) for _ in segments]
+        at = [3 * i for i in range(len(segments))]
+        flat += [(lecture, s, i, w, t) for i, (s, w, t) in enumerate(zip(segments, said, at))]
+        whole.append((lecture, segments, said, at))
+    words = spark.createDataFrame(flat, "lecture_id string, segment int, pos int, word string, start_ds int")
+    rows = spark.createDataFrame(whole, "lecture_id string, segment array<int>, word array<string>, start_ds array<int>")
+    for longest in (1, 3, 40):
+        in_rows = sentence_rows(rows, longest)
+        want = sorted(map(tuple, sentence_rows(words, longest).collect()))
+        assert sorted(map(tuple, in_rows.collect())) == want and len(want) > 12
+        assert "Exchange" not in in_rows._jdf.queryExecution().executedPlan().toString()
